@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, sharding, substring, suffixdedup, tokens
+from . import decontam, minhash, mixing, sharding, substring, suffixdedup, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.document_groups(_table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.document_mix(_table(spark, sf_dir, "documents"))
 
@@ -40,7 +44,7 @@ def op10_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_mix_sources, op5_decontaminate, op6_suffix_dedup, op7_byte_shards, op8_substring_dedup, op10_count_tokens)}
+    return {f.__name__: f for f in (op3_near_duplicates, op4_mix_sources, op5_decontaminate, op6_suffix_dedup, op7_byte_shards, op8_substring_dedup, op10_count_tokens)}
 
 
 def oracle() -> dict[str, str]:
