@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, minhash, mixing, sharding, substring, suffixdedup, tokens
+from . import decontam, linededup, media, minhash, mixing, quality, sharding, substring, suffixdedup, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.document_media(_table(spark, sf_dir, "documents"))
+
+
+def op2_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.page_lines(_table(spark, sf_dir, "pages"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.document_groups(_table(spark, sf_dir, "documents"))
 
@@ -39,13 +47,29 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.document_windows(_table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.document_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_near_duplicates, op4_mix_sources, op5_decontaminate, op6_suffix_dedup, op7_byte_shards, op8_substring_dedup, op10_count_tokens)}
+    own = (
+        op1_media_chunks,
+        op2_site_lines,
+        op3_near_duplicates,
+        op4_mix_sources,
+        op5_decontaminate,
+        op6_suffix_dedup,
+        op7_byte_shards,
+        op8_substring_dedup,
+        op9_quality,
+        op10_count_tokens,
+    )
+    return {f.__name__: f for f in own}
 
 
 def oracle() -> dict[str, str]:
-    return {}
+    return {"op2_site_lines": linededup.ORACLE}

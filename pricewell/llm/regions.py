@@ -41,16 +41,21 @@ def identified(docs: DataFrame) -> DataFrame:
 
 
 def copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of identified rows: all (o, t, n_bytes), and later copies of a text as (o, t, copy = True, ...); firsts with copies have copy = False.
+    """Of identified rows: all (doc_id, o, t, n_bytes, digest), and later copies of a text as (o, t, copy = True, ...); firsts with copies have copy = False.
 
     Texts are compared by SHA-256. The first is the least (o, t).
     """
-    slim = written(rows.select("o", "t", F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("n_bytes"), F.sha2(utf8(), 256).alias("digest")), "region-docs")
+    slim = written(rows.select("doc_id", "o", "t", F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("n_bytes"), F.sha2(utf8(), 256).alias("digest")), "region-docs")
     first = slim.groupBy("digest").agg(F.min(F.struct("o", "t")).alias("first"), F.count("*").alias("n")).where("n > 1")
     marked = slim.join(first, "digest").select("o", "t", (F.struct("o", "t") != F.col("first")).alias("copy")).distinct()
     return slim, written(marked, "region-copies")
 
 
+def repeats(slim: DataFrame) -> bool:
+    """True if rows share doc_id and text."""
+    return bool(slim.groupBy("o", "t").count().where("count > 1").limit(1).count())
+
+
 def firsts(rows: DataFrame, marked: DataFrame) -> DataFrame:
     """The identified rows without later copies, with `copied`: other documents have the same text."""
     return narrow_join(rows, marked, ["o", "t"], "left").where("copy is null or not copy").withColumn("copied", F.col("copy").isNotNull()).drop("copy")

@@ -55,3 +55,11 @@ def document_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     return byte_shards(slim, ["doc_id", "text_crc32", "size"], "size", shards).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def place(docs: DataFrame, shards: int = 16) -> DataFrame:
+    """All rows and columns of the documents with shard and slot. Here the rows themselves are dealt, so rows of one doc_id need no join."""
+    names = [c for c in docs.columns if c not in ("shard", "slot")]
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(*names).withColumns({"_size": (F.octet_length(text) + 1).cast("long"), "_crc": F.crc32(text.cast("binary"))})
+    return byte_shards(rows, ["doc_id", "_crc", "_size"], "_size", shards).select(*names, "shard", F.col("slot").cast("long").alias("slot"))

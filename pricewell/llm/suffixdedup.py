@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .common import blocks, narrow_join, utf8, written
-from .regions import Spec, copies, emit, firsts, identified
+from .regions import Spec, copies, emit, firsts, identified, repeats
 
 SPEC = Spec("bytes", 200, 32)
 #: The cover's period. Suffixes are told apart by their first PERIOD bytes, then by ranks of cover places (RANKED bytes deep), then by the last bytes.
@@ -230,7 +230,7 @@ def remove_repeats(docs: DataFrame, spec: Spec = SPEC) -> DataFrame:
     rows = identified(docs)
     slim, marked = copies(rows)
     # A row that is repeated as a whole has one (o, t): its group of copies may consist of nothing else.
-    spans = repeated_spans(rows.dropDuplicates(["o", "t"]) if _repeats(slim) else rows, slim, marked, spec)
+    spans = repeated_spans(rows.dropDuplicates(["o", "t"]) if repeats(slim) else rows, slim, marked, spec)
     full = narrow_join(rows.withColumn("text", utf8()), marked, ["o", "t"], "left").join(spans, ["o", "t"], "left").select("doc_id", "text", F.col("copy").isNotNull().alias("copied"), "spans")
     length = spec.length
 
@@ -256,10 +256,6 @@ def remove_repeats(docs: DataFrame, spec: Spec = SPEC) -> DataFrame:
     return full.mapInArrow(cut, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def _repeats(slim: DataFrame) -> bool:
-    return bool(slim.groupBy("o", "t").count().where("count > 1").limit(1).count())
-
-
 def document_suffixes(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
