@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewell.llm import decontam, minhash, mixing, quality, sharding
-from pricewell.llm.common import written
+from pricewell.llm.common import BROADCAST_ROWS, masked, unmasked, written
 
 SHARDS = 16
 
@@ -33,9 +33,10 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, once or twice."""
     taken = written(mixing.mix(mixing.slim(docs)).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "copies").distinct(), "pipeline-mix")
-    on = docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_source"))
-    out = docs.join(taken, on).withColumn("_n", F.explode(F.sequence(F.lit(1), F.greatest(F.col("copies"), F.lit(1)).cast("int")))).where("copies > 0")
-    return out.select(*docs.columns)
+    on = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
+    small = taken.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    out = masked(docs, "doc_id", "source").join(F.broadcast(taken) if small else taken, on).where("copies > 0")
+    return unmasked(out.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))), docs.columns)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

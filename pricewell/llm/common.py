@@ -1,39 +1,23 @@
-"""Spark helpers shared by the operators: scratch tables in the cluster's shared folder, checked broadcasts, text batches."""
+"""Spark helpers shared by the operators: checked broadcasts, text batches, columns of any name."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that pin a small table)
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import shared_dir, written
+
+__all__ = ["blocks", "few", "masked", "narrow_join", "shared_dir", "text_bytes", "unmasked", "utf8", "written"]
+
 #: Rows of a few numbers that may be broadcast; with more, the join shuffles.
 BROADCAST_ROWS = 1_000_000
 #: Text bytes that a kernel handles at once; one longer document is a block of its own.
 BLOCK_BYTES = 2 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Set only where the session has none, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="pricewell-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df as a Parquet table in the shared folder: it cuts lineage and outlives a lost executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def few(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
     """True if a written table has at most so many rows."""
     return df.limit(most + 1).count() <= most
@@ -65,3 +49,13 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BL
 def utf8(text: str | Column = "text") -> Column:
     """The text's bytes; null is empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary")
+
+
+def masked(docs: DataFrame, *needed: str | Column) -> DataFrame:
+    """The columns as c0, c1, ... and the needed ones again under their own names, so that no name of the documents' clashes with an operator's."""
+    return docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)), *needed)
+
+
+def unmasked(rows: DataFrame, names: list[str], **own: str) -> DataFrame:
+    """The columns c0, c1, ... under their names again; own: names of columns that stand in for one of them."""
+    return rows.select(*(F.col(own.get(c, f"c{i}")).alias(c) for i, c in enumerate(names)))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import blocks, utf8, written
+from .common import blocks, masked, unmasked, utf8, written
 
 #: Bytes of benchmark text that one pass looks for; more text takes more passes, so what is broadcast stays bounded.
 PASS_BYTES = 8 << 20
@@ -122,7 +122,7 @@ def search(texts: list[bytes], index: Index, window: int) -> tuple[np.ndarray, l
     keys = _keys(seq, suffixes, window)
     order = np.lexsort(keys[::-1])
     array, keys = suffixes[order], [k[order] for k in keys]
-    # Windows of `window` words sort as their keys; shorter ones match any suffix between their own key and that filled with the largest words.
+    # Windows of `window` words sort as their keys; shorter ones match any suffix between their own key filled with 0 and that filled with the largest words.
     wanted = _keys(index.seq, index.starts, window)
     filled = [w.copy() for w in wanted]
     top = K.U((1 << ID_BITS) - 1)
@@ -130,6 +130,7 @@ def search(texts: list[bytes], index: Index, window: int) -> tuple[np.ndarray, l
         short = index.lengths <= j
         shift = K.U(ID_BITS * (PER_KEY - 1 - j % PER_KEY))
         filled[j // PER_KEY][short] |= top << shift
+        wanted[j // PER_KEY][short] &= ~(top << shift)
     low, high = _bound(keys, wanted, False), _bound(keys, filled, True)
     times = high - low
     hit = np.repeat(np.arange(len(times)), times)
@@ -154,7 +155,7 @@ def search(texts: list[bytes], index: Index, window: int) -> tuple[np.ndarray, l
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """Adds n_words, hits (array of [start, end) in words, merged) and matches to the docs, whose text becomes its bytes.
+    """Adds n_words, hits (array of [start, end) in words, merged) and matches to the docs.
 
     matches are the maximal verbatim matches of at least a window with their places in item and document. Null and empty texts have no words;
     benchmark rows without words match nothing, a null item_id reads as an empty string. Columns named as the new ones are replaced.
@@ -162,7 +163,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     bench = written(benchmark.select("item_id", utf8().alias("text")), "bench")
     total = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     passes = max(1, -(-total // PASS_BYTES))
-    out = docs.drop("n_words", "hits", "matches").withColumns({"text": utf8(), "n_words": F.lit(0).cast("long"), "hits": F.array().cast("array<array<int>>"), "matches": F.array().cast(MATCHES)})
+    out = docs.drop("n_words", "hits", "matches").withColumns({"n_words": F.lit(0).cast("long"), "hits": F.array().cast("array<array<int>>"), "matches": F.array().cast(MATCHES)})
     for k in range(passes):
         # One pass's items: about PASS_BYTES, dealt by a hash of their rows.
         some = bench if passes == 1 else bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
@@ -219,5 +220,5 @@ def document_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a benchmark window, all columns as they were."""
-    names = docs.columns
-    return find(docs, benchmark).where(F.size("hits") == 0).withColumn("text", F.when(F.col("text").isNotNull(), F.col("text").cast("string"))).select(*names)
+    rows = masked(docs, "text").drop(f"c{docs.columns.index('text')}")
+    return unmasked(find(rows, benchmark).where(F.size("hits") == 0), docs.columns, text="text")

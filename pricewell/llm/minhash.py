@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import blocks, narrow_join, utf8, written
+from .common import blocks, masked, narrow_join, unmasked, utf8, written
 from .components import components
 
 
@@ -175,10 +175,10 @@ def one_of_each(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:  # noqa: B00
     """The documents with one row of each group, all columns as they were; of rows that share a kept doc_id, one stays."""
     found = written(near_duplicates(docs, spec), "minhash-result")
     gone = written(found.where("not kept").select("doc_id").distinct(), "minhash-gone")
-    out = narrow_join(docs, gone, "doc_id", "left_anti")
+    out = narrow_join(masked(docs, "doc_id"), gone, "doc_id", "left_anti")
     if found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
         out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
-    return out
+    return unmasked(out, docs.columns)
 
 
 def document_groups(docs: DataFrame) -> DataFrame:

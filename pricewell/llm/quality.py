@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import blocks, narrow_join, utf8, written
+from .common import blocks, masked, narrow_join, unmasked, utf8, written
 
 #: Labelled rows to learn from, about; those with the least hashes of doc_id. Features kept, and the least deviation (in standard errors) that keeps one.
 SAMPLE, FEATURES, DEVIATION = 20_000, 20_000, 6.0
@@ -169,5 +169,6 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not rejected, all columns as they were."""
     gone = written(score(docs, labels).where("not kept").select(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).distinct(), "quality-rejected")
     small = gone.limit(1_000_001).count() <= 1_000_000
-    on = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_t"))
-    return docs.join(F.broadcast(gone) if small else gone, on, "left_anti")
+    rows = masked(docs, "doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("t"))
+    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t"))
+    return unmasked(rows.join(F.broadcast(gone) if small else gone, on, "left_anti"), docs.columns)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import masked, written
 
 
 def byte_shards(rows: DataFrame, order: list[str], size: str, shards: int, parts: int | None = None) -> DataFrame:
@@ -59,7 +59,8 @@ def document_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
 
 def place(docs: DataFrame, shards: int = 16) -> DataFrame:
     """All rows and columns of the documents with shard and slot. Here the rows themselves are dealt, so rows of one doc_id need no join."""
-    names = [c for c in docs.columns if c not in ("shard", "slot")]
+    docs = docs.drop("shard", "slot")
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(*names).withColumns({"_size": (F.octet_length(text) + 1).cast("long"), "_crc": F.crc32(text.cast("binary"))})
-    return byte_shards(rows, ["doc_id", "_crc", "_size"], "_size", shards).select(*names, "shard", F.col("slot").cast("long").alias("slot"))
+    rows = masked(docs, "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"))
+    placed = byte_shards(rows, ["doc_id", "crc", "size"], "size", shards)
+    return placed.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)), "shard", F.col("slot").cast("long").alias("slot"))

@@ -38,9 +38,9 @@ def removed_spans(rows: DataFrame, slim: DataFrame, marked: DataFrame, spec: Spe
     wins = found.select("o", "t", "pos", "sample", "wins").join(open_, ["o", "t", "pos"], "left_semi")
     wins = wins.select("o", "t", "sample", "pos", F.posexplode("wins").alias("j", "h")).select("o", "t", (F.col("pos") + F.col("j")).alias("pos"), "sample", "h").distinct()
     wins = written(wins, "sub-windows")
-    ahead = wins.groupBy("sample", "h").agg(F.min(F.struct("o", "t", "pos")).alias("f"), F.count("*").alias("n")).where("n > 1")
-    # Windows are many only where few repeat: those that repeat are joined back, the first of each is left out.
-    later = wins.join(ahead.select("sample", "h", "f"), ["sample", "h"]).where(F.struct("o", "t", "pos") != F.col("f")).select("o", "t", "pos", F.lit(1).alias("m"))
+    ahead = wins.groupBy("sample", "h").agg(F.min(F.struct("o", "t", "pos")).alias("f")).select("f.*")
+    # Places are unique, so this join is even where a window occurs in very many documents.
+    later = wins.select("o", "t", "pos").join(ahead, ["o", "t", "pos"], "left_anti").select("o", "t", "pos", F.lit(1).alias("m"))
     spans = again.unionByName(later).distinct().select("o", "t", F.struct("pos", (F.col("pos") + F.col("m") + (spec.length - 1)).alias("end")).alias("span"))
     return written(spans.groupBy("o", "t").agg(F.sort_array(F.collect_list("span")).alias("spans")), "sub-spans")
 
