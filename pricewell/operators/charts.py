@@ -60,9 +60,9 @@ def draw_order(index: Column) -> Column:
 
 def points(rows: DataFrame, periodicity: str) -> DataFrame:
     """Rows that carry a point: all if there are few periods, else those that stand alone in their line."""
-    few = rows.agg(F.countDistinct("ord").alias("periods"))
+    few = rows.agg(F.countDistinct("ord").alias("periods")).first().periods <= POINTS[periodicity]
     alone = F.count("*").over(W.partitionBy("indice", "linea") if "linea" in rows.columns else W.partitionBy("indice"))
-    return rows.withColumn("_n", alone).crossJoin(F.broadcast(few)).where((F.col("periods") <= POINTS[periodicity]) | (F.col("_n") == 1)).drop("_n", "periods")
+    return rows if few else rows.withColumn("_n", alone).where("_n = 1").drop("_n")
 
 
 def combined(result: DataFrame, other: DataFrame | None) -> DataFrame:
