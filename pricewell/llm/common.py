@@ -20,7 +20,7 @@ BLOCK_BYTES = 2 << 20
 
 def few(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
     """True if a written table has at most so many rows."""
-    return df.limit(most + 1).count() <= most
+    return df.count() <= most
 
 
 def narrow_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:

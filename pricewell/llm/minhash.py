@@ -182,5 +182,5 @@ def one_of_each(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:  # noqa: B00
 
 
 def document_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, n_links on 2-word shingles at 0.8."""
-    return near_duplicates(docs, Spec(words=2))
+    """doc_id, n_shingles, component_id, kept on 2-word shingles at 0.8."""
+    return near_duplicates(docs, Spec(words=2)).drop("n_links")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import blocks, masked, narrow_join, unmasked, utf8, written
+from .common import blocks, few, masked, narrow_join, unmasked, utf8, written
 
 #: Labelled rows to learn from, about; those with the least hashes of doc_id. Features kept, and the least deviation (in standard errors) that keeps one.
 SAMPLE, FEATURES, DEVIATION = 20_000, 20_000, 6.0
@@ -135,16 +135,15 @@ def posteriors(scored: DataFrame, rates: tuple[float, float]) -> DataFrame:
     soft = scored.withColumns(own)
     path = written(soft.groupBy("source", "lang").agg(F.count("*").alias("n"), *(F.sum(f"{x}_p").alias(x) for x in LABELS)), "quality-paths")
     site = path.groupBy("source").agg(F.sum("n").alias("site_n"), *(F.sum(x).alias(f"site_{x}") for x in LABELS))
-    whole = path.agg(F.sum("n").alias("all_n"), *(F.sum(x).alias(f"all_{x}") for x in LABELS))
-    prior = path.join(site.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).crossJoin(F.broadcast(whole))  # the whole is one row
+    whole = path.agg(F.sum("n").alias("n"), *(F.sum(x).alias(x) for x in LABELS)).first()  # one row
+    prior = path.join(site.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
     for x in LABELS:
-        top = F.col(f"all_{x}") / F.col("all_n")
+        top = (whole[x] or 0.0) / max(1, whole.n or 0)
         mid = (F.col(f"site_{x}") + PRIOR_DOCS * top) / (F.col("site_n") + PRIOR_DOCS)
         prior = prior.withColumn(f"{x}_prior", F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), (F.col(x) + PRIOR_DOCS * mid) / (F.col("n") + PRIOR_DOCS))))
     prior = written(prior.select(F.col("source").alias("_source"), F.col("lang").alias("_lang"), "low_prior", "toxic_prior"), "quality-priors")
     on = F.col("source").eqNullSafe(F.col("_source")) & F.col("lang").eqNullSafe(F.col("_lang"))
-    small = prior.limit(100_001).count() <= 100_000
-    out = scored.join(F.broadcast(prior) if small else prior, on).drop("_source", "_lang")
+    out = scored.join(F.broadcast(prior) if few(prior) else prior, on).drop("_source", "_lang")
     return out.withColumns({x: 1 / (1 + F.exp(-(F.col(f"{x}_llr") + _logit(F.col(f"{x}_prior"))))) for x in LABELS})
 
 
@@ -168,7 +167,6 @@ def document_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not rejected, all columns as they were."""
     gone = written(score(docs, labels).where("not kept").select(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).distinct(), "quality-rejected")
-    small = gone.limit(1_000_001).count() <= 1_000_000
     rows = masked(docs, "doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("t"))
     on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t"))
-    return unmasked(rows.join(F.broadcast(gone) if small else gone, on, "left_anti"), docs.columns)
+    return unmasked(rows.join(F.broadcast(gone) if few(gone) else gone, on, "left_anti"), docs.columns)

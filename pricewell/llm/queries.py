@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, linededup, media, minhash, mixing, quality, sharding, substring, suffixdedup, tokens
+from . import decontam, linededup, media, minhash, mixing, oracles, quality, sharding, substring, suffixdedup, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,4 +72,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle() -> dict[str, str]:
-    return {"op2_site_lines": linededup.ORACLE}
+    return dict(oracles.ORACLES)
