@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from . import minhash
 from .common import blocks, few, masked, narrow_join, unmasked, utf8, written
 
 #: Labelled rows to learn from, about; those with the least hashes of doc_id. Features kept, and the least deviation (in standard errors) that keeps one.
@@ -43,16 +44,30 @@ def features(text: bytes) -> tuple[set[bytes], set[bytes]]:
     return layout, set(text.translate(_SPACED).split())
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> dict[bytes, tuple[float, float]]:
-    """The log likelihood ratio of each feature for LABELS: low quality (by layout) and toxic (by words).
+def sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, text, low, toxic of about SAMPLE labelled documents without near copies of each other.
 
-    Counts of SAMPLE labelled documents, summed by feature in Spark; features whose share among the label's documents differs by DEVIATION
-    standard errors are kept, FEATURES at most. Labels of missing documents, null labels and null ids teach nothing.
+    Hundreds of copies of one labelled text would make each of its words look telling. A document stays if it has the least doc_id in all its
+    MinHash buckets (5-word shingles), or has no shingles.
     """
     known = labels.where("doc_id is not null and quality is not null and toxic is not null").select(F.col("doc_id").alias("doc_id"), (F.col("quality") == 0).cast("int").alias("low"), F.col("toxic").cast("int").alias("toxic"))
     known = known.groupBy("doc_id").agg(F.max("low").alias("low"), F.max("toxic").alias("toxic"))
     share = min(1.0, SAMPLE / max(1, known.count()))
     known = written(known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))), "quality-labels")
+    rows = written(narrow_join(docs.select("doc_id", utf8().alias("text")), known, "doc_id", most=4 * SAMPLE), "quality-sample")
+    sets = minhash.signed(rows, minhash.Spec())
+    held = sets.where("buckets is not null").select("doc_id", F.explode("buckets").alias("bucket"))
+    least = held.groupBy("bucket").agg(F.min("doc_id").alias("least"))
+    copies = written(held.join(least, "bucket").where("doc_id <> least").select("doc_id").distinct(), "quality-copies")
+    return narrow_join(rows, copies, "doc_id", "left_anti", most=4 * SAMPLE)
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[bytes, tuple[float, float]], tuple[float, ...]]:
+    """The log likelihood ratio of each feature for LABELS: low quality (by layout) and toxic (by words); and the labels' rates.
+
+    Counts of the sampled documents, summed by feature in Spark; features whose share among the label's documents differs by DEVIATION
+    standard errors are kept, FEATURES at most. Labels of missing documents, null labels and null ids teach nothing.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: list[Counter[bytes]] = [Counter(), Counter(), Counter()]
@@ -77,11 +92,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict[bytes, tuple[float, float]
                 yield flush()
         yield flush()
 
-    rows = narrow_join(docs.select("doc_id", utf8().alias("text")), known, "doc_id", most=4 * SAMPLE)
+    rows = sampled(docs, labels)
     counts = written(rows.mapInArrow(count, "feature binary, n long, low long, toxic long").groupBy("feature").agg(*(F.sum(c).alias(c) for c in ("n", *LABELS))).where("n >= 5"), "quality-counts")
     whole = counts.where(F.length("feature") == 0).first()
     if whole is None:
-        return {}
+        return {}, (0.5,) * len(LABELS)
     out: dict[bytes, list[float]] = {}
     for k, label in enumerate(LABELS):
         p = whole[label] / whole.n
@@ -93,7 +108,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict[bytes, tuple[float, float]
         for r in best.collect():
             yes, no = (r[label] + 0.5) / (whole[label] + 1), (r.n - r[label] + 0.5) / (whole.n - whole[label] + 1)
             out.setdefault(bytes(r.feature), [0.0, 0.0])[k] = math.log(yes / no)
-    return {f: (a, b) for f, (a, b) in out.items()}
+    return {f: (a, b) for f, (a, b) in out.items()}, tuple(min(0.99, max(0.01, whole[x] / whole.n)) for x in LABELS)
 
 
 def evidence(docs: DataFrame, ratios: dict[bytes, tuple[float, float]]) -> DataFrame:
@@ -153,9 +168,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     A document is rejected if it is low or toxic with a posterior of its REJECT or more. Null and empty texts have only the layout of an empty text. Without
     labels of both kinds nothing is learnt and nothing rejected.
     """
-    ratios = learn(docs, labels)
-    known = labels.where("quality is not null and toxic is not null").agg(F.avg((F.col("quality") == 0).cast("int")).alias("low"), F.avg("toxic").alias("toxic")).first()
-    rates = tuple(min(0.99, max(0.01, known[x] or 0.0)) for x in LABELS)
+    ratios, rates = learn(docs, labels)
     scored = written(evidence(docs, ratios), "quality-evidence")
     return posteriors(scored, rates).withColumn("kept", (F.col("low") < REJECT["low"]) & (F.col("toxic") < REJECT["toxic"]))
 
