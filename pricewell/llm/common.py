@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +15,8 @@ __all__ = ["blocks", "few", "masked", "narrow_join", "shared_dir", "text_bytes",
 
 #: Rows of a few numbers that may be broadcast; with more, the join shuffles.
 BROADCAST_ROWS = 1_000_000
-#: Text bytes that a kernel handles at once; one longer document is a block of its own.
-BLOCK_BYTES = 2 << 20
+#: Text bytes that a kernel handles at once, some less than 1 MB; one longer document is a block of its own.
+BLOCK_BYTES = 900_000
 
 
 def few(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
@@ -34,16 +35,16 @@ def text_bytes(column: pa.Array) -> list[bytes]:
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with about `most` bytes of text, and the texts."""
+    """Slices of the batches with about `most` bytes of text, and the texts; only one slice's texts are Python objects at a time."""
     for batch in batches:
-        texts, at, size = text_bytes(batch.column(text)), 0, 0
-        for i, x in enumerate(texts):
-            size += len(x) + 1
-            if size >= most:
-                yield batch.slice(at, i + 1 - at), texts[at : i + 1]
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
+        at, size = 0, 0
+        for i, n in enumerate(sizes):
+            size += n + 1
+            if size >= most or i + 1 == len(sizes):
+                part = batch.slice(at, i + 1 - at)
+                yield part, text_bytes(part.column(text))
                 at, size = i + 1, 0
-        if at < len(texts):
-            yield batch.slice(at), texts[at:]
 
 
 def utf8(text: str | Column = "text") -> Column:
