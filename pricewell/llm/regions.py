@@ -188,14 +188,14 @@ def maybe_repeated(samples: np.ndarray, bits: int, table: np.ndarray) -> np.ndar
 
 def emit(rows: DataFrame, spec: Spec, units: int, extra: str, payload: Callable[[Spec, bytes, np.ndarray, np.ndarray, np.ndarray], list]) -> DataFrame:
     """Regions that the sketch estimates to repeat: o, t, pos, m (windows), sample, digest, inner (the sampled gram occurs in it more than
-    once, so windows may repeat inside it) and a payload column `extra` ("name type").
+    once, so windows may repeat inside it), at (where it first occurs in the region) and a payload column `extra` ("name type").
 
     rows: identified texts, each distinct text once.
     """
     bits, table = sketch(rows, spec, units)
     shared = rows.sparkSession.sparkContext.broadcast(table)
     name, kind = extra.split(" ", 1)
-    schema = f"o long, t long, pos int, m int, sample long, digest long, inner boolean, {name} {kind}"
+    schema = f"o long, t long, pos int, m int, sample long, digest long, inner boolean, at int, {name} {kind}"
     kind = {"binary": pa.binary(), "array<long>": pa.list_(pa.int64())}[kind]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,6 +205,7 @@ def emit(rows: DataFrame, spec: Spec, units: int, extra: str, payload: Callable[
             out: list[list] = [[] for _ in range(6)]
             data: list = []
             inner: list[bool] = []
+            at: list[int] = []
             for i, v in enumerate(units_of(spec, texts)):
                 start, size, sample, grams = regions_of(spec, v)
                 if not len(start):
@@ -218,10 +219,13 @@ def emit(rows: DataFrame, spec: Spec, units: int, extra: str, payload: Callable[
                     out[k].append(x)
                 spread = _spread(grams)
                 ends = start + size + (spec.length - spec.gram)
-                inner += [int(np.count_nonzero(spread[a:b] == x)) > 1 for a, b, x in zip(start.tolist(), ends.tolist(), sample, strict=True)]
+                for a, b, x in zip(start.tolist(), ends.tolist(), sample, strict=True):
+                    same = spread[a:b] == x
+                    at.append(int(same.argmax()))
+                    inner.append(int(np.count_nonzero(same)) > 1)
                 data += payload(spec, texts[i], v, start, size)
             if data:
                 cols = [np.concatenate(x) for x in out]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32() if k in (2, 3) else pa.int64()) for k, c in enumerate(cols)), pa.array(inner, pa.bool_()), pa.array(data, kind)], names=["o", "t", "pos", "m", "sample", "digest", "inner", name])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32() if k in (2, 3) else pa.int64()) for k, c in enumerate(cols)), pa.array(inner, pa.bool_()), pa.array(at, pa.int32()), pa.array(data, kind)], names=["o", "t", "pos", "m", "sample", "digest", "inner", "at", name])
 
     return rows.select("o", "t", utf8().alias("text")).mapInArrow(run, schema)

@@ -17,7 +17,7 @@ from .regions import Spec, copies, emit, firsts, identified, repeats
 SPEC = Spec("bytes", 200, 32)
 #: The cover's period. Suffixes are told apart by their first PERIOD bytes, then by ranks of cover places (RANKED bytes deep), then by the last bytes.
 PERIOD, RANKED = 32, 160
-#: Bytes of regions that one block sorts; a bucket that is larger than HOT_REGIONS is counted by digests instead.
+#: Bytes of regions that one block sorts, about; a sample with more regions than HOT_REGIONS is counted by digests instead.
 BLOCK, HOT_REGIONS = 1 << 20, 2048
 
 
@@ -37,53 +37,67 @@ COVER[_cover(PERIOD)] = True
 SHIFT = np.array([[next(d for d in range(PERIOD) if COVER[(a + d) % PERIOD] and COVER[(b + d) % PERIOD]) for b in range(PERIOD)] for a in range(PERIOD)])
 
 
-def _word(text: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Eight bytes from each place as a big-endian number."""
-    out = np.zeros(len(at), np.uint64)
-    for j in range(8):
-        out = (out << K.U(8)) | text[at + j]
-    return out
-
-
 def _dense(keys: list[np.ndarray]) -> np.ndarray:
     """The rank of each row of keys, equal for equal rows, from 1."""
-    order = np.lexsort(keys[::-1])
+    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0])
     new = np.zeros(len(order), bool)
     new[:1] = True
     for k in keys:
-        new[1:] |= k[order[1:]] != k[order[:-1]]
+        x = k[order]
+        new[1:] |= x[1:] != x[:-1]
     out = np.empty(len(order), np.int64)
     out[order] = np.cumsum(new)
     return out
 
 
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Two ranks as one key."""
+    return (a << np.int64(32)) | b
+
+
 class Block:
-    """Some regions laid out in one text, whose windows' suffixes are sorted to `length` bytes."""
+    """Some regions laid out in one text, whose windows' suffixes are sorted to `length` bytes.
 
-    def __init__(self, regions: list[bytes], length: int) -> None:
+    Each region is shifted so that its sampled gram (at `at`) starts at a multiple of the period: equal windows then stand alike to the cover.
+    """
+
+    def __init__(self, regions: list[bytes], length: int, at: list[int] | None = None) -> None:
         self.length = length
-        size = np.array([len(x) for x in regions])
-        self.at = np.cumsum(size) - size
-        self.text = np.frombuffer(b"".join([*regions, bytes(PERIOD)]), np.uint8).astype(np.uint64)
+        size, gram = np.array([len(x) for x in regions]), np.array(at or [0] * len(regions))
+        before = np.concatenate([[0], (size - gram)[:-1]])
+        pad = -(before + gram) % PERIOD
+        self.at = np.cumsum(pad + size) - size
+        body = np.frombuffer(b"".join([x for k, r in zip(pad.tolist(), regions, strict=True) for x in (bytes(k), r)] + [bytes(PERIOD)]), np.uint8)
+        word = body.astype(np.uint64)
+        for bits in (8, 16, 32):  # eight bytes from each place as a big-endian number
+            step = bits // 8
+            word = np.concatenate([(word[:-step] << K.U(bits)) | word[step:], np.zeros(step, np.uint64)])
+        self.text, self.word = body, word
         n = size - length + 1
         self.region = np.repeat(np.arange(len(regions)), n)
         self.offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         self.suffix = self.at[self.region] + self.offset
-        self.rank = self._ranks(size)
+        total = int(self.at[-1] + size[-1])
+        left = np.zeros(total, np.int64)  # bytes to the region's end
+        inside = np.repeat(self.at, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        left[inside] = np.repeat(self.at + size, size) - inside
+        self.rank = self._ranks(left)
+
+    def _words(self, p: np.ndarray, first: int, last: int) -> list[np.ndarray]:
+        return [self.word[p + k] for k in range(first, last, 8)]
 
-    def _ranks(self, size: np.ndarray) -> np.ndarray:
+    def _ranks(self, left: np.ndarray) -> np.ndarray:
         """Ranks by RANKED bytes of the cover's places, by doubling; 0 elsewhere."""
-        total = int(size.sum())
-        left = np.repeat(self.at + size, size) - np.arange(total)  # bytes to the region's end
+        total = len(left)
         place = np.flatnonzero(COVER[np.arange(total) % PERIOD] & (left >= PERIOD))
         rank, depth = np.zeros(total + 1, np.int64), PERIOD
-        rank[place] = _dense([_word(self.text, place + k) for k in range(0, PERIOD, 8)])
+        rank[place] = _dense(self._words(place, 0, PERIOD))
         base = rank
         while depth < RANKED:
             step = min(depth, RANKED - depth)
             place = place[left[place] >= depth + step]
             nxt = np.zeros_like(rank)
-            nxt[place] = _dense([rank[place], (rank if step == depth else base)[place + depth]])
+            nxt[place] = _dense([_pair(rank[place], (rank if step == depth else base)[place + depth])])
             rank, depth = nxt, depth + step
         return rank
 
@@ -93,49 +107,43 @@ class Block:
         a, b = self.rank[i + d], self.rank[j + d]
         if a != b:
             return -1 if a < b else 1
-        x, y = (self.text[k + RANKED : k + self.length].tolist() for k in (i, j))
+        x, y = (self.text[k + RANKED : k + self.length].tobytes() for k in (i, j))
         return (x > y) - (x < y)
 
-    def sorted_classes(self) -> tuple[np.ndarray, np.ndarray]:
-        """The suffixes in order, and for each the number of its class of equal windows; suffixes that differ from all others early share class 0."""
+    def ranks(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each suffix its rank by the first PERIOD bytes, and its rank by all among those of equal first bytes (0 where it is the only one)."""
         p = self.suffix
-        head = _dense([_word(self.text, p + k) for k in range(0, PERIOD, 8)])
-        tied = np.bincount(head)[head] > 1
-        idx = np.flatnonzero(tied)
+        head = _dense(self._words(p, 0, PERIOD))
+        idx = np.flatnonzero(np.bincount(head)[head] > 1)
         q = p[idx]
         res = q % PERIOD
-        own = SHIFT[res, res]  # of one residue: the next place of the cover decides
-        tail = [_word(self.text, q + k) for k in range(RANKED, self.length, 8)]
-        cls = _dense([head[idx], res, self.rank[q + own], *tail])
-        # Classes of one head but several residues are put in order by comparing one suffix of each.
-        reps = np.zeros(int(cls.max(initial=0)) + 1, np.int64)
-        reps[cls] = q
-        group = np.zeros(len(reps), np.int64)
-        group[cls] = head[idx]
-        order = np.arange(len(reps))
-        place = order.copy()
-        cuts = np.flatnonzero(np.diff(group, prepend=-1, append=-1))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if a and b - a > 1 and (reps[a:b] % PERIOD != reps[a] % PERIOD).any():
-                ranked = sorted(range(a, b), key=cmp_to_key(lambda x, y: self._compare(int(reps[x]), int(reps[y]))))
-                level = a
-                for k, x in enumerate(ranked):
-                    if k and self._compare(int(reps[ranked[k - 1]]), int(reps[x])):
-                        level = a + k
-                    place[x] = level
+        near = _dense([_pair(head[idx] * PERIOD + res, self.rank[q + SHIFT[res, res]])])  # of one residue: the next place of the cover decides
+        cls = _dense([near, *self._words(q, RANKED, self.length)])
+        # Classes of one head that stand to the cover in several ways are put in order by comparing one suffix of each.
+        top = int(cls.max(initial=0))
+        reps, group = np.zeros(top + 1, np.int64), np.zeros(top + 1, np.int64)
+        reps[cls], group[cls] = q, head[idx]
+        place = np.arange(top + 1)
+        cuts = np.flatnonzero(np.diff(group, prepend=-1))
+        how = reps % PERIOD
+        mixed = np.minimum.reduceat(how, cuts) != np.maximum.reduceat(how, cuts)
+        for a, b in zip(cuts[mixed].tolist(), np.append(cuts[1:], top + 1)[mixed].tolist(), strict=True):
+            ranked = sorted(range(a, b), key=cmp_to_key(lambda x, y: self._compare(int(reps[x]), int(reps[y]))))
+            level = a
+            for k, x in enumerate(ranked):
+                if k and self._compare(int(reps[ranked[k - 1]]), int(reps[x])):
+                    level = a + k
+                place[x] = level
         out = np.zeros(len(p), np.int64)
         out[idx] = place[cls]
-        return np.lexsort([out, head]), out
+        return head, out
 
     def repeated(self) -> np.ndarray:
-        """For each suffix: a neighbour in the order shares its `length` bytes."""
-        order, cls = self.sorted_classes()
-        c = cls[order]
-        same = (c[1:] == c[:-1]) & (c[1:] > 0)
-        out = np.zeros(len(c), bool)
-        out[order[1:]] |= same
-        out[order[:-1]] |= same
-        return out
+        """For each suffix: another one has its rank, so it shares `length` bytes with a neighbour in the order."""
+        _, rank = self.ranks()
+        times = np.bincount(rank)
+        times[0] = 1
+        return times[rank] > 1
 
 
 def _bytes_of(spec: Spec, text: bytes, values: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[bytes]:
@@ -151,37 +159,70 @@ SPANS = "o long, t long, spans array<struct<pos:int,end:int>>"
 SPANS_ARROW = pa.list_(pa.struct([("pos", pa.int32()), ("end", pa.int32())]))
 
 
-def _batch(o: list[int], t: list[int], spans: list[list[tuple[int, int]]]) -> pa.RecordBatch:
+BUCKET = ["o", "t", "pos", "sample", "digest", "inner", "at", "body"]
+
+
+def _batch(rows: list[tuple[int, int, list[tuple[int, int]]]]) -> pa.RecordBatch:
+    o, t, spans = zip(*rows, strict=True)
     return pa.RecordBatch.from_pydict({"o": pa.array(o, pa.int64()), "t": pa.array(t, pa.int64()), "spans": pa.array([[{"pos": a, "end": b} for a, b in s] for s in spans], SPANS_ARROW)})
 
 
 def sort_buckets(regions: DataFrame, length: int) -> DataFrame:
-    """o, t, spans of the repeated windows of distinct regions; one bucket holds the suffixes of one sample, a block some whole buckets."""
+    """o, t, spans of the repeated windows. One bucket holds the suffixes of one sample, a block some whole buckets.
+
+    A bucket's rows come by digest: equal regions are laid out once. A region that occurs again is repeated whole; the windows of the others
+    are told by the sorted suffixes of all the bucket's distinct regions.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple[int, int, int, bytes]] = []
-        size, last, cut = 0, None, 0
+        block: list[tuple[tuple | None, bytes, int]] = []  # the only occurrence of a region, or none; its bytes; its sampled gram's place
+        out: list[tuple[int, int, list[tuple[int, int]]]] = []
+        held: list[tuple] = []  # of one bucket: body, inner, occurrences, place of the sampled gram
+        last: tuple = (None, None)
+        size = 0
         for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in ("o", "t", "pos", "body", "sample")), strict=True):
-                if r[4] != last:
+            for o, t, pos, sample, digest, inner, at, body in zip(*(batch.column(c).to_pylist() for c in BUCKET), strict=True):
+                if sample != last[0]:
+                    size += close(held, block, out)
+                    held = []
                     if size > BLOCK:
-                        yield flush(rows)
-                        rows, size = [], 0
-                    last, cut = r[4], len(rows)
-                rows.append(r[:4])
-                size += len(r[3])
-        if rows:
-            yield flush(rows)
-
-    def flush(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-        block = Block([r[3] for r in rows], length)
+                        flush(block, out)
+                        block, size = [], 0
+                if (sample, digest) != last:
+                    held.append((body, inner, [], at))
+                    last = (sample, digest)
+                held[-1][2].append((o, t, pos))
+            if len(out) > 4096:
+                yield _batch(out)
+                out = []
+        close(held, block, out)
+        flush(block, out)
+        if out:
+            yield _batch(out)
+
+    def close(held: list[tuple], block: list, out: list) -> int:
+        for body, _, places, _ in held:
+            if len(places) > 1:
+                out += [(o, t, [(pos, pos + len(body))]) for o, t, pos in places]
+        single = [h for h in held if len(h[2]) == 1]
+        if not single or (len(held) == 1 and not single[0][1]):
+            return 0
+        block += [(h[2][0] if len(h[2]) == 1 else None, h[0], h[3]) for h in held]
+        return sum(len(h[0]) for h in held)
+
+    def flush(rows: list, out: list) -> None:
+        if not rows:
+            return
+        block = Block([r[1] for r in rows], length, [r[2] for r in rows])
         hit = block.repeated()
-        n = np.bincount(block.region, minlength=len(rows))
-        ends = np.cumsum(n)
-        some = np.flatnonzero(np.add.reduceat(hit, ends - n) > 0) if len(hit) else []
-        return _batch([rows[k][0] for k in some], [rows[k][1] for k in some], [_packed(rows[k][2], hit[ends[k] - n[k] : ends[k]], length) for k in some])
+        ends = np.cumsum(np.bincount(block.region, minlength=len(rows)))
+        starts = np.concatenate([[0], ends[:-1]])
+        for k in np.flatnonzero(np.add.reduceat(hit, starts) > 0):
+            if rows[k][0] is not None:
+                o, t, pos = rows[k][0]
+                out.append((o, t, _packed(pos, hit[starts[k] : ends[k]], length)))
 
-    return regions.repartition("sample").sortWithinPartitions("sample", "o", "t", "pos").select("o", "t", "pos", "body", "sample").mapInArrow(run, SPANS)
+    return regions.select(*BUCKET).repartition("sample").sortWithinPartitions("sample", "digest", "o", "t", "pos").mapInArrow(run, SPANS)
 
 
 def _hot_windows(regions: DataFrame, length: int) -> DataFrame:
@@ -197,30 +238,39 @@ def _hot_windows(regions: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([rep("o"), rep("t"), pa.array(pos, pa.int32()), rep("sample"), pa.array(np.concatenate(h or [np.zeros(0, np.uint64)]).view(np.int64))], names=["o", "t", "pos", "sample", "h"])
 
     wins = written(regions.select("o", "t", "pos", "sample", "body").mapInArrow(explode, "o long, t long, pos int, sample long, h long"), "suffix-hot")
-    twice = wins.groupBy("sample", "h").agg(F.count("*").alias("n")).where("n > 1").select("sample", "h")
-    hit = wins.join(twice, ["sample", "h"], "left_semi")
+    once = wins.groupBy("sample", "h").agg(F.count("*").alias("n"), F.min(F.struct("o", "t", "pos")).alias("f")).where("n = 1").select("f.*")
+    hit = wins.join(once, ["o", "t", "pos"], "left_anti")
     return hit.select("o", "t", F.array(F.struct("pos", (F.col("pos") + length).cast("int").alias("end"))).alias("spans"))
 
 
+def _hot_spans(often: DataFrame, distinct: DataFrame, spec: Spec) -> DataFrame:
+    """The repeated windows of frequent samples. An occurrence of a region that occurs again is repeated whole; places are unique, so these joins are even."""
+    key = ["o", "t", "pos"]
+    first = written(distinct.select("n", "f.*"), "suffix-firsts")
+    whole = often.select(*key, "m").join(first.where("n = 1").select(*key), key, "left_anti")
+    whole = whole.select("o", "t", F.array(F.struct("pos", (F.col("pos") + F.col("m") + (spec.length - 1)).cast("int").alias("end"))).alias("spans"))
+    return whole.unionByName(_hot_windows(often.join(first.select(*key), key), spec.length))
+
+
 def repeated_spans(rows: DataFrame, slim: DataFrame, marked: DataFrame, spec: Spec = SPEC) -> DataFrame:
     """o, t, spans: (start, end) in bytes of all windows that occur more than once among the distinct texts."""
     units = slim.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     found = written(emit(firsts(rows, marked), spec, units, "body binary", _bytes_of), "suffix-regions")
-    distinct = found.groupBy("sample", "digest").agg(F.count("*").alias("n"), F.min(F.struct("o", "t", "pos")).alias("f"), F.max("inner").alias("inner"))
-    distinct = written(distinct.select("sample", "n", "inner", F.col("f.o").alias("o"), F.col("f.t").alias("t"), F.col("f.pos").alias("pos")), "suffix-distinct")
-    key = ["o", "t", "pos"]
-    # An occurrence of a region that occurs more than once is repeated whole.
-    whole = found.select(*key, "m").join(distinct.where("n = 1").select(*key), key, "left_anti")
-    whole = whole.select("o", "t", F.array(F.struct("pos", (F.col("pos") + F.col("m") + (spec.length - 1)).cast("int").alias("end"))).alias("spans"))
-    several = written(distinct.groupBy("sample").agg(F.count("*").alias("k"), F.min("n").alias("least"), F.max("inner").alias("inner")).where("least = 1 and (k > 1 or inner)").select("sample", "k"), "suffix-samples")
-    chosen = written(distinct.join(several, "sample").select(*key, "k"), "suffix-chosen")
-    bodies = found.select(*key, "sample", "body").join(chosen, key)
-    spans = whole.unionByName(sort_buckets(bodies.where(F.col("k") <= HOT_REGIONS), spec.length))
-    if several.where(F.col("k") > HOT_REGIONS).limit(1).count():
-        spans = spans.unionByName(_hot_windows(bodies.where(F.col("k") > HOT_REGIONS), spec.length))
+    # Counts of distinct regions combine before the shuffle; they tell which samples are too frequent for one bucket.
+    distinct = written(found.groupBy("sample", "digest").agg(F.count("*").alias("n"), F.min(F.struct("o", "t", "pos")).alias("f")), "suffix-distinct")
+    hot = written(distinct.groupBy("sample").agg(F.sum("n").alias("rows")).where(F.col("rows") > HOT_REGIONS).select("sample"), "suffix-hot")
+    if not hot.limit(1).count():
+        spans = sort_buckets(found, spec.length)
+    else:
+        often = narrow_join(found, hot, "sample", "left_semi")
+        spans = sort_buckets(narrow_join(found, hot, "sample", "left_anti"), spec.length).unionByName(_hot_spans(often, narrow_join(distinct, hot, "sample", "left_semi"), spec))
     return written(spans.groupBy("o", "t").agg(F.flatten(F.collect_list("spans")).alias("spans")), "suffix-spans")
 
 
+#: Spans (of eight bytes) that may be broadcast to the texts; with more, texts and spans are shuffled.
+MOST_SPANS = 2_000_000
+
+
 def remove_repeats(docs: DataFrame, spec: Spec = SPEC) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes left).
 
@@ -231,7 +281,8 @@ def remove_repeats(docs: DataFrame, spec: Spec = SPEC) -> DataFrame:
     slim, marked = copies(rows)
     # A row that is repeated as a whole has one (o, t): its group of copies may consist of nothing else.
     spans = repeated_spans(rows.dropDuplicates(["o", "t"]) if repeats(slim) else rows, slim, marked, spec)
-    full = narrow_join(rows.withColumn("text", utf8()), marked, ["o", "t"], "left").join(spans, ["o", "t"], "left").select("doc_id", "text", F.col("copy").isNotNull().alias("copied"), "spans")
+    few_spans = spans.agg(F.coalesce(F.sum(F.size("spans") + 2), F.lit(0))).first()[0] <= MOST_SPANS
+    full = narrow_join(rows.withColumn("text", utf8()), marked, ["o", "t"], "left").join(F.broadcast(spans) if few_spans else spans, ["o", "t"], "left").select("doc_id", "text", F.col("copy").isNotNull().alias("copied"), "spans")
     length = spec.length
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

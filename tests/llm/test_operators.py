@@ -243,10 +243,11 @@ def test_blocks_sort_suffixes():
     rng = np.random.default_rng(2)
     parts = [rng.integers(97, 99, 40, dtype=np.uint8).tobytes() for _ in range(4)]
     regions = [b"".join(parts[i] for i in rng.integers(0, 4, 8)) for _ in range(30)] + [b"abcd" * 100, b"x" * 300]
-    block = suffixdedup.Block(regions, 200)
-    order, cls = block.sorted_classes()
-    text = b"".join(regions)
-    strings = [text[p : p + 200] for p in block.suffix.tolist()]
+    block = suffixdedup.Block(regions, 200, [int(x) for x in rng.integers(0, 200, len(regions))])
+    head, rank = block.ranks()
+    order = np.lexsort([rank, head])
+    strings = [regions[r][o : o + 200] for r, o in zip(block.region.tolist(), block.offset.tolist())]
+    assert [block.text[p : p + 200].tobytes() for p in block.suffix.tolist()] == strings
     in_order = [strings[k] for k in order]
     assert in_order == sorted(in_order)
     repeated = Counter(strings)
