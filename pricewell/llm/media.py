@@ -78,15 +78,18 @@ def features(samples: bytes) -> str:
 
 
 def shared_chunks(rows: DataFrame) -> DataFrame:
-    """o, t, marks: of each document that has chunks which others (or itself) have too, (place, owned, copies) of these; the first occurrence owns."""
+    """o, t, marks: of each document that has chunks which others (or itself) have too, (place, owned, copies) of these; the first occurrence owns.
+
+    The header, chunk 0, stays with its document: it is shorter than a digest and its length, and all media of one length share it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in blocks(batches):
-            digests = [[_digest(c) for c in chunks(wav(payload_of(x)))] for x in texts]
+            digests = [[_digest(c) for c in chunks(wav(payload_of(x)))[1:]] for x in texts]
             yield pa.RecordBatch.from_arrays([batch.column("o"), batch.column("t"), pa.array(digests, pa.list_(pa.binary()))], names=["o", "t", "digests"])
 
     lists = written(rows.select("o", "t", utf8().alias("text")).mapInArrow(run, "o long, t long, digests array<binary>"), "media-lists")
-    each = lists.select("o", "t", F.posexplode("digests").alias("place", "digest"))
+    each = lists.select("o", "t", F.posexplode("digests").alias("place", "digest")).withColumn("place", F.col("place") + 1)
     first = each.groupBy("digest").agg(F.count("*").alias("copies"), F.min(F.struct("o", "t", "place")).alias("first")).where("copies > 1")
     marks = each.join(first, "digest").select("o", "t", F.struct("place", (F.struct("o", "t", "place") == F.col("first")).alias("owned"), F.col("copies").cast("int").alias("copies")).alias("mark"))
     return written(marks.groupBy("o", "t").agg(F.sort_array(F.collect_list("mark")).alias("marks")), "media-marks")
