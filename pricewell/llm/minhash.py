@@ -16,6 +16,10 @@ from .common import blocks, masked, narrow_join, unmasked, utf8, written
 from .components import components
 
 
+#: Shingles of a block of a crowded bucket, about.
+BLOCK_SHINGLES = 1 << 18
+
+
 @dataclass(frozen=True)
 class Spec:
     """Shingles of `words` words; documents are linked at a Jaccard similarity of `percent` or more.
@@ -107,12 +111,118 @@ def confirmed(edges: DataFrame, docs: DataFrame, spec: Spec) -> DataFrame:
     return written(two.select("u", "v", "a", "b").mapInArrow(run, "u long, v long").distinct(), "minhash-links")
 
 
+def _similar(spec: Spec, sets: list[np.ndarray], group: np.ndarray, lone: np.ndarray, half: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pairs of similar sets of different groups, at least one of them lone and not both of half 0 or both of half 2; a forest over the groups."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    order = np.argsort(size, kind="stable")
+    sets, size = [sets[i] for i in order], size[order]
+    group, lone, half = group[order], lone[order], half[order]
+    flat, start = np.concatenate(sets), np.concatenate([[0], np.cumsum(size)])
+    parent: dict[int, int] = {}
+
+    def top(g: int) -> int:
+        while parent.get(g, g) != g:
+            parent[g] = g = parent.get(parent[g], parent[g])
+        return g
+
+    own, k = np.flatnonzero(lone), 0
+    while k < len(own):
+        # Rows of one chunk: 16,384 shingles or 64 rows at most.
+        n = max(1, min(64, int(np.searchsorted(np.cumsum(size[own[k : k + 64]]), 16_384, "right"))))
+        rows, k = own[k : k + n], k + n
+        lo = int(np.searchsorted(size * 100, spec.percent * size[rows[0]], "left"))
+        hi = int(np.searchsorted(size * spec.percent, size[rows[-1]] * 100, "right"))
+        kinds, place = np.unique(np.concatenate([sets[i] for i in rows]), return_inverse=True)
+        table = np.zeros((len(kinds), n), np.int32)
+        table[place, np.repeat(np.arange(n), size[rows])] = 1
+        at = lo
+        while at < hi:
+            # Others of one step: 65,536 shingles or one row.
+            end = min(hi, max(at + 1, int(np.searchsorted(start, start[at] + 65_536, "right")) - 1))
+            part = flat[start[at] : start[end]]
+            col = np.minimum(np.searchsorted(kinds, part), len(kinds) - 1)
+            hit = kinds[col] == part
+            upto = np.concatenate([[0], np.cumsum(hit)])[start[at : end + 1] - start[at]]
+            both = np.zeros((end - at, n), np.int64)
+            full = np.flatnonzero(np.diff(upto))
+            if len(full):
+                both[full] = np.add.reduceat(table[col[hit]], upto[:-1][full], axis=0)
+            ok = (both > 0) & (100 * both >= spec.percent * (size[at:end, None] + size[rows][None, :] - both)) & (group[at:end, None] != group[rows][None, :]) & (half[at:end, None] + half[rows][None, :] != 0) & (half[at:end, None] + half[rows][None, :] != 4)
+            for j, i in np.argwhere(ok):
+                a, b = top(int(group[at + j])), top(int(group[rows[i]]))
+                if a != b:
+                    parent[a] = b
+                    yield int(order[at + j]), int(order[rows[i]])
+            at = end
+
+
+def compared(rest: DataFrame, docs: DataFrame, reps: DataFrame, spec: Spec) -> DataFrame:
+    """Similar pairs (u, v) of different components within a bucket, enough of them to join these components; rest has bucket, node, component.
+
+    All pairs of a bucket are compared but those within its largest component. The full sets meet in units of at most two blocks of about BLOCK_SHINGLES;
+    a bucket of k blocks has k (k + 1) / 2 units, so that no task holds a large bucket. The pairs themselves are no rows.
+    """
+    ids = written(rest.select(F.col("node").alias("doc_id")).distinct(), "minhash-ids")
+    texts = narrow_join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")), ids, "doc_id", "left_semi")
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in blocks(batches):
+            sets = [x.tobytes() for x in shingle_sets(spec, texts)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in sets], pa.binary()), pa.array(sets, pa.binary())], names=["node", "digest", "shingles"])
+
+    own = texts.mapInArrow(make, "node long, digest binary, shingles binary").join(reps.select("node", "digest"), ["node", "digest"], "left_semi")
+    own = written(own.dropDuplicates(["node", "digest"]).select("node", "shingles"), "minhash-sets")
+    sized = rest.join(own.groupBy("node").agg(F.sum(F.length("shingles") / 8).cast("long").alias("n")), "node")
+    each = sized.groupBy("bucket", "component").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    whole = each.groupBy("bucket").agg(F.max_by("component", F.struct("rows", -F.col("component"))).alias("most"), F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    put = rest.join(whole, "bucket").select("bucket", "node", "component", (F.col("component") != F.col("most")).alias("lone"), "blocks", F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1))).cast("int").alias("b"))
+    put = put.withColumn("x", F.explode(F.sequence(F.lit(0), F.greatest("blocks", F.lit(1)) - 1)))
+    put = put.select("bucket", F.least("b", "x").alias("i"), F.greatest("b", "x").alias("j"), "b", "node", "component", "lone")
+    # Units whose rows are all of one component have nothing to compare.
+    put = written(put, "minhash-units")
+    useful = put.groupBy("bucket", "i", "j").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("bucket", "i", "j")
+    units = put.join(useful, ["bucket", "i", "j"]).join(own, "node")
+    keys = ["bucket", "i", "j"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            node, i, j, b = (rows.column(c).to_numpy() for c in ("node", "i", "j", "b"))
+            # Halves: 0 and 2 for the two blocks, 1 where a unit is one block, so that sums of 0 and 4 are pairs of one block.
+            half = np.where(i == j, 1, np.where(b == i, 0, 2))
+            sets = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
+            pairs = list(_similar(spec, sets, rows.column("component").to_numpy(), rows.column("lone").to_numpy(), half))
+            u, v = (node[[p[k] for p in pairs]] if pairs else np.zeros(0, np.int64) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = np.stack([batch.column(c).to_numpy() for c in keys])
+            cut = [0, *(np.flatnonzero((cols[:, 1:] != cols[:, :-1]).any(axis=0)) + 1), batch.num_rows]
+            for s, e in zip(cut, cut[1:], strict=False):
+                key = tuple(cols[:, s])
+                if held and key != last:
+                    yield close(held)
+                    held = []
+                held.append(batch.slice(s, e - s))
+                last = key
+        if held:
+            yield close(held)
+
+    dealt = units.repartition(*keys).sortWithinPartitions(*keys)
+    return written(dealt.select(*keys, "b", "node", "component", "lone", "shingles").mapInArrow(run, "u long, v long").distinct(), "minhash-compared")
+
+
 def near_duplicates(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:  # noqa: B008
     """doc_id, n_shingles, component_id, kept, n_links (confirmed links of the document's distinct text), one row a document.
 
     Equal sets are one vertex, named by their least doc_id. In every bucket of several vertices the one that shares most buckets with
     others is the center, and the others get an edge to it: as many edges as members, at most. Edges are confirmed on full sets. Buckets that
-    still hold several components get another center in a further round, until a round confirms no link.
+    still hold several components get another center in a further round, until a round confirms no link. In buckets that are then still of several
+    components, every pair of members of different components is compared on full sets (compared), so no pair that shares a bucket is left out.
 
     component_id is the least doc_id reachable; kept says that the row has it. Null and empty texts are linked with nothing. A null doc_id can't name a
     component: such rows have a null component_id and are kept. Rows of one doc_id are one document, whatever their texts.
@@ -139,7 +249,7 @@ def near_duplicates(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:  # noqa:
         open_ = members.join(group, "node", "left").select("bucket", "node", "weight", F.coalesce("component", "node").alias("component"))
         mixed = open_.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("bucket")
         left = written(open_.join(mixed, "bucket"), "minhash-open")
-        # Another center: the heaviest member outside the component of the bucket's heaviest member, then the next component, and so on.
+        # Another center: the heaviest member outside the component of the bucket's heaviest member, while that confirms something.
         more = _next_edges(left, tried)
         if not more.limit(1).count():
             break
@@ -148,6 +258,14 @@ def near_duplicates(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:  # noqa:
         if not fresh.limit(1).count():
             break
         links = written(links.union(fresh), "minhash-links")
+    # What centers can't tell; a bucket of two members has had its one pair.
+    crowded = left.groupBy("bucket").count().where("count > 2").select("bucket")
+    rest = written(left.join(crowded, "bucket").select("bucket", "node", "component"), "minhash-crowded")
+    if rest.limit(1).count():
+        fresh = compared(rest, docs, reps, spec)
+        if fresh.limit(1).count():
+            links = written(links.union(fresh).distinct(), "minhash-links")
+            group = written(components(links.select("u", "v").union(tied)), "minhash-groups")
     ends = links.select(F.col("u").alias("node")).union(links.select("v")).groupBy("node").agg(F.count("*").alias("n_links"))
     ids = named.join(group, "node", "left").join(ends, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component_id"), F.max(F.coalesce("n_links", F.lit(0))).alias("n_links"))
     out = own.select("doc_id", "n_shingles").join(ids, "doc_id", "left")

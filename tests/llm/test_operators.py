@@ -324,3 +324,22 @@ def test_lines(spark):
     assert out[20].kept == ["Home | About"] and out[21].kept == [] and out[22].kept == []
     assert out[23].kept == ["alone"] and out[23].host == "a.example.com"
     assert linededup.page_lines(data.where("false")).count() == 0
+
+
+def test_family_just_below_the_threshold(spark, monkeypatch):
+    """Members that share a bucket but not a center: pairs of siblings at 0.81 in a family at 0.79."""
+    rnd = np.random.default_rng(11)
+    word = lambda: f"w{rnd.integers(1 << 40)}"
+    base = [word() for _ in range(400)]
+    texts = []
+    for _ in range(60):
+        own = [*base, *(word() for _ in range(53))]
+        texts += [own, [*own[:406], *(word() for _ in range(47))]]
+    data = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    spec = minhash.Spec(words=1)
+    sets = [set(x) for x in texts]
+    assert 0.78 < len(sets[0] & sets[2]) / len(sets[0] | sets[2]) < 0.8 < len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+    want = Counter((i, i - i % 2) for i in range(120))
+    assert got(minhash.near_duplicates(data, spec), "doc_id", "component_id") == want
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 5_000)
+    assert got(minhash.near_duplicates(data, spec), "doc_id", "component_id") == want
