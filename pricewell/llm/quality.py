@@ -19,6 +19,8 @@ from .common import blocks, few, masked, narrow_join, unmasked, utf8, written
 SAMPLE, FEATURES, DEVIATION = 20_000, 20_000, 6.0
 #: Documents that a site's (or path's) own rate must outweigh.
 PRIOR_DOCS = 50.0
+#: Tokens of a block whose distinct ones are counted.
+BLOCK = 100
 LABELS = ("low", "toxic")
 #: Posteriors from which a document is rejected. Single words make weak cases of toxicity, so that one asks for more.
 REJECT = {"low": 0.9, "toxic": 0.98}
@@ -35,11 +37,13 @@ def features(text: bytes) -> tuple[set[bytes], set[bytes]]:
     """Layout features and lower-case words of a text."""
     tokens = text.split()
     n = len(tokens) or 1
+    # By blocks, since the share of distinct tokens of a whole text falls with its length.
+    kinds = sum(len(set(tokens[i : i + BLOCK])) for i in range(0, len(tokens), BLOCK))
     layout = {
         b"|pipe %d" % _level(tokens.count(b"|") / n),
         b"|sign %d" % _level(sum(t[-1] in _SIGNS for t in tokens) / n),
         b"|twice %d" % _level(sum(map(bytes.__eq__, tokens, tokens[1:])) / n),
-        b"|kinds %d" % int(len(set(tokens)) / n * 10),
+        b"|kinds %d" % int(kinds / n * 10),
     }
     return layout, set(text.translate(_SPACED).split())
 

@@ -343,3 +343,16 @@ def test_family_just_below_the_threshold(spark, monkeypatch):
     assert got(minhash.near_duplicates(data, spec), "doc_id", "component_id") == want
     monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 5_000)
     assert got(minhash.near_duplicates(data, spec), "doc_id", "component_id") == want
+
+
+def test_long_clean_documents_are_kept(spark):
+    base = "/root/testdata/sf0.1"
+    real, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    clean = [r.text for r in real.where("lang = 'en'").join(labels.where("quality = 1 and toxic = 0"), "doc_id").orderBy("doc_id").select("text").collect()]
+    words = " ".join(clean).split()
+    long = [(-n, " ".join((words * (n // len(words) + 1))[:n]), "en", "s") for n in (1_000, 20_000, 50_000, 100_000, 400_000)]
+    data = spark.createDataFrame(long, "doc_id long, text string, lang string, source string")
+    ratios, rates = quality.learn(real, labels)
+    seen = {r.doc_id: (r.low, r.low_llr) for r in quality.posteriors(quality.evidence(real.select(*data.columns).unionByName(data), ratios), rates).where("doc_id < 0").collect()}
+    assert all(low < quality.REJECT["low"] for low, _ in seen.values()), seen
+    assert max(x for _, x in seen.values()) - min(x for _, x in seen.values()) < 0.5, seen
