@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 
@@ -13,20 +13,17 @@ M64 = (1 << 64) - 1
 TABLE = np.random.default_rng(20240601).integers(0, 1 << 64, 256, dtype=np.uint64)
 
 
-def separators(pattern: str) -> np.ndarray:
-    """True for bytes that belong to no word: `space` for \\x20\\x09-\\x0D, `nonword` for ASCII other than letters."""
-    out = np.zeros(256, bool)
-    if pattern == "space":
-        out[[32, 9, 10, 11, 12, 13]] = True
-    else:
-        out[:128] = True
-        out[0x3A - 0x0A : 0x3A] = False  # digits: the ranges end at 2F and start again at 3A
-        out[0x61:0x7B] = False
-    return out
+#: Lower case for A-Z; and the same with spaces for all ASCII but letters and digits.
+LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+SPACED = bytes(c if c >= 128 or 48 <= c < 58 or 97 <= c < 123 else 32 for c in LOWER)
 
 
-SPACE, NONWORD = separators("space"), separators("nonword")
-LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+def split(texts: list[bytes], table: bytes | None = None) -> tuple[list[bytes], np.ndarray]:
+    """The words between ASCII white space of all texts, translated by the table first, and where each text's words start (one more for the end)."""
+    parts = [x.translate(table).split() if table else x.split() for x in texts]
+    at = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum([len(x) for x in parts], out=at[1:])
+    return [w for x in parts for w in x], at
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -36,45 +33,55 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-@lru_cache(maxsize=1)
-def _powers_cache() -> dict[str, np.ndarray]:
-    return {}
+class _Hashes(dict):
+    """64 bits of a word's keyed BLAKE2b; a process remembers the words it has met, REMEMBERED at most."""
 
+    REMEMBERED = 500_000
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P**i and P**-i modulo 2**64 for i < n."""
-    cache = _powers_cache()
-    if len(cache.get("up", ())) < n:
-        n = 1 << (n - 1).bit_length()
-        for name, base in (("up", P), ("down", pow(P, -1, 1 << 64))):
-            x = np.full(n, base, np.uint64)
-            x[0] = 1
-            cache[name] = np.multiply.accumulate(x)
-    return cache["up"], cache["down"]
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.REMEMBERED:
+            self.clear()
+        self[word] = h = int.from_bytes(blake2b(word, digest_size=8, key=b"words").digest(), "little")
+        return h
 
 
-def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The texts with a line feed after each, and each text's start (one more for the end)."""
-    at = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum([len(x) + 1 for x in texts], out=at[1:])
-    return np.frombuffer(b"\n".join([*texts, b""]), np.uint8), at
+_hashes = _Hashes()
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """A 64-bit cryptographic hash of each word. Equal words are equal; where equality decides a result, `digest` or the words themselves are used."""
+    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 
-def words(buf: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of each word; buf ends with a separator."""
-    inside = ~separator[buf]
-    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-    if inside.size and inside[0]:
-        edge = np.concatenate([[0], edge])
-    return edge[0::2], edge[1::2]
+def digest(data: bytes) -> bytes:
+    """128 bits that stand for the data where equality decides."""
+    return blake2b(data, digest_size=16).digest()
 
 
-def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    up, down = powers(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(TABLE[buf] * up[: len(buf)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+def numbered(words: list[bytes]) -> np.ndarray:
+    """Numbers from 1 for the words of one call, equal for equal words only."""
+    seen: dict[bytes, int] = {}
+    return np.fromiter((seen.setdefault(w, len(seen) + 1) for w in words), np.int64, len(words))
+
+
+def classes(values: np.ndarray, k: int) -> np.ndarray:
+    """Numbers of each k consecutive values (32 bits each), equal for equal sequences only, by doubling."""
+    n = len(values) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    out, covered, part, step = None, 0, values, 1
+    while True:
+        if k & step:
+            if out is None:
+                out = part
+            else:
+                m = min(len(out), len(part) - covered)
+                out = np.unique((out[:m] << np.int64(32)) | part[covered : covered + m], return_inverse=True)[1]
+            covered += step
+        if covered == k:
+            return out[:n]
+        part = np.unique((part[:-step] << np.int64(32)) | part[step:], return_inverse=True)[1]
+        step *= 2
 
 
 def windows(values: np.ndarray, k: int) -> np.ndarray:

@@ -15,13 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import blocks, narrow_join, utf8, written
+from .common import blocks, dealt_join, narrow_join, utf8, written
 
 SLICE_BITS, DEPTH = 16, 2
 #: Cells of each of the sketch's DEPTH rows: four for each expected sample, within these powers of two (the upper one is 64 MB to broadcast).
 LEAST_BITS, MOST_BITS = 20, 28
 #: Windows in a region at most; longer runs are cut, which changes no result.
 RUN = 1024
+#: The o of rows without doc_id, after all others.
+NO_ID = (1 << 63) - 1
 
 
 @dataclass(frozen=True)
@@ -37,7 +39,7 @@ class Spec:
 
 def identified(docs: DataFrame) -> DataFrame:
     """doc_id, text, o, t: o orders the documents (a null doc_id last), t tells texts of one doc_id apart and orders them."""
-    return docs.select("doc_id", F.col("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("o"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("t"))
+    return docs.select("doc_id", F.col("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("o"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("t"))
 
 
 def copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -46,8 +48,8 @@ def copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     Texts are compared by SHA-256. The first is the least (o, t).
     """
     slim = written(rows.select("doc_id", "o", "t", F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("n_bytes"), F.sha2(utf8(), 256).alias("digest")), "region-docs")
-    first = slim.groupBy("digest").agg(F.min(F.struct("o", "t")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    marked = slim.join(first, "digest").select("o", "t", (F.struct("o", "t") != F.col("first")).alias("copy")).distinct()
+    first = written(slim.groupBy("digest").agg(F.min(F.struct("o", "t")).alias("first"), F.count("*").alias("n")).where("n > 1"), "region-texts")
+    marked = dealt_join(slim, first, "digest", ["o", "t"]).select("o", "t", (F.struct("o", "t") != F.col("first")).alias("copy")).distinct()
     return slim, written(marked, "region-copies")
 
 
@@ -67,15 +69,13 @@ def units_of(spec: Spec, texts: list[bytes]) -> Iterator[np.ndarray]:
         for x in texts:
             yield K.TABLE[np.frombuffer(x, np.uint8)]
     else:
-        buf, at = K.joined(texts)
-        s, e = K.words(buf, K.SPACE)
-        h = K.word_hashes(buf, s, e)
-        cut = np.searchsorted(s, at)
+        words, at = K.split(texts)
+        h = K.word_hashes(words)
         for i in range(len(texts)):
-            yield h[cut[i] : cut[i + 1]]
+            yield h[at[i] : at[i + 1]]
 
 
-def _spread(least: np.ndarray) -> np.ndarray:
+def spread_of(least: np.ndarray) -> np.ndarray:
     return K.mix(least ^ K.U(0x5851F42D4C957F2D))  # the least hashes are small
 
 
@@ -88,7 +88,7 @@ def samples_of(spec: Spec, values: np.ndarray) -> np.ndarray:
         return least
     edge = np.full(wide - 1, K.U(K.M64))
     most = ~K.sliding_min(np.concatenate([edge, ~least, edge]), wide)  # over the windows that cover a gram
-    return _spread(grams[grams == most])
+    return spread_of(grams[grams == most])
 
 
 def regions_of(spec: Spec, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -104,14 +104,7 @@ def regions_of(spec: Spec, values: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         k = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
         start = np.repeat(start, more) + k * RUN
         size = np.diff(np.append(start, len(least)))
-    return start, size, _spread(least[start]), grams
-
-
-def region_digests(spec: Spec, values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    up, down = K.powers(len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=total[1:])
-    return K.mix((total[start + size + spec.length - 1] - total[start]) * down[start] + size.astype(np.uint64))
+    return start, size, spread_of(least[start]), grams
 
 
 def _cells(samples: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -186,24 +179,24 @@ def maybe_repeated(samples: np.ndarray, bits: int, table: np.ndarray) -> np.ndar
     return out
 
 
-def emit(rows: DataFrame, spec: Spec, units: int, extra: str, payload: Callable[[Spec, bytes, np.ndarray, np.ndarray, np.ndarray], list]) -> DataFrame:
-    """Regions that the sketch estimates to repeat: o, t, pos, m (windows), sample, digest, inner (the sampled gram occurs in it more than
-    once, so windows may repeat inside it), at (where it first occurs in the region) and a payload column `extra` ("name type").
+def emit(rows: DataFrame, spec: Spec, units: int, name: str, payload: Callable[[Spec, bytes, np.ndarray, np.ndarray], tuple[list[bytes], list]]) -> DataFrame:
+    """Regions that the sketch estimates to repeat: o, t, pos, m (windows), sample, digest (128 bits of the region's bytes or words), inner (the
+    sampled gram occurs in it more than once, so windows may repeat inside it), at (where it first occurs in the region) and a binary payload
+    column of the given name.
 
     rows: identified texts, each distinct text once.
     """
     bits, table = sketch(rows, spec, units)
     shared = rows.sparkSession.sparkContext.broadcast(table)
-    name, kind = extra.split(" ", 1)
-    schema = f"o long, t long, pos int, m int, sample long, digest long, inner boolean, at int, {name} {kind}"
-    kind = {"binary": pa.binary(), "array<long>": pa.list_(pa.int64())}[kind]
+    schema = f"o long, t long, pos int, m int, sample long, digest binary, inner boolean, at int, {name} binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.frombuffer(shared.value, np.uint8)
         for batch, texts in blocks(batches):
             o, t = batch.column("o").to_numpy(), batch.column("t").to_numpy()
-            out: list[list] = [[] for _ in range(6)]
-            data: list = []
+            out: list[list] = [[] for _ in range(5)]
+            digests: list[bytes] = []
+            data: list[bytes] = []
             inner: list[bool] = []
             at: list[int] = []
             for i, v in enumerate(units_of(spec, texts)):
@@ -213,19 +206,21 @@ def emit(rows: DataFrame, spec: Spec, units: int, extra: str, payload: Callable[
                 hit = maybe_repeated(sample, bits, own)
                 if not hit.any():
                     continue
-                digest = region_digests(spec, v, start, size)
-                start, size, sample, digest = start[hit], size[hit], sample[hit], digest[hit]
-                for k, x in enumerate((np.full(len(start), o[i]), np.full(len(start), t[i]), start, size, sample.view(np.int64), digest.view(np.int64))):
+                start, size, sample = start[hit], size[hit], sample[hit]
+                for k, x in enumerate((np.full(len(start), o[i]), np.full(len(start), t[i]), start, size, sample.view(np.int64))):
                     out[k].append(x)
-                spread = _spread(grams)
+                spread = spread_of(grams)
                 ends = start + size + (spec.length - spec.gram)
                 for a, b, x in zip(start.tolist(), ends.tolist(), sample, strict=True):
                     same = spread[a:b] == x
                     at.append(int(same.argmax()))
                     inner.append(int(np.count_nonzero(same)) > 1)
-                data += payload(spec, texts[i], v, start, size)
+                own_digests, own_data = payload(spec, texts[i], start, size)
+                digests += own_digests
+                data += own_data
             if data:
                 cols = [np.concatenate(x) for x in out]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32() if k in (2, 3) else pa.int64()) for k, c in enumerate(cols)), pa.array(inner, pa.bool_()), pa.array(at, pa.int32()), pa.array(data, kind)], names=["o", "t", "pos", "m", "sample", "digest", "inner", "at", name])
+                arrays = [*(pa.array(c, pa.int32() if k in (2, 3) else pa.int64()) for k, c in enumerate(cols)), pa.array(digests, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(inner, pa.bool_()), pa.array(at, pa.int32()), pa.array(data, pa.binary())], names=["o", "t", "pos", "m", "sample", "digest", "inner", "at", name])
 
     return rows.select("o", "t", utf8().alias("text")).mapInArrow(run, schema)
