@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,8 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import blocks, masked, narrow_join, unmasked, utf8, written
+from .common import blocks, dealt_join, masked, narrow_join, unmasked, utf8, written
 from .components import components
+from .regions import NO_ID, identified, repeats
 
 
 #: Shingles of a block of a crowded bucket, about.
@@ -35,18 +35,33 @@ class Spec:
 
 def shingle_sets(spec: Spec, texts: list[bytes]) -> list[np.ndarray]:
     """Each text's distinct shingles as sorted 64-bit hashes; the whole sequence where there are fewer words; empty without words."""
-    buf, at = K.joined([t.translate(K.LOWER) for t in texts])
-    s, e = K.words(buf, K.SPACE)
-    h = K.word_hashes(buf, s, e)
-    cut = np.searchsorted(s, at)
+    words, at = K.split(texts, K.LOWER)
+    h = K.word_hashes(words)
     out = []
     for i in range(len(texts)):
-        own = h[cut[i] : cut[i + 1]]
+        own = h[at[i] : at[i + 1]]
         k = min(spec.words, len(own))
         out.append(np.unique(K.mix(K.windows(own, k) + K.U(k))) if k else own)
     return out
 
 
+def exact_sets(spec: Spec, texts: list[bytes]) -> list[np.ndarray]:
+    """Each text's distinct shingles as sorted numbers, which are equal within this call only for shingles of the same words."""
+    words, at = K.split(texts, K.LOWER)
+    ids = K.numbered(words)
+    codes = K.classes(ids, spec.words)
+    short: dict[bytes, int] = {}
+    out = []
+    for i in range(len(texts)):
+        a, b = int(at[i]), int(at[i + 1])
+        if b - a >= spec.words:
+            out.append(np.unique(codes[a : b - spec.words + 1]))
+        else:  # fewer words are one shingle, unlike any longer one
+            key = ids[a:b].tobytes()
+            out.append(np.array([-1 - short.setdefault(key, len(short))] if b > a else [], np.int64))
+    return out
+
+
 def signature(spec: Spec, shingles: np.ndarray) -> np.ndarray:
     """The least hash of each bin; an empty bin takes that of the first full bin on its own fixed random walk over the bins."""
     shift = K.U(64 - spec.bins.bit_length() + 1)
@@ -73,42 +88,62 @@ def bands(spec: Spec, sig: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, spec: Spec) -> DataFrame:
-    """doc_id, n_shingles, digest (of the set; null if it is empty), buckets."""
+    """doc_id, o, t (which tell rows apart, see `identified`), n_shingles, digest (of the set; null if it is empty), buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in blocks(batches):
             sets = shingle_sets(spec, texts)
             keys = [bands(spec, signature(spec, x)) if len(x) else None for x in sets]
-            digest = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets]
+            digest = [K.digest(x.tobytes()) if len(x) else None for x in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "buckets"]
+                [*(batch.column(c) for c in ("doc_id", "o", "t")), pa.array(map(len, sets), pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "o", "t", "n_shingles", "digest", "buckets"],
             )
 
-    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, buckets array<long>"), "minhash-sets")
+    rows = identified(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "o", "t", utf8().alias("text"))
+    return written(rows.mapInArrow(run, "doc_id long, o long, t long, n_shingles long, digest binary, buckets array<long>"), "minhash-sets")
+
+
+@dataclass(frozen=True)
+class Texts:
+    """The text of each node: that of the row (o, t) which stands for its set."""
+
+    docs: DataFrame
+    nodes: DataFrame  # node, o, t
+    repeated: bool  # some rows are alike in (o, t)
 
+    def of(self, wanted: DataFrame) -> DataFrame:
+        """node, text of the wanted nodes (distinct), as a written table."""
+        some = written(self.nodes.join(wanted, "node", "left_semi"), "minhash-nodes")
+        rows = narrow_join(identified(self.docs).select("o", "t", utf8().alias("text")), some, ["o", "t"]).select("node", "text")
+        return written(rows.dropDuplicates(["node"]) if self.repeated else rows, "minhash-texts")
 
-def confirmed(edges: DataFrame, docs: DataFrame, spec: Spec) -> DataFrame:
-    """The edges (u, v) whose documents' full sets are similar enough."""
-    ids = written(edges.select(F.col("u").alias("doc_id")).union(edges.select("v")).distinct(), "minhash-ids")
-    texts = written(narrow_join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")), ids, "doc_id", "left_semi"), "minhash-texts")
-    one = edges.join(texts.withColumnsRenamed({"doc_id": "u", "text": "a"}), "u")
-    two = one.join(texts.withColumnsRenamed({"doc_id": "v", "text": "b"}), "v")
+
+def confirmed(edges: DataFrame, texts: Texts, spec: Spec) -> DataFrame:
+    """The edges (center, node) whose full sets of shingles are similar enough, as u < v; words are compared, not hashes.
+
+    A node's text goes with its edges to the center's; a center of many edges is dealt to several tasks, so each edge carries one text through a shuffle.
+    """
+    edges = written(edges, "minhash-edges")
+    own = texts.of(edges.select("node").union(edges.select("center")).distinct())
+    carried = edges.join(own.withColumnRenamed("text", "a"), "node")
+    sized = edges.groupBy("center").agg(F.count("*").alias("n")).join(own.select(F.col("node").alias("center"), F.col("text").alias("b")), "center")
+    two = dealt_join(carried, sized, "center", ["node"], total=edges.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[bytes, np.ndarray] = (b"", np.zeros(0, np.uint64))
         for batch, texts in blocks(batches, "a"):
-            others = batch.column("b").to_pylist()
-            sets, ok = shingle_sets(spec, texts), []
-            for x, b in zip(sets, others, strict=True):
-                if b != last[0]:
-                    last = (b, shingle_sets(spec, [b])[0])
-                y = last[1]
+            centers, others = batch.column("center").to_pylist(), batch.column("b")
+            place = {c: len(texts) + k for k, c in enumerate(dict.fromkeys(centers))}
+            first = {c: i for i, c in reversed(list(enumerate(centers)))}
+            sets, ok = exact_sets(spec, texts + [others[first[c]].as_py() for c in place]), []
+            for x, c in zip(sets, centers, strict=False):
+                y = sets[place[c]]
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(both > 0 and 100 * both >= spec.percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column("center"), batch.column("node")], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    # Neighbours of one star stand together, so a center's set is made once a run of rows.
-    return written(two.select("u", "v", "a", "b").mapInArrow(run, "u long, v long").distinct(), "minhash-links")
+    found = two.select("center", "node", "a", "b").mapInArrow(run, "u long, v long")
+    return written(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "minhash-links")
 
 
 def _similar(spec: Spec, sets: list[np.ndarray], group: np.ndarray, lone: np.ndarray, half: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -156,26 +191,23 @@ def _similar(spec: Spec, sets: list[np.ndarray], group: np.ndarray, lone: np.nda
             at = end
 
 
-def compared(rest: DataFrame, docs: DataFrame, reps: DataFrame, spec: Spec) -> DataFrame:
+def compared(rest: DataFrame, texts: Texts, spec: Spec) -> DataFrame:
     """Similar pairs (u, v) of different components within a bucket, enough of them to join these components; rest has bucket, node, component.
 
     All pairs of a bucket are compared but those within its largest component. The full sets meet in units of at most two blocks of about BLOCK_SHINGLES;
     a bucket of k blocks has k (k + 1) / 2 units, so that no task holds a large bucket. The pairs themselves are no rows.
     """
-    ids = written(rest.select(F.col("node").alias("doc_id")).distinct(), "minhash-ids")
-    texts = narrow_join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")), ids, "doc_id", "left_semi")
+    own = texts.of(rest.select("node").distinct())
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in blocks(batches):
-            sets = [x.tobytes() for x in shingle_sets(spec, texts)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in sets], pa.binary()), pa.array(sets, pa.binary())], names=["node", "digest", "shingles"])
-
-    own = texts.mapInArrow(make, "node long, digest binary, shingles binary").join(reps.select("node", "digest"), ["node", "digest"], "left_semi")
-    own = written(own.dropDuplicates(["node", "digest"]).select("node", "shingles"), "minhash-sets")
-    sized = rest.join(own.groupBy("node").agg(F.sum(F.length("shingles") / 8).cast("long").alias("n")), "node")
-    each = sized.groupBy("bucket", "component").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
-    whole = each.groupBy("bucket").agg(F.max_by("component", F.struct("rows", -F.col("component"))).alias("most"), F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    put = rest.join(whole, "bucket").select("bucket", "node", "component", (F.col("component") != F.col("most")).alias("lone"), "blocks", F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1))).cast("int").alias("b"))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([x.tobytes() for x in shingle_sets(spec, texts)], pa.binary())], names=["node", "shingles"])
+
+    own = written(own.mapInArrow(make, "node long, shingles binary"), "minhash-sets")
+    sized = rest.join(own.select("node", (F.length("shingles") / 8).cast("long").alias("size")), "node")
+    each = sized.groupBy("bucket", "component").agg(F.count("*").alias("rows"), F.sum("size").alias("size"))
+    whole = each.groupBy("bucket").agg(F.max_by("component", F.struct("rows", -F.col("component"))).alias("most"), F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("int").alias("blocks"), F.sum("rows").alias("n"))
+    put = dealt_join(rest, whole, "bucket", ["node"]).select("bucket", "node", "component", (F.col("component") != F.col("most")).alias("lone"), "blocks", F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1))).cast("int").alias("b"))
     put = put.withColumn("x", F.explode(F.sequence(F.lit(0), F.greatest("blocks", F.lit(1)) - 1)))
     put = put.select("bucket", F.least("b", "x").alias("i"), F.greatest("b", "x").alias("j"), "b", "node", "component", "lone")
     # Units whose rows are all of one component have nothing to compare.
@@ -213,92 +245,131 @@ def compared(rest: DataFrame, docs: DataFrame, reps: DataFrame, spec: Spec) -> D
             yield close(held)
 
     dealt = units.repartition(*keys).sortWithinPartitions(*keys)
-    return written(dealt.select(*keys, "b", "node", "component", "lone", "shingles").mapInArrow(run, "u long, v long").distinct(), "minhash-compared")
+    pairs = dealt.select(*keys, "b", "node", "component", "lone", "shingles").mapInArrow(run, "u long, v long").distinct()
+    return confirmed(pairs.select(F.col("u").alias("center"), F.col("v").alias("node")), texts, spec)
 
 
-def near_duplicates(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:  # noqa: B008
-    """doc_id, n_shingles, component_id, kept, n_links (confirmed links of the document's distinct text), one row a document.
-
-    Equal sets are one vertex, named by their least doc_id. In every bucket of several vertices the one that shares most buckets with
-    others is the center, and the others get an edge to it: as many edges as members, at most. Edges are confirmed on full sets. Buckets that
-    still hold several components get another center in a further round, until a round confirms no link. In buckets that are then still of several
-    components, every pair of members of different components is compared on full sets (compared), so no pair that shares a bucket is left out.
-
-    component_id is the least doc_id reachable; kept says that the row has it. Null and empty texts are linked with nothing. A null doc_id can't name a
-    component: such rows have a null component_id and are kept. Rows of one doc_id are one document, whatever their texts.
-    """
-    own = signed(docs, spec)
-    real = own.where("doc_id is not null and digest is not null")
-    reps = written(real.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("buckets").alias("buckets")), "minhash-reps")
-    held = reps.select("node", F.explode("buckets").alias("bucket"))
-    shared = held.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = written(held.join(shared, "bucket").distinct(), "minhash-members")
-    weight = written(members.groupBy("node").agg(F.sum("n").alias("weight")), "minhash-weights")
+def _linked(reps: DataFrame, texts: Texts, spec: Spec) -> tuple[DataFrame, DataFrame]:
+    """The confirmed links (u, v) of the nodes, and their components."""
+    held = reps.select("node", F.explode("buckets").alias("bucket")).distinct()
+    shared = held.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").withColumn("size", F.col("n"))
+    members = written(dealt_join(held, shared, "bucket", ["node"]), "minhash-members")
+    weight = written(members.groupBy("node").agg(F.sum("size").alias("weight")), "minhash-weights")
     members = written(members.join(weight, "node").select("bucket", "node", "weight"), "minhash-members")
-    best = F.max_by("node", F.struct("weight", -F.col("node")))
-    center = members.groupBy("bucket").agg(best.alias("center"))
-    tried = written(members.join(center, "bucket").where("node <> center").select(F.least("node", "center").alias("u"), F.greatest("node", "center").alias("v")).distinct(), "minhash-edges")
-    links = confirmed(tried, docs, spec)
-    # Texts of one doc_id that have different sets belong together.
-    named = real.join(reps.select("digest", "node"), "digest").select("doc_id", "node", "n_shingles").distinct()
-    named = written(named, "minhash-named")
-    tied = named.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("v")).where("u <> v")
-    tied = written(named.join(tied.select("doc_id", "u"), "doc_id").select("u", F.col("node").alias("v")), "minhash-tied")
+    center = members.groupBy("bucket").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("center"), F.count("*").alias("n"))
+    tried = written(_pairs(dealt_join(members, center, "bucket", ["node"])), "minhash-tried")
+    links = confirmed(tried, texts, spec)
     while True:
-        group = written(components(links.select("u", "v").union(tied)), "minhash-groups")
+        group = written(components(links), "minhash-groups")
         open_ = members.join(group, "node", "left").select("bucket", "node", "weight", F.coalesce("component", "node").alias("component"))
-        mixed = open_.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("bucket")
-        left = written(open_.join(mixed, "bucket"), "minhash-open")
-        # Another center: the heaviest member outside the component of the bucket's heaviest member, while that confirms something.
+        mixed = open_.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).where("a <> b").select("bucket", "n")
+        left = written(dealt_join(open_, mixed, "bucket", ["node"]), "minhash-open")
         more = _next_edges(left, tried)
         if not more.limit(1).count():
             break
-        fresh = confirmed(more, docs, spec)
-        tried = written(tried.union(more), "minhash-edges")
+        fresh = confirmed(more, texts, spec)
+        tried = written(tried.union(more), "minhash-tried")
         if not fresh.limit(1).count():
             break
         links = written(links.union(fresh), "minhash-links")
     # What centers can't tell; a bucket of two members has had its one pair.
-    crowded = left.groupBy("bucket").count().where("count > 2").select("bucket")
-    rest = written(left.join(crowded, "bucket").select("bucket", "node", "component"), "minhash-crowded")
+    crowded = left.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 2")
+    rest = written(dealt_join(left, crowded, "bucket", ["node"]).select("bucket", "node", "component"), "minhash-crowded")
     if rest.limit(1).count():
-        fresh = compared(rest, docs, reps, spec)
+        fresh = compared(rest, texts, spec)
         if fresh.limit(1).count():
             links = written(links.union(fresh).distinct(), "minhash-links")
-            group = written(components(links.select("u", "v").union(tied)), "minhash-groups")
-    ends = links.select(F.col("u").alias("node")).union(links.select("v")).groupBy("node").agg(F.count("*").alias("n_links"))
-    ids = named.join(group, "node", "left").join(ends, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component_id"), F.max(F.coalesce("n_links", F.lit(0))).alias("n_links"))
-    out = own.select("doc_id", "n_shingles").join(ids, "doc_id", "left")
-    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+            group = written(components(links), "minhash-groups")
+    return links, group
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """(center, node), one row for a pair in either order."""
+    both = rows.where("node <> center").select(F.least("node", "center").alias("u"), F.greatest("node", "center").alias("v"), "center")
+    return both.groupBy("u", "v").agg(F.min("center").alias("center")).select("center", F.when(F.col("center") == F.col("u"), F.col("v")).otherwise(F.col("u")).alias("node"))
 
 
 def _next_edges(left: DataFrame, tried: DataFrame) -> DataFrame:
-    """For each bucket of several components: edges from the heaviest member of each component to the members of the others' lead, untried ones only.
+    """For each bucket of several components: untried edges to two more centers, as many as members at most each.
 
-    Every bucket gets as many edges as members at most: its members outside the lead component meet that component's heaviest untried member, and
-    the lead's members meet the heaviest member outside it.
+    The members outside the component of the bucket's heaviest member meet that one, and all members the heaviest one outside it.
     """
     best = F.max_by(F.struct("node", "component"), F.struct("weight", -F.col("node")))
-    lead = left.groupBy("bucket").agg(best.alias("lead"))
-    both = left.join(lead, "bucket")
-    rival = both.where("component <> lead.component").groupBy("bucket").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("rival"))
-    to_rival = both.join(rival, "bucket").where("node <> rival").select("node", F.col("rival").alias("other"))
-    to_lead = both.where("component <> lead.component").select("node", F.col("lead.node").alias("other"))
-    edges = to_rival.union(to_lead).select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
-    return written(edges.join(tried, ["u", "v"], "left_anti"), "minhash-more")
+    lead = left.groupBy("bucket").agg(best.alias("lead"), F.count("*").alias("n"))
+    both = written(dealt_join(left, lead, "bucket", ["node"]), "minhash-led")
+    outside = both.where("component <> lead.component")
+    rival = outside.groupBy("bucket").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("center"))
+    rival = rival.join(both.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
+    to_rival = dealt_join(both.select("bucket", "node"), rival, "bucket", ["node"]).select("node", "center")
+    edges = _pairs(to_rival.union(outside.select("node", F.col("lead.node").alias("center"))))
+    known = tried.select(F.least("node", "center").alias("u"), F.greatest("node", "center").alias("v"))
+    keyed = edges.withColumns({"u": F.least("node", "center"), "v": F.greatest("node", "center")})
+    return written(keyed.join(known, ["u", "v"], "left_anti").select("center", "node"), "minhash-more")
+
+
+def near_duplicates(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:  # noqa: B008
+    """doc_id, o, t, n_shingles, component_id, kept, stays, n_links (confirmed links of the document's set), one row a document.
+
+    Equal sets are one node. In every bucket of several nodes the one that shares most buckets with others is the center, and the others get an edge
+    to it: as many edges as members, at most. Edges are confirmed on full sets. Buckets that still hold several components get further centers,
+    until a round confirms no link. In buckets that are then still of several components, every pair of nodes of different components is compared
+    on full sets (compared), so no pair that shares a bucket is left out.
+
+    component_id is the least doc_id reachable, kept says that the row has it. Rows are documents of their own: those of one doc_id with different
+    texts are linked only if similar, but share a component_id. Rows without doc_id are linked like others; where no linked row has one,
+    component_id is null and the row of the least text hash is kept. `stays` marks the rows that stand for a group of links: its least (o, t).
+    Null, empty and blank texts are linked with nothing and all kept. doc_id must be an integer (a string of digits is read as one); columns
+    beside doc_id and text are not used, whatever their names. A very long text is one block of a task.
+    """
+    own = signed(docs, spec)
+    real = own.where("digest is not null")
+    reps = real.groupBy("digest").agg(F.min(F.struct("o", "t")).alias("first"), F.first("buckets").alias("buckets"), F.count("*").alias("n"))
+    reps = written(reps.select(F.monotonically_increasing_id().alias("node"), "digest", "n", F.col("first.o").alias("o"), F.col("first.t").alias("t"), "buckets"), "minhash-reps")
+    texts = Texts(docs, reps.select("node", "o", "t"), repeats(real))
+    links, group = _linked(reps, texts, spec)
+    ends = links.select(F.col("u").alias("node")).union(links.select("v")).groupBy("node").agg(F.count("*").alias("n_links"))
+    nodes = reps.select("node", "digest", "n", "o", "t").join(group, "node", "left").join(ends, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    nodes = written(nodes, "minhash-nodes")
+    first = nodes.groupBy("component").agg(F.min(F.struct("o", "t")).alias("first"), F.count("*").alias("n"))
+    named = written(dealt_join(nodes.withColumnRenamed("n", "times"), first, "component", ["node"]).select("node", "digest", F.col("times").alias("n"), "component", "first", F.coalesce("n_links", F.lit(0)).alias("n_links")), "minhash-named")
+    named = named.join(_tied(real, named), "component", "left").withColumn("least", F.coalesce("least", "first.o"))
+    rows = real.select("doc_id", "o", "t", "n_shingles", "digest")
+    found = dealt_join(rows, named.select("digest", "n", "first", "least", "n_links"), "digest", ["o", "t"])
+    stays = F.struct("o", "t") == F.col("first")
+    component = F.when(F.col("least") != NO_ID, F.col("least"))
+    found = found.select("doc_id", "o", "t", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull() & stays).alias("kept"), stays.alias("stays"), "n_links")
+    blank = own.where("digest is null").select("doc_id", "o", "t", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(True).alias("stays"), F.lit(0).cast("long").alias("n_links"))
+    return found.unionByName(blank)
+
+
+def _tied(real: DataFrame, named: DataFrame) -> DataFrame:
+    """component, least: the least o of the components that share documents of one doc_id, where any do."""
+    schema = "component long, least long"
+    several = real.where(F.col("o") != NO_ID).groupBy("o").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("o")
+    several = written(several, "minhash-several")
+    if not several.limit(1).count():
+        return real.sparkSession.createDataFrame([], schema)
+    both = real.join(several, "o").select("o", "digest").distinct().join(named.select("digest", "component", F.col("first.o").alias("first")), "digest").select("o", "component", "first")
+    both = written(both, "minhash-shared")
+    low = both.groupBy("o").agg(F.min("component").alias("u"))
+    group = components(both.join(low, "o").select("u", F.col("component").alias("v")))
+    lows = both.select(F.col("component").alias("node"), "first").distinct().join(group.withColumnRenamed("component", "top"), "node")
+    least = lows.groupBy("top").agg(F.min("first").alias("least"))
+    return written(lows.join(least, "top").select(F.col("node").alias("component"), "least").distinct(), "minhash-tied")
 
 
 def one_of_each(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:  # noqa: B008
-    """The documents with one row of each group, all columns as they were; of rows that share a kept doc_id, one stays."""
+    """The documents with one row of each group of links, all columns as they were; of rows alike in doc_id and text one stays (blank ones all stay)."""
     found = written(near_duplicates(docs, spec), "minhash-result")
-    gone = written(found.where("not kept").select("doc_id").distinct(), "minhash-gone")
-    out = narrow_join(masked(docs, "doc_id"), gone, "doc_id", "left_anti")
-    if found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
+    gone = written(found.where("not stays").select("o", "t").distinct(), "minhash-gone")
+    rows = masked(docs, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("o"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("t"))
+    out = narrow_join(rows, gone, ["o", "t"], "left_anti")
+    again = written(found.where("stays and n_shingles > 0").groupBy("o", "t").count().where("count > 1").select("o", "t"), "minhash-again")
+    if again.limit(1).count():
+        out = narrow_join(out, again, ["o", "t"], "left_anti").unionByName(narrow_join(out, again, ["o", "t"], "left_semi").dropDuplicates(["o", "t"]))
     return unmasked(out, docs.columns)
 
 
 def document_groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept on 2-word shingles at 0.8."""
-    return near_duplicates(docs, Spec(words=2)).drop("n_links")
+    return near_duplicates(docs, Spec(words=2)).select("doc_id", "n_shingles", "component_id", "kept")
