@@ -6,7 +6,7 @@ from . import linededup
 
 MIX = r"""
 with d as (
-  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size, ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 10))::bigint as h from documents),
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size, ('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))), 1, 10))::bigint as h from documents),
 s as (
   select source, sum(size)::bigint as source_size, 2.0::double * sum(size) as cap, ([3.0, 1.0, 2.0])[(row_number() over (order by source nulls last) - 1) % 3 + 1]::double as w from d group by source),
 o as (select *, row_number() over (order by cap / w, source nulls last) as place, 1.5::double * sum(source_size) over () as total from s),
@@ -14,11 +14,10 @@ l as (
   select *, (total - coalesce(sum(cap) over (order by place rows between unbounded preceding and 1 preceding), 0)) / (sum(w) over () - coalesce(sum(w) over (order by place rows between unbounded preceding and 1 preceding), 0)) as level from o),
 f as (select source, source_size, coalesce(least(cap, (select arg_min(level, place) from l where level < cap / w) * w), cap) as target from l),
 p as (select *, case when source_size > 0 then floor(target / source_size) else 1 end as whole, greatest(0, target - (case when source_size > 0 then floor(target / source_size) else 1 end) * source_size) as rest from f),
-g as (select source, h, sum(size) as sz from d group by source, h),
-c as (select source, h, sz, coalesce(sum(sz) over (partition by source order by h rows between unbounded preceding and 1 preceding), 0) as before from g)
-select d.doc_id, d.size::bigint as size, p.source_size, p.target,
-  (d.size * (p.whole + case when p.whole < 2 and (c.before + c.sz <= p.rest or (c.before <= p.rest and c.before + c.sz - p.rest < p.rest - c.before)) then 1 else 0 end))::bigint as taken
-from d join p on d.source is not distinct from p.source join c on c.source is not distinct from d.source and c.h = d.h"""
+c as (select doc_id, source, size, coalesce(sum(size) over (partition by source order by h, doc_id rows between unbounded preceding and 1 preceding), 0) as before from d)
+select c.doc_id, c.size::bigint as size, p.source_size, p.target,
+  (c.size * (p.whole + case when p.whole < 2 and (c.before + c.size <= p.rest or (c.before <= p.rest and c.before + c.size - p.rest < p.rest - c.before)) then 1 else 0 end))::bigint as taken
+from c join p on c.source is not distinct from p.source"""
 
 _WORDS = r"list_transform(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda x: x)"
 
