@@ -13,54 +13,74 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .common import blocks, masked, unmasked, utf8, written
 
-#: Bytes of benchmark text that one pass looks for; more text takes more passes, so what is broadcast stays bounded.
-PASS_BYTES = 8 << 20
+#: Bytes of benchmark text that one pass looks for; more text takes more passes, so what is broadcast stays bounded. Items longer than
+#: PIECE bytes are cut into pieces that share all but the first word of a window.
+PASS_BYTES, PIECE = 8 << 20, 1 << 20
+#: Bits of a word's number, and numbers in a 64-bit key. 8 MB hold at most 1.7 million distinct words; more would raise an error.
 ID_BITS, PER_KEY = 21, 3
 MATCHES = "array<struct<item_id:string,item_word:int,doc_word:int,words:int>>"
 
 
 @dataclass
 class Index:
-    """Benchmark items as sequences of word numbers (1 and up; 0 ends an item)."""
+    """Benchmark items as sequences of word numbers (1 and up; 0 ends an item), and their distinct windows."""
 
-    vocabulary: np.ndarray  # sorted word hashes
+    vocabulary: dict[bytes, int]  # each word's number
     seq: np.ndarray  # all items, each followed by a 0
-    starts: np.ndarray  # windows: where each starts in seq,
-    lengths: np.ndarray  # its words,
-    owner: np.ndarray  # its item,
+    lengths: np.ndarray  # distinct windows: words,
+    low: list[np.ndarray]  # the least and
+    high: list[np.ndarray]  # the greatest key of a suffix that starts with it
+    at: np.ndarray  # where its holders start (one more for the end)
+    item: np.ndarray  # holders: an item that has the window
+    start: np.ndarray  # and where in seq it has it first
     grams: np.ndarray  # sorted hashes of the first `gram` words of all windows
     gram: int
-    ids: list[list[str]]  # item_ids that share an item's words
-    first: np.ndarray  # where each item starts in seq
-
-
-def index_of(items: list[tuple[object, bytes]], window: int) -> Index:
-    """Items of the same words are searched once. Items without words have no window."""
-    buf, at = K.joined([t.translate(K.LOWER) for _, t in items])
-    s, e = K.words(buf, K.NONWORD)
-    h = K.word_hashes(buf, s, e)
-    doc = np.searchsorted(at, s, "right") - 1
-    vocabulary, number = np.unique(h, return_inverse=True)
-    groups: dict[bytes, list[str]] = {}
-    for i, (key, _) in enumerate(items):
-        own = number[slice(*np.searchsorted(doc, [i, i + 1]))] + 1
-        if len(own):
-            groups.setdefault(own.astype(np.int32).tobytes(), []).append("" if key is None else str(key))
-    parts, starts, lengths, owner, first, at = [], [], [], [], [], 0
-    for k, own in enumerate(groups):
-        own = np.frombuffer(own, np.int32)
+    ids: list[str]  # the items' item_ids
+    first: np.ndarray  # where each item starts in seq, less the words before it in its item
+
+
+def index_of(items: list[tuple[str, bytes, int]], window: int) -> Index:
+    """Of (item_id, text, words before the text in its item). Items without words have no window."""
+    words, cut = K.split([t for _, t, _ in items], K.SPACED)
+    vocabulary: dict[bytes, int] = {}
+    number = np.fromiter((vocabulary.setdefault(w, len(vocabulary) + 1) for w in words), np.int64, len(words))
+    if len(vocabulary) >= (1 << ID_BITS) - 1:
+        raise ValueError(f"{len(vocabulary)} distinct words in a pass of {PASS_BYTES} bytes; take a smaller PASS_BYTES")
+    parts, starts, lengths, owner, first, ids, at = [], [], [], [], [], [], 0
+    for i, (key, _, before) in enumerate(items):
+        own = number[cut[i] : cut[i + 1]]
+        if not len(own):
+            continue
         m = min(window, len(own))
         n = len(own) - m + 1
         starts.append(at + np.arange(n))
         lengths.append(np.full(n, m))
-        owner.append(np.full(n, k))
-        first.append(at)
+        owner.append(np.full(n, len(ids)))
+        first.append(at - before)
+        ids.append(key)
         parts += [own, [0]]
         at += len(own) + 1
     cat = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
-    seq, starts, lengths = cat(parts), cat(starts), cat(lengths)
+    seq, starts, lengths, owner = cat(parts), cat(starts), cat(lengths), cat(owner)
     gram = int(min(4, lengths.min())) if len(lengths) else 1
-    return Index(vocabulary, seq, starts, lengths, cat(owner), np.unique(_grams(seq, gram)[starts]) if len(starts) else np.zeros(0, np.uint64), gram, list(groups.values()), np.array(first, np.int64))
+    grams = np.unique(_grams(seq, gram)[starts]) if len(starts) else np.zeros(0, np.uint64)
+    # Windows of `window` words sort as their keys; shorter ones match any suffix between their own key filled with 0 and that filled with the largest words.
+    low = _keys(seq, starts, window)
+    high = [k.copy() for k in low]
+    top = K.U((1 << ID_BITS) - 1)
+    for j in range(window):
+        short, shift = lengths <= j, K.U(ID_BITS * (PER_KEY - 1 - j % PER_KEY))
+        high[j // PER_KEY][short] |= top << shift
+        low[j // PER_KEY][short] &= ~(top << shift)
+    order = np.lexsort([starts, owner, *low[::-1], lengths])
+    differs = lambda x: np.diff(x[order].astype(np.int64), prepend=-1) != 0
+    new = np.zeros(len(order), bool)
+    for k in (lengths, *low):
+        new |= differs(k)
+    holder = order[new | differs(owner)]
+    kind = np.cumsum(new)[new | differs(owner)] - 1
+    one = order[new]
+    return Index(vocabulary, seq, lengths[one], [k[one] for k in low], [k[one] for k in high], np.searchsorted(kind, np.arange(len(one) + 1)), owner[holder], starts[holder], grams, gram, ids, np.array(first, np.int64))
 
 
 def _grams(seq: np.ndarray, k: int) -> np.ndarray:
@@ -96,79 +116,127 @@ def _bound(keys: list[np.ndarray], wanted: list[np.ndarray], upper: bool) -> np.
     return low
 
 
-def search(texts: list[bytes], index: Index, window: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Words of each text; for all texts, the maximal verbatim matches as [text, item, item's word, text's word, words].
+def search(texts: list[bytes], index: Index, window: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Words of each text; for all texts, the places of windows as rows [text, first word, end], and maximal verbatim matches as [text, item, item's word, text's word, words].
 
-    The shard's suffix array holds the suffixes whose first words begin some window: all that a search can end at.
+    A prefilter leaves suffixes out of the shard's array whose first words start no window. A binary search for a window can end only at
+    suffixes that start with the window's words, so these are all it needs. Words are compared themselves: their numbers come from a dictionary.
+    Each distinct window is searched once. In each text the first occurrence of a window is extended to both sides, against each item that has
+    the window, so neither a window's repetitions in a text nor its items multiply each other.
     """
-    buf, at = K.joined([t.translate(K.LOWER) for t in texts])
-    s, e = K.words(buf, K.NONWORD)
-    doc = np.searchsorted(at, s, "right") - 1
-    n_words = np.bincount(doc, minlength=len(texts))
-    none = [np.zeros(0, np.int64)] * 5
-    if not len(s) or not len(index.starts):
-        return n_words, none
-    h = K.word_hashes(buf, s, e)
-    place = np.minimum(np.searchsorted(index.vocabulary, h), len(index.vocabulary) - 1)
-    seq = np.zeros(len(s) + len(texts), np.int64)  # a 0 after each text
-    where = np.arange(len(s)) + doc
-    seq[where] = np.where(index.vocabulary[place] == h, place + 1, 0)
+    words, cut = K.split(texts, K.SPACED)
+    n_words = np.diff(cut)
+    nothing = n_words, np.zeros((0, 3), np.int64), [np.zeros(0, np.int64)] * 5
+    if not len(words) or not len(index.lengths):
+        return nothing
+    doc = np.repeat(np.arange(len(texts)), n_words)
+    seq = np.zeros(len(words) + len(texts), np.int64)  # a 0 after each text
+    where = np.arange(len(words)) + doc
+    seq[where] = np.fromiter((index.vocabulary.get(w, 0) for w in words), np.int64, len(words))
     suffixes = where[seq[where] > 0]
     g = _grams(seq, index.gram)[suffixes]
     near = np.minimum(np.searchsorted(index.grams, g), len(index.grams) - 1)
     suffixes = suffixes[index.grams[near] == g]
     if not len(suffixes):
-        return n_words, none
+        return nothing
     keys = _keys(seq, suffixes, window)
     order = np.lexsort(keys[::-1])
     array, keys = suffixes[order], [k[order] for k in keys]
-    # Windows of `window` words sort as their keys; shorter ones match any suffix between their own key filled with 0 and that filled with the largest words.
-    wanted = _keys(index.seq, index.starts, window)
-    filled = [w.copy() for w in wanted]
-    top = K.U((1 << ID_BITS) - 1)
-    for j in range(window):
-        short = index.lengths <= j
-        shift = K.U(ID_BITS * (PER_KEY - 1 - j % PER_KEY))
-        filled[j // PER_KEY][short] |= top << shift
-        wanted[j // PER_KEY][short] &= ~(top << shift)
-    low, high = _bound(keys, wanted, False), _bound(keys, filled, True)
-    times = high - low
-    hit = np.repeat(np.arange(len(times)), times)
+    low, high = _bound(keys, index.low, False), _bound(keys, index.high, True)
+    hit, p = _spread(np.arange(len(low)), high - low)
     if not len(hit):
-        return n_words, none
-    p = array[np.repeat(low - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(len(hit))]
-    t, length = index.starts[hit], index.lengths[hit].copy()
-    # Only matches that can't be extended to the left are kept; these are then extended to the right.
-    left = (p > 0) & (t > 0)
-    left &= (seq[np.maximum(p - 1, 0)] == index.seq[np.maximum(t - 1, 0)]) & (index.seq[np.maximum(t - 1, 0)] > 0)
-    hit, p, t, length = hit[~left], p[~left], t[~left], length[~left]
+        return nothing
+    p = array[low[hit] + p]
+    own = np.searchsorted(where, p)
+    d = doc[own]
+    word = own - cut[d]
+    spans = np.stack([d, word, word + index.lengths[hit]], axis=1)
+    # The first occurrence of each window in each text, with every item that has it.
+    order = np.lexsort([p, hit, d])
+    once = order[(np.diff(d[order], prepend=-1) != 0) | (np.diff(hit[order], prepend=-1) != 0)]
+    k, nth = _spread(once, np.diff(index.at)[hit[once]])
+    held = index.at[hit[k]] + nth
+    item, t, p, d, length = index.item[held], index.start[held], p[k], d[k], index.lengths[hit[k]].copy()
+    live = np.arange(len(p))
+    while len(live):
+        a, b = p[live] - 1, t[live] - 1
+        live = live[(a >= 0) & (b >= 0) & (seq[np.maximum(a, 0)] == index.seq[np.maximum(b, 0)]) & (seq[np.maximum(a, 0)] > 0)]
+        p[live] -= 1
+        t[live] -= 1
+        length[live] += 1
     tail, goal = np.append(seq, 0), np.append(index.seq, 0)
     live = np.arange(len(p))
     while len(live):
         a, b = tail[p[live] + length[live]], goal[t[live] + length[live]]
         live = live[(a == b) & (a > 0)]
         length[live] += 1
-    own = np.searchsorted(where, p)
-    d = doc[own]
-    item = index.owner[hit]
-    return n_words, [d, item, t - index.first[item], own - np.searchsorted(doc, d), length]
+    return n_words, spans, [d, item, t - index.first[item], np.searchsorted(where, p) - cut[d], length]
+
+
+def _spread(of: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each value so many times, and the number of the repetition."""
+    return np.repeat(of, times), np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+
+
+def _pieces(benchmark: DataFrame, window: int) -> DataFrame:
+    """item_id, text, before (words of the item before the text): items cut into pieces of PIECE bytes, about, each distinct one once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in blocks(batches):
+            ids, pieces, before = [], [], []
+            for key, text in zip(batch.column("item_id").to_pylist(), texts, strict=True):
+                words, at = text.translate(K.SPACED).split(), 0
+                while at < len(words):
+                    size, end = 0, at
+                    while end < len(words) and (size < PIECE or end - at < window):
+                        size += len(words[end]) + 1
+                        end += 1
+                    ids.append(key)
+                    pieces.append(b" ".join(words[at:end]))
+                    before.append(at)
+                    if end == len(words):
+                        break
+                    at = end - window + 1
+            yield pa.RecordBatch.from_pydict({"item_id": pa.array(ids, pa.string()), "text": pa.array(pieces, pa.binary()), "before": pa.array(before, pa.int64())})
+
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), utf8().alias("text"))
+    return written(rows.mapInArrow(run, "item_id string, text binary, before long").distinct(), "bench")
+
+
+def _passes(pieces: DataFrame) -> Iterator[list[tuple[str, bytes, int]]]:
+    """Lists of pieces of at most PASS_BYTES together; one list is in the driver at a time."""
+    held: list[tuple[str, bytes, int]] = []
+    size = 0
+    for r in pieces.toLocalIterator():
+        n = len(r.text) + 1
+        if held and size + n > PASS_BYTES:
+            yield held
+            held, size = [], 0
+        held.append((r.item_id, bytes(r.text), r.before))
+        size += n
+    yield held
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """Adds n_words, hits (array of [start, end) in words, merged) and matches to the docs.
 
-    matches are the maximal verbatim matches of at least a window with their places in item and document. Null and empty texts have no words;
-    benchmark rows without words match nothing, a null item_id reads as an empty string. Columns named as the new ones are replaced.
+    matches has the longest maximal verbatim match of at least a window for each item_id that has one, with its places in item and document (the
+    first of several). Null and empty texts have no words; benchmark rows without words match nothing, a null item_id reads as an empty string.
+    Repeated item rows are one, rows of one item_id with other texts count as that item. Columns named as the new ones are replaced, others pass.
     """
-    bench = written(benchmark.select("item_id", utf8().alias("text")), "bench")
-    total = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    passes = max(1, -(-total // PASS_BYTES))
     out = docs.drop("n_words", "hits", "matches").withColumns({"n_words": F.lit(0).cast("long"), "hits": F.array().cast("array<array<int>>"), "matches": F.array().cast(MATCHES)})
-    for k in range(passes):
-        # One pass's items: about PASS_BYTES, dealt by a hash of their rows.
-        some = bench if passes == 1 else bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
-        index = index_of([(r.item_id, bytes(r.text)) for r in some.toLocalIterator()], window)
-        out = _scan(out if k == 0 else written(out, "bench-pass"), index, window)
+    for k, items in enumerate(_passes(_pieces(benchmark, window))):
+        out = _scan(out if k == 0 else written(out, "bench-pass"), index_of(items, window), window)
+    return out
+
+
+def _merged(spans: list[list[int]]) -> list[list[int]]:
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
     return out
 
 
@@ -179,24 +247,24 @@ def _scan(docs: DataFrame, index: Index, window: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch, texts in blocks(batches):
-            n_words, (d, item, item_word, doc_word, length) = search(texts, own, window)
+            n_words, places, (d, item, item_word, doc_word, length) = search(texts, own, window)
             columns = {c: batch.column(c) for c in batch.schema.names}
             columns["n_words"] = pa.array(n_words, pa.int64())
             if len(d):
                 hits, matches = columns["hits"].to_pylist(), columns["matches"].to_pylist()
-                for j in np.lexsort([doc_word, d]):
-                    i, a = int(d[j]), int(doc_word[j])
-                    for key in own.ids[item[j]]:
-                        matches[i].append({"item_id": key, "item_word": int(item_word[j]), "doc_word": a, "words": int(length[j])})
-                    hits[i].append([a, a + int(length[j])])
-                for i in np.unique(d):
-                    merged: list[list[int]] = []
-                    for a, b in sorted(hits[i]):
-                        if merged and a <= merged[-1][1]:
-                            merged[-1][1] = max(merged[-1][1], b)
-                        else:
-                            merged.append([a, b])
-                    hits[i] = merged
+                # By text and item the longest match first, of equal ones the first in the text.
+                order = np.lexsort([item_word, doc_word, -length, item, d])
+                d, item, item_word, doc_word, length = (x[order] for x in (d, item, item_word, doc_word, length))
+                best = np.flatnonzero((np.diff(d, prepend=-1) != 0) | (np.diff(item, prepend=-1) != 0))
+                for j in best.tolist():
+                    matches[d[j]].append({"item_id": own.ids[item[j]], "item_word": int(item_word[j]), "doc_word": int(doc_word[j]), "words": int(length[j])})
+                places = places[np.argsort(places[:, 0], kind="stable")]
+                edge = np.flatnonzero(np.diff(places[:, 0], prepend=-1))
+                for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(places)], strict=True):
+                    i = int(places[a, 0])
+                    hits[i] = _merged(hits[i] + places[a:b, 1:].tolist())
+                    if len(matches[i]) > 1:
+                        matches[i] = _longest(matches[i])
                 columns["hits"] = pa.array(hits, batch.schema.field("hits").type)
                 columns["matches"] = pa.array(matches, batch.schema.field("matches").type)
             yield pa.RecordBatch.from_arrays([columns[c] for c in batch.schema.names], schema=batch.schema)
@@ -204,10 +272,20 @@ def _scan(docs: DataFrame, index: Index, window: int) -> DataFrame:
     return docs.mapInArrow(scan, schema)
 
 
+def _longest(matches: list[dict]) -> list[dict]:
+    """One match an item_id; pieces, passes and rows of one item_id may have given several."""
+    best: dict[str, dict] = {}
+    for m in matches:
+        old = best.get(m["item_id"])
+        if old is None or (-m["words"], m["doc_word"], m["item_word"]) < (-old["words"], old["doc_word"], old["item_word"]):
+            best[m["item_id"]] = m
+    return [best[k] for k in sorted(best)]
+
+
 def document_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     found = find(docs.select("doc_id", "text"), benchmark)
-    items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
+    items = F.array_sort(F.transform("matches", lambda m: m["item_id"]))
     return found.select(
         "doc_id",
         "n_words",
