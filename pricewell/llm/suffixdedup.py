@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .common import blocks, narrow_join, utf8, written
-from .regions import Spec, copies, emit, firsts, identified, repeats
+from .regions import Spec, copies, emit, firsts, identified, regions_of, repeats, spread_of
 
 SPEC = Spec("bytes", 200, 32)
 #: The cover's period. Suffixes are told apart by their first PERIOD bytes, then by ranks of cover places (RANKED bytes deep), then by the last bytes.
 PERIOD, RANKED = 32, 160
-#: Bytes of regions that one block sorts, about; a sample with more regions than HOT_REGIONS is counted by digests instead.
-BLOCK, HOT_REGIONS = 1 << 20, 2048
+#: Bytes of regions that one block sorts, about; a bucket of more regions than MOST_REGIONS is split by longer sampled grams, of GRAMS bytes in turn.
+BLOCK, MOST_REGIONS = 1 << 20, 2048
+GRAMS = (64, 128, 200)
 
 
 def _cover(period: int) -> list[int]:
@@ -146,8 +147,10 @@ class Block:
         return times[rank] > 1
 
 
-def _bytes_of(spec: Spec, text: bytes, values: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[bytes]:
-    return [text[a : a + n + spec.length - 1] for a, n in zip(start.tolist(), size.tolist(), strict=True)]
+def _bodies(spec: Spec, text: bytes, start: np.ndarray, size: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """Digests of the regions' bytes, and the bytes."""
+    own = [text[a : a + n + spec.length - 1] for a, n in zip(start.tolist(), size.tolist(), strict=True)]
+    return [K.digest(x) for x in own], own
 
 
 def _packed(pos: int, mask: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -225,45 +228,59 @@ def sort_buckets(regions: DataFrame, length: int) -> DataFrame:
     return regions.select(*BUCKET).repartition("sample").sortWithinPartitions("sample", "digest", "o", "t", "pos").mapInArrow(run, SPANS)
 
 
-def _hot_windows(regions: DataFrame, length: int) -> DataFrame:
-    """The same for samples with very many distinct regions: their windows are counted by a hash, which spreads and combines before the shuffle."""
+def _split(regions: DataFrame, spec: Spec) -> DataFrame:
+    """The same windows in regions of a longer sampled gram. Equal windows have the same longer sample too, so they meet again."""
+    schema = "o long, t long, pos int, m int, sample long, digest binary, inner boolean, at int, body binary"
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bodies = batch.column("body").to_pylist()
-            h = [K.mix(K.windows(K.TABLE[np.frombuffer(x, np.uint8)], length)) for x in bodies]
-            n = [len(x) for x in h]
-            rep = lambda c: pa.array(np.repeat(batch.column(c).to_numpy(), n))
-            pos = np.repeat(batch.column("pos").to_numpy(), n) + np.concatenate([np.arange(k) for k in n] or [np.zeros(0, int)])
-            yield pa.RecordBatch.from_arrays([rep("o"), rep("t"), pa.array(pos, pa.int32()), rep("sample"), pa.array(np.concatenate(h or [np.zeros(0, np.uint64)]).view(np.int64))], names=["o", "t", "pos", "sample", "h"])
-
-    wins = written(regions.select("o", "t", "pos", "sample", "body").mapInArrow(explode, "o long, t long, pos int, sample long, h long"), "suffix-hot")
-    once = wins.groupBy("sample", "h").agg(F.count("*").alias("n"), F.min(F.struct("o", "t", "pos")).alias("f")).where("n = 1").select("f.*")
-    hit = wins.join(once, ["o", "t", "pos"], "left_anti")
-    return hit.select("o", "t", F.array(F.struct("pos", (F.col("pos") + length).cast("int").alias("end"))).alias("spans"))
-
-
-def _hot_spans(often: DataFrame, distinct: DataFrame, spec: Spec) -> DataFrame:
-    """The repeated windows of frequent samples. An occurrence of a region that occurs again is repeated whole; places are unique, so these joins are even."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, bodies in blocks(batches, "body"):
+            out: list[list] = [[] for _ in range(9)]
+            for o, t, pos, body in zip(*(batch.column(c).to_pylist() for c in ("o", "t", "pos")), bodies, strict=True):
+                values = K.TABLE[np.frombuffer(body, np.uint8)]
+                start, size, sample, grams = regions_of(spec, values)
+                digests, own = _bodies(spec, body, start, size)
+                spread = spread_of(grams)
+                for a, n, x, d, b in zip(start.tolist(), size.tolist(), sample, digests, own, strict=True):
+                    same = spread[a : a + n + spec.length - spec.gram] == x
+                    for c, v in zip(out, (o, t, pos + a, n, int(x.view(np.int64)), d, int(np.count_nonzero(same)) > 1, int(same.argmax()), b), strict=True):
+                        c.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.bool_(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["o", "t", "pos", "m", "sample", "digest", "inner", "at", "body"])
+
+    return regions.select("o", "t", "pos", "body").mapInArrow(run, schema)
+
+
+def _spans(found: DataFrame, spec: Spec, grams: tuple[int, ...]) -> DataFrame:
+    """o, t, spans of the repeated windows of regions.
+
+    Counts of equal regions combine before the shuffle and tell which buckets are too large to be sorted at once. Of these, equal regions
+    collapse first: all occurrences but those of a region that occurs once are repeated whole (told by their places, so a frequent region is no
+    skew). The distinct ones are split into buckets of a longer gram, and so on; with the last, a bucket's windows have one hash of all their bytes.
+    """
     key = ["o", "t", "pos"]
-    first = written(distinct.select("n", "f.*"), "suffix-firsts")
+    distinct = written(found.groupBy("sample", "digest").agg(F.count("*").alias("n"), F.min(F.struct(*key)).alias("f")), "suffix-distinct")
+    large = written(distinct.groupBy("sample").agg(F.sum("n").alias("rows")).where(F.col("rows") > MOST_REGIONS).select("sample"), "suffix-large")
+    if not large.limit(1).count():
+        return sort_buckets(found, spec.length)
+    small = sort_buckets(narrow_join(found, large, "sample", "left_anti"), spec.length)
+    often = narrow_join(found, large, "sample", "left_semi")
+    first = written(narrow_join(distinct, large, "sample", "left_semi").select("n", "f.*"), "suffix-firsts")
     whole = often.select(*key, "m").join(first.where("n = 1").select(*key), key, "left_anti")
     whole = whole.select("o", "t", F.array(F.struct("pos", (F.col("pos") + F.col("m") + (spec.length - 1)).cast("int").alias("end"))).alias("spans"))
-    return whole.unionByName(_hot_windows(often.join(first.select(*key), key), spec.length))
+    own = often.join(first.select(*key), key, "left_semi")
+    if grams:
+        longer = Spec(spec.unit, spec.length, grams[0])
+        rest = _spans(written(_split(own, longer), "suffix-split"), longer, grams[1:])
+    else:
+        rest = sort_buckets(own, spec.length)
+    return small.unionByName(whole).unionByName(rest)
 
 
 def repeated_spans(rows: DataFrame, slim: DataFrame, marked: DataFrame, spec: Spec = SPEC) -> DataFrame:
     """o, t, spans: (start, end) in bytes of all windows that occur more than once among the distinct texts."""
     units = slim.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    found = written(emit(firsts(rows, marked), spec, units, "body binary", _bytes_of), "suffix-regions")
-    # Counts of distinct regions combine before the shuffle; they tell which samples are too frequent for one bucket.
-    distinct = written(found.groupBy("sample", "digest").agg(F.count("*").alias("n"), F.min(F.struct("o", "t", "pos")).alias("f")), "suffix-distinct")
-    hot = written(distinct.groupBy("sample").agg(F.sum("n").alias("rows")).where(F.col("rows") > HOT_REGIONS).select("sample"), "suffix-hot")
-    if not hot.limit(1).count():
-        spans = sort_buckets(found, spec.length)
-    else:
-        often = narrow_join(found, hot, "sample", "left_semi")
-        spans = sort_buckets(narrow_join(found, hot, "sample", "left_anti"), spec.length).unionByName(_hot_spans(often, narrow_join(distinct, hot, "sample", "left_semi"), spec))
+    found = written(emit(firsts(rows, marked), spec, units, "body", _bodies), "suffix-regions")
+    spans = _spans(found, spec, GRAMS)
     return written(spans.groupBy("o", "t").agg(F.flatten(F.collect_list("spans")).alias("spans")), "suffix-spans")
 
 
@@ -275,7 +292,8 @@ def remove_repeats(docs: DataFrame, spec: Spec = SPEC) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes left).
 
     A byte goes if a string of 200 bytes that covers it starts anywhere else too. Texts are compared as UTF-8, matches stay in a document;
-    a null text is empty. Rows of one text are copies of each other, repeated rows too, whatever their doc_id.
+    a null text is empty. Rows of one text are copies of each other, repeated rows too, whatever their doc_id (null ones too). doc_id must be an
+    integer (a string of digits is read as one); columns beside doc_id and text are not used, whatever their names. A very long text is one block.
     """
     rows = identified(docs)
     slim, marked = copies(rows)
