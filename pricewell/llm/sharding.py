@@ -14,13 +14,15 @@ def byte_shards(rows: DataFrame, order: list[str], size: str, shards: int, parts
 
     Rows are range-partitioned by `order`, each partition sums its sizes, the prefix sum over the partitions' totals gives each
     partition its offset, and a row belongs to the shard in whose equal share of all bytes its middle byte lies. A shard differs
-    from the equal share by less than one row at either end. Nulls sort first; ties in `order` share a partition, so give columns that tell rows apart
-    (rows alike in all of them are interchangeable). Size must be positive and not null. An empty table gives an empty table.
+    from the equal share by less than one row at either end. Nulls sort first; rows alike in all of `order` are interchangeable and are spread by a hash
+    of their place in the input, so that a third of all rows may be alike. Size must be positive and not null. An empty table gives an empty table.
     """
     spark = rows.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # The written table fixes which row is in which partition: a repeated task can't deal them differently.
-    dealt = written(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "shard-rows")
+    order = [*order, "_tie"]
+    tied = rows.withColumn("_tie", F.xxhash64(F.monotonically_increasing_id()))
+    dealt = written(tied.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "shard-rows")
     totals = dealt.groupBy("_part").agg(F.sum(size).alias("_bytes"), F.count("*").alias("_rows"))
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
@@ -39,7 +41,7 @@ def byte_shards(rows: DataFrame, order: list[str], size: str, shards: int, parts
         .withColumn("_global", F.col("_rows0") + F.col("_row") - 1)
     )
     firsts = placed.groupBy("shard").agg(F.min("_global").alias("_first"))  # one row a shard
-    return placed.join(F.broadcast(firsts), "shard").withColumn("slot", F.col("_global") - F.col("_first")).drop("_part", "_upto", "_row", "_bytes0", "_rows0", "_total", "_global", "_first")
+    return placed.join(F.broadcast(firsts), "shard").withColumn("slot", F.col("_global") - F.col("_first")).drop("_part", "_tie", "_upto", "_row", "_bytes0", "_rows0", "_total", "_global", "_first")
 
 
 def _share(before: Column, size: Column, total: Column, shards: int) -> Column:
@@ -50,7 +52,7 @@ def _share(before: Column, size: Column, total: Column, shards: int) -> Column:
 def document_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
     """doc_id, size (UTF-8 bytes and one more), text_crc32, law, shard, slot, grown_shard; in order of doc_id, then text.
 
-    Null text counts as empty (size 1, CRC 0); a null doc_id comes first.
+    Null text counts as empty (size 1, CRC 0); a null doc_id comes first. Columns beside doc_id and text are not used, whatever their names.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
