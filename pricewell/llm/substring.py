@@ -10,35 +10,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import blocks, narrow_join, utf8, written
+from .common import blocks, dealt_join, narrow_join, utf8, written
 from .regions import Spec, copies, emit, firsts, identified
 
 SPEC = Spec("words", 20, 8)
 
 
-def _window_hashes(spec: Spec, text: bytes, values: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
-    h = K.mix(K.windows(values, spec.length)).view(np.int64)
-    return [h[a : a + n] for a, n in zip(start, size, strict=True)]
+def _windows(spec: Spec, text: bytes, start: np.ndarray, size: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """Digests of the regions' words, and of their windows one after another."""
+    words, whole, each = text.split(), [], []
+    for a, n in zip(start.tolist(), size.tolist(), strict=True):
+        whole.append(K.digest(b" ".join(words[a : a + n + spec.length - 1])))
+        each.append(b"".join([K.digest(b" ".join(words[i : i + spec.length])) for i in range(a, a + n)]))
+    return whole, each
 
 
 def removed_spans(rows: DataFrame, slim: DataFrame, marked: DataFrame, spec: Spec = SPEC) -> DataFrame:
     """o, t, spans: array of (start, end) in words of the windows that occur earlier, for documents that have any; of equal texts the first only.
 
-    Regions are grouped by (sample, digest): every occurrence but the first is removed whole. A window inside a first region may still
+    A window's estimate is that of its sampled gram, which occurs at least as often. Regions are grouped by (sample, digest): every occurrence but the first is removed whole. A window inside a first region may still
     occur in an earlier region of the same sample, or earlier in its own, so windows of samples with several distinct regions, or with one
-    that holds the sample twice, are grouped by their own hash.
+    that holds the sample twice, are grouped by their own digest. Digests are of 128 bits, of the words themselves.
     """
     units = slim.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0] // 5  # words are longer
-    found = written(emit(firsts(rows, marked), spec, units, "wins array<long>", _window_hashes), "sub-regions")
+    found = written(emit(firsts(rows, marked), spec, units, "wins", _windows), "sub-regions")
     first = found.groupBy("sample", "digest").agg(F.min(F.struct("o", "t", "pos")).alias("f"), F.max("inner").alias("inner"))
     first = written(first.select("sample", "inner", F.col("f.o").alias("o"), F.col("f.t").alias("t"), F.col("f.pos").alias("pos")), "sub-firsts")
     again = found.select("o", "t", "pos", "m").join(first.select("o", "t", "pos"), ["o", "t", "pos"], "left_anti")
-    several = first.groupBy("sample").agg(F.count("*").alias("n"), F.max("inner").alias("inner")).where("n > 1 or inner").select("sample")
-    open_ = first.join(several, "sample").select("o", "t", "pos")
-    wins = found.select("o", "t", "pos", "sample", "wins").join(open_, ["o", "t", "pos"], "left_semi")
-    wins = wins.select("o", "t", "sample", "pos", F.posexplode("wins").alias("j", "h")).select("o", "t", (F.col("pos") + F.col("j")).alias("pos"), "sample", "h").distinct()
+    several = written(first.groupBy("sample").agg(F.count("*").alias("n"), F.max("inner").alias("inner")).where("n > 1 or inner").select("sample", "n"), "sub-samples")
+    open_ = dealt_join(first, several, "sample", ["o", "t", "pos"]).select("o", "t", "pos")
+    wins = found.select("o", "t", "pos", "wins").join(open_, ["o", "t", "pos"], "left_semi")
+    wins = wins.withColumn("j", F.explode(F.sequence(F.lit(0), (F.length("wins") / 16).cast("int") - 1)))
+    wins = wins.select("o", "t", (F.col("pos") + F.col("j")).alias("pos"), F.substring("wins", F.col("j") * 16 + 1, F.lit(16)).alias("h")).distinct()
     wins = written(wins, "sub-windows")
-    ahead = wins.groupBy("sample", "h").agg(F.min(F.struct("o", "t", "pos")).alias("f")).select("f.*")
+    ahead = wins.groupBy("h").agg(F.min(F.struct("o", "t", "pos")).alias("f")).select("f.*")
     # Places are unique, so this join is even where a window occurs in very many documents.
     later = wins.select("o", "t", "pos").join(ahead, ["o", "t", "pos"], "left_anti").select("o", "t", "pos", F.lit(1).alias("m"))
     spans = again.unionByName(later).distinct().select("o", "t", F.struct("pos", (F.col("pos") + F.col("m") + (spec.length - 1)).alias("end")).alias("span"))
@@ -49,7 +54,8 @@ def dedup_windows(docs: DataFrame, spec: Spec = SPEC) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, joined by a space, as bytes).
 
     A word goes if a window of 20 words that covers it also starts earlier: in a smaller doc_id, or earlier in the same document. Documents of one
-    doc_id are ordered by a hash of their text; rows alike in both are one document. A null doc_id comes last; null texts have no words.
+    doc_id are ordered by a hash of their text; rows alike in both are one document. A null doc_id comes last; null texts have no words. doc_id must be
+    an integer (a string of digits is read as one); columns beside doc_id and text are not used, whatever their names. A very long text is one block.
     """
     rows = identified(docs)
     slim, marked = copies(rows)
