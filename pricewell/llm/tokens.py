@@ -1,9 +1,8 @@
-"""Token counts by a two-tier lookup on the map side: frequent pre-tokens from a broadcast table, the rest through worker caches."""
+"""Token counts by a two-tier lookup on the map side: frequent pre-tokens from a broadcast table, the rest through worker caches; nothing is shuffled."""
 
 from __future__ import annotations
 
 import os
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,12 +11,14 @@ from pyspark.sql import functions as F
 
 from .common import blocks, utf8
 
-#: Pre-tokens in the broadcast table; those that one task proposes; those that a worker remembers beside them.
-FREQUENT, PROPOSED, REMEMBERED = 32_768, 8_192, 300_000
+#: Pre-tokens that a worker remembers beside the broadcast table.
+REMEMBERED = 1_000_000
 #: Bytes above which a pre-token is encoded each time it occurs.
 LONGEST = 64
 
+#: Of this process, which runs many tasks: tokenizers by path, and lengths of pre-tokens by path.
 _loaded: dict[str, object] = {}
+_met: dict[str, dict[bytes, int]] = {}
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -42,25 +43,16 @@ def _length(path: str, word: bytes) -> int:
     return len(_tokenizer(path).encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
 
 
-def frequent(docs: DataFrame, path: str) -> dict[bytes, int]:
-    """Token counts of at most FREQUENT pre-tokens that tasks see most often; it bears on speed alone.
+def frequent(path: str) -> dict[bytes, int]:
+    """Token counts of the frequent pre-tokens: the whole words among the vocabulary's entries.
 
-    Each task counts all its pre-tokens in bounded memory (rare ones are forgotten now and then) and proposes its PROPOSED most
-    frequent ones. Only these proposals are shuffled.
+    The vocabulary holds what was frequent when it was made, so the table is as large as it (49,000 entries at most here) and needs no pass over
+    the documents. The lengths are the library's. The table bears on speed alone.
     """
-
-    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
-        for _, texts in blocks(batches):
-            for x in texts:
-                seen.update(x.split())
-            if len(seen) > REMEMBERED:
-                seen = Counter(dict(seen.most_common(REMEMBERED // 3)))
-        best = [(w, n) for w, n in seen.most_common(PROPOSED) if len(w) <= LONGEST]
-        yield pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in best], pa.binary()), "n": pa.array([n for _, n in best], pa.int64())})
-
-    top = docs.select("text").mapInArrow(propose, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(FREQUENT)
-    return {bytes(r.word): _length(path, bytes(r.word)) for r in top.collect()}
+    end = "</w>"
+    words = sorted(w[: -len(end)] for w in _tokenizer(path).get_vocab() if w.endswith(end) and len(w) > len(end) and w.isascii())
+    encoded = [w.encode() for w in words]
+    return {w: _length(path, w) for w in encoded if w.split() == [w] and len(w) <= LONGEST}
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 2048) -> DataFrame:
@@ -68,17 +60,16 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 2048) ->
 
     The tokenizer drops white space and no token crosses it, so a text has the tokens of its words between ASCII white space; each
     such word goes whole through the library once a worker (special strings in it as the library handles them). Null and empty
-    texts have no tokens. Other columns pass through; columns named as the three new ones are replaced.
+    texts have no tokens. Other columns pass through; columns named as the three new ones are replaced. A very long text is counted word by word.
     """
     path = path or vocabulary()
-    table = docs.sparkSession.sparkContext.broadcast(frequent(docs, path))
+    table = docs.sparkSession.sparkContext.broadcast(frequent(path))
     docs = docs.drop("n_bytes", "n_tokens", "over_limit")
     kept = [c for c in docs.columns if c != "text"]
     schema = docs.select(*kept).withColumns({"n_bytes": F.lit(0).cast("long"), "n_tokens": F.lit(0).cast("long"), "over_limit": F.lit(True)}).schema
-    miss_cache: dict[bytes, int] = {}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, own = table.value, miss_cache
+        known, own = table.value, _met.setdefault(path, {})
         for batch, texts in blocks(batches):
             totals = []
             for x in texts:
