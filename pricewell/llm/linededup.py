@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dealt_join, written
 
-#: A line is boilerplate on a host if it is on over RATIO of its pages, and on MIN_PAGES pages at least.
-RATIO, MIN_PAGES = 0.3, 3
-#: A host's pages are dealt over this many tasks when they meet its boilerplate lines.
-SALTS = 16
+#: A line is boilerplate on a host if it is on over RATIO of its pages, and on MIN_PAGES pages at least: on the only page of a host every
+#: line is on all pages, which tells nothing about it.
+RATIO, MIN_PAGES = 0.3, 2
 #: How markup becomes lines; replacements in this order.
 MARKUP = (
     (r"(?is)<(script|style)\b.*?</(script|style)>", ""),
@@ -41,22 +40,26 @@ def lines_of(html: str = "html") -> Column:
 
 
 def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """host, lines: what is on more than `ratio` of the host's pages; pages has host and lines.
+    """host, boiler, n (the host's pages): the lines on more than `ratio` of the host's pages; pages has host and lines.
 
     A host has at most its mean number of lines a page / ratio such lines, so a host's array is bounded by its pages, not by its size.
     """
     total = pages.groupBy("host").agg(F.count("*").alias("pages"))
     on = pages.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
     often = on.where(F.col("n") >= min_pages).join(total, "host").where(F.col("n") > F.lit(ratio) * F.col("pages"))
-    return often.groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("boiler"))
+    return often.groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("boiler"), F.max("pages").alias("n"))
 
 
 def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """page_id, host, n_lines, n_dropped, kept (the lines left, in order). Repeated rows are pages of their own; pages without a host share the empty host."""
+    """page_id, host, n_lines, n_dropped, kept (the lines left, in order).
+
+    Lines on more than `ratio` of their host's pages go, if they are on `min_pages` pages at least; its default of 2 spares hosts of one page, whose
+    lines are all on every page. Repeated rows are pages of their own; pages without a host (or url) share the empty host, a null html has no
+    lines. A host's pages meet its boilerplate lines in as many tasks as its share of all pages asks for. Columns beside page_id, url and html are
+    not used, whatever their names. A very long page is one row, handled by expressions of its lines.
+    """
     own = written(pages.select("page_id", host_of().alias("host"), lines_of().alias("lines")), "pages")
-    rare = boilerplate(own, ratio, min_pages).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = own.withColumn("salt", F.pmod(F.xxhash64("page_id", F.size("lines")), F.lit(SALTS)).cast("int"))
-    both = dealt.join(rare, ["host", "salt"], "left")
+    both = dealt_join(own, boilerplate(own, ratio, min_pages), "host", ["page_id", "lines"], "left")
     kept = F.when(F.col("boiler").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains(F.col("boiler"), x)))
     both = both.withColumn("kept", kept)
     return both.select("page_id", "host", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"), "kept")
