@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, narrow_join, utf8, written
+from . import kernels as K
+from .common import BLOCK_BYTES, blocks, dealt_join, narrow_join, utf8, written
 from .regions import copies, firsts, identified, repeats
 
 #: Payloads are padded with spaces to a multiple of FRAME bytes; the stored form is a WAV file of 8-bit samples.
@@ -66,10 +67,6 @@ def chunks(media: bytes) -> list[bytes]:
     return [media[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
-def _digest(chunk: bytes) -> bytes:
-    return hashlib.blake2b(chunk, digest_size=16).digest()
-
-
 def features(samples: bytes) -> str:
     """Loudness and shape of the samples, all whole numbers: mean, mean power about it, crossings of the middle line, least and greatest sample."""
     x = np.frombuffer(samples, np.uint8).astype(np.int64)
@@ -85,13 +82,14 @@ def shared_chunks(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in blocks(batches):
-            digests = [[_digest(c) for c in chunks(wav(payload_of(x)))[1:]] for x in texts]
+            digests = [[K.digest(c) for c in chunks(wav(payload_of(x)))[1:]] for x in texts]
             yield pa.RecordBatch.from_arrays([batch.column("o"), batch.column("t"), pa.array(digests, pa.list_(pa.binary()))], names=["o", "t", "digests"])
 
     lists = written(rows.select("o", "t", utf8().alias("text")).mapInArrow(run, "o long, t long, digests array<binary>"), "media-lists")
     each = lists.select("o", "t", F.posexplode("digests").alias("place", "digest")).withColumn("place", F.col("place") + 1)
     first = each.groupBy("digest").agg(F.count("*").alias("copies"), F.min(F.struct("o", "t", "place")).alias("first")).where("copies > 1")
-    marks = each.join(first, "digest").select("o", "t", F.struct("place", (F.struct("o", "t", "place") == F.col("first")).alias("owned"), F.col("copies").cast("int").alias("copies")).alias("mark"))
+    first = written(first, "media-owners").withColumn("n", F.col("copies"))
+    marks = dealt_join(each, first, "digest", ["o", "t", "place"]).select("o", "t", F.struct("place", (F.struct("o", "t", "place") == F.col("first")).alias("owned"), F.col("copies").cast("int").alias("copies")).alias("mark"))
     return written(marks.groupBy("o", "t").agg(F.sort_array(F.collect_list("mark")).alias("marks")), "media-marks")
 
 
@@ -105,7 +103,7 @@ def chunk_store(rows: DataFrame) -> DataFrame:
             sizes, hashes = [], []
             for x, own in zip(texts, marks, strict=True):
                 media = wav(payload_of(x))
-                row = [{"digest": _digest(c), "size": len(c), "copies": 1, "data": c} for c in chunks(media)]
+                row = [{"digest": K.digest(c), "size": len(c), "copies": 1, "data": c} for c in chunks(media)]
                 for m in own or ():
                     row[m["place"]]["copies"] = m["copies"]
                     if not m["owned"]:
@@ -138,8 +136,11 @@ def read_back(store: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                yield verified(batch.slice(at, 256))
+            # Slices of about BLOCK_BYTES of media; a longer one is a slice of its own.
+            part = np.cumsum(batch.column("media_bytes").to_numpy()) // BLOCK_BYTES
+            cut = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cut, cut[1:], strict=False):
+                yield verified(batch.slice(a, b - a))
 
     def verified(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[list] = [[] for _ in range(6)]
@@ -164,12 +165,14 @@ def document_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
 
     Each distinct text is stored and read once; its copies take its values. A null text is empty, an empty one has a payload of one frame of spaces.
+    Rows without doc_id and repeated rows are documents like others. doc_id must be an integer (a string of digits is read as one); columns beside
+    doc_id and text are not used, whatever their names. A very long text is one block of a task, its chunks are of MOST bytes at most.
     """
     rows = identified(docs)
     slim, marked = copies(rows)
     own = firsts(rows, marked)
     store = chunk_store(own.dropDuplicates(["o", "t"]) if repeats(slim) else own)
     result = written(read_back(store), "media-result")
-    first = slim.groupBy("digest").agg(F.min(F.struct("o", "t")).alias("f"))
-    by_text = first.select("digest", F.col("f.o").alias("o"), F.col("f.t").alias("t")).join(result, ["o", "t"]).drop("o", "t")
-    return slim.join(by_text, "digest").select(F.col("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    first = slim.groupBy("digest").agg(F.min(F.struct("o", "t")).alias("f"), F.count("*").alias("n"))
+    by_text = first.select("digest", "n", F.col("f.o").alias("o"), F.col("f.t").alias("t")).join(result, ["o", "t"]).drop("o", "t")
+    return dealt_join(slim, by_text, "digest", ["o", "t"]).select(F.col("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
