@@ -25,7 +25,6 @@ LABELS = ("low", "toxic")
 #: Posteriors from which a document is rejected. Single words make weak cases of toxicity, so that one asks for more.
 REJECT = {"low": 0.9, "toxic": 0.98}
 
-_SPACED = bytes(32 if K.NONWORD[c] else c for c in K.LOWER)
 _SIGNS = frozenset(b"%*#$&")
 
 
@@ -45,7 +44,7 @@ def features(text: bytes) -> tuple[set[bytes], set[bytes]]:
         b"|twice %d" % _level(sum(map(bytes.__eq__, tokens, tokens[1:])) / n),
         b"|kinds %d" % int(kinds / n * 10),
     }
-    return layout, set(text.translate(_SPACED).split())
+    return layout, set(text.translate(K.SPACED).split())
 
 
 def sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
