@@ -57,37 +57,115 @@ def test_stored_media_are_verified(spark, docs):
         media.read_back(store).collect()
 
 
-def test_minhash(docs, rows, none):
-    sets = {}
-    for r in rows:
-        if r[0] is not None:
-            w = SPACE.findall(lower(r[1]))
-            sets[r[0]] = set(zip(w, w[1:])) if len(w) > 1 else {tuple(w)} - {()}
-    ids = sorted(sets)
-    parent = {i: i for i in ids}
+def groups_by_hand(keys, sets, percent=80):
+    """The least place reachable for each document, by comparing all pairs."""
+    parent = list(range(len(keys)))
 
     def find(a):
         while parent[a] != a:
             a = parent[a]
         return a
 
-    for i in ids:
-        for j in ids:
+    for i in range(len(keys)):
+        for j in range(i):
             both = len(sets[i] & sets[j])
-            if i < j and both and 100 * both >= 80 * len(sets[i] | sets[j]):
+            if both and 100 * both >= percent * len(sets[i] | sets[j]):
                 a, b = sorted((find(i), find(j)))
                 parent[b] = a
-    out = minhash.document_groups(docs).collect()
-    assert len(out) == len(rows)
-    for r in out:
-        if r.doc_id is None:
-            assert r.component_id is None and r.kept
+    return [find(i) for i in range(len(keys))]
+
+
+def shingles_of(text, k):
+    w = SPACE.findall(lower(text))
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} - {()}
+
+
+def test_minhash(docs, rows, none):
+    sets = [shingles_of(r[1], 2) for r in rows]
+    group = groups_by_hand(rows, sets)
+    # Rows of one doc_id share its component_id: groups that hold one doc_id have the least id of them all.
+    least = {}
+    for r, g, s in zip(rows, group, sets):
+        if r[0] is not None and s:
+            least[g] = min(least.get(g, r[0]), r[0])
+    for _ in range(5):
+        for i in {r[0] for r in rows if r[0] is not None}:
+            own = [g for r, g, s in zip(rows, group, sets) if r[0] == i and s]
+            for g in own:
+                least[g] = min(least[x] for x in own)
+    want = Counter()
+    for r, g, s in zip(rows, group, sets):
+        component = least.get(g) if s else r[0]
+        if r[0] is not None:
+            want[(r[0], len(s), component, r[0] == component)] += 1
         else:
-            assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), find(r.doc_id), find(r.doc_id) == r.doc_id)
+            want[(None, len(s), component, component is None)] += 1
+    assert got(minhash.document_groups(docs), "doc_id", "n_shingles", "component_id", "kept") == want
+    assert any(k[0] is None and k[2] == 60 for k in want)  # a copy without an id
     assert minhash.document_groups(none).count() == 0
+
+
+def test_one_of_each(spark, docs, rows):
     kept = minhash.one_of_each(docs)
     assert kept.columns == docs.columns
-    assert Counter(r.doc_id for r in kept.collect())[3] == 1
+    sets = [shingles_of(r[1], 5) for r in rows]
+    group = groups_by_hand(rows, sets)
+    out = [(r.doc_id, r.text) for r in kept.collect()]
+    assert len(out) == len({g for g, s in zip(group, sets) if s}) + sum(not s for s in sets)
+    for g in set(group):  # the least id of each group, none twice
+        own = [(r[0], r[1]) for r, x, s in zip(rows, group, sets) if x == g and s]
+        if own:
+            assert min(own, key=lambda x: big(x[0])) in out and sum((r in own) for r in out) == 1
+    lone = spark.createDataFrame([(None, "a b c d e f g h"), (None, "a b c d e f g h"), (None, "x y z"), (None, None), (None, None)], "doc_id long, text string")
+    assert Counter(r.text for r in minhash.one_of_each(lone).collect()) == Counter(["a b c d e f g h", "x y z", None, None])
+
+
+def test_template_family(spark):
+    """Pairs in a family of templates below the threshold, hidden among three crowds that share their buckets."""
+    rnd = np.random.default_rng(4)
+    word = lambda n: [f"w{x}" for x in rnd.integers(1 << 40, size=n)]
+    shared = word(600)
+    texts = [shared + word(72) for _ in range(2)]
+    for _ in range(3):
+        crowd = word(50)
+        texts += [shared + crowd + word(82) for _ in range(60)]
+    sets = [set(x) for x in texts]
+    want = groups_by_hand(texts, sets)
+    assert want[0] == want[1] == 0
+    data = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    assert got(minhash.near_duplicates(data, minhash.Spec(words=1)), "doc_id", "component_id") == Counter(enumerate(want))
+
+
+def thue_morse(n):
+    x = "a"
+    while len(x) < n:
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x, x.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_of_equal_polynomial_hashes_differ(spark):
+    """The two words collide under every polynomial hash modulo a power of two."""
+    one, two = thue_morse(1024)
+    around = [f"w{i}" for i in range(19)]
+    data = spark.createDataFrame([(0, one), (1, two), (2, " ".join([*around, one])), (3, " ".join([*around, two]))], "doc_id long, text string")
+    assert [r.component_id for r in minhash.document_groups(data).orderBy("doc_id").collect()][:2] == [0, 1]
+    items = spark.createDataFrame([(1, one)], "item_id long, text string")
+    assert got(decontam.document_hits(data, items), "doc_id", "n_hit") == Counter({(0, 1): 1, (1, 0): 1, (2, 1): 1, (3, 0): 1})
+    assert got(substring.document_windows(data), "doc_id", "n_removed") == Counter({(i, 0): 1 for i in range(4)})
+    runs = spark.createDataFrame([(0, " ".join(one[:300])), (1, " ".join(two[:300])), (2, one), (3, two)], "doc_id long, text string")
+    assert got(suffixdedup.document_suffixes(runs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == suffixes_by_hand(list(map(tuple, runs.collect())))
+
+
+def test_exact_sets():
+    rnd = np.random.default_rng(8)
+    texts = [" ".join(rnd.choice(list("abc"), rnd.integers(0, 40))) for _ in range(60)]
+    for k in (1, 2, 3, 5, 7):
+        sets = minhash.exact_sets(minhash.Spec(words=k), [t.encode() for t in texts])
+        real = [shingles_of(t, k) for t in texts]
+        for i in range(60):
+            assert len(sets[i]) == len(real[i])
+            for j in range(i):
+                assert len(np.intersect1d(sets[i], sets[j])) == len(real[i] & real[j])
 
 
 def test_signature_estimates_similarity():
@@ -133,15 +211,27 @@ def test_mixing(docs, rows, none):
     assert mixing.document_mix(none).count() == 0
 
 
+def taken_per_source(data):
+    """(target, words taken) of each source."""
+    per = {}
+    for r in mixing.mix(mixing.slim(data)).collect():
+        per[r.source] = (r.target, per.get(r.source, (0, 0))[1] + r["size"] * r.copies)
+    return per
+
+
 def test_mixing_comes_near_and_agrees(spark):
     data = spark.range(6000).selectExpr("id as doc_id", "case when id % 3 = 0 then 'hot' else concat('s', id % 7) end as source", "repeat('w ', int(1 + id % 50)) as text")
     one, two = (sorted(map(tuple, mixing.document_mix(x).collect())) for x in (data, data.repartition(5)))
     assert one == two
-    per = {}
-    for r in mixing.document_mix(data).join(data.select("doc_id", "source"), "doc_id").collect():
-        goal, taken = per.get(r.source, (r.target, 0))
-        per[r.source] = (goal, taken + r.taken)
-    assert all(abs(goal - taken) <= 50 for goal, taken in per.values())
+    assert all(abs(goal - taken) <= 50 for goal, taken in taken_per_source(data).values())
+
+
+def test_mixing_of_rows_alike(spark):
+    """Rows without ids, rows of one id and repeated rows are taken to the word, not all or none."""
+    data = spark.range(1500).selectExpr("case when id < 500 then id when id < 1000 then null else 7 end as doc_id", "concat('s', int(id / 500)) as source", "'three words here' as text")
+    one, two = (Counter(map(tuple, mixing.document_mix(x).collect())) for x in (data, data.repartition(5)))
+    assert one == two
+    assert all(abs(goal - taken) <= 3 for goal, taken in taken_per_source(data).values())
 
 
 def test_decontamination(docs, rows, bench, none):
@@ -175,10 +265,11 @@ def test_decontamination_passes_and_places(docs, bench, monkeypatch):
     monkeypatch.setattr(decontam, "PASS_BYTES", 120)
     assert got(decontam.document_hits(docs, bench), "doc_id", "n_hit", "items_sha256") == one
     texts = [b"a b c d e f g h i j k l m", b"z a b c d e f g h i j k q"]
-    index = decontam.index_of([(7, b"x a b c d e f g h i j k y")], 10)
-    n, (doc, item, item_word, doc_word, length) = decontam.search(texts, index, 10)
+    index = decontam.index_of([("7", b"x a b c d e f g h i j k y", 0)], 10)
+    n, spans, (doc, item, item_word, doc_word, length) = decontam.search(texts, index, 10)
     assert n.tolist() == [13, 13]
-    assert sorted(zip(doc.tolist(), item_word.tolist(), doc_word.tolist(), length.tolist())) == [(0, 1, 0, 11), (1, 1, 1, 11)]
+    assert sorted(map(tuple, spans.tolist())) == [(0, 0, 10), (0, 1, 11), (1, 1, 11), (1, 2, 12)]
+    assert set(zip(doc.tolist(), item_word.tolist(), doc_word.tolist(), length.tolist())) == {(0, 1, 0, 11), (1, 1, 1, 11)}
 
 
 def test_substring(docs, rows, none):
@@ -234,8 +325,8 @@ def test_suffixes(docs, rows, none):
     assert suffixdedup.document_suffixes(none).count() == 0
 
 
-def test_hot_samples_are_counted_alike(docs, rows, monkeypatch):
-    monkeypatch.setattr(suffixdedup, "HOT_REGIONS", 1)
+def test_large_buckets_are_split(docs, rows, monkeypatch):
+    monkeypatch.setattr(suffixdedup, "MOST_REGIONS", 1)
     assert got(suffixdedup.document_suffixes(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == suffixes_by_hand(rows)
 
 
