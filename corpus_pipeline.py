@@ -7,10 +7,9 @@ every stage's rows to the shared folder and reads them again, so a lost executor
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pricewell.llm import decontam, minhash, mixing, quality, sharding
-from pricewell.llm.common import few, masked, unmasked, written
+from pricewell.llm.common import written
 
 SHARDS = 16
 
@@ -32,10 +31,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, once or twice."""
-    taken = written(mixing.mix(mixing.slim(docs)).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "copies").distinct(), "pipeline-mix")
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
-    out = masked(docs, "doc_id", "source").join(F.broadcast(taken) if few(taken) else taken, on).where("copies > 0")
-    return unmasked(out.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))), docs.columns)
+    return mixing.mixed(docs)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
