@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,40 +14,82 @@ from . import kernels as K
 from . import minhash
 from .common import blocks, few, masked, narrow_join, unmasked, utf8, written
 
-#: Labelled rows to learn from, about; those with the least hashes of doc_id. Features kept, and the least deviation (in standard errors) that keeps one.
-SAMPLE, FEATURES, DEVIATION = 20_000, 20_000, 6.0
+#: Labelled rows to learn from, about; those with the least hashes of doc_id.
+SAMPLE = 20_000
+#: Features are hashed into 2 ** CELL_BITS cells, so what is learnt and broadcast has a fixed size. A cell bears on a label if LEAST sampled documents
+#: have it, if the labelled ones among them deviate by DEVIATION standard errors from what their lengths and languages let expect, and if its
+#: log likelihood ratio is EFFECT at least: many common words that each say next to nothing would add up.
+CELL_BITS, LEAST, DEVIATION, EFFECT = 20, 5, 6.0, 1.0
+#: Strata of that expectation: classes of length (powers of two) for each of LANGUAGES hashed languages; documents that the whole's rate counts as.
+LENGTHS, LANGUAGES, STRATUM_DOCS = 32, 8, 20.0
 #: Documents that a site's (or path's) own rate must outweigh.
 PRIOR_DOCS = 50.0
-#: Tokens of a block whose distinct ones are counted.
-BLOCK = 100
+#: Tokens of a block whose distinct ones are counted; words of a passage whose evidence is weighed as one.
+BLOCK, PASSAGE = 100, 1_000
 LABELS = ("low", "toxic")
 #: Posteriors from which a document is rejected. Single words make weak cases of toxicity, so that one asks for more.
-REJECT = {"low": 0.9, "toxic": 0.98}
+REJECT = {"low": 0.9, "toxic": 0.99}
 
-_SIGNS = frozenset(b"%*#$&")
+_UPPER, _DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
+_MARKS = bytes(c for c in range(33, 127) if not (48 <= c < 58 or 65 <= c < 91 or 97 <= c < 123))
+_ENDS = frozenset(_MARKS) - frozenset(b".,;:!?)\"'")
 
 
 def _level(share: float) -> int:
-    return 0 if share <= 0 else max(1, min(9, int(10 + math.log2(share))))
+    """Classes of a share by quarters: 0 below a 64th (long texts seldom have none at all), 3 from a quarter on."""
+    return 0 if share <= 0 else max(0, min(3, int(4 + math.log2(share) / 2)))
 
 
-def features(text: bytes) -> tuple[set[bytes], set[bytes]]:
-    """Layout features and lower-case words of a text."""
+def layout(text: bytes) -> list[bytes]:
+    """How a text is set, as shares that don't depend on its length: kinds of characters, of words and of lines.
+
+    Shares are of five words, or 25 bytes, more than there are, so that a text of a few words shows nothing extreme.
+    """
     tokens = text.split()
-    n = len(tokens) or 1
+    n, size = len(tokens) + 5, len(text) + 25
+    without = lambda some: (len(text) - len(text.translate(None, some))) / size
+    lines = [x for x in text.split(b"\n") if x]
     # By blocks, since the share of distinct tokens of a whole text falls with its length.
     kinds = sum(len(set(tokens[i : i + BLOCK])) for i in range(0, len(tokens), BLOCK))
-    layout = {
-        b"|pipe %d" % _level(tokens.count(b"|") / n),
-        b"|sign %d" % _level(sum(t[-1] in _SIGNS for t in tokens) / n),
+    return [
+        b"|upper %d" % _level(without(_UPPER)),
+        b"|digits %d" % _level(without(_DIGITS)),
+        b"|marks %d" % _level(without(_MARKS)),
+        b"|bare marks %d" % _level(sum(not t.translate(None, _MARKS) for t in tokens) / n),
+        b"|odd ends %d" % _level(sum(t[-1] in _ENDS for t in tokens) / n),
         b"|twice %d" % _level(sum(map(bytes.__eq__, tokens, tokens[1:])) / n),
-        b"|kinds %d" % int(kinds / n * 10),
-    }
-    return layout, set(text.translate(K.SPACED).split())
+        b"|kinds %d" % int((kinds + 5) / n * 5),
+        b"|word size %d" % (len(text) // (len(tokens) or 1)).bit_length(),
+        b"|same lines %d" % _level(sum(map(bytes.__eq__, lines, lines[1:])) / (len(lines) + 3)),
+    ]
+
+
+def _cells(features: set[bytes] | list[bytes]) -> np.ndarray:
+    return np.unique(K.word_hashes(list(features)) >> K.U(64 - CELL_BITS)).astype(np.int64)
+
+
+def cells(text: bytes) -> tuple[np.ndarray, int]:
+    """The cells of a text's layout features and lower-case words (each once, in order), and how many different words it has."""
+    words = set(text.translate(K.SPACED).split())
+    return _cells([*layout(text), *words]), len(words)
+
+
+def weighed(text: bytes, ratios: np.ndarray) -> tuple[float, float, int]:
+    """A text's log likelihood ratios of LABELS, and how many different words it has.
+
+    Words count once a passage. A text is of low quality as its passages are on the whole (their mean, by words), and toxic as its most toxic passage
+    is, so that neither grows with the text's length.
+    """
+    words = text.translate(K.SPACED).split()
+    parts = [words[i : i + PASSAGE] for i in range(0, len(words), PASSAGE)] or [[]]
+    each = np.array([ratios[_cells(set(p))].sum(axis=0) for p in parts])
+    low, toxic = ratios[_cells(layout(text))].sum(axis=0)
+    size = np.array([len(p) for p in parts])
+    return float(low + (each[:, 0] * size).sum() / max(1, size.sum())), float(toxic + each[:, 1].max()), len(set(words))
 
 
 def sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, low, toxic of about SAMPLE labelled documents without near copies of each other.
+    """doc_id, lang, text, low, toxic of about SAMPLE labelled documents without near copies of each other.
 
     Hundreds of copies of one labelled text would make each of its words look telling. A document stays if it has the least doc_id in all its
     MinHash buckets (5-word shingles), or has no shingles.
@@ -57,79 +98,76 @@ def sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = known.groupBy("doc_id").agg(F.max("low").alias("low"), F.max("toxic").alias("toxic"))
     share = min(1.0, SAMPLE / max(1, known.count()))
     known = written(known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))), "quality-labels")
-    rows = written(narrow_join(docs.select("doc_id", utf8().alias("text")), known, "doc_id", most=4 * SAMPLE), "quality-sample")
-    sets = minhash.signed(rows, minhash.Spec())
+    rows = written(narrow_join(docs.select("doc_id", "lang", utf8().alias("text")), known, "doc_id", most=4 * SAMPLE), "quality-sample")
+    sets = minhash.signed(rows.select("doc_id", F.col("text").cast("string").alias("text")), minhash.Spec())
     held = sets.where("buckets is not null").select("doc_id", F.explode("buckets").alias("bucket"))
     least = held.groupBy("bucket").agg(F.min("doc_id").alias("least"))
     copies = written(held.join(least, "bucket").where("doc_id <> least").select("doc_id").distinct(), "quality-copies")
     return narrow_join(rows, copies, "doc_id", "left_anti", most=4 * SAMPLE)
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[bytes, tuple[float, float]], tuple[float, ...]]:
-    """The log likelihood ratio of each feature for LABELS: low quality (by layout) and toxic (by words); and the labels' rates.
+def stratum(lang: str | None, n_kinds: int) -> int:
+    """A document's class of length and language. Words and layout that are common in long texts, or in one language, are compared within these."""
+    return min(n_kinds.bit_length(), LENGTHS - 1) + LENGTHS * (0 if lang is None else int(K.word_hashes([lang.encode()])[0] % K.U(LANGUAGES)))
 
-    Counts of the sampled documents, summed by feature in Spark; features whose share among the label's documents differs by DEVIATION
-    standard errors are kept, FEATURES at most. Labels of missing documents, null labels and null ids teach nothing.
-    """
+
+def counted(rows: DataFrame) -> DataFrame:
+    """cell, stratum, n, low, toxic: sampled documents that have the cell, summed in Spark; the cell -1 counts all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: list[Counter[bytes]] = [Counter(), Counter(), Counter()]
+        for batch, texts in blocks(batches):
+            langs, marks = batch.column("lang").to_pylist(), [batch.column(c).to_numpy() for c in LABELS]
+            own = [cells(x) for x in texts]
+            key = [np.append(c, -1) * LENGTHS * LANGUAGES + stratum(lang, n) for (c, n), lang in zip(own, langs, strict=True)]
+            size = [len(k) for k in key]
+            kind, place, n = np.unique(np.concatenate(key), return_inverse=True, return_counts=True)
+            sums = [np.bincount(place, np.repeat(m, size), len(kind)).astype(np.int64) for m in marks]
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(n.astype(np.int64)), *map(pa.array, sums)], names=["key", "n", *LABELS])
 
-        def flush() -> pa.RecordBatch:
-            keys = list(seen[0])
-            out = pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *(pa.array([c[k] for k in keys], pa.int64()) for c in seen)], names=["feature", "n", *LABELS])
-            for c in seen:
-                c.clear()
-            return out
+    g = rows.select("lang", "text", *LABELS).mapInArrow(count, "key long, n long, low long, toxic long").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("n", *LABELS)))
+    wide = LENGTHS * LANGUAGES
+    stratum_ = F.pmod("key", F.lit(wide)).cast("int")
+    return written(g.select(((F.col("key") - stratum_) / wide).cast("long").alias("cell"), stratum_.alias("stratum"), "n", *LABELS), "quality-counts")
 
-        for batch, texts in blocks(batches):
-            marks = [batch.column(c).to_pylist() for c in LABELS]
-            for i, x in enumerate(texts):
-                layout, words = features(x)
-                own = [*layout, *(w for w in words if len(w) <= 64), b""]  # the empty one counts documents
-                seen[0].update(own)
-                for k, m in enumerate(marks):
-                    if m[i]:
-                        seen[k + 1].update(own)
-            if len(seen[0]) > 300_000:
-                yield flush()
-        yield flush()
-
-    rows = sampled(docs, labels)
-    counts = written(rows.mapInArrow(count, "feature binary, n long, low long, toxic long").groupBy("feature").agg(*(F.sum(c).alias(c) for c in ("n", *LABELS))).where("n >= 5"), "quality-counts")
-    whole = counts.where(F.length("feature") == 0).first()
-    if whole is None:
-        return {}, (0.5,) * len(LABELS)
-    out: dict[bytes, list[float]] = {}
+
+def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, tuple[float, ...]]:
+    """The log likelihood ratio of each cell for LABELS, and the labels' rates.
+
+    Both labels learn from all features. A label's documents that have a cell are compared with those expected by the rates of the strata, each
+    shrunk to the whole by STRATUM_DOCS. Labels of missing documents, null labels and null ids teach nothing.
+    """
+    counts = counted(sampled(docs, labels))
+    strata = counts.where("cell = -1").collect()  # LENGTHS * LANGUAGES rows at most
+    total = sum(r.n for r in strata)
+    out = np.zeros((1 << CELL_BITS, len(LABELS)))
+    rates = []
     for k, label in enumerate(LABELS):
-        p = whole[label] / whole.n
+        p = sum(r[label] for r in strata) / total if total else 0.0
         if not 0 < p < 1:
+            rates.append(0.01)
             continue
-        z = F.abs(F.col(label) - F.col("n") * p) / F.sqrt(F.col("n") * p * (1 - p))
-        layout = F.substring("feature", 1, 1) == F.lit(b"|")
-        best = counts.where((F.length("feature") > 0) & (layout if label == "low" else ~layout)).withColumn("z", z).where(F.col("z") > DEVIATION).orderBy(F.desc("z"), "feature").limit(FEATURES)
-        for r in best.collect():
-            yes, no = (r[label] + 0.5) / (whole[label] + 1), (r.n - r[label] + 0.5) / (whole.n - whole[label] + 1)
-            out.setdefault(bytes(r.feature), [0.0, 0.0])[k] = math.log(yes / no)
-    return {f: (a, b) for f, (a, b) in out.items()}, tuple(min(0.99, max(0.01, whole[x] / whole.n)) for x in LABELS)
-
-
-def evidence(docs: DataFrame, ratios: dict[bytes, tuple[float, float]]) -> DataFrame:
-    """doc_id, source, lang, n_words and the log likelihood ratios low_llr, toxic_llr of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(ratios)  # FEATURES a label at most
+        rates.append(min(0.99, max(0.01, p)))
+        by = {r.stratum: (r[label] + STRATUM_DOCS * p) / (r.n + STRATUM_DOCS) for r in strata}
+        rate = F.element_at(F.create_map(*(F.lit(x) for s, q in by.items() for x in (s, q))), F.col("stratum"))
+        each = counts.where("cell >= 0").withColumn("p", rate).groupBy("cell").agg(
+            F.sum("n").alias("n"), F.sum(label).alias("y"), F.sum(F.col("n") * F.col("p")).alias("e"), F.sum(F.col("n") * F.col("p") * (1 - F.col("p"))).alias("v")
+        )
+        for r in each.where((F.col("n") >= LEAST) & (F.abs(F.col("y") - F.col("e")) > DEVIATION * F.sqrt("v"))).toLocalIterator():
+            ratio = math.log((r.y + 0.5) / (r.e + 0.5)) - math.log((r.n - r.y + 0.5) / (r.n - r.e + 0.5))
+            out[r.cell, k] = ratio if abs(ratio) >= EFFECT else 0.0
+    return out, tuple(rates)
+
+
+def evidence(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
+    """doc_id, source, lang, n_kinds (distinct words), t, and the log likelihood ratios low_llr, toxic_llr of every document."""
+    shared = docs.sparkSession.sparkContext.broadcast(ratios)  # 16 bytes a cell
     names = ["doc_id", "source", "lang"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        keys = own.keys()
         for batch, texts in blocks(batches):
-            sums, n = np.zeros((len(texts), 2)), []
-            for i, x in enumerate(texts):
-                layout, words = features(x)
-                for f in sorted(keys & (layout | words)):  # in one order: the same sum each time
-                    sums[i] += own[f]
-                n.append(len(words))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*names, "t")), pa.array(n, pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1])], names=[*names, "t", "n_kinds", "low_llr", "toxic_llr"])
+            low, toxic, n = zip(*(weighed(x, own) for x in texts), strict=True)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*names, "t")), pa.array(n, pa.int64()), pa.array(low, pa.float64()), pa.array(toxic, pa.float64())], names=[*names, "t", "n_kinds", "low_llr", "toxic_llr"])
 
     some = docs.select(*names, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("t"), utf8().alias("text"))
     types = dict(some.dtypes)
@@ -169,7 +207,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, source, lang, n_kinds (distinct words), evidence, priors, the posteriors low and toxic, kept; t, a hash of the text, tells rows of one doc_id apart.
 
     A document is rejected if it is low or toxic with a posterior of its REJECT or more. Null and empty texts have only the layout of an empty text. Without
-    labels of both kinds nothing is learnt and nothing rejected.
+    labels of both kinds nothing is learnt and nothing rejected. Repeated rows are documents of their own. Columns beside doc_id, text, source and lang
+    are not used, whatever their names. A very long text is one block of a task, and all of its words count.
     """
     ratios, rates = learn(docs, labels)
     scored = written(evidence(docs, ratios), "quality-evidence")
