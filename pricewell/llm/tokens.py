@@ -43,6 +43,11 @@ def _length(path: str, word: bytes) -> int:
     return len(_tokenizer(path).encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
 
 
+def remembered(path: str) -> dict[bytes, int]:
+    """This process's lengths of pre-tokens. A task's function must get them by a call: globals that it names itself are sent along as copies."""
+    return _met.setdefault(path, {})
+
+
 def frequent(path: str) -> dict[bytes, int]:
     """Token counts of the frequent pre-tokens: the whole words among the vocabulary's entries.
 
@@ -69,7 +74,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 2048) ->
     schema = docs.select(*kept).withColumns({"n_bytes": F.lit(0).cast("long"), "n_tokens": F.lit(0).cast("long"), "over_limit": F.lit(True)}).schema
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, own = table.value, _met.setdefault(path, {})
+        known, own = table.value, remembered(path)
         for batch, texts in blocks(batches):
             totals = []
             for x in texts:
