@@ -1,6 +1,7 @@
 """Each operator against a brute-force version over the awkward documents, and on empty tables."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -345,22 +346,39 @@ def test_blocks_sort_suffixes():
     assert [bool(x) for x in block.repeated()] == [repeated[s] > 1 for s in strings]
 
 
+def shards_by_hand(rows, shards=16):
+    """(doc_id, size, shard, slot): rows in order, each in the shard in whose equal share of all bytes its middle lies."""
+    from fractions import Fraction
+
+    own = sorted(((r[0] is not None, r[0] or 0), zlib.crc32((r[1] or "").encode()), len((r[1] or "").encode()) + 1, r[0]) for r in rows)
+    total, at, slots, out = sum(r[2] for r in own), 0, Counter(), Counter()
+    for _, crc, size, doc_id in own:
+        shard = min(shards - 1, int(Fraction(2 * at + size, 2) * shards / total))
+        out[(doc_id, size, crc, shard, slots[shard])] += 1
+        slots[shard] += 1
+        at += size
+    return out
+
+
 def test_shards(docs, rows, none):
-    out = sharding.document_shards(docs).collect()
-    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in out) == Counter((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in rows)
-    slots, total = {}, Counter()
-    for r in out:
-        slots.setdefault(r.shard, []).append(r.slot)
-        total[r.shard] += r["size"]
-        assert r.law == "bytes" and r.grown_shard is None
-    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(16))
-    most = max(r["size"] for r in out)
-    assert all(abs(n - sum(total.values()) / 16) <= 2 * most for n in total.values())
-    ids = [(r.shard, r.slot, r.doc_id) for r in out if r.doc_id is not None]
-    assert [i for *_, i in sorted(ids)] == sorted(i for *_, i in ids)  # contiguous
+    out = sharding.document_shards(docs)
+    assert got(out, "doc_id", "size", "text_crc32", "shard", "slot") == shards_by_hand(rows)
+    assert {(r.law, r.grown_shard) for r in out.collect()} == {("bytes", None)}
     assert sharding.document_shards(none).count() == 0
     placed = sharding.place(docs)
-    assert placed.columns == [*(c for c in docs.columns if c != "shard"), "shard", "slot"] and placed.count() == len(rows)
+    assert placed.columns == [*(c for c in docs.columns if c != "shard"), "shard", "slot"]
+    own = sorted((r.shard, r.slot) for r in placed.collect())
+    assert Counter(own) == Counter((k[3], k[4]) for k in shards_by_hand(rows).elements())
+
+
+def test_shards_of_rows_alike(spark):
+    """A third of all rows without id and text are spread over the partitions."""
+    rows = [(i, "x" * (i % 50)) for i in range(2000)] + [(None, None)] * 1000
+    data = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert got(sharding.document_shards(data), "doc_id", "size", "text_crc32", "shard", "slot") == shards_by_hand(rows)
+    slim = data.select("doc_id", (sharding.F.length(sharding.F.coalesce("text", sharding.F.lit(""))) + 1).alias("size"))
+    parts = slim.withColumn("_tie", sharding.F.xxhash64(sharding.F.monotonically_increasing_id())).repartitionByRange(8, "doc_id", "_tie")
+    assert max(r["count"] for r in parts.groupBy(sharding.F.spark_partition_id()).count().collect()) < 900
 
 
 def test_shards_are_even(spark):
@@ -388,8 +406,8 @@ def test_quality(spark, docs, rows, none):
     hidden = quality.score(real, labels.where("doc_id % 4 <> 0")).select("doc_id", "kept").join(labels.where("doc_id % 4 = 0"), "doc_id").collect()
     bad = [r for r in hidden if r.quality == 0 or r.toxic == 1]
     good = [r for r in hidden if r.quality == 1 and r.toxic == 0]
-    assert shown.columns and sum(not r.kept for r in bad) / len(bad) > 0.75
-    assert sum(r.kept for r in good) / len(good) > 0.97
+    assert shown.columns and sum(not r.kept for r in bad) / len(bad) > 0.8
+    assert sum(r.kept for r in good) / len(good) > 0.98
     nothing = labels.where("false")
     assert quality.accepted(docs, nothing).count() == len(rows)
     assert quality.accepted(docs, labels).columns == docs.columns
@@ -398,6 +416,63 @@ def test_quality(spark, docs, rows, none):
     assert quality.document_quality(docs, odd).count() == len(rows)
 
 
+def quality_by_hand(docs, labels, deviation):
+    """The posteriors by loops over dictionaries; docs are (doc_id, text, lang, source) without near copies."""
+    import math
+
+    known = {i: (int(q == 0), int(t)) for i, q, t in labels}
+    cells = {d[0]: quality.cells((d[1] or "").encode()) for d in docs}
+    strata = {d[0]: quality.stratum(d[2], cells[d[0]][1]) for d in docs}
+    rates, ratios = [], [{}, {}]
+    for k in (0, 1):
+        p = sum(known[i][k] for i in known) / len(known)
+        rates.append(min(0.99, max(0.01, p)))
+        by = {s: (sum(known[i][k] for i in known if strata[i] == s) + 20 * p) / (sum(strata[i] == s for i in known) + 20) for s in {strata[i] for i in known}}
+        for c in {int(c) for i in known for c in cells[i][0]}:
+            own = [i for i in known if c in cells[i][0]]
+            n, y, e = len(own), sum(known[i][k] for i in own), sum(by[strata[i]] for i in own)
+            if n >= 5 and abs(y - e) > deviation * math.sqrt(sum(by[strata[i]] * (1 - by[strata[i]]) for i in own)):
+                ratio = math.log((y + 0.5) / (e + 0.5)) - math.log((n - y + 0.5) / (n - e + 0.5))
+                ratios[k] |= {c: ratio} if abs(ratio) >= 1 else {}
+    llr = {d[0]: [sum(r.get(int(c), 0.0) for c in cells[d[0]][0]) for r in ratios] for d in docs}
+    logit, sigmoid = (lambda p: math.log(p / (1 - p))), (lambda x: 1 / (1 + math.exp(-x)))
+    soft = {i: [sigmoid(x[k] + logit(rates[k])) for k in (0, 1)] for i, x in llr.items()}
+    out = {}
+    for i, _, lang, source in docs:
+        own = []
+        for k in (0, 1):
+            mean = lambda some, up: (sum(soft[j][k] for j in some) + 50 * up) / (len(some) + 50)  # noqa: B023, E731
+            top = sum(soft[j][k] for j in soft) / len(soft)
+            site = mean([d[0] for d in docs if d[3] == source], top)
+            path = mean([d[0] for d in docs if (d[3], d[2]) == (source, lang)], site)
+            own.append(sigmoid(llr[i][k] + logit(min(1 - 1e-6, max(1e-6, path)))))
+        out[i] = tuple(own)
+    return out, ratios
+
+
+def test_quality_by_hand(spark, monkeypatch):
+    rnd = random.Random(9)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(200)]
+    docs, labels = [], []
+    for i in range(160):
+        own = [rnd.choice(words) for _ in range(rnd.randint(12, 120))]
+        low, toxic = i % 4 == 0, i % 5 == 0
+        text = " ".join(f"{w}###" if low else w for w in own) + (" nasty nasty" if toxic else "")
+        docs.append((i, text if i % 31 else None, [None, "en", "de"][i % 3], ["a", "b", None][i % 7 % 3]))
+        if i % 8 != 7 and i % 31:
+            labels.append((i, int(not low), int(toxic)))
+    monkeypatch.setattr(quality, "DEVIATION", 2.0)
+    want, ratios = quality_by_hand(docs, labels, 2.0)
+    assert all(len(r) > 2 for r in ratios)
+    data = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").repartition(3)
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    for r in quality.score(data, known).collect():
+        assert (r.low, r.toxic) == pytest.approx(want[r.doc_id], abs=1e-9)
+        assert r.kept == (want[r.doc_id][0] < 0.9 and want[r.doc_id][1] < 0.99)
+    named = data.selectExpr("doc_id", "text", "lang", "source", "1 as t", "2 as low", "3 as kept", "4 as c0")
+    assert quality.accepted(named, known).columns == named.columns
+
+
 def test_priors_shrink_to_the_whole(spark):
     rows = [("a", "en", 4.0)] * 200 + [("b", "en", -4.0)] * 200 + [("c", "en", 4.0)] * 2 + [(None, None, -4.0)]
     data = spark.createDataFrame([(s, x, v, v) for s, x, v in rows], "source string, lang string, low_llr double, toxic_llr double")
@@ -417,6 +492,68 @@ def test_lines(spark):
     assert linededup.page_lines(data.where("false")).count() == 0
 
 
+def lines_by_hand(rows, ratio=0.3, least=2):
+    """(page_id, host, lines, dropped, digest) of rows (page_id, host, lines)."""
+    pages, on = Counter(h for _, h, _ in rows), Counter((h, x) for _, h, lines in rows for x in set(lines))
+    out = Counter()
+    for i, h, lines in rows:
+        kept = [x for x in lines if not (on[h, x] >= least and on[h, x] > ratio * pages[h])]
+        out[(i, h, len(lines), len(lines) - len(kept), sha("\n".join(kept).encode()))] += 1
+    return out
+
+
+def test_lines_of_hot_hosts(spark, monkeypatch):
+    """Repeated rows, a very long page, one host of most pages, clashing names; hot hosts are dealt to several tasks."""
+    from pricewell.llm import common
+
+    rnd = random.Random(2)
+    rows = [(i, "hot.example" if i % 3 else f"h{i % 40}.example", [f"line {rnd.randrange(40)}" for _ in range(rnd.randrange(12))]) for i in range(900)]
+    rows += [rows[5]] * 3 + [(None, "hot.example", ["line 1"]), (950, "lone.example", ["only", "only"]), (951, "two.example", ["same", "a"]), (952, "two.example", ["same", "b"]), (953, "hot.example", [f"long {k}" for k in range(20_000)])]
+    data = spark.createDataFrame([(i, f"http://{h}/x", "".join(f"<p>{x}</p>" for x in lines), h, 1) for i, h, lines in rows], "page_id long, url string, html string, host string, n int")
+    columns = ("page_id", "host", "n_lines", "n_dropped", "kept_sha256")
+    assert got(linededup.page_lines(data), *columns) == lines_by_hand(rows)
+    monkeypatch.setattr(common, "GROUP_ROWS", 20)
+    assert got(linededup.page_lines(data), *columns) == lines_by_hand(rows)
+
+
+def test_dealt_join_loses_nothing(spark, monkeypatch):
+    from pricewell.llm import common
+
+    left = spark.range(3000).selectExpr("if(id % 3 = 0, 0, id % 100) as k", "id as place")
+    right = left.groupBy("k").count().selectExpr("k", "count as n", "k * 2 as v").where("k <> 7")
+    for most in (10, 100_000):
+        monkeypatch.setattr(common, "GROUP_ROWS", most)
+        for how, n in (("inner", 3000 - left.where("k = 7").count()), ("left", 3000)):
+            out = common.dealt_join(left, right, "k", ["place"], how)
+            assert out.count() == n and out.columns == ["k", "place", "v"] and out.where("v <> 2 * k").count() == 0
+
+
+def test_results_are_the_same_when_keys_are_dealt(docs, monkeypatch):
+    from pricewell.llm import common
+
+    queries = (lambda: media.document_media(docs), lambda: minhash.document_groups(docs), lambda: suffixdedup.document_suffixes(docs), lambda: substring.document_windows(docs))
+    want = [Counter(map(tuple, q().collect())) for q in queries]
+    monkeypatch.setattr(common, "GROUP_ROWS", 1)
+    assert [Counter(map(tuple, q().collect())) for q in queries] == want
+
+
+def test_tokens_are_remembered_by_the_worker(spark):
+    """Tasks of one worker process share the lengths of rare pre-tokens."""
+    path = tokens.vocabulary()
+    data = spark.createDataFrame([(i, f"unheardofword{i % 3}") for i in range(40)], "doc_id long, text string").repartition(20)
+    assert tokens.count_tokens(data).count() == 40
+
+    def met(batches):
+        import pyarrow as pa
+
+        from pricewell.llm import tokens as own
+
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": [len(own.remembered(path))]})
+
+    assert max(r.n for r in spark.range(0, 80, 1, 8).mapInArrow(met, "n long").collect()) >= 3
+
+
 def test_family_just_below_the_threshold(spark, monkeypatch):
     """Members that share a bucket but not a center: pairs of siblings at 0.81 in a family at 0.79."""
     rnd = np.random.default_rng(11)
