@@ -275,33 +275,45 @@ _CATEGORY_WEIGHTS = f"""
 w as (select version, tipo, case when version = 4 and tipo = 'RENOMBRE' and categoria = '{demo.NEW_NAME}' then '{demo.RENAMED_CLASS}' else categoria end as indice, sum(ponderador) as w from weights join classes using (version, generico) group by 1, 2, 3)"""
 
 
-def _incidence_sql(lag: str, kind: str) -> str:
-    """Half months; the crossing rows by a recursive walk over the link periods between base and t."""
+def _lagged(lag: str, source: str = "hist0") -> str:
+    return f"{source} t join {source} b on b.tipo = t.tipo and b.indice = t.indice and b.ord = {lag}"
+
+
+def _incidence_rows(pairs: str, kind: str, source: str = "hist0") -> str:
+    """CTEs up to `inc`, all contributions of the pairs (t, b); crossing ones by a recursive walk over the link periods between base and t."""
     return (
         _BASE
         + f""", {_CATEGORY_WEIGHTS},
 juntas(version, ini) as (values (2, {JUNTA2}), (3, {START3}), (4, {JUNTA4})),
+anchors as (select false as junta, tipo, indice, ord, i, j from {source} union all select true, tipo, indice, ord, i, j from hist0 where ord in ({JUNTA2}, {START3}, {JUNTA4})),
 pairs as (
   select t.tipo, t.indice, t.ord, t.version as vt, b.version as vb, b.ord as bo, t.i as it, t.j as jt, b.i as ib, b.j as jb, p.i as pib, p.j as pjb,
     t.estado = 'parcial' or b.estado = 'parcial' or p.estado = 'parcial' as parcial, pt.version <> t.version or p.version <> b.version as inpc_otra
-  from hist0 t join hist0 b on b.tipo = t.tipo and b.indice = t.indice and b.ord = {lag}
-  join hist0 p on p.tipo = 'INPC' and p.ord = b.ord join hist0 pt on pt.tipo = 'INPC' and pt.ord = t.ord where t.tipo <> 'INPC'),
+  from {pairs}
+  join {source} p on p.tipo = 'INPC' and p.ord = b.ord join {source} pt on pt.tipo = 'INPC' and pt.ord = t.ord where t.tipo <> 'INPC'),
 walk as (
-  select tipo, indice, ord, bo, vt, vb as m, bo as a, 0.0::double as total, false as done, pib from pairs where vb <> vt and tipo <> 'ADJETIVO'
+  select tipo, indice, ord, vt, vb as m, bo as a, false as cut, 0.0::double as total, false as done, pib from pairs where vb <> vt and tipo <> 'ADJETIVO'
   union all
-  select k.tipo, k.indice, k.ord, k.bo, k.vt, k.m + 1, e.ord,
-    k.total + (pe.i / pe.j) * w.w * (e.j - case when k.a = k.bo and s.version = k.m then s.j else s.i / (e.i / e.j) end) / k.pib, k.m = k.vt, k.pib
+  select k.tipo, k.indice, k.ord, k.vt, k.m + 1, e.ord, true, k.total + (pe.i / pe.j) * w.w * (e.j - case when k.cut then s.i / (e.i / e.j) else s.j end) / k.pib, k.m = k.vt, k.pib
   from walk k left join juntas j on j.version = k.m + 1
-  join hist0 e on e.tipo = k.tipo and e.indice = k.indice and e.ord = case when k.m = k.vt then k.ord else j.ini end
-  join hist0 pe on pe.tipo = 'INPC' and pe.ord = e.ord join hist0 s on s.tipo = k.tipo and s.indice = k.indice and s.ord = k.a join w on w.version = k.m and w.tipo = k.tipo and w.indice = k.indice
-  where k.m <= k.vt)
-select p.tipo, p.ord, p.indice, '{kind}' as clase_incidencia,
-  round(case when p.vb = p.vt and not inpc_otra then w.w * (jt - jb) / pjb when p.vb <> p.vt and p.tipo <> 'ADJETIVO' then k.total else w.w * (it - ib) / p.pib end, 6) as incidencia_pp,
-  case when p.vb = p.vt and not inpc_otra then 'within' when p.vb <> p.vt and p.tipo <> 'ADJETIVO' then 'cross_segmentado' else 'cross_visible' end as metodo_incidencia, p.vt as version_t
-from pairs p join w on w.version = vb and w.tipo = p.tipo and w.indice = p.indice left join walk k on k.done and k.tipo = p.tipo and k.indice = p.indice and k.ord = p.ord"""
+  join anchors e on e.junta = (k.m <> k.vt) and e.tipo = k.tipo and e.indice = k.indice and e.ord = case when k.m = k.vt then k.ord else j.ini end
+  join anchors pe on pe.junta = e.junta and pe.tipo = 'INPC' and pe.ord = e.ord join anchors s on s.junta = k.cut and s.tipo = k.tipo and s.indice = k.indice and s.ord = k.a
+  join w on w.version = k.m and w.tipo = k.tipo and w.indice = k.indice
+  where k.m <= k.vt),
+inc as (
+  select p.tipo, p.ord, p.indice, '{kind}' as clase_incidencia,
+    case when p.vb = p.vt and not inpc_otra then w.w * (jt - jb) / pjb when p.vb <> p.vt and p.tipo <> 'ADJETIVO' then k.total else w.w * (it - ib) / p.pib end as v,
+    case when p.vb = p.vt and not inpc_otra then 'within' when p.vb <> p.vt and p.tipo <> 'ADJETIVO' then 'cross_segmentado' else 'cross_visible' end as metodo_incidencia, p.vt as version_t,
+    case when parcial then 'parcial' else 'ok' end as estado
+  from pairs p join w on w.version = vb and w.tipo = p.tipo and w.indice = p.indice left join walk k on k.done and k.tipo = p.tipo and k.indice = p.indice and k.ord = p.ord)
+"""
     )
 
 
+def _incidence_sql(pairs: str, kind: str, source: str = "hist0") -> str:
+    return _incidence_rows(pairs, kind, source) + "select tipo, ord, indice, clase_incidencia, round(v, 6) as incidencia_pp, metodo_incidencia, version_t from inc where v is not null"
+
+
 def _incidence(spark: SparkSession, sf_dir: str, make: Callable[..., DataFrame], *args: object, **more: object) -> DataFrame:
     x = _inputs(spark, sf_dir)
     return make(_history(spark, sf_dir), demo.category_weights(x), x.ranges, demo.steady(x), *args, **more)
@@ -311,33 +323,35 @@ def _values(rows: DataFrame) -> DataFrame:
     return _rounded(rows.where("computable").select("tipo", "ord", "indice", "clase_incidencia", "incidencia_pp", "metodo_incidencia", "version_t"), "incidencia_pp")
 
 
-@_query(_incidence_sql("t.ord - 1", "periodica_quincenal"))
+@_query(_incidence_sql(_lagged("t.ord - 1"), "periodica_quincenal"))
 def inc_quincenal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _values(_incidence(spark, sf_dir, incidence.periodic, "quincenal", "Q"))
 
 
-@_query(_incidence_sql("t.ord - 24", "periodica_anual"))
+@_query(_incidence_sql(_lagged("t.ord - 24"), "periodica_anual"))
 def inc_anual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _values(_incidence(spark, sf_dir, incidence.periodic, "anual", "Q"))
 
 
-@_query(_incidence_sql("(t.ord // 24) * 24 - 1", "acumulada_anual"))
+@_query(_incidence_sql(_lagged("(t.ord // 24) * 24 - 1"), "acumulada_anual"))
 def inc_acumulada(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _values(_incidence(spark, sf_dir, incidence.year_to_date, "Q"))
 
 
-@_query(None)
+@_query(_incidence_sql(f"""(select tipo, indice, min(ord) as a, max(ord) as z from hist0 where i is not null and ord between 47900 and {LAST} group by 1, 2) e
+  join hist0 t on t.tipo = e.tipo and t.indice = e.indice and t.ord = z join hist0 b on b.tipo = e.tipo and b.indice = e.indice and b.ord = a""", "desde"))
 def inc_desde(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _values(_incidence(spark, sf_dir, incidence.from_to, 47900, LAST, "Q"))
 
 
-@_query(None)
+@_query(_incidence_sql(_lagged("t.ord - 12", "months"), "periodica_anual", "months"))
 def inc_mensual_frontera(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, h = _inputs(spark, sf_dir), _history(spark, sf_dir)
     return _values(incidence.periodic(_months(spark, sf_dir), demo.category_weights(x), x.ranges, demo.steady(x), "anual", "M", convert.frontier(h, x.ranges)))
 
 
-@_query(_sql("""select t.ord, s.tipo, 0.0::double as residuo from hist0 t join hist0 b on b.tipo = 'INPC' and b.ord = t.ord - 24 cross join (values ('SUSTANTIVO'), ('RENOMBRE')) s(tipo) where t.tipo = 'INPC'"""))
+@_query(_incidence_rows(_lagged("t.ord - 24"), "periodica_anual") + """select t.ord, s.tipo, round((t.i / b.i - 1) * 100 - s.v, 6) + 0.0 as residuo
+from hist0 t join hist0 b on b.tipo = 'INPC' and b.ord = t.ord - 24 join (select tipo, ord, sum(v) as v from inc where tipo <> 'ADJETIVO' group by 1, 2) s on s.ord = t.ord where t.tipo = 'INPC'""")
 def inc_aditividad(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headline variation less the sum of contributions: nothing, across baskets too."""
     parts = _incidence(spark, sf_dir, incidence.periodic, "anual", "Q").where("computable and tipo <> 'ADJETIVO'").groupBy("tipo", "ord").agg(F.sum("incidencia_pp").alias("s"))
@@ -367,7 +381,9 @@ def val_indice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(_sql(f"""select version, tipo, count(*) as n_filas, count(err) as n_comparables, count(*) filter (s = 'ok') as n_ok, count(*) filter (s = 'diferencia_detectada') as n_diferencia_detectada,
-  count(*) filter (s = 'fuera_rango_inegi') as n_fuera_rango_inegi, round(max(err), 6) as error_maximo, 'diferencia_detectada' as estado_global
+  count(*) filter (s = 'fuera_rango_inegi') as n_fuera_rango_inegi, round(max(err), 6) as error_maximo,
+  case when count(*) filter (s = 'diferencia_detectada') > 0 then 'diferencia_detectada' when count(*) filter (s = 'diferencia_por_parcial') > 0 then 'diferencia_por_parcial' when count(*) filter (s = 'sin_calculo') > 0 then 'sin_calculo'
+    when count(*) filter (s = 'ok') = 0 then 'no_disponible' else 'ok' end as estado_global
 from (select t.version, t.tipo, {_STATE} as s, abs(t.i - o.oficial) as err from hist0 t left join {_OFFICIAL} o on o.tipo = t.tipo and o.indice = t.indice and o.ord = t.ord) group by 1, 2"""))
 def val_resumen(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = validate.summary(_compared(spark, sf_dir), "version", "tipo")
@@ -417,6 +433,11 @@ def match_fila(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracts.match_numbers(one, two, "ponderador").select("generico", "metodo")
 
 
+def forget() -> None:
+    """Later queries make their inputs and histories anew."""
+    _KEPT.clear()
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in _REGISTERED.items()}
 

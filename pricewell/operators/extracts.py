@@ -70,3 +70,25 @@ def carried(target: DataFrame, source: DataFrame, columns: list[str], key: str =
     """The target with `columns` taken from the source by item; both must have the same items."""
     check_same_items(target, source, key)
     return target.drop(*columns).join(source.select(key, *columns), key).select(*target.columns, *(c for c in columns if c not in target.columns))
+
+
+def match_all(a: DataFrame, b: DataFrame, by_row: list[str], by_pair: list[str], only_a: list[str] = (), only_b: list[str] = (), prefer: str = "p", answers: DataFrame | None = None, key: str = "generico") -> DataFrame:
+    """columna, valor_final, metodo, genericos of a whole match: numbers row by row, categories by pairs, columns of one side as they are.
+
+    answers: columna, x, p, valor_final. Both extracts must have the same items.
+    """
+    check_same_items(a, b, key)
+    parts = [match_numbers(a, b, c, prefer, key).select("columna", "valor_final", "metodo", F.array(key).alias("genericos")) for c in by_row]
+    for c in by_pair:
+        own = None if answers is None else answers.where(F.col("columna") == c)
+        parts.append(match_categories(a, b, c, own, key).select("columna", "valor_final", "metodo", "genericos"))
+    parts += [single_source(x, c, key) for x, some in ((a, only_a), (b, only_b)) for c in some]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def audit(resolved: DataFrame, key: str = "generico") -> DataFrame:
+    """One row an item and column: what was taken, and how."""
+    return resolved.select(F.explode("genericos").alias(key), "columna", "valor_final", "metodo")

@@ -43,3 +43,8 @@ def with_continuation(lines: DataFrame) -> DataFrame:
 def without_totals(lines: DataFrame) -> DataFrame:
     """Without blank lines and lines that begin with a total."""
     return lines.where((F.trim("texto") != "") & ~F.lower(F.trim("texto")).startswith("total"))
+
+
+def with_annex(items: DataFrame, annex: DataFrame, key: str = "generico") -> DataFrame:
+    """The items with an annex's columns; items that it lacks have nulls."""
+    return items.join(annex, key, "left")
