@@ -35,8 +35,7 @@ class Spec:
 
 def shingle_sets(spec: Spec, texts: list[bytes]) -> list[np.ndarray]:
     """Each text's distinct shingles as sorted 64-bit hashes; the whole sequence where there are fewer words; empty without words."""
-    words, at = K.split(texts, K.LOWER)
-    h = K.word_hashes(words)
+    h, at = K.word_hashes([x.translate(K.LOWER) for x in texts])
     out = []
     for i in range(len(texts)):
         own = h[at[i] : at[i + 1]]

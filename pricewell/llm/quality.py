@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -64,28 +65,40 @@ def layout(text: bytes) -> list[bytes]:
     ]
 
 
-def _cells(features: set[bytes] | list[bytes]) -> np.ndarray:
-    return np.unique(K.word_hashes(list(features)) >> K.U(64 - CELL_BITS)).astype(np.int64)
+def _cells(hashes: np.ndarray) -> np.ndarray:
+    return np.unique(hashes >> K.U(64 - CELL_BITS)).astype(np.int64)
 
 
-def cells(text: bytes) -> tuple[np.ndarray, int]:
-    """The cells of a text's layout features and lower-case words (each once, in order), and how many different words it has."""
-    words = set(text.translate(K.SPACED).split())
-    return _cells([*layout(text), *words]), len(words)
+@functools.lru_cache(maxsize=1024)  # there are a few dozen
+def _layout_hash(feature: bytes) -> int:
+    return int.from_bytes(K.digest(feature)[:8], "little")
 
 
-def weighed(text: bytes, ratios: np.ndarray) -> tuple[float, float, int]:
-    """A text's log likelihood ratios of LABELS, and how many different words it has.
+def _hashed(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each text the hashes of its layout features, and of its lower-case words in order."""
+    h, at = K.word_hashes([x.translate(K.SPACED) for x in texts])
+    for i, x in enumerate(texts):
+        yield np.array([_layout_hash(f) for f in layout(x)], np.uint64), h[at[i] : at[i + 1]]
+
+
+def cells(texts: list[bytes]) -> Iterator[tuple[np.ndarray, int]]:
+    """Of each text the cells of its layout features and words (each once, in order), and how many different words it has."""
+    for some, words in _hashed(texts):
+        yield _cells(np.concatenate([some, words])), len(np.unique(words))
+
+
+def weighed(texts: list[bytes], ratios: np.ndarray) -> Iterator[tuple[float, float, int]]:
+    """Of each text the log likelihood ratios of LABELS, and how many different words it has.
 
     Words count once a passage. A text is of low quality as its passages are on the whole (their mean, by words), and toxic as its most toxic passage
     is, so that neither grows with the text's length.
     """
-    words = text.translate(K.SPACED).split()
-    parts = [words[i : i + PASSAGE] for i in range(0, len(words), PASSAGE)] or [[]]
-    each = np.array([ratios[_cells(set(p))].sum(axis=0) for p in parts])
-    low, toxic = ratios[_cells(layout(text))].sum(axis=0)
-    size = np.array([len(p) for p in parts])
-    return float(low + (each[:, 0] * size).sum() / max(1, size.sum())), float(toxic + each[:, 1].max()), len(set(words))
+    for some, words in _hashed(texts):
+        parts = [words[i : i + PASSAGE] for i in range(0, len(words), PASSAGE)] or [words]
+        each = np.array([ratios[_cells(p)].sum(axis=0) for p in parts])
+        low, toxic = ratios[_cells(some)].sum(axis=0)
+        size = np.array([len(p) for p in parts])
+        yield float(low + (each[:, 0] * size).sum() / max(1, size.sum())), float(toxic + each[:, 1].max()), len(np.unique(words))
 
 
 def sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -108,7 +121,7 @@ def sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def stratum(lang: str | None, n_kinds: int) -> int:
     """A document's class of length and language. Words and layout that are common in long texts, or in one language, are compared within these."""
-    return min(n_kinds.bit_length(), LENGTHS - 1) + LENGTHS * (0 if lang is None else int(K.word_hashes([lang.encode()])[0] % K.U(LANGUAGES)))
+    return min(n_kinds.bit_length(), LENGTHS - 1) + LENGTHS * (0 if lang is None else _layout_hash(lang.encode()) % LANGUAGES)
 
 
 def counted(rows: DataFrame) -> DataFrame:
@@ -117,7 +130,7 @@ def counted(rows: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in blocks(batches):
             langs, marks = batch.column("lang").to_pylist(), [batch.column(c).to_numpy() for c in LABELS]
-            own = [cells(x) for x in texts]
+            own = list(cells(texts))
             key = [np.append(c, -1) * LENGTHS * LANGUAGES + stratum(lang, n) for (c, n), lang in zip(own, langs, strict=True)]
             size = [len(k) for k in key]
             kind, place, n = np.unique(np.concatenate(key), return_inverse=True, return_counts=True)
@@ -166,7 +179,7 @@ def evidence(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch, texts in blocks(batches):
-            low, toxic, n = zip(*(weighed(x, own) for x in texts), strict=True)
+            low, toxic, n = zip(*weighed(texts, own), strict=True)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*names, "t")), pa.array(n, pa.int64()), pa.array(low, pa.float64()), pa.array(toxic, pa.float64())], names=[*names, "t", "n_kinds", "low_llr", "toxic_llr"])
 
     some = docs.select(*names, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("t"), utf8().alias("text"))

@@ -69,8 +69,7 @@ def units_of(spec: Spec, texts: list[bytes]) -> Iterator[np.ndarray]:
         for x in texts:
             yield K.TABLE[np.frombuffer(x, np.uint8)]
     else:
-        words, at = K.split(texts)
-        h = K.word_hashes(words)
+        h, at = K.word_hashes(texts)
         for i in range(len(texts)):
             yield h[at[i] : at[i + 1]]
 

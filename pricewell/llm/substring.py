@@ -16,13 +16,30 @@ from .regions import Spec, copies, emit, firsts, identified
 SPEC = Spec("words", 20, 8)
 
 
-def _windows(spec: Spec, text: bytes, start: np.ndarray, size: np.ndarray) -> tuple[list[bytes], list[bytes]]:
-    """Digests of the regions' words, and of their windows one after another."""
-    words, whole, each = text.split(), [], []
-    for a, n in zip(start.tolist(), size.tolist(), strict=True):
-        whole.append(K.digest(b" ".join(words[a : a + n + spec.length - 1])))
-        each.append(b"".join([K.digest(b" ".join(words[i : i + spec.length])) for i in range(a, a + n)]))
-    return whole, each
+def _words(spec: Spec, text: bytes, start: np.ndarray, size: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """Digests of the regions' words, and the words joined by spaces."""
+    words = text.split()
+    own = [b" ".join(words[a : a + n + spec.length - 1]) for a, n in zip(start.tolist(), size.tolist(), strict=True)]
+    return [K.digest(x) for x in own], own
+
+
+def _windows(regions: DataFrame, length: int) -> DataFrame:
+    """o, t, pos, h: the digest of each window of regions (o, t, pos, body)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, bodies in blocks(batches, "body"):
+            counts, digests = [], []
+            for body in bodies:
+                words = body.split(b" ")
+                n = len(words) - length + 1
+                counts.append(n)
+                digests += [K.digest(b" ".join(words[i : i + length])) for i in range(n)]
+            n = np.array(counts, np.int64)
+            rep = lambda c: np.repeat(batch.column(c).to_numpy(), n)  # noqa: B023, E731
+            pos = rep("pos") + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.RecordBatch.from_arrays([pa.array(rep("o")), pa.array(rep("t")), pa.array(pos, pa.int32()), pa.array(digests, pa.binary())], names=["o", "t", "pos", "h"])
+
+    return regions.select("o", "t", "pos", "body").mapInArrow(run, "o long, t long, pos int, h binary")
 
 
 def removed_spans(rows: DataFrame, slim: DataFrame, marked: DataFrame, spec: Spec = SPEC) -> DataFrame:
@@ -33,16 +50,14 @@ def removed_spans(rows: DataFrame, slim: DataFrame, marked: DataFrame, spec: Spe
     that holds the sample twice, are grouped by their own digest. Digests are of 128 bits, of the words themselves.
     """
     units = slim.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0] // 5  # words are longer
-    found = written(emit(firsts(rows, marked), spec, units, "wins", _windows), "sub-regions")
+    found = written(emit(firsts(rows, marked), spec, units, "body", _words), "sub-regions")
     first = found.groupBy("sample", "digest").agg(F.min(F.struct("o", "t", "pos")).alias("f"), F.max("inner").alias("inner"))
     first = written(first.select("sample", "inner", F.col("f.o").alias("o"), F.col("f.t").alias("t"), F.col("f.pos").alias("pos")), "sub-firsts")
     again = found.select("o", "t", "pos", "m").join(first.select("o", "t", "pos"), ["o", "t", "pos"], "left_anti")
     several = written(first.groupBy("sample").agg(F.count("*").alias("n"), F.max("inner").alias("inner")).where("n > 1 or inner").select("sample", "n"), "sub-samples")
     open_ = dealt_join(first, several, "sample", ["o", "t", "pos"]).select("o", "t", "pos")
-    wins = found.select("o", "t", "pos", "wins").join(open_, ["o", "t", "pos"], "left_semi")
-    wins = wins.withColumn("j", F.explode(F.sequence(F.lit(0), (F.length("wins") / 16).cast("int") - 1)))
-    wins = wins.select("o", "t", (F.col("pos") + F.col("j")).alias("pos"), F.substring("wins", F.col("j") * 16 + 1, F.lit(16)).alias("h")).distinct()
-    wins = written(wins, "sub-windows")
+    wins = _windows(found.select("o", "t", "pos", "body").join(open_, ["o", "t", "pos"], "left_semi"), spec.length)
+    wins = written(wins.distinct(), "sub-windows")  # repeated rows share their places
     ahead = wins.groupBy("h").agg(F.min(F.struct("o", "t", "pos")).alias("f")).select("f.*")
     # Places are unique, so this join is even where a window occurs in very many documents.
     later = wins.select("o", "t", "pos").join(ahead, ["o", "t", "pos"], "left_anti").select("o", "t", "pos", F.lit(1).alias("m"))

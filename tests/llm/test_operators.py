@@ -157,6 +157,16 @@ def test_words_of_equal_polynomial_hashes_differ(spark):
     assert got(suffixdedup.document_suffixes(runs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == suffixes_by_hand(list(map(tuple, runs.collect())))
 
 
+def test_word_hashes_tell_words_apart():
+    from pricewell.llm import kernels as K
+
+    one, two = thue_morse(1024)
+    words = [one, two, "a", "aa", "a" * 8, "a" * 9, "a" * 16, "b" * 16, "é", "\x00", "\x00\x00", "abcdefgh", "abcdefghi", "abcdefghi\x00"] + [f"w{i}" for i in range(3000)]
+    h, at = K.word_hashes([" ".join(words).encode(), b"", b" \n ", f"\t{words[0]} {words[1]}".encode()])
+    assert at.tolist() == [0, len(words), len(words), len(words), len(words) + 2] and len(set(h[: len(words)].tolist())) == len(words)
+    assert h[-2:].tolist() == h[:2].tolist()
+
+
 def test_exact_sets():
     rnd = np.random.default_rng(8)
     texts = [" ".join(rnd.choice(list("abc"), rnd.integers(0, 40))) for _ in range(60)]
@@ -421,7 +431,7 @@ def quality_by_hand(docs, labels, deviation):
     import math
 
     known = {i: (int(q == 0), int(t)) for i, q, t in labels}
-    cells = {d[0]: quality.cells((d[1] or "").encode()) for d in docs}
+    cells = {d[0]: next(quality.cells([(d[1] or "").encode()])) for d in docs}
     strata = {d[0]: quality.stratum(d[2], cells[d[0]][1]) for d in docs}
     rates, ratios = [], [{}, {}]
     for k in (0, 1):
