@@ -2,34 +2,78 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import os
+from collections.abc import Callable
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import catalog
-from .errors import ConfigurationProblem, InvariantBroken
+from . import renames as names
+from .errors import CalculationProblem, ConfigurationProblem, InvariantBroken
 from .functions.periods import parse, parse_as
 from .operators import consult, convert, incidence, laspeyres, validate, variation
 from .scratch import written
-from .sources import baskets, series
+from .results import Result
+from .sources import baskets, indicators, series
+from .sources.official import Official
+from .sources.ports import OfficialSource
+
+
+#: Classifications that official figures exist for.
+INDICES_VALIDABLES = catalog.COMPARABLE
+#: The variable that may hold the token of the official source; it goes before one that is set.
+TOKEN = "PRICEWELL_TOKEN"
 
 
 @dataclass
 class Settings:
-    """Tolerances and timeout of a session; the token is asked for by whoever builds the official source."""
+    """Tolerances, timeout and token of a session."""
 
     index_tolerance: float = validate.INDEX_TOLERANCE
     point_tolerance: float = validate.POINT_TOLERANCE
     timeout: float = 10.0
+    token: str | None = None
 
 
 settings = Settings()
 
 
-def cargar_canasta(spark: SparkSession, ruta: str, version: int) -> DataFrame:
+def set_token(token: str) -> None:
+    if not token.strip():
+        raise ConfigurationProblem("the token is empty")
+    settings.token = token.strip()
+
+
+def token() -> str:
+    found = os.environ.get(TOKEN) or settings.token
+    if not found:
+        raise ConfigurationProblem(f"no token: set {TOKEN} or call set_token")
+    return found
+
+
+def reset_config() -> None:
+    for name, value in asdict(Settings()).items():
+        setattr(settings, name, value)
+
+
+def mostrar_config() -> dict[str, object]:
+    """The settings; of the token only whether there is one."""
+    return asdict(settings) | {"token": bool(os.environ.get(TOKEN) or settings.token)}
+
+
+def limpiar_cache(fuente: Official) -> None:
+    """Fetched answers are forgotten."""
+    fuente.clear()
+
+
+def cargar_canasta(spark: SparkSession, ruta: str, version: int, resumen: bool = False) -> DataFrame:
+    """The basket; with `resumen` its items and categories by classification are shown too."""
     out = written(baskets.read_basket(spark, ruta, _version(version)), "basket")
     laspeyres.check_basket(out)
+    if resumen:
+        baskets.summary(out).orderBy("tipo").show(truncate=False)
     return out
 
 
@@ -53,6 +97,8 @@ def calcular_indice(canasta: DataFrame, serie: DataFrame, tipo: str = "INPC", re
     """The index of one version and classification. referencia: version, tipo, indice, referencia, from the version before."""
     ranges = catalog.ranges(canasta.sparkSession)
     classes = baskets.classes_of(canasta).where(F.col("tipo") == catalog.check_class(tipo))
+    if not classes.limit(1).count():
+        raise CalculationProblem(f"the basket has no categories of {tipo}")
     laspeyres.check_coverage(serie, canasta.join(classes.select("version", "generico"), ["version", "generico"], "left_semi"))
     raw = written(laspeyres.raw_index(serie, canasta.select("version", "generico", "ponderador", "encadenamiento"), classes, ranges), "raw")
     if referencia is not None:
@@ -60,16 +106,49 @@ def calcular_indice(canasta: DataFrame, serie: DataFrame, tipo: str = "INPC", re
     return laspeyres.link(raw, ranges, referencia)
 
 
-def calcular_historia(canastas: DataFrame, series_: DataFrame, referencia: str = "2Q Jul 2018", mensual: bool = True, renombres: DataFrame | None = None) -> DataFrame:
-    """All versions and classifications of the baskets in one plan: linked, spliced, rebased, then (if mensual) by months."""
+def _check_history(canastas: DataFrame, series_: DataFrame, referencia: str) -> None:
+    """Raises before anything is computed: a reference that is no half month, no versions, unknown or not contiguous ones, a chained one without the one before."""
+    parse_as(referencia, "Q")
+    order = [v[0] for v in catalog.VERSIONS]
+    found = sorted(r.version for r in canastas.select("version").distinct().limit(100).collect())
+    if not found:
+        raise InvariantBroken("there is no basket")
+    unknown = [v for v in found if v not in order]
+    if unknown:
+        raise InvariantBroken(f"unknown versions {unknown}")
+    if order[order.index(found[0]) :][: len(found)] != found:
+        raise InvariantBroken(f"versions {found} are not contiguous in {order}")
+    first = catalog.VERSIONS[order.index(found[0])]
+    if first[3] in laspeyres.CHAINED:
+        raise InvariantBroken(f"version {first[0]} is chained and needs the version before it")
+    if canastas.groupBy("version", "generico").count().where("count > 1").limit(1).count():
+        raise InvariantBroken("a version has an item twice: is its basket there twice?")
+    lacking = canastas.select("version").distinct().join(series_.select("version").distinct(), "version", "left_anti").collect()  # a row a version
+    if lacking:
+        raise InvariantBroken(f"versions without series: {sorted(r.version for r in lacking)}")
+
+
+def calcular_historia(canastas: DataFrame, series_: DataFrame, referencia: str = "2Q Jul 2018", mensual: bool = True, renombres: DataFrame | None = None, nombres_de: int | None = None) -> DataFrame:
+    """All versions and classifications of the baskets in one plan: linked, spliced, rebased, then (if mensual) by months.
+
+    Categories get the names of version `nombres_de` (the last one of the baskets by default) by the package's tables, after the user's own `renombres`.
+    """
+    _check_history(canastas, series_, referencia)
     ranges = catalog.ranges(canastas.sparkSession).join(F.broadcast(canastas.select("version").distinct()), "version", "left_semi")
     classes = baskets.classes_of(canastas)
     laspeyres.check_coverage(series_, canastas)
+    target = nombres_de or canastas.agg(F.max("version")).first()[0]
+    classes = written(names.to_version(classes, target, "categoria"), "classes") if renombres is None else classes
     raw = written(laspeyres.raw_index(series_, canastas.select("version", "generico", "ponderador", "encadenamiento"), classes, ranges), "raw")
     out = rebasar(written(convert.splice(convert.linked_history(raw, ranges, renombres)), "history"), referencia)
     return a_mensual(out) if mensual else out
 
 
+def renombrar(indices: DataFrame, version: int) -> DataFrame:
+    """Categories named as in a version."""
+    return names.to_version(indices, version)
+
+
 def empalmar(*tramos: DataFrame) -> DataFrame:
     """Linked indices of several versions as one, after a check of the periods they share."""
     out = tramos[0]
@@ -142,15 +221,20 @@ def _weights(canastas: DataFrame, renombres: DataFrame | None) -> tuple[DataFram
 
 def incidencia_periodica(indices: DataFrame, canastas: DataFrame, frecuencia: str, renombres: DataFrame | None = None, frontera: DataFrame | None = None) -> DataFrame:
     """indices holds headline and categories; frontera (of the half months) is needed for exact months across baskets."""
+    incidence.check_inputs(indices, canastas)
     return incidence.periodic(indices, *_weights(canastas, renombres), frecuencia, _periodicity(indices), frontera)
 
 
 def incidencia_acumulada_anual(indices: DataFrame, canastas: DataFrame, renombres: DataFrame | None = None, frontera: DataFrame | None = None) -> DataFrame:
+    incidence.check_inputs(indices, canastas)
     return incidence.year_to_date(indices, *_weights(canastas, renombres), _periodicity(indices), frontera)
 
 
-def incidencia_desde(indices: DataFrame, canastas: DataFrame, desde: str, hasta: str, incluir_parciales: bool = True, renombres: DataFrame | None = None, frontera: DataFrame | None = None) -> DataFrame:
+def incidencia_desde(indices: DataFrame, canastas: DataFrame, desde: str | None = None, hasta: str | None = None, incluir_parciales: bool = True, renombres: DataFrame | None = None, frontera: DataFrame | None = None) -> DataFrame:
+    incidence.check_inputs(indices, canastas)
     a, z = _ends(indices, desde, hasta)
+    whole = indices.agg(F.min("ord").alias("a"), F.max("ord").alias("z")).first()
+    a, z = whole.a if a is None else a, whole.z if z is None else z
     return incidence.from_to(indices, *_weights(canastas, renombres), a, z, _periodicity(indices), incluir_parciales, frontera)
 
 
@@ -184,3 +268,49 @@ def validar_variacion(variaciones: DataFrame, oficial: DataFrame) -> DataFrame:
 
 def validar_incidencia(incidencias: DataFrame, oficial: DataFrame) -> DataFrame:
     return validate.compare(incidencias, oficial, "incidencia_pp", settings.point_tolerance)
+
+
+def validar(resultado: Result, fuente: Callable[[], OfficialSource]) -> Result:
+    """A result against the official source, which is built only when its rows have passed the checks, so that these come before any token or fetch."""
+    rows, kind = resultado.rows, resultado.clase
+    if kind == "validacion":
+        raise ConfigurationProblem("a comparison can't be compared again")
+    strange = [r.tipo for r in rows.select("tipo").distinct().where(~F.col("tipo").isin(*INDICES_VALIDABLES)).limit(3).collect()]
+    if strange:
+        raise ConfigurationProblem(f"no official figures for {strange}; there are for {list(INDICES_VALIDABLES)}")
+    if not rows.limit(1).count():
+        raise InvariantBroken("there are no periods to compare")
+    periodicity, measure = _periodicity(rows), "indice"
+    if kind != "indice":
+        found = [r[0] for r in rows.select(f"clase_{kind}").distinct().limit(2).collect()]
+        measure = indicators.measure_of(found[0], periodicity) if len(found) == 1 else None
+        if kind == "incidencia":
+            measure = "incidencia" if (measure, periodicity) == ("periodica", "M") else None
+    if measure is None:
+        raise InvariantBroken(f"no official figures of {kind} for {found} by {periodicity}")
+    official = fuente().at(rows.select("ord").distinct(), periodicity, measure)
+    compare = {"indice": validar_indice, "variacion": validar_variacion, "incidencia": validar_incidencia}[kind]
+    return Result(compare(rows, official), "validacion", resultado.manifiesto)
+
+
+def _official(fuente: OfficialSource, tipo: str, periodicidad: str, measure: str) -> DataFrame:
+    if tipo.upper() not in INDICES_VALIDABLES:
+        raise ConfigurationProblem(f"no official figures for {tipo!r}")
+    if periodicidad not in ("Q", "M"):
+        raise ConfigurationProblem(f"periodicity must be Q or M, not {periodicidad!r}")
+    return fuente.history(periodicidad, measure).where(F.col("tipo") == tipo.upper()).groupBy("ord").pivot("indice").agg(F.first("oficial")).orderBy("ord")
+
+
+def consultar_indice(fuente: OfficialSource, tipo: str = "INPC", periodicidad: str = "M") -> DataFrame:
+    """Official indices as published: a row a period, a column a category."""
+    return _official(fuente, tipo, periodicidad, "indice")
+
+
+def consultar_variacion(fuente: OfficialSource, tipo: str = "INPC", clase: str = "periodica", periodicidad: str = "M") -> DataFrame:
+    if clase not in ("periodica", "anual", "acumulada_anual"):
+        raise ConfigurationProblem(f"unknown class {clase!r}")
+    return _official(fuente, tipo, periodicidad, clase)
+
+
+def consultar_incidencia(fuente: OfficialSource, tipo: str = "INPC") -> DataFrame:
+    return _official(fuente, tipo, "M", "incidencia")

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.periods import parse_as
+from . import consult
+
 #: Series in a panel; share that a stacked chart details; periods up to which points are drawn.
 IN_PANEL, DETAILED_SHARE, POINTS = 8, 0.80, {"Q": 25, "M": 13}
 
@@ -69,3 +72,10 @@ def combined(result: DataFrame, other: DataFrame | None) -> DataFrame:
     """Result and comparison in one frame, told apart by `linea`."""
     own = result.withColumn("linea", F.lit("resultado"))
     return own if other is None else own.unionByName(other.withColumn("linea", F.lit("comparacion")), allowMissingColumns=True)
+
+
+def clipped(rows: DataFrame, desde: str | None, hasta: str | None, periodicity: str) -> DataFrame:
+    """The rows from `desde` to `hasta`; texts of another periodicity are refused first, then periods that no row has."""
+    a, z = (parse_as(x, periodicity) if x else None for x in (desde, hasta))
+    consult.check_range(rows, a, z)
+    return consult.in_range(rows, a, z)

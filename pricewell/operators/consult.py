@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import InvariantBroken
+from ..errors import InvariantBroken, PeriodUnavailable
 from ..functions.periods import PER_YEAR, text_column
 
 
@@ -22,6 +22,17 @@ def in_range(rows: DataFrame, start: int | None = None, end: int | None = None,
     return out if end is None else out.where(F.col("ord") <= end)
 
 
+def check_range(rows: DataFrame, start: int | None = None, end: int | None = None, index: str | None = None) -> None:
+    """Raises if an end is a period that no category has, the index is unknown, or nothing lies in the range."""
+    for o in (start, end):
+        if o is not None and not rows.where(F.col("ord") == o).limit(1).count():
+            raise PeriodUnavailable(f"no category has period {o}")
+    if index is not None and not rows.where(F.col("indice") == index).limit(1).count():
+        raise InvariantBroken(f"there is no index {index!r}")
+    if not in_range(rows, start, end, index).limit(1).count():
+        raise InvariantBroken("nothing lies in the range")
+
+
 def total(rows: DataFrame, value: str, start: int | None = None, end: int | None = None) -> DataFrame:
     """The plain sum of points, not compounded."""
     return in_range(rows, start, end).groupBy("tipo", "indice").agg(F.sum(value).alias("acumulada"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..errors import ConfigurationProblem, InvariantBroken
 from ..functions.periods import december_before, lag_of
 from .laspeyres import small
 from .variation import derived_state, ends, with_base
@@ -24,6 +25,22 @@ def weights(basket: DataFrame, classes: DataFrame, renames: DataFrame | None = N
     return named.groupBy("version", "tipo", F.coalesce("nuevo", "indice").alias("indice")).agg(F.sum("ponderador").alias("ponderador"))
 
 
+def check_inputs(indices: DataFrame, basket: DataFrame) -> None:
+    """Raises unless indices hold the headline and categories of one periodicity, finite, with a basket for each version."""
+    seen = indices.agg(F.count_if(F.col("tipo") == "INPC").alias("head"), F.count_if(F.col("tipo") != "INPC").alias("rest"), F.countDistinct("periodicidad").alias("kinds")).first()
+    if not seen["head"] or not seen.rest:
+        raise ConfigurationProblem("indices must hold the headline (tipo INPC) and categories")
+    if seen.kinds != 1:
+        raise ConfigurationProblem("headline and categories must have one periodicity")
+    lacking = indices.select("version").distinct().join(basket.select("version").distinct(), "version", "left_anti").collect()  # a row a version
+    if lacking:
+        raise ConfigurationProblem(f"no basket for versions {sorted(r.version for r in lacking)}")
+    off = lambda c: F.col(c).isNotNull() & (F.isnan(c) | (F.abs(c) == float("inf")))
+    bad = indices.where(off("indice_replicado") | off("indice_incidencia") | ((F.col("tipo") == "INPC") & (F.col("indice_replicado") == 0))).limit(1).collect()
+    if bad:
+        raise InvariantBroken(f"{bad[0].indice!r} at {bad[0].ord} is not finite, or a headline of 0")
+
+
 def stable(classes: DataFrame, renames: DataFrame | None = None, item_renames: DataFrame | None = None) -> DataFrame:
     """tipo, estable: every version has the same categories and no item changes its category, after renames (item_renames: version, generico, nuevo_generico)."""
     own = classes.where("categoria is not null")

@@ -12,11 +12,15 @@ from ..functions.text import normalized
 from ..scratch import written
 from .tables import cells
 
+#: Lines above the header, its first title, and the patterns of periods and of items with a code.
 HEADER_LINES, TITLE = 5, "Título"
 PERIOD = r"(?U)^[12]Q \w+ \d{4}$"
 CODE = r"\b\d{3}\b\s*(.*)"
-#: Names that hierarchical files spell in another way (raw → item) and the prefix of their first titles.
-ALIASES: dict[str, str] = {}
+#: Items that the files of 2010 spell in another way, and the prefix of a hierarchical file's first titles.
+ALIASES = {
+    "vestidos faldas y pantalones para niña": "vestidos faldas y pantalones para niñas",
+    "papel higienico y pañuelos deshechables": "papel higienico y pañuelos desechables",
+}
 HIERARCHY_PREFIX, SAMPLE = "quincenal ", 10
 
 
@@ -63,7 +67,7 @@ def leaves(titles: DataFrame, aliases: dict[str, str]) -> DataFrame:
     parents = known.select(F.col("prefix").alias("titulo")).distinct()
     longest = known.withColumn("r", F.row_number().over(W.partitionBy("place", "titulo").orderBy(F.desc("n")))).where("r = 1")
     own = longest.join(parents, "titulo", "left_anti").select("place", "titulo", F.expr("substring(titulo, length(prefix) + 3)").alias("name"))
-    name = F.col("name")
+    name = normalized(F.col("name"))
     if aliases:
-        name = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in aliases.items() for x in kv)), name), name)
-    return own.select("place", "titulo", normalized(name).alias("generico"))
+        name = F.coalesce(F.try_element_at(F.create_map(*(normalized(F.lit(x)) for kv in aliases.items() for x in kv)), name), name)
+    return own.select("place", "titulo", name.alias("generico"))
