@@ -1,7 +1,7 @@
 """From raw documents to training shards: quality, near duplicates, benchmark passages, source mix, byte shards.
 
 Each stage takes (spark, docs, sf_dir) and returns the documents it keeps with their columns; the last one adds shard and slot. run() writes
-every stage's rows to the shared folder and reads them again, so a lost executor costs a stage at most.
+every stage's rows to the shared folder and reads them again, so a lost executor costs a stage at most; a stage's other tables are deleted with its end.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pricewell.llm import decontam, minhash, mixing, quality, sharding
 from pricewell.llm.common import written
+from pricewell.scratch import swept
 
 SHARDS = 16
 
@@ -47,14 +48,13 @@ STAGES = [
     ("sharding", sharding_stage),
 ]
 
-#: The classifier, MinHash and the suffix arrays have no SQL; tests hold each stage against a brute-force version.
+#: The classifier, MinHash and the suffix arrays have no SQL; tests/llm/test_pipeline.py holds each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with swept(spark):
+            docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
-
-
