@@ -15,8 +15,9 @@ __all__ = ["blocks", "dealt_join", "few", "masked", "narrow_join", "shared_dir",
 
 #: Rows of a few numbers that may be broadcast; with more, the join shuffles.
 BROADCAST_ROWS = 1_000_000
-#: Rows of one key that meet in a task at least before its rows are dealt to several tasks; keys that may be told as hot at most.
-GROUP_ROWS, HOT_KEYS = 512, 100_000
+#: Rows of one key that meet in a task at least before its rows are dealt to several tasks; keys that may be told as hot at most; and rows of a table
+#: of a few numbers that is so small that it doesn't matter.
+GROUP_ROWS, HOT_KEYS, SMALL_ROWS = 512, 100_000, 200_000
 #: Text bytes that a kernel handles at once, some less than 1 MB; one longer document is a block of its own.
 BLOCK_BYTES = 900_000
 
@@ -31,21 +32,25 @@ def narrow_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str
     return left.join(F.broadcast(right) if few(right, most) else right, on, how)
 
 
-def dealt_join(left: DataFrame, right: DataFrame, on: str, place: list[str], how: str = "inner", total: int | None = None) -> DataFrame:
+def dealt_join(left: DataFrame, right: DataFrame, on: str, place: list[str], how: str = "inner", total: int | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Joins right (one row a key, with `n`, the key's rows in left) to left where single keys may hold a large share of left's rows.
 
     Keys of more than GROUP_ROWS rows, and of more than a HOT_KEYS-th of all rows, are dealt by a hash of `place` to as many tasks as they hold
     such portions; right's row goes to each of them. At most HOT_KEYS keys can be so frequent, so their table is broadcast. `n` is not kept.
-    `total`, the rows of left, is counted unless given. Null keys match nothing; left rows that have one must not be many in a left join.
+    `total` is the number of left's rows if these are a few numbers each: with SMALL_ROWS or less nothing is dealt. `counts` (key and n, a written
+    table) stands for right's `n` where right has long rows. Null keys match nothing; left rows that have one must not be many in a left join.
     """
-    right = written(right, "dealt")
-    most = max(GROUP_ROWS, (left.count() if total is None else total) // HOT_KEYS)
-    if (right.agg(F.max("n")).first()[0] or 0) <= most:
+    if total is not None and total <= min(SMALL_ROWS, 400 * GROUP_ROWS):
         return left.join(right.drop("n"), on, how)
-    portions = F.ceil(F.col("n") / most).cast("int")
-    hot = right.where(F.col("n") > most).select(on, portions.alias("_portions"))
+    if counts is None:
+        right = counts = written(right, "dealt")
+    seen = counts.agg(F.max("n").alias("most"), F.sum("n").alias("rows")).first()
+    most = max(GROUP_ROWS, (seen.rows or 0) // HOT_KEYS)
+    if (seen.most or 0) <= most:
+        return left.join(right.drop("n"), on, how)
+    hot = written(counts.where(F.col("n") > most).select(on, F.ceil(F.col("n") / most).cast("int").alias("_portions")), "dealt-hot")
     put = left.join(F.broadcast(hot), on, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*place), F.col("_portions")), F.lit(0)).cast("int")).drop("_portions")
-    each = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(portions, F.lit(1)) - 1))).drop("n")
+    each = right.drop("n").join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_portions", F.lit(1)) - 1))).drop("_portions")
     return put.join(each, [on, "_salt"], how).drop("_salt")
 
 

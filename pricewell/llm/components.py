@@ -28,7 +28,7 @@ def components(links: DataFrame) -> DataFrame:
         large = dealt_join(both.where("v > u"), low, "u", ["v"], total=last[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         edges = written(large, "cc")
         low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = dealt_join(edges, low, "u", ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).where("u <> v")
+        small = dealt_join(edges, low, "u", ["v"], total=last[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).where("u <> v")
         edges = written(small.distinct(), "cc")
         now = _state(edges)
         if now == last:

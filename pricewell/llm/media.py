@@ -175,4 +175,4 @@ def document_media(docs: DataFrame) -> DataFrame:
     result = written(read_back(store), "media-result")
     first = slim.groupBy("digest").agg(F.min(F.struct("o", "t")).alias("f"), F.count("*").alias("n"))
     by_text = first.select("digest", "n", F.col("f.o").alias("o"), F.col("f.t").alias("t")).join(result, ["o", "t"]).drop("o", "t")
-    return dealt_join(slim, by_text, "digest", ["o", "t"]).select(F.col("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return dealt_join(slim, by_text, "digest", ["o", "t"], total=slim.count()).select(F.col("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

@@ -16,8 +16,8 @@ from .components import components
 from .regions import NO_ID, identified, repeats
 
 
-#: Shingles of a block of a crowded bucket, about.
-BLOCK_SHINGLES = 1 << 18
+#: Shingles of a block of a crowded bucket, about; rounds of further centers before the pairs left are compared.
+BLOCK_SHINGLES, ROUNDS = 1 << 18, 1
 
 
 @dataclass(frozen=True)
@@ -126,8 +126,8 @@ def confirmed(edges: DataFrame, texts: Texts, spec: Spec) -> DataFrame:
     edges = written(edges, "minhash-edges")
     own = texts.of(edges.select("node").union(edges.select("center")).distinct())
     carried = edges.join(own.withColumnRenamed("text", "a"), "node")
-    sized = edges.groupBy("center").agg(F.count("*").alias("n")).join(own.select(F.col("node").alias("center"), F.col("text").alias("b")), "center")
-    two = dealt_join(carried, sized, "center", ["node"], total=edges.count())
+    counts = written(edges.groupBy("center").agg(F.count("*").alias("n")), "minhash-rays")
+    two = dealt_join(carried, own.select(F.col("node").alias("center"), F.col("text").alias("b")), "center", ["node"], counts=counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in blocks(batches, "a"):
@@ -206,7 +206,7 @@ def compared(rest: DataFrame, texts: Texts, spec: Spec) -> DataFrame:
     sized = rest.join(own.select("node", (F.length("shingles") / 8).cast("long").alias("size")), "node")
     each = sized.groupBy("bucket", "component").agg(F.count("*").alias("rows"), F.sum("size").alias("size"))
     whole = each.groupBy("bucket").agg(F.max_by("component", F.struct("rows", -F.col("component"))).alias("most"), F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("int").alias("blocks"), F.sum("rows").alias("n"))
-    put = dealt_join(rest, whole, "bucket", ["node"]).select("bucket", "node", "component", (F.col("component") != F.col("most")).alias("lone"), "blocks", F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1))).cast("int").alias("b"))
+    put = dealt_join(rest, whole, "bucket", ["node"], total=rest.count()).select("bucket", "node", "component", (F.col("component") != F.col("most")).alias("lone"), "blocks", F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1))).cast("int").alias("b"))
     put = put.withColumn("x", F.explode(F.sequence(F.lit(0), F.greatest("blocks", F.lit(1)) - 1)))
     put = put.select("bucket", F.least("b", "x").alias("i"), F.greatest("b", "x").alias("j"), "b", "node", "component", "lone")
     # Units whose rows are all of one component have nothing to compare.
@@ -253,19 +253,20 @@ def _linked(reps: DataFrame, texts: Texts, spec: Spec) -> tuple[DataFrame, DataF
     held = reps.select("node", F.explode("buckets").alias("bucket")).distinct()
     shared = held.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").withColumn("size", F.col("n"))
     members = written(dealt_join(held, shared, "bucket", ["node"]), "minhash-members")
-    weight = written(members.groupBy("node").agg(F.sum("size").alias("weight")), "minhash-weights")
+    total = members.count()
+    weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
     members = written(members.join(weight, "node").select("bucket", "node", "weight"), "minhash-members")
     center = members.groupBy("bucket").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("center"), F.count("*").alias("n"))
-    tried = written(_pairs(dealt_join(members, center, "bucket", ["node"])), "minhash-tried")
+    tried = written(_pairs(dealt_join(members, center, "bucket", ["node"], total=total)), "minhash-tried")
     links = confirmed(tried, texts, spec)
-    while True:
+    for further in range(ROUNDS + 1):
         group = written(components(links), "minhash-groups")
         open_ = members.join(group, "node", "left").select("bucket", "node", "weight", F.coalesce("component", "node").alias("component"))
         mixed = open_.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).where("a <> b").select("bucket", "n")
-        left = written(dealt_join(open_, mixed, "bucket", ["node"]), "minhash-open")
-        more = _next_edges(left, tried)
-        if not more.limit(1).count():
+        left = written(dealt_join(open_, mixed, "bucket", ["node"], total=total), "minhash-open")
+        if further == ROUNDS or not left.limit(1).count():
             break
+        more = _next_edges(left, tried)
         fresh = confirmed(more, texts, spec)
         tried = written(tried.union(more), "minhash-tried")
         if not fresh.limit(1).count():
@@ -273,7 +274,7 @@ def _linked(reps: DataFrame, texts: Texts, spec: Spec) -> tuple[DataFrame, DataF
         links = written(links.union(fresh), "minhash-links")
     # What centers can't tell; a bucket of two members has had its one pair.
     crowded = left.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 2")
-    rest = written(dealt_join(left, crowded, "bucket", ["node"]).select("bucket", "node", "component"), "minhash-crowded")
+    rest = written(dealt_join(left, crowded, "bucket", ["node"], total=total).select("bucket", "node", "component"), "minhash-crowded")
     if rest.limit(1).count():
         fresh = compared(rest, texts, spec)
         if fresh.limit(1).count():
@@ -295,11 +296,12 @@ def _next_edges(left: DataFrame, tried: DataFrame) -> DataFrame:
     """
     best = F.max_by(F.struct("node", "component"), F.struct("weight", -F.col("node")))
     lead = left.groupBy("bucket").agg(best.alias("lead"), F.count("*").alias("n"))
-    both = written(dealt_join(left, lead, "bucket", ["node"]), "minhash-led")
+    total = left.count()
+    both = written(dealt_join(left, lead, "bucket", ["node"], total=total), "minhash-led")
     outside = both.where("component <> lead.component")
     rival = outside.groupBy("bucket").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("center"))
     rival = rival.join(both.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
-    to_rival = dealt_join(both.select("bucket", "node"), rival, "bucket", ["node"]).select("node", "center")
+    to_rival = dealt_join(both.select("bucket", "node"), rival, "bucket", ["node"], total=total).select("node", "center")
     edges = _pairs(to_rival.union(outside.select("node", F.col("lead.node").alias("center"))))
     known = tried.select(F.least("node", "center").alias("u"), F.greatest("node", "center").alias("v"))
     keyed = edges.withColumns({"u": F.least("node", "center"), "v": F.greatest("node", "center")})
@@ -310,9 +312,9 @@ def near_duplicates(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:  # noqa:
     """doc_id, o, t, n_shingles, component_id, kept, stays, n_links (confirmed links of the document's set), one row a document.
 
     Equal sets are one node. In every bucket of several nodes the one that shares most buckets with others is the center, and the others get an edge
-    to it: as many edges as members, at most. Edges are confirmed on full sets. Buckets that still hold several components get further centers,
-    until a round confirms no link. In buckets that are then still of several components, every pair of nodes of different components is compared
-    on full sets (compared), so no pair that shares a bucket is left out.
+    to it: as many edges as members, at most. Edges are confirmed on full sets. Buckets that still hold several components get two further centers.
+    In buckets that are then still of several components, every pair of nodes of different components is compared on full sets (compared), so no
+    pair that shares a bucket is left out.
 
     component_id is the least doc_id reachable, kept says that the row has it. Rows are documents of their own: those of one doc_id with different
     texts are linked only if similar, but share a component_id. Rows without doc_id are linked like others; where no linked row has one,
@@ -329,11 +331,12 @@ def near_duplicates(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:  # noqa:
     ends = links.select(F.col("u").alias("node")).union(links.select("v")).groupBy("node").agg(F.count("*").alias("n_links"))
     nodes = reps.select("node", "digest", "n", "o", "t").join(group, "node", "left").join(ends, "node", "left").withColumn("component", F.coalesce("component", "node"))
     nodes = written(nodes, "minhash-nodes")
+    total = own.count()
     first = nodes.groupBy("component").agg(F.min(F.struct("o", "t")).alias("first"), F.count("*").alias("n"))
-    named = written(dealt_join(nodes.withColumnRenamed("n", "times"), first, "component", ["node"]).select("node", "digest", F.col("times").alias("n"), "component", "first", F.coalesce("n_links", F.lit(0)).alias("n_links")), "minhash-named")
+    named = written(dealt_join(nodes.withColumnRenamed("n", "times"), first, "component", ["node"], total=total).select("node", "digest", F.col("times").alias("n"), "component", "first", F.coalesce("n_links", F.lit(0)).alias("n_links")), "minhash-named")
     named = named.join(_tied(real, named), "component", "left").withColumn("least", F.coalesce("least", "first.o"))
     rows = real.select("doc_id", "o", "t", "n_shingles", "digest")
-    found = dealt_join(rows, named.select("digest", "n", "first", "least", "n_links"), "digest", ["o", "t"])
+    found = dealt_join(rows, named.select("digest", "n", "first", "least", "n_links"), "digest", ["o", "t"], total=total)
     stays = F.struct("o", "t") == F.col("first")
     component = F.when(F.col("least") != NO_ID, F.col("least"))
     found = found.select("doc_id", "o", "t", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull() & stays).alias("kept"), stays.alias("stays"), "n_links")

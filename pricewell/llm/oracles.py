@@ -67,7 +67,37 @@ select doc_id, (len(x) // 2)::bigint as n_bytes, coalesce(list_sum(list_transfor
   sha256(unhex(case when s[1] is null then x else array_to_string(list_transform(range(0, len(s) + 1), lambda i: substr(x, (case when i = 0 then 1 else 2 * e[i] - 1 end)::bigint, (2 * (case when i = len(s) then len(x) // 2 + 1 else s[i + 1] end) - 1 - case when i = 0 then 1 else 2 * e[i] - 1 end)::bigint)), '') end)) as kept_sha256
 from gap"""
 
+#: CRC-32 of 16 bytes by its linearity: `e` has what bit `k` of a byte adds at each distance from the end, and (k = 8) what the initial value adds.
+_CRC = """
+tab(n, k, c) as (select n::bigint, 0, n::bigint from range(256) r(n) union all select n, k + 1, xor(c >> 1, case when c & 1 = 1 then 3988292384 else 0 end) from tab where k < 8),
+t as (select n, c from tab where k = 8),
+e(d, k, v) as (
+  select 0::bigint, k, c from (select log2(n)::int as k, c from t where n in (1, 2, 4, 8, 16, 32, 64, 128) union all select 8, 4294967295)
+  union all select d + 1, k, xor(v >> 8, t.c) from e join t on t.n = v & 255 where d < 16),
+"""
+
+
+_LITTLE = "printf('%02X%02X%02X%02X', {n} & 255, ({n} >> 8) & 255, ({n} >> 16) & 255, ({n} >> 24) & 255)"
+
+MEDIA = f"""
+with recursive {_CRC}
+w as (select doc_id, octet_length(encode(coalesce(text, '')))::bigint as n, coalesce(text, '') as x from documents),
+o as (select doc_id, n, greatest(192, (n + 191) // 192 * 192) as m, hex(encode(x || repeat(' ', (greatest(192, (n + 191) // 192 * 192) - n)::bigint))) as h from w),
+a as materialized (select doc_id, i, ('0x' || substr(h, 2 * i + 1, 2))::bigint as v, m from (select doc_id, h, m, unnest(range(m)) as i from o)),
+b as (select doc_id, i - m + 16 as i, v from a where i >= m - 16),
+bits as (select doc_id, 15 - i as d, k from b, range(8) r(k) where (v >> k) & 1 = 1),
+ends as (select doc_id, bit_xor(e.v) as c from bits join e using (d, k) group by doc_id),
+mean as (select doc_id, m, sum(v) // m as mean from a group by doc_id, m),
+f as (
+  select doc_id, mean, sum((v - mean) * (v - mean)) // m as power, min(v) as low, max(v) as high, sum((turn)::int) as crossings
+  from (select *, coalesce((v >= 64) <> (lag(v) over (partition by doc_id order by i) >= 64), false) as turn from a) join mean using (doc_id, m) group by doc_id, m, mean)
+select doc_id, n as n_bytes, m as payload_bytes, sha256(unhex(h)) as payload_sha256, xor(xor(coalesce(c, 0), z.v), 4294967295)::bigint as tail_crc32, m + 44 as media_bytes,
+  sha256(unhex('52494646' || {_LITTLE.format(n='(m + 36)')} || '57415645666D74201000000001000100401F0000401F00000100080064617461' || {_LITTLE.format(n='m')} || h)) as media_sha256,
+  'mean=' || mean::bigint || ';power=' || power::bigint || ';crossings=' || crossings::bigint || ';low=' || low || ';high=' || high as feature
+from o left join ends using (doc_id) join f using (doc_id) join e z on z.k = 8 and z.d = 16"""
+
 ORACLES = {
+    "op1_media_chunks": MEDIA,
     "op2_site_lines": linededup.ORACLE,
     "op3_near_duplicates": NEAR,
     "op4_mix_sources": MIX,

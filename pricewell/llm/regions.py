@@ -49,7 +49,7 @@ def copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     slim = written(rows.select("doc_id", "o", "t", F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("n_bytes"), F.sha2(utf8(), 256).alias("digest")), "region-docs")
     first = written(slim.groupBy("digest").agg(F.min(F.struct("o", "t")).alias("first"), F.count("*").alias("n")).where("n > 1"), "region-texts")
-    marked = dealt_join(slim, first, "digest", ["o", "t"]).select("o", "t", (F.struct("o", "t") != F.col("first")).alias("copy")).distinct()
+    marked = dealt_join(slim, first, "digest", ["o", "t"], total=slim.count()).select("o", "t", (F.struct("o", "t") != F.col("first")).alias("copy")).distinct()
     return slim, written(marked, "region-copies")
 
 

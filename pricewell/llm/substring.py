@@ -55,7 +55,7 @@ def removed_spans(rows: DataFrame, slim: DataFrame, marked: DataFrame, spec: Spe
     first = written(first.select("sample", "inner", F.col("f.o").alias("o"), F.col("f.t").alias("t"), F.col("f.pos").alias("pos")), "sub-firsts")
     again = found.select("o", "t", "pos", "m").join(first.select("o", "t", "pos"), ["o", "t", "pos"], "left_anti")
     several = written(first.groupBy("sample").agg(F.count("*").alias("n"), F.max("inner").alias("inner")).where("n > 1 or inner").select("sample", "n"), "sub-samples")
-    open_ = dealt_join(first, several, "sample", ["o", "t", "pos"]).select("o", "t", "pos")
+    open_ = dealt_join(first, several, "sample", ["o", "t", "pos"], total=first.count()).select("o", "t", "pos")
     wins = _windows(found.select("o", "t", "pos", "body").join(open_, ["o", "t", "pos"], "left_semi"), spec.length)
     wins = written(wins.distinct(), "sub-windows")  # repeated rows share their places
     ahead = wins.groupBy("h").agg(F.min(F.struct("o", "t", "pos")).alias("f")).select("f.*")
