@@ -8,30 +8,27 @@ from pyspark.sql import functions as F
 from .common import dealt_join, written
 
 
-def _state(edges: DataFrame) -> tuple:
-    """Rows and two sums of 64-bit hashes, which tell whether a round changed the edges."""
-    r = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.sum(F.xxhash64("v", "u", F.lit(1)).cast("decimal(20,0)"))).first()
-    return tuple(r)
+def _settled(edges: DataFrame) -> bool:
+    """True if the edges are stars: no node points to two others, or is pointed to and points elsewhere."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+    open_ = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up + down > 1")
+    return not open_.limit(1).count()
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, component (the least node reachable) for every node of the links (u, v); nodes without links are absent.
 
-    Loops and repeated links are allowed. Each round points neighbours at the least one they know; stars settle in one or two rounds and
+    An edge points from the greater node to the lesser. Loops and repeated links are allowed. Each round points neighbours at the least one they know; stars settle in one or two rounds and
     chains in a number that grows with the logarithm of their length. The joins that hand out the minima deal a star of many rays to several tasks.
     """
     edges = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
-    last = _state(edges)
-    while last[0]:
+    total = edges.count()
+    while not _settled(edges):
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        large = dealt_join(both.where("v > u"), low, "u", ["v"], total=last[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = dealt_join(both.where("v > u"), low, "u", ["v"], total=total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         edges = written(large, "cc")
         low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = dealt_join(edges, low, "u", ["v"], total=last[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).where("u <> v")
+        small = dealt_join(edges, low, "u", ["v"], total=total).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).where("u <> v")
         edges = written(small.distinct(), "cc")
-        now = _state(edges)
-        if now == last:
-            break
-        last = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v"), F.col("v")).distinct())

@@ -137,6 +137,26 @@ def test_template_family(spark):
     assert got(minhash.near_duplicates(data, minhash.Spec(words=1)), "doc_id", "component_id") == Counter(enumerate(want))
 
 
+def test_components(spark):
+    """A chain, stars, a ring, a pair twice in both directions, loops."""
+    from pricewell.llm.components import components
+
+    links = [(i, i + 1) for i in range(100, 140)] + [(7, x) for x in (3, 5, 9, 11)] + [(200, 201), (201, 202), (202, 200)] + [(50, 40), (40, 50), (60, 60)] + [(300 + (i * 7) % 31, 300 + (i * 11) % 31) for i in range(31)]
+    parent = {x: x for e in links for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    want = Counter((x, find(x)) for x in parent if any(x in e and e[0] != e[1] for e in links))
+    assert got(components(spark.createDataFrame(links, "u long, v long")), "node", "component") == want
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 def thue_morse(n):
     x = "a"
     while len(x) < n:
