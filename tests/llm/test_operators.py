@@ -137,10 +137,14 @@ def test_template_family(spark):
     assert got(minhash.near_duplicates(data, minhash.Spec(words=1)), "doc_id", "component_id") == Counter(enumerate(want))
 
 
-def test_components(spark):
-    """A chain, stars, a ring, a pair twice in both directions, loops."""
+@pytest.mark.parametrize("block", [200_000, 10])
+def test_components(spark, block, monkeypatch):
+    """A chain, stars, a ring, a pair twice in both directions, loops; in one block, and in many that rounds join."""
+    from pricewell.llm import components as module
     from pricewell.llm.components import components
 
+    monkeypatch.setattr(module, "BLOCK_LINKS", block)
+
     links = [(i, i + 1) for i in range(100, 140)] + [(7, x) for x in (3, 5, 9, 11)] + [(200, 201), (201, 202), (202, 200)] + [(50, 40), (40, 50), (60, 60)] + [(300 + (i * 7) % 31, 300 + (i * 11) % 31) for i in range(31)]
     parent = {x: x for e in links for x in e}
 
