@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvariantBroken
-from ..functions.text import code_of, equal_when_rounded, more_precise, name_after_code
+from ..functions.text import code_of, equal_when_rounded, more_precise, name_after_code, normalized
 
 
 def check_same_items(a: DataFrame, b: DataFrame, key: str = "generico") -> None:
@@ -72,6 +72,13 @@ def carried(target: DataFrame, source: DataFrame, columns: list[str], key: str =
     return target.drop(*columns).join(source.select(key, *columns), key).select(*target.columns, *(c for c in columns if c not in target.columns))
 
 
+def carried_by_name(target: DataFrame, source: DataFrame, columns: list[str], key: str = "generico") -> DataFrame:
+    """The same for items that the two sides spell in different ways: keys are compared without case, accents and punctuation, and stay as the target has them."""
+    named = lambda df: df.withColumn("_item", normalized(F.col(key)))
+    out = carried(named(target), named(source).drop(key), columns, "_item")
+    return out.drop("_item")
+
+
 def match_all(a: DataFrame, b: DataFrame, by_row: list[str], by_pair: list[str], only_a: list[str] = (), only_b: list[str] = (), prefer: str = "p", answers: DataFrame | None = None, key: str = "generico") -> DataFrame:
     """columna, valor_final, metodo, genericos of a whole match: numbers row by row, categories by pairs, columns of one side as they are.
 

@@ -30,3 +30,8 @@ def cells(spark: SparkSession, path: str, skip: int = 0, encodings: tuple[str, .
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(parse, "file string, row int, pos int, cell string")
+
+
+def text_table(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV file with a header, every cell as text; an empty cell is an empty text."""
+    return spark.read.csv(path, header=True).na.fill("")

@@ -156,6 +156,18 @@ def test_whole_match(spark):
     assert got == {("x", "n"): ("1.25", "redondeo"), ("y", "n"): ("3.0", "preferido"), ("x", "clase"): ("Pan", "igual"), ("y", "clase"): ("03 Mieles", "respuesta"), ("x", "solo"): ("a", "directo"), ("y", "solo"): ("b", "directo")}
 
 
+def test_classes_by_name(spark, tmp_path):
+    from pricewell.sources.tables import text_table
+
+    (tmp_path / "a.csv").write_text("generico,clase\n\"Azúcar, fina\",\nPan,1\n")
+    (tmp_path / "b.csv").write_text("generico,clase\nazucar fina,7\npan,\n")
+    one, two = (text_table(spark, str(tmp_path / f"{x}.csv")) for x in "ab")
+    assert {tuple(r) for r in one.collect()} == {("Azúcar, fina", ""), ("Pan", "1")}
+    assert {tuple(r) for r in extracts.carried_by_name(one, two, ["clase"]).collect()} == {("Azúcar, fina", "7"), ("Pan", "")}
+    with pytest.raises(InvariantBroken):
+        extracts.carried_by_name(one, two.where("clase = '7'"), ["clase"])
+
+
 def test_every_query_has_sql():
     assert workflow_queries.renombres.__name__ in catalog_queries.queries()
     assert set(catalog_queries.queries()) == set(catalog_queries.oracle())
