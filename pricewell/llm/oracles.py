@@ -96,6 +96,76 @@ select doc_id, n as n_bytes, m as payload_bytes, sha256(unhex(h)) as payload_sha
   'mean=' || mean::bigint || ';power=' || power::bigint || ';crossings=' || crossings::bigint || ';low=' || low || ';high=' || high as feature
 from o left join ends using (doc_id) join f using (doc_id) join e z on z.k = 8 and z.d = 16"""
 
+#: Vectors without null or non-finite components; x holds them in double precision.
+_SOUND = "embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda v: v is null or not isfinite(v))) = 0"
+
+NEAR_VECTORS = f"""
+with recursive s as (
+  select vec_id, len(x) as d, list_transform(x, lambda v: v / sqrt(list_sum(list_transform(x, lambda w: w * w)))) as x
+  from (select vec_id, embedding::double[] as x from embeddings where {_SOUND}) where list_sum(list_transform(x, lambda w: w * w)) > 0),
+ways as (select a.vec_id as a, b.vec_id as b from s a join s b on a.d = b.d and a.vec_id <> b.vec_id where list_sum(list_transform(range(1, a.d + 1), lambda i: a.x[i] * b.x[i])) >= 0.95),
+reach(vec_id, r) as (select vec_id, vec_id from embeddings union select reach.vec_id, ways.b from reach join ways on ways.a = reach.r),
+n as (select a as vec_id, count(*) as n from ways group by a)
+select vec_id, coalesce(n, 0)::bigint as n_links, min(r) as component_id, vec_id = min(r) as kept from reach left join n using (vec_id) group by vec_id, n"""
+
+HARD_NEGATIVES = f"""
+with r as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda v: floor(v::double * 256)::bigint) as x
+  from embeddings where label is not null and {_SOUND}),
+s as (
+  select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_sum(list_transform(range(1, len(a.x) + 1), lambda i: a.x[i] * b.x[i]))::bigint as score
+  from r a join r b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id and len(a.x) = len(b.x)),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, (row_number() over (partition by anchor_id, positive_id order by score desc, vec_id))::int as rank, vec_id as negative_id, positive_score, score as negative_score
+from p join s using (anchor_id) where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+qualify row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) <= 10"""
+
+
+def _merkle(depth: int = 9) -> str:
+    """Trees of up to 8^depth leaves: m(k) has the nodes of level k with their runs, f(k) each leaf's node, siblings and fold."""
+    stated = lambda c, x=None: f"coalesce(octet_length(encode(({x or c})::varchar)) || ':' || ({x or c})::varchar, '-')"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    leaf = lambda t: "sha256(" + " || ".join([*map(stated, ("doc_id", "source", "lang", "n_chars")), stated("text", t)]) + ")"
+    # Level 0 to depth within a language; the languages' roots are level 0 of the upper tree. `alone` nodes rise unchanged.
+    level = """
+{m}{k} as (
+  select {g} up as pos, case when any_value(total) = 1 then any_value(h) else sha256(string_agg(h, '' order by p)) end as h, list(h order by p) as run, any_value(total) as total
+  from (select {g} pos as p, pos // 8 as up, h, count(*) over ({over}) as total from {src}) group by {by} up),"""
+    ctes = [
+        f"""d as (
+  select doc_id, coalesce('=' || lang, '') as g, {leaf("text")} as leaf, row_number() over (partition by lang order by doc_id nulls first) - 1 as pos,
+    case when crc % 3 = 0 then {leaf(lower)} else {leaf("text")} end as other
+  from documents left join c using (doc_id)),""",
+        "l0 as (select g, pos, leaf as h from d),",
+    ]
+    ctes += [level.format(m="l", k=k + 1, g="g,", by="g,", over="partition by g", src=f"l{k}") for k in range(depth)]
+    ctes.append(f"u0 as (select row_number() over (order by g) - 1 as pos, g, h from l{depth}),")
+    ctes += [level.format(m="u", k=k + 1, g="", by="", over="", src=f"u{k}") for k in range(depth)]
+    f, last = [], "(select d.*, '' as proof, other as fold, pos as spot from d)"
+    for m, key in (("l", "g, "), ("u", "")):
+        if m == "u":
+            f.append(f"v as (select x.* replace (u0.pos as spot), u0.h as subroot from {last} x join u0 using (g)),")
+            last = "v"
+        for k in range(1, depth + 1):
+            on = f"x.spot // 8 = n.pos{' and x.g = n.g' if key else ''}"
+            f.append(
+                f"""{m}f{k} as (
+  select x.* replace (case when total = 1 then proof else proof || array_to_string(list_concat(run[1:(spot % 8)], run[(spot % 8) + 2:]), '') end as proof,
+    case when total = 1 then fold else sha256(array_to_string(run[1:(spot % 8)], '') || fold || array_to_string(run[(spot % 8) + 2:], '')) end as fold, spot // 8 as spot)
+  from {last} x join {m}{k} n on {on}),"""
+            )
+            last = f"{m}f{k}"
+    body = "\n".join(ctes + f).rstrip(",")
+    return f"""
+with recursive {_CRC.replace("d < 16", "d < 20")}
+i as (select distinct doc_id, doc_id::varchar as s from documents where doc_id is not null),
+bits as (select doc_id, len(s) - p as d, k from (select doc_id, s, unnest(range(1, len(s) + 1)) as p from i), range(8) r(k) where (ascii(substr(s, p::bigint, 1)) >> k) & 1 = 1),
+sums as (select doc_id, bit_xor(v) as v from bits join e using (d, k) group by doc_id),
+c as (select i.doc_id, xor(xor(sums.v, z.v), 4294967295) as crc from i join sums using (doc_id) join e z on z.k = 8 and z.d = len(s)),
+{body}
+select doc_id, leaf, subroot, r.h as root, sha256(proof) as proof_sha256, fold as folded_root, fold = r.h as verified from {last}, u{depth} r"""
+
+
 ORACLES = {
     "op1_media_chunks": MEDIA,
     "op2_site_lines": linededup.ORACLE,
@@ -104,4 +174,7 @@ ORACLES = {
     "op5_decontaminate": DECONTAMINATE,
     "op6_suffix_dedup": SUFFIX,
     "op8_substring_dedup": SUBSTRING,
+    "op11_near_vectors": NEAR_VECTORS,
+    "op12_hard_negatives": HARD_NEGATIVES,
+    "op13_merkle_manifest": _merkle(),
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, linededup, media, minhash, mixing, oracles, quality, sharding, substring, suffixdedup, tokens
+from . import decontam, embedding, hardneg, linededup, media, merkle, minhash, mixing, oracles, quality, sharding, substring, suffixdedup, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,6 +55,18 @@ def op10_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hardneg.embedding_negatives(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_manifest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     own = (
         op1_media_chunks,
@@ -67,6 +79,9 @@ def queries() -> dict[str, Query]:
         op8_substring_dedup,
         op9_quality,
         op10_count_tokens,
+        op11_near_vectors,
+        op12_hard_negatives,
+        op13_merkle_manifest,
     )
     return {f.__name__: f for f in own}
 
