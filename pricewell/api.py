@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+import warnings
+from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -149,13 +150,48 @@ def renombrar(indices: DataFrame, version: int) -> DataFrame:
     return names.to_version(indices, version)
 
 
-def empalmar(*tramos: DataFrame) -> DataFrame:
-    """Linked indices of several versions as one, after a check of the periods they share."""
-    out = tramos[0]
-    for t in tramos[1:]:
-        out = out.unionByName(t)
-    convert.check_topology(out)
-    return convert.splice(out)
+def empalmar(*tramos: DataFrame, forzar: bool = False, version_nombres: int | None = None, referencias: Sequence[str | None] | None = None) -> DataFrame:
+    """Linked indices of several spans as one: categories named as in version `version_nombres` (the last one of the spans by default).
+
+    Each span shares one period with the next and none with others; all pairs that don't are named in the error. At the shared period the earlier
+    span owns the categories that it has. Of two categories that one name befalls, the first in the alphabet stays. `referencias` has the period at which each
+    span was rebased (None: none); one that is not the period shared with the next may leave a step there: an error, or with `forzar` a warning.
+    """
+    if len(tramos) < 2:
+        raise InvariantBroken("at least two spans are needed")
+    rows = [t.agg(F.collect_set("tipo").alias("tipos"), F.collect_set("periodicidad").alias("p"), F.min("ord").alias("a"), F.max("version").alias("v")).first() for t in tramos]  # a row a span
+    if len({tuple(sorted(r.tipos)) for r in rows}) > 1:
+        raise InvariantBroken(f"spans must hold the same classifications, not {[sorted(r.tipos) for r in rows]}")
+    found = {x for r in rows for x in r.p}
+    if len(found) != 1:
+        raise InvariantBroken(f"one periodicity is needed, not {sorted(found)}")
+    if found == {"M"}:
+        warnings.warn("spans of months: the shared month may lose a half; splice half months, then a_mensual", stacklevel=2)
+    order = sorted(range(len(tramos)), key=lambda i: rows[i].a)
+    versions = [rows[i].v for i in order]
+    target = max(versions) if version_nombres is None else version_nombres
+    known = [v for v in versions if v in [x[0] for x in catalog.VERSIONS]]
+    if version_nombres is not None and known and not min(known) <= target <= max(known):
+        raise InvariantBroken(f"version_nombres {target} lies outside of the spans' versions {known}")
+    named = []
+    for k, i in enumerate(order):
+        # A span that was spliced before has the names of its last version throughout.
+        own = tramos[i].withColumns({"_tramo": F.lit(k), "_own": F.col("version"), "_old": F.col("indice"), "version": F.lit(versions[k])})
+        own = names.to_version(own, target) if versions[k] in known and target in [x[0] for x in catalog.VERSIONS] else own
+        named.append(own.withColumn("version", F.col("_own")).drop("_own"))
+    whole = named[0]
+    for t in named[1:]:
+        whole = whole.unionByName(t)
+    whole = written(whole, "spans")
+    shared = convert.check_spans(whole)
+    for k, at in enumerate(shared):
+        text = (referencias or [None] * len(tramos))[order[k]]
+        if text is not None and parse(text)[1] != at:
+            said = f"span {k} is rebased at {text}, not at the period that it shares with the next: rebase it first, or use forzar"
+            if not forzar:
+                raise InvariantBroken(said)
+            warnings.warn(said, stacklevel=2)
+    return convert.first_of(whole)
 
 
 def rebasar(indices: DataFrame, periodo: str, valor_base: float = 100.0) -> DataFrame:
@@ -214,20 +250,31 @@ def inflacion_minima(variaciones: DataFrame, desde: str | None = None, hasta: st
     return consult.extreme(variation.values(variaciones), "variacion_pp", False, *_ends(variaciones, desde, hasta), indice)
 
 
-def _weights(canastas: DataFrame, renombres: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    classes = baskets.classes_of(canastas)
-    return written(incidence.weights(canastas, classes, renombres), "weights"), catalog.ranges(canastas.sparkSession), written(incidence.stable(classes, renombres), "stable")
+def _weights(indices: DataFrame, canastas: DataFrame, renombres: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Weights of categories under the names of the result, ranges of the versions, and whether each classification is stable over the versions that it has.
+
+    Without `renombres` (version, tipo, indice, nuevo) the result's own names tell which version's they are, and the package's tables lead there.
+    """
+    classes = written(baskets.classes_of(canastas), "classes")
+    used = indices.select("version", "tipo").distinct()
+    own = classes.join(F.broadcast(used), ["version", "tipo"], "left_semi")  # a row a version and classification
+    if renombres is None:
+        renombres = written(names.canonical(indices, classes), "renames")
+        steady = incidence.stable(names.aligned(own))
+    else:
+        steady = incidence.stable(names.aligned_items(own), renombres)
+    return written(incidence.weights(canastas, classes, renombres), "weights"), catalog.ranges(canastas.sparkSession), written(steady, "stable")
 
 
 def incidencia_periodica(indices: DataFrame, canastas: DataFrame, frecuencia: str, renombres: DataFrame | None = None, frontera: DataFrame | None = None) -> DataFrame:
     """indices holds headline and categories; frontera (of the half months) is needed for exact months across baskets."""
     incidence.check_inputs(indices, canastas)
-    return incidence.periodic(indices, *_weights(canastas, renombres), frecuencia, _periodicity(indices), frontera)
+    return incidence.periodic(indices, *_weights(indices, canastas, renombres), frecuencia, _periodicity(indices), frontera)
 
 
 def incidencia_acumulada_anual(indices: DataFrame, canastas: DataFrame, renombres: DataFrame | None = None, frontera: DataFrame | None = None) -> DataFrame:
     incidence.check_inputs(indices, canastas)
-    return incidence.year_to_date(indices, *_weights(canastas, renombres), _periodicity(indices), frontera)
+    return incidence.year_to_date(indices, *_weights(indices, canastas, renombres), _periodicity(indices), frontera)
 
 
 def incidencia_desde(indices: DataFrame, canastas: DataFrame, desde: str | None = None, hasta: str | None = None, incluir_parciales: bool = True, renombres: DataFrame | None = None, frontera: DataFrame | None = None) -> DataFrame:
@@ -235,7 +282,7 @@ def incidencia_desde(indices: DataFrame, canastas: DataFrame, desde: str | None
     a, z = _ends(indices, desde, hasta)
     whole = indices.agg(F.min("ord").alias("a"), F.max("ord").alias("z")).first()
     a, z = whole.a if a is None else a, whole.z if z is None else z
-    return incidence.from_to(indices, *_weights(canastas, renombres), a, z, _periodicity(indices), incluir_parciales, frontera)
+    return incidence.from_to(indices, *_weights(indices, canastas, renombres), a, z, _periodicity(indices), incluir_parciales, frontera)
 
 
 def incidencia_en(incidencias: DataFrame, periodo: str) -> DataFrame:

@@ -53,15 +53,34 @@ def splice(indices: DataFrame) -> DataFrame:
     return indices.withColumn("_n", F.row_number().over(own)).where("_n = 1").drop("_n")
 
 
-def check_topology(indices: DataFrame) -> None:
-    """Raises unless consecutive versions share exactly one period and others none, or if periodicities mix."""
-    periods = indices.select("version", "ord", "periodicidad").distinct()
-    shared = periods.groupBy("ord").agg(F.sort_array(F.collect_set("version")).alias("v"), F.countDistinct("periodicidad").alias("p"))
-    pairs = {tuple(r.v): (r.n, r.p) for r in shared.where(F.size("v") > 1).groupBy("v").agg(F.count("*").alias("n"), F.max("p").alias("p")).collect()}
-    order = [r.version for r in periods.groupBy("version").agg(F.min("ord").alias("a")).orderBy("a").collect()]
-    wanted = {tuple(sorted(x)) for x in zip(order, order[1:], strict=False)}
-    if set(pairs) != wanted or any(n != 1 for n, _ in pairs.values()):
-        raise InvariantBroken(f"versions must share one period with the next: found {sorted(pairs)}")
+def shared_periods(spans: DataFrame) -> DataFrame:
+    """a, b, vecinos, n_compartidos, compartido (the first one), roto: every pair of spans (column _tramo, from 0 by time), and whether it breaks the rule.
+
+    Neighbours share exactly one period, others none. One pass over the distinct periods of each span; pairs of spans are few.
+    """
+    periods = spans.select("_tramo", "ord").distinct()
+    both = periods.groupBy("ord").agg(F.sort_array(F.collect_set("_tramo")).alias("t")).where(F.size("t") > 1)
+    pair = F.explode(F.flatten(F.transform("t", lambda a: F.transform(F.filter("t", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b"))))))
+    counts = both.select("ord", pair.alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"), F.min("ord").alias("compartido"))
+    ids = periods.select("_tramo").distinct()
+    every = ids.select(F.col("_tramo").alias("a")).join(F.broadcast(ids.select(F.col("_tramo").alias("b"))), F.col("a") < F.col("b"))  # a row a pair of spans
+    near, n = F.col("b") == F.col("a") + 1, F.coalesce("n", F.lit(0))
+    return every.join(F.broadcast(counts), ["a", "b"], "left").select("a", "b", near.alias("vecinos"), n.alias("n_compartidos"), "compartido", (n != F.when(near, 1).otherwise(0)).alias("roto"))
+
+
+def check_spans(spans: DataFrame) -> list[int]:
+    """The period that each span shares with the next; raises with every broken pair if any is."""
+    pairs = shared_periods(spans).orderBy("a", "b").collect()  # a row a pair of spans
+    broken = [f"{r.a} and {r.b} share {r.n_compartidos}" for r in pairs if r.roto]
+    if broken:
+        raise InvariantBroken(f"spans must share one period with the next and none with others: {'; '.join(broken)}")
+    return [r.compartido for r in pairs if r.vecinos]
+
+
+def first_of(spans: DataFrame) -> DataFrame:
+    """One row a classification, period and category: the earlier span's where it has one; of names that fell together the first in the alphabet (_old)."""
+    own = W.partitionBy("tipo", "ord", "indice").orderBy("_tramo", "_old")
+    return spans.withColumn("_n", F.row_number().over(own)).where("_n = 1").drop("_n", "_tramo", "_old")
 
 
 def rebase(indices: DataFrame, ord_ref: int, base: float = 100.0, check: bool = True) -> DataFrame:

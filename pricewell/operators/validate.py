@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ConfigurationProblem
@@ -38,12 +38,32 @@ def failures(compared: DataFrame) -> DataFrame:
     return compared.where("estado_validacion <> 'ok'")
 
 
+def _overall(prefix: str = "n_") -> Column:
+    n = lambda s: F.col(f"{prefix}{s}")
+    return (
+        F.when(n("diferencia_detectada") > 0, "diferencia_detectada").when(n("diferencia_por_parcial") > 0, "diferencia_por_parcial")
+        .when(n("sin_calculo") > 0, "sin_calculo").when(n("ok") == 0, "no_disponible").otherwise("ok")
+    )
+
+
 def summary(compared: DataFrame, *keys: str) -> DataFrame:
     """Counts by state, greatest error and overall state. Rows out of range never bear on it; without a comparable row it is no_disponible."""
     n = {s: F.count_if(F.col("estado_validacion") == s) for s in STATES}
     out = compared.groupBy(*keys).agg(F.count("*").alias("n_filas"), F.count("error").alias("n_comparables"), *(c.alias(f"n_{s}") for s, c in n.items()), F.max("error").alias("error_maximo"))
-    overall = (
-        F.when(F.col("n_diferencia_detectada") > 0, "diferencia_detectada").when(F.col("n_diferencia_por_parcial") > 0, "diferencia_por_parcial")
-        .when(F.col("n_sin_calculo") > 0, "sin_calculo").when(F.col("n_ok") == 0, "no_disponible").otherwise("ok")
+    return out.withColumn("estado_global", _overall())
+
+
+def derived_summary(compared: DataFrame, *keys: str) -> DataFrame:
+    """The same of variations or contributions, whose rows without a value take no part: only computable ones are counted, so that there is no sin_calculo.
+
+    The state of the calculation and the first and last period come from the computable rows too; n_diagnostico counts all rows of the report that
+    aren't ok, in the same pass.
+    """
+    own = F.col("computable")
+    n = {s: F.count_if(own & (F.col("estado_validacion") == s)) for s in STATES}
+    out = compared.groupBy(*keys).agg(
+        F.when(F.bool_or(own & (F.col("estado_calculo") == "parcial")), "parcial").otherwise("ok").alias("estado_calculo"),
+        F.min(F.when(own, F.col("ord"))).alias("desde"), F.max(F.when(own, F.col("ord"))).alias("hasta"), F.count_if(own).alias("n_filas"), F.count(F.when(own, F.col("error"))).alias("n_comparables"),
+        *(c.alias(f"n_{s}") for s, c in n.items()), F.max(F.when(own, F.col("error"))).alias("error_maximo"), F.count_if(F.col("estado_validacion") != "ok").alias("n_diagnostico"),
     )
-    return out.withColumn("estado_global", overall)
+    return out.withColumn("estado_global", _overall()).drop("n_sin_calculo")

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.periods import half_of_date
+from ..catalog import CLASSES, VERSIONS
+from ..functions.periods import half_of_date, parse_as
 from ..operators import convert, incidence, laspeyres
 from ..scratch import written
 
@@ -77,3 +78,48 @@ def category_weights(x: Inputs) -> DataFrame:
 
 def steady(x: Inputs) -> DataFrame:
     return incidence.stable(x.classes, x.renames)
+
+
+#: The order lines of 1995 on as half months of the last two versions of the catalogue: 1Q Ene 1995 is 2Q Jul 2018.
+SHIFT = 565
+#: An item that the later version names anew and puts into another class of DURABILIDAD.
+RENAMED_ITEM, ITEM_2018, ITEM_2024 = "blue anvil", "leche de soya", "leches de origen vegetal"
+#: Divisions as the two versions' baskets name them.
+DIVISIONS = (
+    ("01 alimentos y bebidas no alcoholicas", "01 alimentos y bebidas no alcoholicas"),
+    ("02 bebidas alcoholicas y tabaco", "02 bebidas alcoholicas y tabaco"),
+    ("03 prendas de vestir y calzado", "03 ropa y calzado"),
+    ("04 vivienda agua electricidad gas y otros combustibles", "04 vivienda agua electricidad y gas"),
+    ("05 muebles articulos para el hogar y para su conservacion", "05 mobiliario equipo domestico y mantenimiento rutinario del hogar"),
+    ("06 salud", "06 salud"),
+    ("07 transporte", "07 transporte"),
+    ("08 comunicaciones", "08 informacion y comunicacion"),
+    ("09 recreacion y cultura", "09 recreacion deporte y cultura"),
+    ("10 educacion", "10 servicios educativos"),
+    ("11 restaurantes y hoteles", "11 restaurantes y servicios de alojamiento"),
+    ("12 bienes y servicios diversos", "13 cuidado personal proteccion social y bienes diversos"),
+)
+
+
+def versioned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """canastas and series as the verbs take them: versions 2018 and 2024, all classification columns, native names in each version."""
+    ini = {v: parse_as(a, "Q") for v, a, *_ in VERSIONS}
+    cells = written(panel(spark, sf_dir).withColumn("ord", F.col("ord") + SHIFT).withColumnRenamed("generico", "parte"), "panel")
+    later = F.col("version") == 2024
+    eras = spark.createDataFrame([(2018, ini[2018], ini[2024]), (2024, ini[2024], None)], "version int, ini int, fin int")
+    by_era = cells.join(F.broadcast(eras), (F.col("ord") >= F.col("ini")) & (F.col("fin").isNull() | (F.col("ord") <= F.col("fin"))))
+    first = cells.groupBy("parte").agg(F.min_by("precio", "ord").alias("precio_base"))
+    named = F.when(F.col("parte") == RENAMED_ITEM, F.when(later, ITEM_2024).otherwise(ITEM_2018)).otherwise(F.col("parte"))
+    series = by_era.join(first, "parte").select("version", named.alias("generico"), "ord", (F.col("precio") / F.col("precio_base") * 100).alias("valor"))
+    spent = by_era.groupBy("version", "parte").agg(F.sum("ingreso").alias("ingreso"))
+    total = spent.groupBy("version").agg(F.sum("ingreso").alias("total"))
+    k = (F.ascii("parte") * 3 + F.ascii(F.element_at(F.split("parte", " "), 2)) + F.length("parte")) % len(DIVISIONS)
+    names = [F.element_at(F.array(*(F.lit(d[i]) for d in DIVISIONS)), k + 1) for i in (0, 1)]
+    core = F.when(k < 7, "subyacente").otherwise("no subyacente")
+    lasting = F.when(later & (F.col("parte") == RENAMED_ITEM), "servicios").when(k % 3 == 0, "duraderos").when(k % 3 == 1, "servicios").otherwise("no duraderos")
+    own = {"INFLACION COMPONENTE": core, "CCIF DIVISION": F.when(later, names[1]).otherwise(names[0]), "DURABILIDAD": lasting}
+    basket = spent.join(F.broadcast(total), "version").select(
+        "version", named.alias("generico"), (F.col("ingreso") * 100 / F.col("total")).alias("ponderador"), F.lit(None).cast("double").alias("encadenamiento"),
+        *(own.get(c, F.lit(None).cast("string")).alias(c) for c in CLASSES),
+    )
+    return written(basket, "baskets"), written(series, "series")

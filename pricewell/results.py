@@ -129,7 +129,8 @@ class Result:
     @cached_property
     def resumen(self) -> DataFrame:
         if self.clase == "validacion":
-            return validate.summary(self.rows, "tipo")
+            derived = next((c for c in self.rows.columns if c in ("clase_variacion", "clase_incidencia")), None)
+            return validate.derived_summary(self.rows, "tipo", derived) if derived else validate.summary(self.rows, "version", "tipo")
         if self.clase == "indice":
             return convert.summary(self.rows)
         value = F.col(self.VALUES[self.clase])

@@ -78,10 +78,11 @@ def val_variacion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(_sql(f"""select tipo, count(*) as n_filas, count(*) filter (s in ('ok', 'diferencia_detectada', 'diferencia_por_parcial')) as n_comparables, count(*) filter (s = 'ok') as n_ok,
-  case when bool_or(s = 'diferencia_detectada') then 'diferencia_detectada' when bool_or(s = 'diferencia_por_parcial') then 'diferencia_por_parcial' when bool_or(s = 'sin_calculo') then 'sin_calculo' when not bool_or(s = 'ok') then 'no_disponible' else 'ok' end as estado_global
-from (select tipo, {_state('v')} as s from {_ALL_ANNUAL} t) group by 1"""))
+  case when bool_or(s = 'diferencia_detectada') then 'diferencia_detectada' when bool_or(s = 'diferencia_por_parcial') then 'diferencia_por_parcial' when not bool_or(s = 'ok') then 'no_disponible' else 'ok' end as estado_global
+from (select tipo, {_state('v')} as s from {_ALL_ANNUAL} t where v is not null) group by 1"""))
 def val_resumen_variacion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.summary(_variation_compared(spark, sf_dir), "tipo").select("tipo", "n_filas", "n_comparables", "n_ok", "estado_global")
+    """Rows without a base take no part."""
+    return validate.derived_summary(_variation_compared(spark, sf_dir), "tipo").select("tipo", "n_filas", "n_comparables", "n_ok", "estado_global")
 
 
 @_query(_sql(f"select tipo, ord, indice, s as estado_validacion from (select tipo, ord, indice, {_state('v')} as s from {_ALL_ANNUAL} t) where s <> 'ok'"))
@@ -290,8 +291,8 @@ def oficial(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _steps_sql() -> str:
     """Names and codes of every version's categories in 2024 and 2010, by chained left joins of the tables."""
     quote = lambda x: "'" + x.replace("'", "''") + "'" if x is not None else "null"
-    names = ", ".join(f"({quote(k)}, {v}, {quote(a)}, {quote(b)})" for k, v, a, b in renames.parsed(renames.NAMES))
-    codes = ", ".join(f"({quote(k)}, {v}, {quote(a)}, {', '.join(quote(c) for c in b.split(' > '))})" for k, v, a, b in renames.parsed(renames.CODES))
+    names = ", ".join(f"({quote(k)}, {v}, {quote(a)}, {quote(b)})" for k, v, a, b in renames.NAMES)
+    codes = ", ".join(f"({quote(k)}, {v}, {quote(a)}, {quote(old)}, {quote(now)})" for k, v, a, old, now in renames.CODES)
     return f"""
 with n(tipo, v, a, b) as (values {names}),
 c(tipo, v, a, old, new) as (values {codes}),
