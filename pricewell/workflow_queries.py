@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +11,7 @@ from .functions import periods, text
 from .operators import charts, consult, extracts, incidence, laspeyres, lines, validate, variation
 from .scratch import shared_dir, written
 from .sources import baskets, series
-from .sources.official import Official
+from .sources.official import Archive
 
 _query, _sql, _rounded = Q._query, Q._sql, Q._rounded
 _ANNUAL_INC = Q._incidence_rows(Q._lagged("t.ord - 24"), "periodica_anual")
@@ -274,18 +272,21 @@ def periodos_leidos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("quincena", periods.parse_column(label, "Q").cast("int").alias("leida"), periods.parse_column(month, "M").cast("int").alias("mes"))
 
 
-@_query(_sql("") + """, ends as (select tipo, indice, ord, i from hist0 where ord in (47901, 47905, 48044)) select tipo, indice, ord, round(i, 6) as oficial from ends""")
+@_query(_sql("") + """, seen as (select * from hist0 where i is not null), spine as (select tipo, indice, unnest(range(min(ord), max(ord) + 1))::int as ord from seen group by 1, 2)
+select p.tipo, p.indice, p.ord, round(i, 6) as oficial from spine p left join seen using (tipo, indice, ord)""")
 def oficial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Figures as an official source would answer them, fetched indicator by indicator and read at some periods."""
-    rows = Q._history(spark, sf_dir).where("indice_replicado is not null").select("tipo", "indice", "ord", "indice_replicado").collect()  # categories by periods
-    found: dict[tuple[str, str], list[dict[str, str]]] = {}
-    for r in rows:
-        found.setdefault((r.tipo, r.indice), []).append({"TIME_PERIOD": f"{r.ord // 24}/{r.ord % 24 // 2 + 1:02d}/{r.ord % 2 + 1:02d}", "OBS_VALUE": repr(r.indice_replicado)})
-    catalogue = {key: f"{k}" for k, key in enumerate(sorted(found))}
-    by_id = {v: k for k, v in catalogue.items()}
-    source = Official(spark, lambda i: json.dumps({"Series": [{"OBSERVATIONS": found[by_id[i]]}]}), {("Q", "indice"): catalogue})
-    wanted = spark.createDataFrame([(47901,), (47905,), (48044,)], "ord int")
-    return _rounded(source.at(wanted, "Q", "indice").where("oficial is not null").select("tipo", "indice", F.col("ord").cast("int").alias("ord"), "oficial"), "oficial")
+    """Figures as an official source answers them, kept as files of JSON, an answer an indicator, and read by Spark: every period from the first to the last."""
+    rows = Q._history(spark, sf_dir).where("indice_replicado is not null")
+    o = F.col("ord")
+    period = F.format_string("%d/%02d/%02d", F.floor(o / 24), F.floor(o % 24 / 2) + 1, o % 2 + 1)
+    seen = F.array_sort(F.collect_list(F.struct(period.alias("TIME_PERIOD"), F.col("indice_replicado").cast("string").alias("OBS_VALUE"))))
+    body = F.to_json(F.struct(F.array(F.struct(seen.alias("OBSERVATIONS"))).alias("Series")))
+    answers = rows.groupBy("tipo", "indice").agg(body.alias("body")).withColumn("indicador", F.xxhash64("tipo", "indice").cast("string"))
+    path = f"{shared_dir(spark)}/answers-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
+    answers.select("indicador", "body").write.mode("overwrite").json(path)
+    kept = spark.read.schema("indicador string, body string").json(path)
+    catalogue = answers.select(F.lit("Q").alias("periodicidad"), F.lit("indice").alias("medida"), "tipo", "indice", "indicador")
+    return _rounded(Archive(kept, catalogue).history("Q", "indice").select("tipo", "indice", F.col("ord").cast("int").alias("ord"), "oficial"), "oficial")
 
 
 def _steps_sql() -> str:
