@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ from .common import blocks, masked, unmasked, utf8, written
 #: Bytes of benchmark text that one pass looks for; more text takes more passes, so what is broadcast stays bounded. Items longer than
 #: PIECE bytes are cut into pieces that share all but the first word of a window.
 PASS_BYTES, PIECE = 8 << 20, 1 << 20
+#: Rows of a place and an item that are extended at once.
+MOST_ROWS = 1 << 17
 #: Bits of a word's number, and numbers in a 64-bit key. 8 MB hold at most 1.7 million distinct words; more would raise an error.
 ID_BITS, PER_KEY = 21, 3
 MATCHES = "array<struct<item_id:string,item_word:int,doc_word:int,words:int>>"
@@ -116,17 +119,30 @@ def _bound(keys: list[np.ndarray], wanted: list[np.ndarray], upper: bool) -> np.
     return low
 
 
-def search(texts: list[bytes], index: Index, window: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Words of each text; for all texts, the places of windows as rows [text, first word, end], and maximal verbatim matches as [text, item, item's word, text's word, words].
+@dataclass
+class Found:
+    """What a block's searches found: each text's words, the places of windows as rows [text, first word, end], and the first place of each window in each text."""
+
+    n_words: np.ndarray
+    spans: np.ndarray
+    seq: np.ndarray  # the words of all texts, a 0 after each
+    where: np.ndarray  # places of the words in seq
+    cut: np.ndarray  # words before each text
+    text: np.ndarray  # of the first places, ascending
+    window: np.ndarray
+    place: np.ndarray
+
+
+def search(texts: list[bytes], index: Index, window: int) -> Found:
+    """Searches the suffix array of a block of texts for every distinct window of the benchmark.
 
     A prefilter leaves suffixes out of the shard's array whose first words start no window. A binary search for a window can end only at
     suffixes that start with the window's words, so these are all it needs. Words are compared themselves: their numbers come from a dictionary.
-    Each distinct window is searched once. In each text the first occurrence of a window is extended to both sides, against each item that has
-    the window, so neither a window's repetitions in a text nor its items multiply each other.
     """
     words, cut = K.split(texts, K.SPACED)
     n_words = np.diff(cut)
-    nothing = n_words, np.zeros((0, 3), np.int64), [np.zeros(0, np.int64)] * 5
+    none = np.zeros(0, np.int64)
+    nothing = Found(n_words, np.zeros((0, 3), np.int64), none, none, cut, none, none, none)
     if not len(words) or not len(index.lengths):
         return nothing
     doc = np.repeat(np.arange(len(texts)), n_words)
@@ -151,12 +167,39 @@ def search(texts: list[bytes], index: Index, window: int) -> tuple[np.ndarray, n
     d = doc[own]
     word = own - cut[d]
     spans = np.stack([d, word, word + index.lengths[hit]], axis=1)
-    # The first occurrence of each window in each text, with every item that has it.
     order = np.lexsort([p, hit, d])
     once = order[(np.diff(d[order], prepend=-1) != 0) | (np.diff(hit[order], prepend=-1) != 0)]
-    k, nth = _spread(once, np.diff(index.at)[hit[once]])
-    held = index.at[hit[k]] + nth
-    item, t, p, d, length = index.item[held], index.start[held], p[k], d[k], index.lengths[hit[k]].copy()
+    return Found(n_words, spans[np.argsort(d, kind="stable")], seq, where, cut, d[once], hit[once], p[once])
+
+
+def extended(found: Found, index: Index, part: np.ndarray) -> list[np.ndarray]:
+    """Maximal verbatim matches as [text, item, item's word, text's word, words] of some first places, each against every item that has its window.
+
+    The places and the items that meet are cut into slices of MOST_ROWS; of a slice only the longest match of each text and item is kept.
+    """
+    best = [np.zeros(0, np.int64)] * 5
+    held = np.diff(index.at)[found.window[part]]
+    upto = np.concatenate([[0], np.cumsum(held)])
+    for low in range(0, int(upto[-1]), MOST_ROWS):
+        row = np.arange(low, min(low + MOST_ROWS, int(upto[-1])))
+        k = np.searchsorted(upto, row, "right") - 1
+        holder = index.at[found.window[part[k]]] + row - upto[k]
+        k = part[k]
+        new = _maximal(found, index, found.text[k], found.place[k].copy(), index.item[holder], index.start[holder].copy(), index.lengths[found.window[k]].copy())
+        best = _best([np.concatenate(x) for x in zip(best, new, strict=True)])
+    return best
+
+
+def _best(m: list[np.ndarray]) -> list[np.ndarray]:
+    """By text and item the longest match, of equal ones the first in the text, then in the item."""
+    d, item, item_word, doc_word, length = m
+    order = np.lexsort([item_word, doc_word, -length, item, d])
+    one = order[(np.diff(d[order], prepend=-1) != 0) | (np.diff(item[order], prepend=-1) != 0)]
+    return [x[one] for x in m]
+
+
+def _maximal(found: Found, index: Index, d: np.ndarray, p: np.ndarray, item: np.ndarray, t: np.ndarray, length: np.ndarray) -> list[np.ndarray]:
+    seq = found.seq
     live = np.arange(len(p))
     while len(live):
         a, b = p[live] - 1, t[live] - 1
@@ -170,7 +213,7 @@ def search(texts: list[bytes], index: Index, window: int) -> tuple[np.ndarray, n
         a, b = tail[p[live] + length[live]], goal[t[live] + length[live]]
         live = live[(a == b) & (a > 0)]
         length[live] += 1
-    return n_words, spans, [d, item, t - index.first[item], np.searchsorted(where, p) - cut[d], length]
+    return [d, item, t - index.first[item], np.searchsorted(found.where, p) - found.cut[d], length]
 
 
 def _spread(of: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -222,12 +265,40 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
 
     matches has the longest maximal verbatim match of at least a window for each item_id that has one, with its places in item and document (the
     first of several). Null and empty texts have no words; benchmark rows without words match nothing, a null item_id reads as an empty string.
-    Repeated item rows are one, rows of one item_id with other texts count as that item. Columns named as the new ones are replaced, others pass.
+    Repeated item rows are one, rows of one item_id with other texts count as that item. Repeated rows of docs are documents of their own, a very long
+    text is one block of a task. Columns named as the new ones are replaced, others pass.
+
+    One pass over the docs is enough for PASS_BYTES of benchmark. More passes read a written copy of the docs and write only what they find.
     """
-    out = docs.drop("n_words", "hits", "matches").withColumns({"n_words": F.lit(0).cast("long"), "hits": F.array().cast("array<array<int>>"), "matches": F.array().cast(MATCHES)})
-    for k, items in enumerate(_passes(_pieces(benchmark, window))):
-        out = _scan(out if k == 0 else written(out, "bench-pass"), index_of(items, window), window)
-    return out
+    own = docs.drop("n_words", "hits", "matches")
+    empty = {"n_words": F.lit(0).cast("long"), "hits": F.array().cast("array<array<int>>"), "matches": F.array().cast(MATCHES)}
+    passes = _passes(_pieces(benchmark, window))
+    first, second = next(passes), next(passes, None)
+    if second is None:
+        return _scan(own.withColumns(empty), index_of(first, window), window)
+    kept = written(own.withColumn("_row", F.monotonically_increasing_id()), "bench-docs")
+    texts = kept.select("_row", "text").withColumns(empty)
+    parts, words = [], None
+    for items in chain([first, second], passes):
+        seen = _scan(texts, index_of(items, window), window).select("_row", "n_words", "hits", "matches")
+        seen = written(seen if words is None else seen.where(F.size("hits") > 0), "bench-pass")
+        words = seen.select("_row", "n_words") if words is None else words
+        parts.append(seen.where(F.size("hits") > 0).select("_row", "hits", "matches"))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.union(part)
+    # A row a pass at most.
+    gathered = every.groupBy("_row").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("matches")).alias("matches"))
+    joined = words.join(gathered.mapInArrow(_gather, f"_row long, hits array<array<int>>, matches {MATCHES}"), "_row", "left")
+    joined = joined.select("_row", "n_words", F.coalesce("hits", empty["hits"]).alias("hits"), F.coalesce("matches", empty["matches"]).alias("matches"))
+    return kept.join(joined, "_row").drop("_row")
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            hits, matches = _merged(batch.column("hits")[i].as_py()), _longest(batch.column("matches")[i].as_py())
+            yield pa.RecordBatch.from_arrays([batch.column("_row").slice(i, 1), pa.array([hits], batch.schema.field("hits").type), pa.array([matches], batch.schema.field("matches").type)], schema=batch.schema)
 
 
 def _merged(spans: list[list[int]]) -> list[list[int]]:
@@ -240,34 +311,41 @@ def _merged(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
+def _portions(found: Found, index: Index, texts: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Runs of texts [a, b) and their first places, so that places times items of a run are MOST_ROWS about; one text may have more."""
+    held = np.diff(index.at)[found.window]
+    per_text = np.bincount(found.text, held, texts)
+    a, size = 0, 0.0
+    for b in range(1, texts + 1):
+        size += per_text[b - 1]
+        if b == texts or size + per_text[b] > MOST_ROWS:
+            yield a, b, np.arange(*np.searchsorted(found.text, [a, b]))
+            a, size = b, 0.0
+
+
 def _scan(docs: DataFrame, index: Index, window: int) -> DataFrame:
+    """Fills n_words, hits and matches of one pass. A portion of a block leaves a task before the next one's matches are made."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
     schema = docs.schema
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch, texts in blocks(batches):
-            n_words, places, (d, item, item_word, doc_word, length) = search(texts, own, window)
-            columns = {c: batch.column(c) for c in batch.schema.names}
-            columns["n_words"] = pa.array(n_words, pa.int64())
-            if len(d):
-                hits, matches = columns["hits"].to_pylist(), columns["matches"].to_pylist()
-                # By text and item the longest match first, of equal ones the first in the text.
-                order = np.lexsort([item_word, doc_word, -length, item, d])
-                d, item, item_word, doc_word, length = (x[order] for x in (d, item, item_word, doc_word, length))
-                best = np.flatnonzero((np.diff(d, prepend=-1) != 0) | (np.diff(item, prepend=-1) != 0))
-                for j in best.tolist():
-                    matches[d[j]].append({"item_id": own.ids[item[j]], "item_word": int(item_word[j]), "doc_word": int(doc_word[j]), "words": int(length[j])})
-                places = places[np.argsort(places[:, 0], kind="stable")]
-                edge = np.flatnonzero(np.diff(places[:, 0], prepend=-1))
-                for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(places)], strict=True):
-                    i = int(places[a, 0])
-                    hits[i] = _merged(hits[i] + places[a:b, 1:].tolist())
-                    if len(matches[i]) > 1:
-                        matches[i] = _longest(matches[i])
-                columns["hits"] = pa.array(hits, batch.schema.field("hits").type)
-                columns["matches"] = pa.array(matches, batch.schema.field("matches").type)
-            yield pa.RecordBatch.from_arrays([columns[c] for c in batch.schema.names], schema=batch.schema)
+            found = search(texts, own, window)
+            for a, b, part in _portions(found, own, len(texts)):
+                columns = {c: batch.column(c).slice(a, b - a) for c in batch.schema.names}
+                columns["n_words"] = pa.array(found.n_words[a:b], pa.int64())
+                if len(part):
+                    hits: list[list] = [[] for _ in range(a, b)]
+                    matches: list[list] = [[] for _ in range(a, b)]
+                    for d, item, item_word, doc_word, length in zip(*(x.tolist() for x in extended(found, own, part)), strict=True):
+                        matches[d - a].append({"item_id": own.ids[item], "item_word": item_word, "doc_word": doc_word, "words": length})
+                    low, high = np.searchsorted(found.spans[:, 0], [a, b])
+                    for d, start, end in found.spans[low:high].tolist():
+                        hits[d - a].append([start, end])
+                    columns["hits"] = pa.array([_merged(x) for x in hits], batch.schema.field("hits").type)
+                    columns["matches"] = pa.array([_longest(x) if len(x) > 1 else x for x in matches], batch.schema.field("matches").type)
+                yield pa.RecordBatch.from_arrays([columns[c] for c in batch.schema.names], schema=batch.schema)
 
     return docs.mapInArrow(scan, schema)
 
@@ -283,7 +361,7 @@ def _longest(matches: list[dict]) -> list[dict]:
 
 
 def document_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated; a row a document, repeated rows each. A null or empty text has no words and no items."""
     found = find(docs.select("doc_id", "text"), benchmark)
     items = F.array_sort(F.transform("matches", lambda m: m["item_id"]))
     return found.select(

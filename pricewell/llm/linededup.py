@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ MARKUP = (
     (r"&quot;", '"'),
     (r"&amp;", "&"),
 )
+#: What the first patterns begin with; all that stands between is dropped.
+OPENINGS = (r"<(?:script|style)\b", "<!--")
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
@@ -30,13 +34,30 @@ def host_of(url: str = "url") -> Column:
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), HOST, 1))
 
 
-def lines_of(html: str = "html") -> Column:
-    """The trimmed, non-empty lines of a page's text; null has none."""
+def _once(pattern: str, opening: str) -> tuple[str, str]:
+    """The pattern and its replacement for text that goes, so that an opening without a close is looked for once only: from there on the text is put back as it is.
+
+    Else each of many openings would search the rest of the page in vain.
+    """
+    groups = len(re.findall(r"(?<!\\)\((?!\?)", pattern))
+    return f"{pattern}|({opening}[\\s\\S]*)", f"${groups + 1}"
+
+
+def with_lines(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Adds lines, the trimmed, non-empty lines of a page's text; null has none. The work is linear in a page, whatever is left open in it."""
     text = F.coalesce(F.col(html), F.lit(""))
-    for pattern, to in MARKUP:
-        text = F.regexp_replace(text, pattern, to)
+    for (pattern, _), opening in zip(MARKUP, OPENINGS, strict=False):
+        text = F.regexp_replace(text, *_once(pattern, opening))
+    out = pages.withColumn("_text", text)
+    for pattern, to in MARKUP[len(OPENINGS) : len(OPENINGS) + 2]:
+        # A tag ends with a bracket, so that none begins after the last one.
+        out = out.withColumn("_open", F.substring_index("_text", ">", -1))
+        out = out.withColumn("_text", F.concat(F.regexp_replace(F.expr("left(_text, length(_text) - length(_open))"), pattern, to), F.col("_open")))
+    text = F.col("_text")
+    for pattern, to in MARKUP[len(OPENINGS) + 2 :]:
+        text = F.replace(text, F.lit(pattern), F.lit(to))
     lines = F.transform(F.split(text, "[\n\r]+"), lambda x: F.trim(F.regexp_replace(x, "[ \t]+", " ")))
-    return F.filter(lines, lambda x: x != "")
+    return out.withColumn("lines", F.filter(lines, lambda x: x != "")).drop("_text", "_open")
 
 
 def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -44,9 +65,11 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAG
 
     A host has at most its mean number of lines a page / ratio such lines, so a host's array is bounded by its pages, not by its size.
     """
-    total = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    on = pages.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
-    often = on.where(F.col("n") >= min_pages).join(total, "host").where(F.col("n") > F.lit(ratio) * F.col("pages"))
+    on = pages.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("seen"))
+    again = written(on.where(F.col("seen") >= min_pages), "page-lines")
+    # A host's repeated lines meet its number of pages in as many tasks as they ask for.
+    total = pages.groupBy("host").agg(F.count("*").alias("pages")).join(again.groupBy("host").agg(F.count("*").alias("n")), "host")
+    often = dealt_join(again, total, "host", ["line"], total=again.count()).where(F.col("seen") > F.lit(ratio) * F.col("pages"))
     return often.groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("boiler"), F.max("pages").alias("n"))
 
 
@@ -58,7 +81,7 @@ def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MI
     lines. A host's pages meet its boilerplate lines in as many tasks as its share of all pages asks for. Columns beside page_id, url and html are
     not used, whatever their names. A very long page is one row, handled by expressions of its lines.
     """
-    own = written(pages.select("page_id", host_of().alias("host"), lines_of().alias("lines")), "pages")
+    own = written(with_lines(pages.select("page_id", host_of().alias("host"), "html")).select("page_id", "host", "lines"), "pages")
     both = dealt_join(own, boilerplate(own, ratio, min_pages), "host", ["page_id", "lines"], "left")
     kept = F.when(F.col("boiler").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains(F.col("boiler"), x)))
     both = both.withColumn("kept", kept)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import BLOCK_BYTES, blocks, dealt_join, narrow_join, utf8, written
+from .common import BLOCK_BYTES, blocks, dealt_join, utf8, written
 from .regions import copies, firsts, identified, repeats
 
 #: Payloads are padded with spaces to a multiple of FRAME bytes; the stored form is a WAV file of 8-bit samples.
@@ -22,6 +22,8 @@ FRAME, HEADER, RATE = 192, 44, 8000
 LEAST, MOST, CUT_BITS = 512, 16_384, 11
 #: Readers of one shared chunk that meet in a task.
 READERS = 512
+#: Marks of shared chunks (of some 40 bytes) that may be broadcast to the texts; with more, texts and marks are shuffled.
+MOST_MARKS = 1_000_000
 GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint32)
 CHUNK = "struct<digest:binary,size:int,copies:int,data:binary>"
 CHUNK_ARROW = pa.struct([("digest", pa.binary()), ("size", pa.int32()), ("copies", pa.int32()), ("data", pa.binary())])
@@ -95,7 +97,9 @@ def shared_chunks(rows: DataFrame) -> DataFrame:
 
 def chunk_store(rows: DataFrame) -> DataFrame:
     """The stored media, one row a distinct text: o, t, media_bytes, media_sha256 and the ordered chunk list; data is null where another row owns the chunk."""
-    marked = narrow_join(rows.select("o", "t", utf8().alias("text")), shared_chunks(rows), ["o", "t"], "left")
+    marks = shared_chunks(rows)
+    few_marks = marks.agg(F.coalesce(F.sum(F.size("marks") + 1), F.lit(0))).first()[0] <= MOST_MARKS
+    marked = rows.select("o", "t", utf8().alias("text")).join(F.broadcast(marks) if few_marks else marks, ["o", "t"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in blocks(batches):

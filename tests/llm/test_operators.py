@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -301,12 +303,47 @@ def test_decontamination_passes_and_places(docs, bench, monkeypatch):
     assert got(decontam.document_hits(docs, bench), "doc_id", "n_hit", "items_sha256") == one
     texts = [b"a b c d e f g h i j k l m", b"z a b c d e f g h i j k q"]
     index = decontam.index_of([("7", b"x a b c d e f g h i j k y", 0)], 10)
-    n, spans, (doc, item, item_word, doc_word, length) = decontam.search(texts, index, 10)
-    assert n.tolist() == [13, 13]
-    assert sorted(map(tuple, spans.tolist())) == [(0, 0, 10), (0, 1, 11), (1, 1, 11), (1, 2, 12)]
+    found = decontam.search(texts, index, 10)
+    doc, item, item_word, doc_word, length = decontam.extended(found, index, np.arange(len(found.text)))
+    assert found.n_words.tolist() == [13, 13]
+    assert sorted(map(tuple, found.spans.tolist())) == [(0, 0, 10), (0, 1, 11), (1, 1, 11), (1, 2, 12)]
     assert set(zip(doc.tolist(), item_word.tolist(), doc_word.tolist(), length.tolist())) == {(0, 1, 0, 11), (1, 1, 1, 11)}
 
 
+def test_items_that_share_a_prompt_are_taken_in_slices(monkeypatch):
+    """20,000 items and 300 texts with one prompt of 14 words: 30 million places times items, of which a task holds a slice at a time."""
+    prompt = " ".join(f"p{i}" for i in range(14))
+    items = [(str(i), f"{prompt} own{i} a{i} b{i}".encode(), 0) for i in range(20_000)]
+    index = decontam.index_of(items, 10)
+    texts = [f"before {k} {prompt} own{k} a{k} other".encode() for k in range(300)]
+    tracemalloc.start()
+    found, n = decontam.search(texts, index, 10), 0
+    for a, b, part in decontam._portions(found, index, len(texts)):
+        d, item, _, doc_word, length = decontam.extended(found, index, part)
+        assert a == n and (np.bincount(d - a, minlength=b - a) == 20_000).all() and set(doc_word.tolist()) == {2}
+        n = b
+        for k in range(a, b):
+            assert sorted(set(length[d == k].tolist())) == [14, 16] and item[(d == k) & (length == 16)].tolist() == [k]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 300 and peak < 200e6
+    # Slices of any size give the same.
+    monkeypatch.setattr(decontam, "MOST_ROWS", 1000)
+    few = decontam.search(texts[:2], index, 10)
+    assert all((np.bincount(decontam.extended(few, index, part)[0] - a, minlength=b - a) == 20_000).all() for a, b, part in decontam._portions(few, index, 2))
+
+
+def test_passes_keep_every_column_and_repeated_rows(spark, monkeypatch):
+    rows = [(1, "a b c d e f g h i j k", "x"), (1, "a b c d e f g h i j k", "x"), (None, "q r s t u v w x y z zz", "y"), (2, None, "z"), (3, "nothing of it", None)]
+    data = spark.createDataFrame(rows, "doc_id long, text string, _row string")
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(("a b c d e f g h i j", "b c d e f g h i j k", "q r s t u v w x y z"))], "item_id long, text string")
+    monkeypatch.setattr(decontam, "PASS_BYTES", 20)
+    found = decontam.document_hits(data, bench)
+    assert got(found, "doc_id", "n_words", "n_hit", "n_items") == Counter({(1, 11, 11, 2): 2, (None, 11, 10, 1): 1, (2, 0, 0, 0): 1, (3, 3, 0, 0): 1})
+    clean = decontam.clean(data, bench)
+    assert clean.columns == data.columns and got(clean, "doc_id", "_row") == Counter({(2, "z"): 1, (3, None): 1})
+
+
 def test_substring(docs, rows, none):
     order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0))
     null = [k for k in order if rows[k][0] is None]
@@ -526,6 +563,26 @@ def test_lines(spark):
     assert linededup.page_lines(data.where("false")).count() == 0
 
 
+def test_lines_of_malformed_pages(spark):
+    """What is left open searches the rest of a page once: pages of 5 MB end in seconds, and as the patterns alone would have them."""
+    big = 5_000_000
+    rows = [(1, "<!-- " * (big // 5)), (2, "<script>x" * (big // 9)), (3, "<" * big), (4, "<p " * (big // 3)), (5, "<p>a" + "<x <b " * (big // 6) + "<p>"), (6, "a>" * (big // 2))]
+    small = ["<!-->x<p>y", "a<!-- b --> c <!-- d", "<script>1</style>2<script>3", "<!-- <script> --> a </script> b", "a < b <p> c > d <", "<p", "x<!-- <p> y", "<SCRIPT>a</script >b</ScRiPt>c", "1 &lt;p&gt; <b>&amp;nbsp;", "<style>\n</style\n><p>x</p>"]
+    data = spark.createDataFrame([(i, "http://h", x) for i, x in rows] + [(10 + k, "http://h", x) for k, x in enumerate(small)], "page_id long, url string, html string")
+    began = time.time()
+    out = {r.page_id: r.lines for r in linededup.with_lines(data).select("page_id", "lines").collect()}
+    assert time.time() - began < 60
+    assert out[1] == ["<!-- " * (big // 5 - 1) + "<!--"] and out[3] == ["<" * big] and out[6] == ["a>" * (big // 2)]
+
+    def plainly(text):
+        for pattern, to in linededup.MARKUP:
+            text = re.sub(pattern, to, text)
+        lines = [re.sub("[ \t]+", " ", x).strip(" ") for x in re.split("[\n\r]+", text)]
+        return [x for x in lines if x]
+
+    assert [out[10 + k] for k in range(len(small))] == [plainly(x) for x in small]
+
+
 def lines_by_hand(rows, ratio=0.3, least=2):
     """(page_id, host, lines, dropped, digest) of rows (page_id, host, lines)."""
     pages, on = Counter(h for _, h, _ in rows), Counter((h, x) for _, h, lines in rows for x in set(lines))
