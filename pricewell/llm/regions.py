@@ -15,10 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import blocks, dealt_join, narrow_join, utf8, written
+from .common import BROADCAST_ROWS, blocks, dealt_join, narrow_join, utf8, written
 
 SLICE_BITS, DEPTH = 16, 2
-#: Cells of each of the sketch's DEPTH rows: four for each expected sample, within these powers of two (the upper one is 64 MB to broadcast).
+#: Cells of each of the sketch's DEPTH rows: four for each expected sample, no fewer than the lower power of two. A sketch up to the upper one is
+#: broadcast (64 MB); a wider one stays a table, and the samples go to its slices.
 LEAST_BITS, MOST_BITS = 20, 28
 #: Windows in a region at most; longer runs are cut, which changes no result.
 RUN = 1024
@@ -110,14 +111,17 @@ def _cells(samples: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(samples >> K.U(64 - bits)).astype(np.int64), (K.mix(samples + K.U(K.P)) >> K.U(64 - bits)).astype(np.int64)]
 
 
-def sketch(rows: DataFrame, spec: Spec, units: int) -> tuple[int, bytes]:
-    """A count-min sketch of the samples' counts, kept as one bit a cell: counted twice or more.
+def width(spec: Spec, units: int) -> int:
+    """The power of two of the sketch's cells, which follows the corpus at every size."""
+    return int(max(LEAST_BITS, np.ceil(np.log2(4 * units / spec.per_region + 1))))
 
-    Each task counts its own samples and sends, for slices of 65,536 cells, the cells it saw once and those it saw more often. The
-    slices are merged by adding these; cells only ever count too much, so no repeated window is lost. The width follows the
-    corpus up to MOST_BITS; beyond that more windows pass on to the exact step, with the same result.
+
+def sketch(rows: DataFrame, spec: Spec, bits: int) -> DataFrame:
+    """slice, bits: a count-min sketch of the samples' counts, kept as one bit a cell (counted twice or more), a row a slice of 65,536 cells.
+
+    Each task counts its own samples and sends, for each slice, the cells it saw once and those it saw more often. The
+    slices are merged by adding these; cells only ever count too much, so no repeated window is lost.
     """
-    bits = int(min(MOST_BITS, max(LEAST_BITS, np.ceil(np.log2(4 * units / spec.per_region + 1)))))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -140,7 +144,7 @@ def sketch(rows: DataFrame, spec: Spec, units: int) -> tuple[int, bytes]:
             low = (cell & ((1 << SLICE_BITS) - 1)).astype(np.uint16)
             ends = np.append(cut[1:], len(cell))
             yield pa.RecordBatch.from_pydict({
-                "slice": pa.array(part[cut] + (row << (bits - SLICE_BITS)), pa.int32()),
+                "slice": pa.array(part[cut] + (row << (bits - SLICE_BITS)), pa.int64()),
                 "once": pa.array([low[a:b][n[a:b] == 1].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary()),
                 "more": pa.array([low[a:b][n[a:b] > 1].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary()),
             })
@@ -160,14 +164,47 @@ def sketch(rows: DataFrame, spec: Spec, units: int) -> tuple[int, bytes]:
             yield packed(at, count)
 
     def packed(at: int, count: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"slice": pa.array([at], pa.int32()), "bits": pa.array([np.packbits(count > 1, bitorder="little").tobytes()], pa.binary())})
+        return pa.RecordBatch.from_pydict({"slice": pa.array([at], pa.int64()), "bits": pa.array([np.packbits(count > 1, bitorder="little").tobytes()], pa.binary())})
+
+    parts = rows.select(utf8().alias("text")).mapInArrow(partial, "slice long, once binary, more binary")
+    return parts.repartition("slice").sortWithinPartitions("slice").mapInArrow(merge, "slice long, bits binary")
 
-    parts = rows.select(utf8().alias("text")).mapInArrow(partial, "slice int, once binary, more binary")
-    merged = parts.repartition("slice").sortWithinPartitions("slice").mapInArrow(merge, "slice int, bits binary")
-    table = np.zeros(DEPTH << (bits - 3), np.uint8)  # its size is set by MOST_BITS
-    for r in merged.toLocalIterator():
+
+def _whole(slices: DataFrame, bits: int) -> bytes:
+    """The sketch as one bitmap; its size is bounded by MOST_BITS."""
+    table = np.zeros(DEPTH << (bits - 3), np.uint8)
+    for r in slices.toLocalIterator():
         table[r.slice << (SLICE_BITS - 3) : (r.slice + 1) << (SLICE_BITS - 3)] = np.frombuffer(r.bits, np.uint8)
-    return bits, table.tobytes()
+    return table.tobytes()
+
+
+def marked_samples(rows: DataFrame, spec: Spec, slices: DataFrame, bits: int) -> DataFrame:
+    """o, t, marks: of each document the samples that a sketch of any size estimates to repeat, where it has some.
+
+    The samples (a few numbers each, once a document) meet the slice of their cell, row after row of the sketch; those of a frequent sample are dealt to several tasks.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in blocks(batches):
+            own = [np.unique(samples_of(spec, v)) for v in units_of(spec, texts)]
+            n = [len(x) for x in own]
+            flat = np.concatenate(own) if own else np.zeros(0, np.uint64)
+            cells = [pa.array(c) for c in _cells(flat, bits)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(c).to_numpy(), n)) for c in ("o", "t")] + [pa.array(flat.view(np.int64)), *cells], names=["o", "t", "sample", *(f"cell{k}" for k in range(DEPTH))])
+
+    left = rows.select("o", "t", utf8().alias("text")).mapInArrow(run, "o long, t long, sample long, " + ", ".join(f"cell{k} long" for k in range(DEPTH)))
+    left = written(left, "region-samples")
+    table = written(slices, "region-sketch")
+    for k in range(DEPTH):
+        keyed = left.withColumn("slice", F.shiftright(f"cell{k}", SLICE_BITS) + (k << (bits - SLICE_BITS)))
+        counts = written(keyed.groupBy("slice").agg(F.count("*").alias("n")), "region-slices")
+        met = dealt_join(keyed, table, "slice", ["o", "t"], counts=counts)
+        place = F.col(f"cell{k}").bitwiseAND((1 << SLICE_BITS) - 1)
+        byte = F.conv(F.hex(F.substring("bits", (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        left = met.where(F.call_function("getbit", byte, place.bitwiseAND(7).cast("int")) == 1).select(*left.columns)
+        if k + 1 < DEPTH:
+            left = written(left, "region-samples")
+    return written(left.groupBy("o", "t").agg(F.collect_list("sample").alias("marks")), "region-marks")
 
 
 def maybe_repeated(samples: np.ndarray, bits: int, table: np.ndarray) -> np.ndarray:
@@ -185,13 +222,20 @@ def emit(rows: DataFrame, spec: Spec, units: int, name: str, payload: Callable[[
 
     rows: identified texts, each distinct text once.
     """
-    bits, table = sketch(rows, spec, units)
-    shared = rows.sparkSession.sparkContext.broadcast(table)
+    bits = width(spec, units)
+    slices = sketch(rows, spec, bits)
+    texts_of = rows.select("o", "t", utf8().alias("text"))
+    if wide := bits > MOST_BITS:
+        shared = None
+        texts_of = narrow_join(texts_of, marked_samples(rows, spec, slices, bits), ["o", "t"], most=BROADCAST_ROWS // 100)
+    else:
+        shared = rows.sparkSession.sparkContext.broadcast(_whole(slices, bits))
     schema = f"o long, t long, pos int, m int, sample long, digest binary, inner boolean, at int, {name} binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.frombuffer(shared.value, np.uint8)
+        own = None if wide else np.frombuffer(shared.value, np.uint8)
         for batch, texts in blocks(batches):
+            known = batch.column("marks").to_pylist() if wide else []
             o, t = batch.column("o").to_numpy(), batch.column("t").to_numpy()
             out: list[list] = [[] for _ in range(5)]
             digests: list[bytes] = []
@@ -202,7 +246,7 @@ def emit(rows: DataFrame, spec: Spec, units: int, name: str, payload: Callable[[
                 start, size, sample, grams = regions_of(spec, v)
                 if not len(start):
                     continue
-                hit = maybe_repeated(sample, bits, own)
+                hit = np.isin(sample, np.array(known[i], np.int64).view(np.uint64)) if wide else maybe_repeated(sample, bits, own)
                 if not hit.any():
                     continue
                 start, size, sample = start[hit], size[hit], sample[hit]
@@ -222,4 +266,4 @@ def emit(rows: DataFrame, spec: Spec, units: int, name: str, payload: Callable[[
                 arrays = [*(pa.array(c, pa.int32() if k in (2, 3) else pa.int64()) for k, c in enumerate(cols)), pa.array(digests, pa.binary())]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(inner, pa.bool_()), pa.array(at, pa.int32()), pa.array(data, pa.binary())], names=["o", "t", "pos", "m", "sample", "digest", "inner", "at", name])
 
-    return rows.select("o", "t", utf8().alias("text")).mapInArrow(run, schema)
+    return texts_of.mapInArrow(run, schema)

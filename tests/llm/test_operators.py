@@ -367,13 +367,38 @@ def test_substring(docs, rows, none):
     assert substring.document_windows(none).count() == 0
 
 
-def test_sketch_may_be_narrow(docs, monkeypatch):
-    from pricewell.llm import regions
+def test_sketch_may_be_narrow_or_stay_a_table(docs, monkeypatch):
+    """A narrow sketch passes more on; one too wide to broadcast marks the samples in its slices, also where their keys are dealt. Results are the same."""
+    from pricewell.llm import common, regions
 
-    want = got(substring.document_windows(docs), "doc_id", "n_removed", "kept_sha256")
+    own = lambda: (got(substring.document_windows(docs), "doc_id", "n_removed", "kept_sha256"), got(suffixdedup.document_suffixes(docs), "doc_id", "n_removed", "n_spans", "kept_sha256"))
+    want = own()
     monkeypatch.setattr(regions, "LEAST_BITS", 16)
-    monkeypatch.setattr(regions, "MOST_BITS", 16)
-    assert got(substring.document_windows(docs), "doc_id", "n_removed", "kept_sha256") == want
+    assert own() == want
+    monkeypatch.setattr(regions, "MOST_BITS", 12)
+    assert own() == want
+    monkeypatch.setattr(common, "GROUP_ROWS", 5)
+    monkeypatch.setattr(common, "SMALL_ROWS", 0)
+    assert own() == want
+
+
+def test_marks_are_those_of_the_broadcast_sketch(spark, docs):
+    from pricewell.llm import regions
+
+    rows = regions.identified(docs).dropDuplicates(["o", "t"])
+    spec = substring.SPEC
+    bits = 16
+    slices = regions.sketch(rows, spec, bits)
+    table = np.frombuffer(regions._whole(slices, bits), np.uint8)
+    marks = {(r.o, r.t): set(r.marks) for r in regions.marked_samples(rows, spec, slices, bits).collect()}
+    some = 0
+    for r in rows.collect():
+        own = next(regions.units_of(spec, [(r.text or "").encode()]))
+        sample = np.unique(regions.samples_of(spec, own))
+        want = set(sample[regions.maybe_repeated(sample, bits, table)].view(np.int64).tolist()) if len(sample) else set()
+        assert marks.get((r.o, r.t), set()) == want
+        some += len(want)
+    assert some > 100
 
 
 def suffixes_by_hand(rows):
