@@ -43,12 +43,26 @@ def _delete(spark: SparkSession, paths: list[str]) -> None:
 
 @contextmanager
 def swept(spark: SparkSession) -> Iterator[None]:
-    """Of the tables written inside, only the last one, the result, is left."""
+    """Of the tables written inside, only the last one, the result, is left; after an error none."""
     before = len(_written)
-    yield
+    try:
+        yield
+    except BaseException:
+        _delete(spark, _written[before:])
+        raise
     _delete(spark, _written[before:-1])
 
 
+def newest() -> str:
+    """The path of the table that was written last."""
+    return _written[-1]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a written table that nothing reads any more."""
+    _delete(spark, [path])
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes all tables of this process. DataFrames that were not collected or written elsewhere can't be read after that."""
     _delete(spark, list(_written))
