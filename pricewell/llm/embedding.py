@@ -20,6 +20,8 @@ from .components import components
 SEED = 20240611
 #: Rows of whole units that a task compares at once, and members of a unit up to which it is compared together with others.
 HELD_ROWS, SMALL_UNIT = 8192, 16
+#: Least and greatest size of the blocks in which a family or a crowded bucket is compared.
+LEAST_BLOCK, MOST_BLOCK = 128, 4096
 #: The vec_id of rows without one, after all others.
 NO_ID = (1 << 63) - 1
 
@@ -29,14 +31,15 @@ class Spec:
     """Pairs of a cosine of `cosine` or more. A pair just at it shares no bucket with a chance of `miss` at most; nearer pairs share more buckets.
 
     `bits` hyperplanes sign a bucket's key. `fitted` sets them to the logarithm of the number of vectors and three more, so that vectors that are not
-    alike share a bucket as rarely in a large table as in a small one; `tables` follows from bits and miss. Members of a bucket beyond `block` are
-    compared in units of two blocks.
+    alike share a bucket as rarely in a large table as in a small one; `tables` follows from bits and miss. Buckets of more than `hot` members are
+    crowded by vectors that are alike: those that share members are a family, if it has at most `spread` times the members of its largest bucket.
     """
 
     cosine: float = 0.95
     miss: float = 1e-3
     bits: int = 12
-    block: int = 512
+    hot: int = 256
+    spread: int = 8
 
     def fitted(self, vectors: int) -> Spec:
         return replace(self, bits=max(8, vectors.bit_length() + 3))
@@ -110,23 +113,25 @@ def _buckets(nodes: DataFrame, spec: Spec, kind: str) -> DataFrame:
     return nodes.select("node", "vector").mapInArrow(run, "node long, tab int, bucket long")
 
 
-def _linked(spec: Spec, x: np.ndarray, unit: np.ndarray, tab: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of one unit whose cosine reaches the threshold and that share no bucket of an earlier table, so that each pair is found once.
+def _linked(spec: Spec, x: np.ndarray, unit: np.ndarray, tab: np.ndarray, side: np.ndarray, family: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one unit whose cosine reaches the threshold, each found in one unit only: in its family's, else in that of the first bucket it shares.
 
-    unit: the rows' units, ascending; side: 1 where a unit is one block, else 0 and 2 for its two blocks, which are compared with each other only.
+    unit: the rows' units, ascending; tab: the table of a bucket, -1 in the units of families; side: 1 where a unit is one block, else 0 and 2 for its two
+    blocks, which are compared with each other only; family: -1 for rows of none, and in the units of families.
     """
     sign, signed = np.zeros((len(x), spec.tables), np.int64), np.zeros(len(x), bool)
 
     def fresh(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """True for the pairs that share no earlier bucket; only rows of pairs are signed again."""
-        new = np.unique(np.concatenate([i, j]))
+        """True for the pairs of a family's unit, and for those of no common family that share no earlier bucket; only rows of such pairs are signed again."""
+        ok = (tab[i] == tab[j]) & ((family[i] != family[j]) | (family[i] < 0))
+        open_ = np.flatnonzero(ok & (tab[i] >= 0))
+        new = np.unique(np.concatenate([i[open_], j[open_]]))
         new = new[~signed[new]]
         if len(new):
             sign[new], signed[new] = keys(spec, x[new]), True
-        ok = tab[i] == tab[j]
-        for at in range(0, len(i), 1 << 14):
-            part = slice(at, at + (1 << 14))
-            ok[part] &= (sign[i[part]] == sign[j[part]]).argmax(axis=1) == tab[i[part]]
+        for at in range(0, len(open_), 1 << 14):
+            part = open_[at : at + (1 << 14)]
+            ok[part] = (sign[i[part]] == sign[j[part]]).argmax(axis=1) == tab[i[part]]
         return ok
 
     start = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
@@ -178,13 +183,13 @@ def _compared(units: DataFrame, spec: Spec, kind: str) -> DataFrame:
 
     def results(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(held).combine_chunks()
-        node, unit, tab, side, times = (rows.column(c).to_numpy() for c in ("node", "unit", "tab", "side", "n"))
+        node, unit, tab, side, times, family = (rows.column(c).to_numpy() for c in ("node", "unit", "tab", "side", "n", "family"))
         vectors = rows.column("vector").to_pylist()
         u, v, links = [], [], np.zeros(len(node), np.int64)
         for own in _by_dimension(vectors):
             x = directions([vectors[i] for i in own], kind)
             forest = _Forest(len(own))
-            for i, j in _linked(spec, x, unit[own], tab[own], side[own]):
+            for i, j in _linked(spec, x, unit[own], tab[own], side[own], family[own]):
                 i, j = own[i], own[j]
                 links += (np.bincount(i, times[j], len(node)) + np.bincount(j, times[i], len(node))).astype(np.int64)
                 place = np.searchsorted(own, np.stack([i, j]))
@@ -219,16 +224,55 @@ def _compared(units: DataFrame, spec: Spec, kind: str) -> DataFrame:
         if held:
             yield results(held)
 
-    columns = ["unit", "tab", "side", "node", "n", "vector"]
+    columns = ["unit", "tab", "side", "family", "node", "n", "vector"]
     return units.select(*columns).mapInArrow(run, "u long, v long, n long")
 
 
+def _families(members: DataFrame, spec: Spec) -> DataFrame:
+    """node, family, size of the nodes that share crowded buckets, directly or by others; a chain that is much larger than its largest bucket is no family."""
+    crowded = written(members.where(F.col("size") > spec.hot).select("bucket", "node", "size"), "vector-crowded")
+    schema = "node long, family long, size long"
+    total = crowded.count()
+    if not total:
+        return crowded.sparkSession.createDataFrame([], schema)
+    lead = crowded.groupBy("bucket").agg(F.min("node").alias("lead"), F.count("*").alias("n"))
+    stars = dealt_join(crowded, lead, "bucket", ["node"], total=total)
+    group = written(components(stars.select(F.col("node").alias("u"), F.col("lead").alias("v"))), "vector-families")
+    largest = lead.join(group, F.col("lead") == F.col("node")).groupBy("component").agg(F.max("n").alias("largest"))
+    sizes = group.groupBy("component").agg(F.count("*").alias("size")).join(largest, "component").where(F.col("size") <= spec.spread * F.col("largest"))
+    found = dealt_join(group, sizes.select("component", "size", F.col("size").alias("n")), "component", ["node"], total=total)
+    return written(found.select("node", F.col("component").alias("family"), F.col("size").cast("long").alias("size")), "vector-families")
+
+
+def _units(held: DataFrame, spec: Spec) -> DataFrame:
+    """node, unit, tab, side, family: where each node meets others. Bucket by bucket, and once with its whole family; what is large in units of two blocks.
+
+    Families spare the many buckets that vectors so alike share: their buckets are left out, their pairs are compared once.
+    """
+    shared = held.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").withColumn("size", F.col("n"))
+    members = written(dealt_join(held, shared, "bucket", ["node"], total=held.count()), "vector-members")
+    families = _families(members, spec)
+    own = members.join(families.select("node", "family"), "node", "left").withColumn("family", F.coalesce("family", F.lit(-1).cast("long")))
+    # All members of a crowded bucket are of one family, or of none.
+    own = own.where((F.col("size") <= spec.hot) | (F.col("family") < 0)).select("node", "tab", F.xxhash64("bucket", "tab").alias("group"), "family", F.col("size").cast("long").alias("size"))
+    none = F.lit(-1).cast("long")
+    alike = families.select("node", F.lit(-1).alias("tab"), F.xxhash64(F.lit("family"), "family").alias("group"), none.alias("family"), "size")
+    rows = own.unionByName(alike)
+    parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block = max(LEAST_BLOCK, min(MOST_BLOCK, members.count() // (2 * parts)))
+    blocks = F.when(F.col("size") > 2 * block, F.ceil(F.col("size") / block)).otherwise(1).cast("int")
+    put = rows.withColumn("blocks", blocks).withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # A row meets its own block's unit once (side 1) and each other block's (side 0 or 2).
+    side = F.when(F.col("b") == F.col("x"), 1).when(F.col("b") < F.col("x"), 0).otherwise(2)
+    return put.select("node", "tab", F.xxhash64("group", F.least("b", "x"), F.greatest("b", "x")).alias("unit"), side.alias("side"), "family")
+
+
 def near_vectors(rows: DataFrame, spec: Spec = Spec(), vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:  # noqa: B008
     """vec_id, n_links, component_id, kept: one row a vector.
 
     Equal vectors are one node, which has their number as weight. Nodes that share the signs of `bits` random hyperplanes in one of several tables
-    meet; a pair is counted in the first table that it shares, if its cosine in double precision reaches the threshold. Buckets of many nodes are
-    compared in units of two blocks: no task holds a large bucket, each unit gives a sum a node and the links of a spanning forest, never its pairs.
+    meet; a pair is counted once, if its cosine in double precision reaches the threshold: in its family, else in the first table that it shares. Families and buckets of
+    many nodes are compared in units of two blocks: no task holds a large one, each unit gives a sum a node and the links of a spanning forest, never its pairs.
 
     Null and zero vectors, vectors without components and those with null or non-finite components link with nothing and are kept. Vectors of
     different dimensions link with nothing of another. Rows of one vec_id are rows of their own, all kept if it is the least of its component. Rows without
@@ -244,14 +288,7 @@ def near_vectors(rows: DataFrame, spec: Spec = Spec(), vec_id: str = "vec_id", v
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "vector-nodes")
     spec = spec.fitted(nodes.count())
 
-    held = written(_buckets(nodes, spec, kind), "vector-buckets")
-    shared = held.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / spec.block).cast("int"))
-    members = dealt_join(held, shared, "bucket", ["node"], total=held.count())
-    put = members.withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    i, j = F.least("b", "x"), F.greatest("b", "x")
-    side = F.when(F.col("b") == F.col("x"), 1).when(F.col("b") < F.col("x"), 0).otherwise(2)
-    # A row meets its own block's unit once (side 1) and each other block's (side 0 or 2).
-    put = put.select("node", "tab", F.xxhash64("bucket", "tab", i, j).alias("unit"), side.alias("side"))
+    put = _units(written(_buckets(nodes, spec, kind), "vector-buckets"), spec)
     units = put.join(nodes.select("node", "n", "vector"), "node").repartition("unit").sortWithinPartitions("unit")
     found = written(_compared(units, spec, kind), "vector-links")
 

@@ -71,8 +71,11 @@ def vectors():
 SCHEMA = "vec_id long, embedding array<double>, node long, n int, vector string, bucket string, row string, component string"
 
 
-@pytest.mark.parametrize("spec", [Spec(), Spec(block=24)])
-def test_near_vectors_against_all_pairs(spark, vectors, spec):
+@pytest.mark.parametrize(("spec", "block"), [(Spec(), 128), (Spec(hot=20), 24), (Spec(hot=20, spread=0), 24), (Spec(hot=3), 2)])
+def test_near_vectors_against_all_pairs(spark, vectors, spec, block, monkeypatch):
+    """Without families, with some, and with crowded buckets that are none; large ones in blocks."""
+    monkeypatch.setattr(embedding, "LEAST_BLOCK", block)
+    monkeypatch.setattr(embedding, "MOST_BLOCK", block)
     rows = spark.createDataFrame([(v, x, 1, 1, "v", "b", "r", "c") for v, x in vectors], SCHEMA).repartition(3)
     found = embedding.near_vectors(rows, spec).collect()
     key = lambda r: tuple((x is None, x) for x in r)
@@ -112,7 +115,7 @@ def test_pairs_of_a_unit_are_found_once():
         for bucket in np.unique(sign[:, tab]):
             own = np.flatnonzero(sign[:, tab] == bucket)
             one = np.ones(len(own), np.int64)
-            for i, j in embedding._linked(spec, x[own], one, one * tab, one):
+            for i, j in embedding._linked(spec, x[own], one, one * tab, one, -one):
                 for p, q in zip(own[i], own[j], strict=True):
                     seen[min(p, q), max(p, q)] += 1
     want = {(i, j) for i in range(60) for j in range(i + 1, 60) if x[i] @ x[j] >= spec.cosine}
