@@ -163,18 +163,26 @@ class _Forest:
     """Keeps of the pairs of some rows only those that join two groups of rows."""
 
     def __init__(self, n: int) -> None:
-        self.label = np.arange(n)
+        self.label = np.arange(n)  # a row of the same group, in the end its least
+
+    def _top(self, x: int) -> int:
+        while (up := int(self.label[x])) != x:
+            x = up
+        return x
 
     def joins(self, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
         out = []
         while len(i := i[open_ := self.label[i] != self.label[j]]):
             j = j[open_]
-            # One pair for each label of the first rows: these can be joined one after the other.
-            for k in np.unique(self.label[i], return_index=True)[1]:
-                a, b = self.label[i[k]], self.label[j[k]]
-                if a != b:
-                    out.append((int(i[k]), int(j[k])))
-                    self.label[self.label == max(a, b)] = min(a, b)
+            # One pair for each group of the second rows.
+            first = np.unique(self.label[j], return_index=True)[1]
+            for a, b in zip(i[first].tolist(), j[first].tolist(), strict=True):
+                p, q = self._top(a), self._top(b)
+                if p != q:
+                    out.append((a, b))
+                    self.label[max(p, q)] = min(p, q)
+            while ((up := self.label[self.label]) != self.label).any():
+                self.label = up
         return out
 
 
@@ -190,12 +198,11 @@ def _compared(units: DataFrame, spec: Spec, kind: str) -> DataFrame:
             x = directions([vectors[i] for i in own], kind)
             forest = _Forest(len(own))
             for i, j in _linked(spec, x, unit[own], tab[own], side[own], family[own]):
-                i, j = own[i], own[j]
-                links += (np.bincount(i, times[j], len(node)) + np.bincount(j, times[i], len(node))).astype(np.int64)
-                place = np.searchsorted(own, np.stack([i, j]))
-                for a, b in forest.joins(*place):
+                for a, b in forest.joins(i, j):
                     u.append(node[own[a]])
                     v.append(node[own[b]])
+                i, j = own[i], own[j]
+                links += (np.bincount(i, times[j], len(node)) + np.bincount(j, times[i], len(node))).astype(np.int64)
         some = np.flatnonzero(links)
         who, at = np.unique(node[some], return_inverse=True)
         counts = np.bincount(at, links[some], len(who)).astype(np.int64) if len(who) else np.zeros(0, np.int64)
