@@ -5,7 +5,7 @@ from __future__ import annotations
 _VERBS = (
     "INDICES_VALIDABLES", "a_mensual", "calcular_historia", "calcular_indice", "cargar_canasta", "cargar_serie", "consultar_incidencia", "consultar_indice", "consultar_variacion",
     "empalmar", "incidencia_acumulada", "incidencia_acumulada_anual", "incidencia_desde", "incidencia_en", "incidencia_periodica", "incidencia_promedio", "inflacion_acumulada", "inflacion_en",
-    "inflacion_maxima", "inflacion_minima", "inflacion_promedio", "limpiar_cache", "mayor_incidencia", "menor_incidencia", "mostrar_config", "rebasar", "renombrar", "reset_config", "set_token", "settings",
+    "inflacion_maxima", "inflacion_minima", "inflacion_promedio", "Grafica", "limpiar_cache", "mayor_incidencia", "menor_incidencia", "mostrar_config", "preparar_grafica", "rebasar", "renombrar", "reset_config", "set_token", "settings",
     "validar", "validar_incidencia", "validar_indice", "validar_variacion", "variacion_acumulada_anual", "variacion_desde", "variacion_periodica",
 )
 _ERRORS = (

@@ -14,7 +14,7 @@ from . import catalog
 from . import renames as names
 from .errors import CalculationProblem, ConfigurationProblem, InvariantBroken
 from .functions.periods import parse, parse_as
-from .operators import consult, convert, incidence, laspeyres, validate, variation
+from .operators import axes, charts, consult, convert, incidence, laspeyres, validate, variation
 from .scratch import written
 from .results import Result
 from .sources import baskets, indicators, series
@@ -340,6 +340,64 @@ def validar(resultado: Result, fuente: Callable[[], OfficialSource]) -> Result:
     return Result(compare(rows, official), "validacion", resultado.manifiesto)
 
 
+@dataclass(frozen=True)
+class Grafica:
+    """What a chart needs, as DataFrames: a drawing library takes them from here by toPandas()."""
+
+    filas: DataFrame  # rows to draw, with panel, linea and turno (remainders first, headline last)
+    leyenda: DataFrame  # panel, indice, color, etiqueta
+    etiquetas: DataFrame  # ord: the labelled periods
+    cortes: DataFrame  # panel, corte: breaks of the value axis
+    puntos: DataFrame  # rows that carry a point
+    extremos: DataFrame  # panel, indice, extremo, ord and the value: marks of panels with one line
+    titulo: str
+    eje: str
+
+
+def preparar_grafica(resultado: Result, comparacion: Result | None = None, desde: str | None = None, hasta: str | None = None, referencia: str | None = None) -> Grafica:
+    """Lines of an index or a variation, in panels of eight categories with the headline in each, or the stacked bars of contributions.
+
+    The range is checked before anything else. A comparison has the same kind and periodicity; for contributions it is the headline's variation of the same
+    class, a line of its own.
+    """
+    kind = resultado.clase
+    if kind not in ("indice", "variacion", "incidencia"):
+        raise ConfigurationProblem(f"a result of kind {kind!r} has no chart")
+    value, base = Result.VALUES[kind], 100.0 if kind == "indice" else 0.0
+    own = resultado.rows.where("computable") if kind != "indice" else resultado.rows
+    periodicity = _periodicity(own)
+    if comparacion is not None:
+        wanted = "variacion" if kind == "incidencia" else kind
+        if comparacion.clase != wanted or _periodicity(comparacion.rows) != periodicity:
+            raise ConfigurationProblem(f"a comparison must be of kind {wanted!r} and of periodicity {periodicity!r}")
+        classes = [r.rows.select(f"clase_{r.clase}").distinct().limit(2).collect() for r in (resultado, comparacion) if r.clase != "indice"]
+        if len({tuple(r[0] for r in c) for c in classes}) > 1:
+            raise ConfigurationProblem("a comparison must be of the same class")
+    other = None
+    if comparacion is not None:
+        other = comparacion.rows if kind == "indice" else comparacion.rows.where("computable")
+        other = other.select("tipo", "ord", "indice", F.col(Result.VALUES[comparacion.clase]).alias(value))
+    both = charts.combined(own.select("tipo", "ord", "indice", value), other)
+    # Contributions must have the range themselves: a line alone would leave a chart without bars.
+    consult.check_range(own if kind == "incidencia" else both, *(parse_as(x, periodicity) if x else None for x in (desde, hasta)))
+    rows = consult.in_range(both, *(parse_as(x, periodicity) if x else None for x in (desde, hasta))).where(F.col(value).isNotNull())
+    if kind == "incidencia":
+        bars = charts.stacked(rows.where("linea = 'resultado'"), value).withColumn("linea", F.lit("resultado"))
+        drawn = bars.unionByName(rows.where("linea = 'comparacion'").select("ord", "indice", value, "linea")).withColumn("panel", F.lit(0))
+        heights = charts.stack_ends(bars, value).select(F.lit(0).alias("panel"), F.explode(F.array("arriba", "abajo")).alias(value))
+        ends = heights.unionByName(drawn.where("linea = 'comparacion'").select("panel", value))
+    else:
+        named = charts.panels(rows)
+        every = named.where("panel is not null").select("panel").distinct()
+        head = named.where("panel is null").select("indice").join(F.broadcast(every), F.lit(True), "left").withColumn("panel", F.coalesce("panel", F.lit(0)))
+        drawn = rows.join(F.broadcast(named.where("panel is not null").unionByName(head)), "indice").select("ord", "indice", value, "linea", "panel")
+        ends = drawn.select("panel", value)
+    drawn = drawn.withColumn("turno", charts.draw_order(F.col("indice")))
+    tipos = [r.tipo for r in rows.select("tipo").distinct().orderBy("tipo").collect()]  # a row a classification
+    label = {"indice": "Indice" if referencia is None else f"Indice ({referencia} = 100)", "variacion": "Variación (pp)", "incidencia": "Incidencia (pp)"}[kind]
+    return Grafica(drawn, axes.legend(drawn, "panel", distinct=True), axes.period_labels(drawn), axes.value_breaks(ends, value, base, "panel"), charts.points(drawn, periodicity), axes.ends_to_mark(drawn, value, "panel"), " + ".join(tipos), label)
+
+
 def _official(fuente: OfficialSource, tipo: str, periodicidad: str, measure: str) -> DataFrame:
     if tipo.upper() not in INDICES_VALIDABLES:
         raise ConfigurationProblem(f"no official figures for {tipo!r}")

@@ -433,9 +433,10 @@ def match_fila(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracts.match_numbers(one, two, "ponderador").select("generico", "metodo")
 
 
-def forget() -> None:
-    """Later queries make their inputs and histories anew."""
-    _KEPT.clear()
+def forget(*kept: str) -> None:
+    """Later queries make their inputs and histories anew, but for those named."""
+    for key in [k for k in _KEPT if k[2] not in kept]:
+        del _KEPT[key]
 
 
 def queries() -> dict[str, Query]:

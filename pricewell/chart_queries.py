@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import api
 from . import catalog_queries as Q
-from .operators import axes
+from .functions.periods import text_of
+from .operators import axes, variation
+from .results import Result
 
 _query, _sql, _rounded = Q._query, Q._sql, Q._rounded
 
@@ -69,3 +72,27 @@ def pies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stands below the panels of a stacked chart."""
     rows = leyenda(spark, sf_dir).select("panel", "indice")
     return axes.captions(rows, rows.where("indice <> '__resto_cola__'").agg(F.countDistinct("indice").alias("categorias")), "panel")
+
+
+_CHART = """, v as (select t.indice, t.ord, (t.i / b.i - 1) * 100 as v from hist0 t join hist0 b on b.tipo = t.tipo and b.indice = t.indice and b.ord = t.ord - 24 where t.tipo in ('ADJETIVO', 'INPC') and t.ord between 47990 and 48020),
+names as (select indice, row_number() over (order by indice) - 1 as r, count(*) over () as n from (select distinct indice from v where indice <> 'INPC')),
+ks as (select *, ceil(n / 8.0)::int as k, n // ceil(n / 8.0)::int as q, n % ceil(n / 8.0)::int as more from names),
+panels as (select indice, (case when r < more * (q + 1) then r // (q + 1) else more + (r - more * (q + 1)) // q end)::int as panel from ks),
+every as (select * from panels union all select 'INPC', panel from (select distinct panel from panels))"""
+
+
+def _chart(spark: SparkSession, sf_dir: str) -> api.Grafica:
+    """Annual variations of one classification with the headline, for a range of periods."""
+    rows = variation.periodic(Q._history(spark, sf_dir).where("tipo in ('ADJETIVO', 'INPC')"), "anual", "Q")
+    return api.preparar_grafica(Result(rows, "variacion"), desde=text_of(47990, "Q"), hasta=text_of(48020, "Q"))
+
+
+@_query(_sql("") + _CHART + " select panel, ord, indice, round(v, 6) as variacion_pp, case when indice = 'INPC' then 2 else 1 end as turno from v join every using (indice)")
+def grafica_filas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows to draw: panels of eight categories, the headline in each."""
+    return _rounded(_chart(spark, sf_dir).filas.select("panel", "ord", "indice", "variacion_pp", "turno"), "variacion_pp")
+
+
+@_query(_sql("") + _CHART + """ select panel, indice, case when indice = 'INPC' then 'black' else ['#2a78d6', '#eb6834', '#1baf7a', '#eda100', '#e87ba4', '#008300', '#4a3aa7', '#e34948'][((row_number() over (partition by panel, indice = 'INPC' order by indice) - 1) % 8 + 1)::bigint] end as color, indice as etiqueta from every""")
+def grafica_leyenda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chart(spark, sf_dir).leyenda

@@ -146,3 +146,35 @@ def test_kept_answers(spark):
         source.history("M", "indice")
     with pytest.raises(ConfigurationProblem):
         source.history("Q", "anual")
+
+
+def test_chart_facade(spark):
+    from pricewell import api
+    from pricewell.errors import ConfigurationProblem, InvariantBroken, PeriodUnavailable
+    from pricewell.results import Result
+
+    schema = "tipo string, periodicidad string, ord int, indice string, version int, indice_replicado double, indice_incidencia double, estado_calculo string, motivo_error string"
+    names = [f"c{i:02d}" for i in range(10)]
+    first = 2020 * 24
+    rows = spark.createDataFrame([(("INPC" if n == "INPC" else "COG"), "Q", first + o, n, 2018, 100.0 + k + o, 100.0, "ok", None) for o in range(30) for k, n in enumerate([*names, "INPC"])], schema)
+    made = api.preparar_grafica(Result(rows, "indice"), desde="1Q Ene 2020", hasta="2Q Jul 2020", referencia="1Q Ene 2020")
+    assert made.titulo == "COG + INPC" and made.eje == "Indice (1Q Ene 2020 = 100)"
+    per = {r.panel: r.n for r in made.filas.groupBy("panel").agg(F.countDistinct("indice").alias("n")).collect()}
+    assert per == {0: 6, 1: 6} and made.filas.where("indice = 'INPC'").count() == 2 * 14 and made.etiquetas.count() == 14 and made.puntos.count() == made.filas.count() and made.extremos.count() == 0
+    assert {r.turno for r in made.filas.where("indice = 'INPC'").collect()} == {2}
+    alone = api.preparar_grafica(Result(rows.where("indice = 'INPC'"), "indice"))
+    assert alone.filas.count() == 30 and alone.puntos.count() == 0 and sorted(r.extremo for r in alone.extremos.collect()) == ["primero", "ultimo"] and alone.etiquetas.count() == 20
+    with pytest.raises(PeriodUnavailable):
+        api.preparar_grafica(Result(rows, "indice"), desde="1Q Ene 1990")
+    with pytest.raises(InvariantBroken):
+        api.preparar_grafica(Result(rows, "indice"), desde="Ene 2020")
+    annual = api.variacion_periodica(rows, "anual")
+    with pytest.raises(ConfigurationProblem):
+        api.preparar_grafica(Result(rows, "indice"), Result(annual, "variacion"))
+    with pytest.raises(ConfigurationProblem):
+        api.preparar_grafica(Result(annual, "variacion"), Result(api.variacion_acumulada_anual(rows), "variacion"))
+    parts = annual.where("indice <> 'INPC'").withColumnRenamed("variacion_pp", "incidencia_pp").withColumnRenamed("clase_variacion", "clase_incidencia")
+    stacked = api.preparar_grafica(Result(parts, "incidencia"), Result(annual.where("indice = 'INPC'"), "variacion"))
+    assert {r.linea for r in stacked.filas.select("linea").distinct().collect()} == {"resultado", "comparacion"} and stacked.cortes.where("corte = 0").count() == 1
+    top = stacked.filas.where("linea = 'resultado'").groupBy("ord").agg(F.sum("incidencia_pp").alias("s")).agg(F.max("s")).first()[0]
+    assert abs(stacked.cortes.agg(F.max("corte")).first()[0] - top) < 1e-9
