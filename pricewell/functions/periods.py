@@ -55,16 +55,18 @@ def half_of_date(date: Column) -> Column:
 
 
 def parse_column(text: Column, periodicity: str) -> Column:
-    """The ordinal, or null for a text that is no such period."""
+    """The ordinal, or null for a text that is no such period; the same texts as `parse` reads."""
     parts = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
     at = 1 if periodicity == "Q" else 0
     names = F.create_map(*(x for m, i in _MONTH_NUMBER.items() for x in (F.lit(m), F.lit(i))))
     month = F.try_element_at(names, F.lower(F.get(parts, F.lit(at))))
-    year = F.get(parts, F.lit(at + 1)).try_cast("int")
+    digits = F.get(parts, F.lit(at + 1))
+    year = F.when(digits.rlike(r"^[0-9]+$"), digits.try_cast("int"))
+    year = F.when(year >= 1, year)
     whole = F.size(parts) == at + 2
     if periodicity == "M":
         return F.when(whole, year * 12 + month)
-    half = F.regexp_extract(F.get(parts, F.lit(0)), r"^([12])[Qq]$", 1).try_cast("int")
+    half = F.regexp_extract(F.get(parts, F.lit(0)), r"^0*([12])[Qq]$", 1).try_cast("int")
     return F.when(whole, year * 24 + month * 2 + half - 1)
 
 

@@ -12,7 +12,10 @@ ENCODINGS = ("utf-8", "cp1252", "latin-1")
 
 
 def cells(spark: SparkSession, path: str, skip: int = 0, encodings: tuple[str, ...] = ENCODINGS) -> DataFrame:
-    """file, row (0 = first after `skip` raw lines), pos, cell (null if empty). A file that no encoding reads has one row with row -1."""
+    """file, row (0 = first after `skip` raw lines), pos, cell (null if empty). A file that no encoding reads has one row with row -1.
+
+    A file is read whole by one task, as its encoding can only be told from all of it: files are bounded by that task's memory, their number is not.
+    """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
