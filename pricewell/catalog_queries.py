@@ -261,14 +261,28 @@ def inflacion_tcac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(consult.annual_rate(rows, "Q", 47966, 48000), "tcac")
 
 
-@_query(_sql(f"select tipo, ord, indice, round(v, 6) as variacion_pp from {_ANNUAL} where tipo = 'SUSTANTIVO' order by v desc, ord, indice limit 1"))
+def _by_class(rows: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A view of one classification, of each of the rows' classifications (a few)."""
+    out = None
+    for tipo in sorted(r.tipo for r in rows.select("tipo").distinct().collect()):
+        one = make(rows.where(F.col("tipo") == tipo))
+        one = one if "tipo" in one.columns else one.withColumn("tipo", F.lit(tipo))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _extreme_sql(rows: str, value: str, order: str) -> str:
+    return f"select tipo, ord, indice, round(v, 6) as {value} from {rows} where v is not null qualify row_number() over (partition by tipo order by v {order}, ord, indice) = 1"
+
+
+@_query(_sql(_extreme_sql(_ANNUAL, "variacion_pp", "desc")))
 def inflacion_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(consult.extreme(_annual(spark, sf_dir).where("tipo = 'SUSTANTIVO'"), "variacion_pp", True), "variacion_pp")
+    return _rounded(_by_class(_annual(spark, sf_dir), lambda rows: consult.extreme(rows, "variacion_pp", True)), "variacion_pp")
 
 
-@_query(_sql(f"select tipo, ord, indice, round(v, 6) as variacion_pp from {_ANNUAL} where tipo = 'SUSTANTIVO' order by v, ord, indice limit 1"))
+@_query(_sql(_extreme_sql(_ANNUAL, "variacion_pp", "")))
 def inflacion_minima(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(consult.extreme(_annual(spark, sf_dir).where("tipo = 'SUSTANTIVO'"), "variacion_pp", False), "variacion_pp")
+    return _rounded(_by_class(_annual(spark, sf_dir), lambda rows: consult.extreme(rows, "variacion_pp", False)), "variacion_pp")
 
 
 _CATEGORY_WEIGHTS = f"""
@@ -409,16 +423,17 @@ def periodos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("ord", text_column(F.col("ord"), F.col("periodicidad")).alias("periodo"), date_column(F.col("ord"), F.col("periodicidad")).alias("fecha"))
 
 
-@_query(_sql("""select indice, case when r < more * (q + 1) then r // (q + 1) else more + (r - more * (q + 1)) // q end as panel
-from (select indice, row_number() over (order by indice) - 1 as r, count(*) over () // 2 as q, count(*) over () % 2 as more from (select distinct indice from hist0 where tipo = 'ADJETIVO'))"""))
+@_query(_sql("""select tipo, indice, case when indice = 'INPC' then null when r < more * (q + 1) then r // (q + 1) else more + (r - more * (q + 1)) // q end as panel
+from (select *, n // k as q, n % k as more from (select tipo, indice, row_number() over (partition by tipo order by indice) - 1 as r, count(*) over (partition by tipo) as n, ceil(count(*) over (partition by tipo) / 8.0)::bigint as k from (select distinct tipo, indice from hist0)))"""))
 def paneles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return charts.panels(_history(spark, sf_dir).where("tipo = 'ADJETIVO'")).select("indice", F.col("panel").cast("long").alias("panel"))
+    """The panels of every classification."""
+    return _by_class(_history(spark, sf_dir), charts.panels).select("tipo", "indice", F.col("panel").cast("long").alias("panel"))
 
 
-@_query(_sql("""select ord, 'resto ' || case when v >= 0 then 'positivo' else 'negativo' end as indice, round(sum(v), 6) as valor from (select t.ord, t.indice, t.i - 100 as v from hist0 t where tipo = 'SUSTANTIVO') group by 1, 2"""))
+@_query(_sql("""select tipo, ord, 'resto ' || case when v >= 0 then 'positivo' else 'negativo' end as indice, round(sum(v), 6) as valor from (select tipo, ord, round(i - 100, 9) + 0.0 as v from hist0 where i is not null) group by 1, 2, 3"""))
 def apilado(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _history(spark, sf_dir).where("tipo = 'SUSTANTIVO'").select("ord", "indice", (F.col("indice_replicado") - 100).alias("valor"))
-    return _rounded(charts.remainders(rows, "valor"), "valor")
+    rows = _history(spark, sf_dir).select("tipo", "ord", "indice", (F.round(F.col("indice_replicado") - 100, 9) + 0.0).alias("valor"))
+    return _rounded(_by_class(rows, lambda own: charts.remainders(own, "valor")), "valor")
 
 
 @_query("""select generico, case when x = p then 'igual' when round(x::double, 1) = p::double and length(p) < length(x) then 'redondeo' else 'preferido' end as metodo

@@ -36,20 +36,24 @@ def incidencia_promedio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(consult.mean(_annual_incidence(spark, sf_dir), "incidencia_pp"), "promedio")
 
 
-@_query(_ANNUAL_INC + "select tipo, ord, indice, round(v, 6) as incidencia_pp from inc where tipo = 'SUSTANTIVO' and v is not null order by v desc, ord, indice limit 1")
+@_query(_ANNUAL_INC + Q._extreme_sql("inc", "incidencia_pp", "desc"))
 def mayor_incidencia(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(consult.extreme(_annual_incidence(spark, sf_dir).where("tipo = 'SUSTANTIVO'"), "incidencia_pp", True), "incidencia_pp")
+    return _rounded(Q._by_class(_annual_incidence(spark, sf_dir), lambda rows: consult.extreme(rows, "incidencia_pp", True)), "incidencia_pp")
 
 
-@_query(_ANNUAL_INC + "select tipo, ord, indice, round(v, 6) as incidencia_pp from inc where tipo = 'SUSTANTIVO' and v is not null order by v, ord, indice limit 1")
+@_query(_ANNUAL_INC + Q._extreme_sql("inc", "incidencia_pp", ""))
 def menor_incidencia(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(consult.extreme(_annual_incidence(spark, sf_dir).where("tipo = 'SUSTANTIVO'"), "incidencia_pp", False), "incidencia_pp")
+    return _rounded(Q._by_class(_annual_incidence(spark, sf_dir), lambda rows: consult.extreme(rows, "incidencia_pp", False)), "incidencia_pp")
 
 
-@_query(_sql("""select tipo, indice, round(max(case when ord = 48000 then i end), 6) as "1Q Ene 2000", round(max(case when ord = 48001 then i end), 6) as "2Q Ene 2000" from hist0 where ord in (48000, 48001) group by 1, 2"""))
+#: Every period that the order lines have.
+_PERIODS = [(o, periods.text_of(o, "Q")) for o in range(47880, 48045)]
+
+
+@_query(_sql("select tipo, indice, " + ", ".join(f'round(max(case when ord = {o} then i end), 6) as "{t}"' for o, t in _PERIODS) + " from hist0 group by 1, 2"))
 def ancho(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = consult.wide(Q._history(spark, sf_dir).where("ord in (48000, 48001)"), ["indice_replicado"])
-    return _rounded(out, "1Q Ene 2000", "2Q Ene 2000")
+    """A row a category, a column a period."""
+    return _rounded(consult.wide(Q._history(spark, sf_dir), ["indice_replicado"]), *(t for _, t in _PERIODS))
 
 
 def _published(rows: DataFrame, value: str) -> DataFrame:
@@ -94,34 +98,35 @@ def val_incidencia(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.compare(rows, _published(rows, "incidencia_pp"), "incidencia_pp", validate.POINT_TOLERANCE).select("tipo", "ord", "indice", "estado_validacion")
 
 
-_BARS = "(select ord, indice, i - 100 as v from hist0 where tipo = 'ADJETIVO')"
+_BARS = "(select tipo, ord, indice, round(i - 100, 9) + 0.0 as v from hist0)"
 _DETAILED = f"""
-ranked as (select indice, m, row_number() over (order by m desc, indice) as r, coalesce(sum(m) over (order by m desc, indice rows unbounded preceding) / sum(m) over () < 0.8, false) as below from (select indice, avg(abs(v)) as m from {_BARS} group by 1)),
-kept as (select indice from ranked where r <= (select greatest(count(*) filter (below) + 1, 8) from ranked))"""
+ranked as (select tipo, indice, m, row_number() over (partition by tipo order by m desc, indice) as r, coalesce(sum(m) over (partition by tipo order by m desc, indice rows unbounded preceding) / sum(m) over (partition by tipo) < 0.8, false) as below from (select tipo, indice, avg(abs(v)) as m from {_BARS} group by 1, 2)),
+kept as (select tipo, indice from (select *, greatest(count(*) filter (below) over (partition by tipo) + 1, 8) as most from ranked) where r <= most)"""
 
 
 def _bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q._history(spark, sf_dir).where("tipo = 'ADJETIVO'").select("ord", "indice", (F.col("indice_replicado") - 100).alias("valor"))
+    return Q._history(spark, sf_dir).select("tipo", "ord", "indice", (F.round(F.col("indice_replicado") - 100, 9) + 0.0).alias("valor"))
 
 
 @_query(_sql("") + f""", {_DETAILED}
-select ord, indice, round(v, 6) as valor from {_BARS} where indice in (select indice from kept)
-union all select ord, 'resto ' || case when v >= 0 then 'positivo' else 'negativo' end, round(sum(v), 6) from {_BARS} where indice not in (select indice from kept) and v is not null group by 1, 2""")
+select b.tipo, ord, b.indice, round(v, 6) as valor from {_BARS} b join kept using (tipo, indice)
+union all select b.tipo, ord, 'resto ' || case when v >= 0 then 'positivo' else 'negativo' end, round(sum(v), 6) from {_BARS} b anti join kept using (tipo, indice) where v is not null group by 1, 2, 3""")
 def apilado_completo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(charts.stacked(_bars(spark, sf_dir), "valor"), "valor")
+    """Stacked bars of every classification."""
+    return _rounded(Q._by_class(_bars(spark, sf_dir), lambda rows: charts.stacked(rows, "valor")), "valor")
 
 
-@_query(_sql(f"select ord, round(sum(greatest(v, 0)), 6) as arriba, round(sum(least(v, 0)), 6) as abajo from {_BARS} group by 1"))
+@_query(_sql(f"select tipo, ord, round(sum(greatest(v, 0)), 6) as arriba, round(sum(least(v, 0)), 6) as abajo from {_BARS} group by 1, 2"))
 def alturas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(charts.stack_ends(_bars(spark, sf_dir), "valor"), "arriba", "abajo")
+    return _rounded(Q._by_class(_bars(spark, sf_dir), lambda rows: charts.stack_ends(rows, "valor")), "arriba", "abajo")
 
 
-@_query(_sql(f"select ord, indice, 'resultado' as linea, round(v, 6) as valor from {_BARS} where ord < 47890 union all select ord, indice, 'comparacion', round(v + 1, 6) from {_BARS} where ord = 47885"))
+@_query(_sql(f"select tipo, ord, indice, 'comparacion' as linea, round(v + 1, 6) as valor from {_BARS} where ord = (select max(ord) from hist0)"))
 def puntos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Few periods: all points, of result and comparison."""
-    rows = _bars(spark, sf_dir).where("ord < 47890")
-    both = charts.combined(rows, rows.where("ord = 47885").withColumn("valor", F.col("valor") + 1))
-    return _rounded(charts.points(both, "Q").select("ord", "indice", "linea", "valor"), "valor")
+    """Many periods: only what stands alone in its line has a point, here a comparison with the last period."""
+    rows = _bars(spark, sf_dir)
+    last = rows.join(F.broadcast(rows.agg(F.max("ord").alias("ord"))), "ord").withColumn("valor", F.col("valor") + 1)
+    return _rounded(Q._by_class(charts.combined(rows, last), lambda own: charts.points(own, "Q")).select("tipo", "ord", "indice", "linea", "valor"), "valor")
 
 
 _PAIRS = """(select p_partkey::varchar as generico, '0' || p_size || ' ' || p_type as x, case when p_partkey % 4 = 0 then p_type || '!' else p_type end as p from part)"""
@@ -207,12 +212,16 @@ def lineas_seguidas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.with_continuation(_lines(spark, sf_dir))
 
 
-@_query(f"""select 'scian' as anexo, linea::varchar as generico, texto, valor::double as valor from (select linea, trim(regexp_replace(texto, '[0-9.]+$', '')) as texto, printf('%.2f', p_retailprice) as valor from {_LINES} join part on p_partkey = linea where p_partkey % 3 = 0 and p_partkey % 7 <> 0)""")
+@_query(f"""with n as (
+  select documento, min(linea) as linea, trim(string_agg(nullif(trim(t), ''), ' ' order by linea)) as texto, max(n)::double as valor from (
+    select *, coalesce(sum((n is not null)::int) over (partition by documento order by linea rows between unbounded preceding and 1 preceding), 0) as r
+    from (select documento, linea, regexp_replace(texto, ' [0-9]+[.][0-9]+$', '') as t, nullif(regexp_extract(texto, ' ([0-9]+[.][0-9]+)$', 1), '') as n from {_LINES})) group by documento, r)
+select 'scian' as anexo, l.documento || '/' || l.linea as generico, n.texto, valor from {_LINES} l left join n using (documento, linea)""")
 def anexo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An annex's columns joined to the items; items that it lacks would keep nulls."""
-    rows = lines.rows_by_number(_lines(spark, sf_dir).where("linea % 3 = 0 and linea % 7 <> 0")).select(F.col("linea").cast("string").alias("generico"), "texto", "valor")
-    items = _lines(spark, sf_dir).where("linea % 3 = 0 and linea % 7 <> 0").select(F.lit("scian").alias("anexo"), F.col("linea").cast("string").alias("generico"))
-    return lines.with_annex(items, rows)
+    """An annex's rows joined to the lines at which they begin; other lines keep nulls."""
+    key = F.concat(F.col("documento").cast("string"), F.lit("/"), F.col("linea").cast("string")).alias("generico")
+    rows = lines.rows_by_number(_lines(spark, sf_dir)).select(key, "texto", "valor")
+    return lines.with_annex(_lines(spark, sf_dir).select(F.lit("scian").alias("anexo"), key), rows)
 
 
 def _basket_file(spark: SparkSession, sf_dir: str) -> str:
