@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import api
@@ -33,7 +33,7 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ITEM_SERIES = f"select 2018 as version, {{name}} as generico, ({FIRST} + k)::int as ord, case when (n + k) % 4 = 0 then null else (n + k)::double end as valor from (select p_name, count(*) as n from part group by 1), (select unnest(range(5)) as k)"
 
 
-def _cell(k: int) -> F.Column:
+def _cell(k: int) -> Column:
     return F.when((F.col("n") + k) % 4 == 0, F.lit("")).otherwise((F.col("n") + k).cast("string"))
 
 

@@ -171,3 +171,13 @@ def test_classes_by_name(spark, tmp_path):
 def test_every_query_has_sql():
     assert workflow_queries.renombres.__name__ in catalog_queries.queries()
     assert set(catalog_queries.queries()) == set(catalog_queries.oracle())
+
+
+def test_queries_are_listed_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    code = f"import sys; sys.path.insert(0, {str(root)!r}); import __spark_entry__ as e; assert len(e.queries()) > 100 and set(e.oracle_sql()) <= set(e.queries())"
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, timeout=120).returncode == 0
