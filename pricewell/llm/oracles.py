@@ -166,6 +166,21 @@ c as (select i.doc_id, xor(xor(sums.v, z.v), 4294967295) as crc from i join sums
 select doc_id, leaf, subroot, r.h as root, sha256(proof) as proof_sha256, fold as folded_root, fold = r.h as verified from {last}, u{depth} r"""
 
 
+#: The checksum goes byte by byte; rows alike in doc_id, checksum and size are interchangeable.
+SHARDS = """
+with recursive tab(n, k, c) as (select n::bigint, 0, n::bigint from range(256) r(n) union all select n, k + 1, xor(c >> 1, case when c & 1 = 1 then 3988292384 else 0 end) from tab where k < 8),
+step as (select list(c order by n) as s from tab where k = 8),
+b as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+p as (select r, i, ('0x' || substr(h, 2 * i + 1, 2))::bigint as v from (select r, h, unnest(range(len(h) // 2)) as i from b)),
+l as (select r, list(v order by i) as vs from p group by r),
+c as (select r, xor(list_reduce(list_prepend(4294967295::bigint, vs), lambda a, x: xor(s[(xor(a, x) & 255) + 1], a >> 8)), 4294967295::bigint) as crc from l, step),
+d as (select doc_id, coalesce(crc, 0)::bigint as text_crc32, (len(h) // 2 + 1)::bigint as size from b left join c using (r)),
+o as (
+  select *, sum(size) over w - size as before, sum(size) over () as total, row_number() over w - 1 as place from d
+  window w as (order by doc_id nulls first, text_crc32, size rows between unbounded preceding and current row)),
+x as (select *, least(15, ((before * 2 + size)::hugeint * 16) // (total * 2))::int as shard from o)
+select doc_id, size, text_crc32, 'bytes' as law, shard, (place - min(place) over (partition by shard))::bigint as slot, null::int as grown_shard from x"""
+
 ORACLES = {
     "op1_media_chunks": MEDIA,
     "op2_site_lines": linededup.ORACLE,
@@ -173,6 +188,7 @@ ORACLES = {
     "op4_mix_sources": MIX,
     "op5_decontaminate": DECONTAMINATE,
     "op6_suffix_dedup": SUFFIX,
+    "op7_byte_shards": SHARDS,
     "op8_substring_dedup": SUBSTRING,
     "op11_near_vectors": NEAR_VECTORS,
     "op12_hard_negatives": HARD_NEGATIVES,
