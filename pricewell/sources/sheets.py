@@ -5,7 +5,7 @@ Cells are a relation of documento, hoja, fila, columna (from 1), texto (as the f
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -18,13 +18,6 @@ from .baskets import FILE_COLUMNS
 #: First texts of rows that are totals.
 TOTALS = ("indice general", "total", "suma", "factor de encadenamiento")
 MARK = "X"
-#: The classes that a marked column stands for (component, subcomponent, group).
-FOOD, GOODS = ("subyacente", "mercancias", "alimentos bebidas y tabaco"), ("subyacente", "mercancias", "mercancias no alimenticias")
-HOUSING, OTHER = ("subyacente", "servicios", "vivienda"), ("subyacente", "servicios", "otros servicios")
-SCHOOL, FEES = ("subyacente", "servicios", "educacion"), ("subyacente", "servicios", "educacion colegiaturas")
-FRUIT, MEAT = ("no subyacente", "agropecuarios", "frutas y verduras"), ("no subyacente", "agropecuarios", "pecuarios")
-ENERGY = ("no subyacente", "energeticos y tarifas autorizadas por el gobierno", "energeticos")
-TARIFFS = ("no subyacente", "energeticos y tarifas autorizadas por el gobierno", "tarifas autorizadas por el gobierno")
 
 
 @dataclass(frozen=True)
@@ -39,15 +32,95 @@ class Layout:
     encadenamiento: int | None
     canasta_basica: int
     consumo_minimo: int | None
-    marcas: dict[int, tuple[str, str, str]] = field(default_factory=dict)
+    marcas: dict[int, tuple[str, str, str]]
 
 
-#: Sheets and columns by version.
+#: Sheets and columns by version; of a marked column the component, subcomponent and group that it stands for.
 LAYOUTS = {
-    2010: Layout("Ponderadores INPC INEGI", None, 2, 1, 3, None, 19, None, {6: FOOD, 7: GOODS, 9: HOUSING, 10: OTHER, 11: SCHOOL, 14: FRUIT, 15: MEAT, 17: ENERGY, 18: TARIFFS}),
-    2013: Layout("Ponderadores INPC INEGI", "Ponderadores INPC COICOP INEGI", 2, 1, 3, 4, 20, None, {7: FOOD, 8: GOODS, 10: HOUSING, 11: OTHER, 12: SCHOOL, 15: FRUIT, 16: MEAT, 18: ENERGY, 19: TARIFFS}),
-    2018: Layout("Objeto de gasto", "CCIF", 1, None, 2, None, 19, None, {5: FOOD, 6: GOODS, 8: FEES, 9: HOUSING, 10: OTHER, 13: FRUIT, 14: MEAT, 16: ENERGY, 17: TARIFFS}),
-    2024: Layout("Objeto de gasto", "CCIF", 1, None, 2, 3, 20, 21, {6: FOOD, 7: GOODS, 9: FEES, 10: HOUSING, 11: OTHER, 14: FRUIT, 15: MEAT, 17: ENERGY, 18: TARIFFS}),
+    2010: Layout(
+        hoja_cog="Ponderadores INPC INEGI",
+        hoja_ccif=None,
+        generico=2,
+        grupo=1,
+        ponderador=3,
+        encadenamiento=None,
+        canasta_basica=19,
+        consumo_minimo=None,
+        marcas={
+            6: ("subyacente", "mercancias", "alimentos bebidas y tabaco"),
+            7: ("subyacente", "mercancias", "mercancias no alimenticias"),
+            9: ("subyacente", "servicios", "vivienda"),
+            10: ("subyacente", "servicios", "otros servicios"),
+            11: ("subyacente", "servicios", "educacion"),
+            14: ("no subyacente", "agropecuarios", "frutas y verduras"),
+            15: ("no subyacente", "agropecuarios", "pecuarios"),
+            17: ("no subyacente", "energeticos y tarifas autorizadas por el gobierno", "energeticos"),
+            18: ("no subyacente", "energeticos y tarifas autorizadas por el gobierno", "tarifas autorizadas por el gobierno"),
+        },
+    ),
+    2013: Layout(
+        hoja_cog="Ponderadores INPC INEGI",
+        hoja_ccif="Ponderadores INPC COICOP INEGI",
+        generico=2,
+        grupo=1,
+        ponderador=3,
+        encadenamiento=4,
+        canasta_basica=20,
+        consumo_minimo=None,
+        marcas={
+            7: ("subyacente", "mercancias", "alimentos bebidas y tabaco"),
+            8: ("subyacente", "mercancias", "mercancias no alimenticias"),
+            10: ("subyacente", "servicios", "vivienda"),
+            11: ("subyacente", "servicios", "otros servicios"),
+            12: ("subyacente", "servicios", "educacion"),
+            15: ("no subyacente", "agropecuarios", "frutas y verduras"),
+            16: ("no subyacente", "agropecuarios", "pecuarios"),
+            18: ("no subyacente", "energeticos y tarifas autorizadas por el gobierno", "energeticos"),
+            19: ("no subyacente", "energeticos y tarifas autorizadas por el gobierno", "tarifas autorizadas por el gobierno"),
+        },
+    ),
+    2018: Layout(
+        hoja_cog="Objeto de gasto",
+        hoja_ccif="CCIF",
+        generico=1,
+        grupo=None,
+        ponderador=2,
+        encadenamiento=None,
+        canasta_basica=19,
+        consumo_minimo=None,
+        marcas={
+            5: ("subyacente", "mercancias", "alimentos bebidas y tabaco"),
+            6: ("subyacente", "mercancias", "mercancias no alimenticias"),
+            8: ("subyacente", "servicios", "educacion colegiaturas"),
+            9: ("subyacente", "servicios", "vivienda"),
+            10: ("subyacente", "servicios", "otros servicios"),
+            13: ("no subyacente", "agropecuarios", "frutas y verduras"),
+            14: ("no subyacente", "agropecuarios", "pecuarios"),
+            16: ("no subyacente", "energeticos y tarifas autorizadas por el gobierno", "energeticos"),
+            17: ("no subyacente", "energeticos y tarifas autorizadas por el gobierno", "tarifas autorizadas por el gobierno"),
+        },
+    ),
+    2024: Layout(
+        hoja_cog="Objeto de gasto",
+        hoja_ccif="CCIF",
+        generico=1,
+        grupo=None,
+        ponderador=2,
+        encadenamiento=3,
+        canasta_basica=20,
+        consumo_minimo=21,
+        marcas={
+            6: ("subyacente", "mercancias", "alimentos bebidas y tabaco"),
+            7: ("subyacente", "mercancias", "mercancias no alimenticias"),
+            9: ("subyacente", "servicios", "educacion colegiaturas"),
+            10: ("subyacente", "servicios", "vivienda"),
+            11: ("subyacente", "servicios", "otros servicios"),
+            14: ("no subyacente", "agropecuarios", "frutas y verduras"),
+            15: ("no subyacente", "agropecuarios", "pecuarios"),
+            17: ("no subyacente", "energeticos y tarifas autorizadas por el gobierno", "energeticos"),
+            18: ("no subyacente", "energeticos y tarifas autorizadas por el gobierno", "tarifas autorizadas por el gobierno"),
+        },
+    ),
 }
 
 
