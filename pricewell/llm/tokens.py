@@ -65,7 +65,8 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 2048) ->
 
     The tokenizer drops white space and no token crosses it, so a text has the tokens of its words between ASCII white space; each
     such word goes whole through the library once a worker (special strings in it as the library handles them). Null and empty
-    texts have no tokens. Other columns pass through; columns named as the three new ones are replaced. A very long text is counted word by word.
+    texts have no tokens. Other columns pass through; columns named as the three new ones are replaced. Repeated rows are
+    documents of their own, and an empty table gives an empty one. A very long text is counted word by word.
     """
     path = path or vocabulary()
     table = docs.sparkSession.sparkContext.broadcast(frequent(path))

@@ -477,6 +477,15 @@ def test_shards_of_rows_alike(spark):
     assert max(r["count"] for r in parts.groupBy(sharding.F.spark_partition_id()).count().collect()) < 900
 
 
+def test_shards_around_a_very_long_text(spark):
+    """A text that holds most bytes fills several equal shares: the shards within it stay empty, and slots have no gaps."""
+    rows = [(i, "a b") for i in range(400)] + [(200, "long " * 2_000_000)]
+    data = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = sharding.document_shards(data)
+    assert got(out, "doc_id", "size", "text_crc32", "shard", "slot") == shards_by_hand(rows)
+    assert len({r.shard for r in out.collect()}) < 16
+
+
 def test_shards_are_even(spark):
     data = spark.range(20_000).selectExpr("id as doc_id", "repeat('x', int(id % 97)) as text")
     sums = [r[0] for r in sharding.document_shards(data).groupBy("shard").agg({"size": "sum"}).select("sum(size)").collect()]
