@@ -81,10 +81,11 @@ def val_variacion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(_sql(f"""select tipo, count(*) as n_filas, count(*) filter (s in ('ok', 'diferencia_detectada', 'diferencia_por_parcial')) as n_comparables, count(*) filter (s = 'ok') as n_ok,
   case when bool_or(s = 'diferencia_detectada') then 'diferencia_detectada' when bool_or(s = 'diferencia_por_parcial') then 'diferencia_por_parcial' when not bool_or(s = 'ok') then 'no_disponible' else 'ok' end as estado_global
-from (select tipo, {_state('v')} as s from {_ALL_ANNUAL} t where v is not null) group by 1"""))
+from (select tipo, {_state('v')} as s from {_ALL_ANNUAL} t) group by 1"""))
 def val_resumen_variacion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows without a base take no part."""
-    return validate.derived_summary(_variation_compared(spark, sf_dir), "tipo").select("tipo", "n_filas", "n_comparables", "n_ok", "estado_global")
+    """n_filas has all rows of the report: a row is ok or in the diagnostics. Rows without a base are never comparable, so that the state rests on the others."""
+    out = validate.derived_summary(_variation_compared(spark, sf_dir), "tipo")
+    return out.select("tipo", (F.col("n_ok") + F.col("n_diagnostico")).alias("n_filas"), "n_comparables", "n_ok", "estado_global")
 
 
 @_query(_sql(f"select tipo, ord, indice, s as estado_validacion from (select tipo, ord, indice, {_state('v')} as s from {_ALL_ANNUAL} t) where s <> 'ok'"))

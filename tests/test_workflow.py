@@ -181,3 +181,21 @@ def test_queries_are_listed_without_a_session():
     root = Path(__file__).resolve().parents[1]
     code = f"import sys; sys.path.insert(0, {str(root)!r}); import __spark_entry__ as e; assert len(e.queries()) > 100 and set(e.oracle_sql()) <= set(e.queries())"
     assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, timeout=120).returncode == 0
+
+
+@pytest.mark.parametrize(("halves", "comparable"), [(30, True), (12, False)])
+def test_the_summary_of_variations_counts_the_whole_report(spark, tmp_path, halves, comparable):
+    """Two items over a year and a quarter, of which the first year lacks a base, and over half a year, where nothing has one."""
+    duckdb = pytest.importorskip("duckdb")
+    db = duckdb.connect()
+    db.sql("create table part as select * from (values (1, 'blue anvil'), (2, 'red anvil')) t(p_partkey, p_name)")
+    day = "timestamp '1995-01-05' + to_months((h // 2)::int) + to_days((h % 2 * 15)::int)"
+    db.sql(f"create table lineitem as select p_partkey as l_partkey, 2.0::double as l_quantity, (100 + p_partkey * h)::double as l_extendedprice, {day} as l_shipdate from part, range({halves}) r(h)")
+    for name in ("part", "lineitem"):
+        db.sql(f"copy {name} to '{tmp_path}/{name}.parquet' (format parquet)")
+    query = lambda name: catalog_queries.queries()[name](spark, str(tmp_path))
+    got = {r.tipo: r for r in query("val_resumen_variacion").collect()}
+    assert {t: r.n_filas for t, r in got.items()} == {"INPC": halves, "SUSTANTIVO": halves, "ADJETIVO": 2 * halves, "RENOMBRE": halves}
+    assert {t: r.n_filas for t, r in got.items()} == {r.tipo: r["count"] for r in query("val_variacion").groupBy("tipo").count().collect()}
+    assert all((r.n_comparables > 0, r.estado_global == "no_disponible") == (comparable, not comparable) for r in got.values())
+    assert sorted(tuple(r) for r in got.values()) == sorted(db.sql(catalog_queries.oracle()["val_resumen_variacion"]).fetchall())
