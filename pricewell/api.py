@@ -15,7 +15,7 @@ from . import renames as names
 from .errors import CalculationProblem, ConfigurationProblem, InvariantBroken
 from .functions.periods import parse, parse_as
 from .operators import axes, charts, consult, convert, incidence, laspeyres, validate, variation
-from .scratch import written
+from .scratch import swept, written
 from .results import Result
 from .sources import baskets, indicators, series
 from .sources.official import Official
@@ -79,7 +79,8 @@ def cargar_canasta(spark: SparkSession, ruta: str, version: int, resumen: bool =
 
 
 def cargar_serie(spark: SparkSession, ruta: str, version: int) -> DataFrame:
-    out = written(series.read_series(spark, ruta, _version(version)), "series")
+    with swept(spark):
+        out = written(series.read_series(spark, ruta, _version(version)), "series")
     laspeyres.check_series(out)
     own = next(v for v in catalog.VERSIONS if v[0] == version)
     ends = out.agg(F.min("ord").alias("a"), F.max("ord").alias("z")).first()

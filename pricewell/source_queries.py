@@ -80,14 +80,12 @@ def cargar_canasta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("select 2018 as version, 'parte ' || p_partkey as generico, (48460 + k)::int as ord, case when (p_partkey + k) % 5 = 0 then null else p_size + k end::double as valor from part, (select unnest(range(0, 4)) as k)")
 def cargar_serie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A series file through the loader, which checks values, keys and that the periods meet the version's."""
+    """Series files through the loader, which checks values, keys and that the periods meet the version's."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     cell = lambda k: F.when((F.col("p_partkey") + k) % 5 == 0, F.lit("")).otherwise((F.col("p_size") + k).cast("string"))
     body = part.select(F.concat_ws(",", F.concat(F.lit('"001 parte '), "p_partkey", F.lit('"')), *(cell(k) for k in range(4))).alias("value"))
-    header = ",".join(["Título", *(periods.text_of(FIRST + k, "Q") for k in range(4))])
-    top = spark.createDataFrame([(i, x) for i, x in enumerate(["a", "b", "c", "d", "e", header])], "i int, value string")
     path = _path(spark, sf_dir, "series-loaded")
-    top.unionByName(body.withColumn("i", F.lit(9))).coalesce(1).sortWithinPartitions("i").select("value").write.mode("overwrite").text(path)
+    series.write_series(body, ",".join(["Título", *(periods.text_of(FIRST + k, "Q") for k in range(4))]), path)
     return api.cargar_serie(spark, f"{path}/*.txt", 2018)
 
 

@@ -1,12 +1,16 @@
 """Readers on small files, and the official source on canned answers."""
 
+import csv
 import json
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
-from pricewell import api
-from pricewell.errors import ColumnsMissing, ConfigurationProblem, OrientationUnknown, ResponseInvalid
-from pricewell.sources import baskets, official, series
+from pricewell import api, catalog_queries, source_queries, workflow_queries  # noqa: F401  (these register their queries with the first)
+from pricewell.errors import ColumnsMissing, ConfigurationProblem, EncodingUnreadable, FileCorrupt, FileEmpty, OrientationUnknown, ResponseInvalid
+from pricewell.scratch import shared_dir
+from pricewell.sources import baskets, official, series, tables
 
 HEAD = "\n".join(["x"] * 5)
 P = "1Q Ago 2018"
@@ -94,3 +98,60 @@ def test_official(spark):
         source.history("M", "y")
     with pytest.raises(ConfigurationProblem):
         official.http(str, 0)
+
+
+def test_series_of_any_length(spark, tmp_path):
+    """Files that no task may take whole, several of a series, each in its encoding and with its own columns and orientation."""
+    title = lambda i: f'"{i:03d} Niño ""{i}"", y,\n más"'
+    lines = [f"{title(i)},{i},x{i},{i + 0.5}" if i % 3 else f"{i:03d} Niño {i},{i}" for i in range(1, 60)]
+    (tmp_path / "a.csv").write_bytes(f"{HEAD}\nTítulo,{P},Cifra,2Q Ago 2018\n{'\n'.join(lines)}".encode())
+    (tmp_path / "b.csv").write_bytes(f'{HEAD}\r\nTítulo,"2Q Ago 2018"\r\n\r\n"200 Otro, niño",7\r\n201 Más,8'.encode("latin-1"))
+    (tmp_path / "c.csv").write_text(f"{HEAD}\nTítulo,300 Arroz,301 Huevo\n{P},1,2\n2Q Ago 2018,3")
+    o, conf = 2018 * 24 + 14, {"spark.sql.files.maxPartitionBytes": "1k", "spark.sql.files.openCostInBytes": "1", "spark.sql.sources.binaryFile.maxLength": "100"}
+    kept = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = sorted(((r.generico, r.ord - o, r.valor) for r in series.read_series(spark, f"{tmp_path}/*.csv", 2018).collect()), key=str)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    want = [(f"niño {i} y" if i % 3 else f"niño {i}", k, v) for i in range(1, 60) for k, v in ((0, float(i)), (1, i + 0.5 if i % 3 else None))]
+    want += [("otro niño", 1, 7.0), ("mas", 1, 8.0), ("arroz", 0, 1.0), ("huevo", 0, 2.0), ("arroz", 1, 3.0), ("huevo", 1, None)]
+    assert got == sorted(want, key=str)
+    (tmp_path / "d.csv").write_text(f'{HEAD}\nTítulo,{P}\n"001 Arroz,1\n002 Huevo,2\n')
+    (tmp_path / "e.csv").write_text(HEAD)
+    with pytest.raises(FileCorrupt):  # a quote that never ends
+        series.read_series(spark, f"{tmp_path}/d.csv", 2018)
+    with pytest.raises(FileEmpty):
+        series.read_series(spark, f"{tmp_path}/e.csv", 2018)
+
+
+def test_records_over_chunks(spark, tmp_path):
+    """A file's records don't depend on where its lines are cut, quotes over many lines among them; as Python reads the file whole."""
+    text = 'a\n"b\nc\n' + "".join(f'{i},"u\n\n""v"" ,\n{i}"\n"w"x"y,"",\n\n"z",  ,"\né"\n' for i in range(12)) + "end,"
+    (tmp_path / "t.csv").write_text(text)
+    want, reader, at = [], csv.reader(x + "\n" for x in text.split("\n")[3:]), 0
+    for cells in reader:
+        want += [(at, [x.strip() or None for x in cells])] if cells else []
+        at = reader.line_num
+    for chunk in (1, 9, 1 << 15):
+        assert sorted((r.row, r.cells) for r in tables.records(spark, f"{tmp_path}/t.csv", 3, chunk=chunk).collect()) == want
+    (tmp_path / "u.csv").write_bytes(b"a\n\x81")
+    with pytest.raises(EncodingUnreadable):
+        tables.records(spark, f"{tmp_path}/u.csv", 0, ("utf-8", "cp1252"))
+
+
+@pytest.mark.parametrize("name, files", [("cargar_serie", "series-loaded")])
+def test_series_are_written_by_many_tasks(spark, tmp_path, name, files):
+    rows = spark.range(0, 1000, 1, 3).select(F.col("id").alias("p_partkey"), F.lit("x").alias("p_name"), (F.col("id") % 50).cast("int").alias("p_size"))
+    rows.write.parquet(f"{tmp_path}/part.parquet")
+    size = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")  # a task a file
+    try:
+        got = catalog_queries.queries()[name](spark, str(tmp_path))
+        assert got.count() == 4000 and got.where("valor is null").count() == 800 and got.select("generico").distinct().count() == 1000
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", size)
+    written = sorted(Path(shared_dir(spark)).glob(f"{files}-*{abs(hash(str(tmp_path)))}/*.txt"))
+    assert len(written) >= 3 and all(p.read_text().split("\n")[5].startswith("Título,") for p in written)
