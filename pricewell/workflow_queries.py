@@ -249,15 +249,12 @@ def resumen_canasta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("""select 2018 as version, 'parte ' || p_partkey as generico, (48400 + k)::int as ord, case when (p_partkey + k) % 5 = 0 then null else p_size + k end::double as valor from part, (select unnest(range(0, 4)) as k)""")
 def leer_serie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A series file with titles by rows, five lines above its header, gaps as empty cells."""
+    """Series files with titles by rows, five lines above each header, gaps as empty cells."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     cell = lambda k: F.when((F.col("p_partkey") + k) % 5 == 0, F.lit("")).otherwise((F.col("p_size") + k).cast("string"))
     body = part.select(F.concat_ws(",", F.concat(F.lit('"001 parte '), "p_partkey", F.lit('"')), *(cell(k) for k in range(4))).alias("value"))
-    header = ",".join(["Título", *(periods.text_of(48400 + k, "Q") for k in range(4))])
-    head = spark.createDataFrame([(i, x) for i, x in enumerate(["a", "b", "c", "d", "e", header])], "i int, value string")
     path = f"{shared_dir(spark)}/series-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
-    rows = head.unionByName(body.withColumn("i", F.lit(9))).coalesce(1).sortWithinPartitions("i").select("value")
-    rows.write.mode("overwrite").text(path)
+    series.write_series(body, ",".join(["Título", *(periods.text_of(48400 + k, "Q") for k in range(4))]), path)
     return series.read_series(spark, f"{path}/*.txt", 2018)
 
 

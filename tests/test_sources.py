@@ -142,7 +142,7 @@ def test_records_over_chunks(spark, tmp_path):
         tables.records(spark, f"{tmp_path}/u.csv", 0, ("utf-8", "cp1252"))
 
 
-@pytest.mark.parametrize("name, files", [("cargar_serie", "series-loaded")])
+@pytest.mark.parametrize("name, files", [("cargar_serie", "series-loaded"), ("leer_serie", "series")])
 def test_series_are_written_by_many_tasks(spark, tmp_path, name, files):
     rows = spark.range(0, 1000, 1, 3).select(F.col("id").alias("p_partkey"), F.lit("x").alias("p_name"), (F.col("id") % 50).cast("int").alias("p_size"))
     rows.write.parquet(f"{tmp_path}/part.parquet")
@@ -153,5 +153,5 @@ def test_series_are_written_by_many_tasks(spark, tmp_path, name, files):
         assert got.count() == 4000 and got.where("valor is null").count() == 800 and got.select("generico").distinct().count() == 1000
     finally:
         spark.conf.set("spark.sql.files.openCostInBytes", size)
-    written = sorted(Path(shared_dir(spark)).glob(f"{files}-*{abs(hash(str(tmp_path)))}/*.txt"))
+    written = sorted(Path(shared_dir(spark)).glob(f"{files}-{spark.sparkContext.applicationId}-{abs(hash(str(tmp_path)))}/*.txt"))
     assert len(written) >= 3 and all(p.read_text().split("\n")[5].startswith("Título,") for p in written)
