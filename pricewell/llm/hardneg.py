op12 drops pairs by what a task has found, without searching every plane

Symptom: op12 spent 1850 task seconds a GB of vectors, of which Python 1534, on comparisons that nearly all end in a dropped pair.
Evidence: Profile of the kernels over the large vectors (51,282 rows, 513 anchors), 29 s: 10.6 s in np.partition for the k-th bound, five searches after every plane, 10.5 s in the 64-bit masks and their copies around it, and once few pairs were left these masks were still made for all pairs.
Fix: A task's first blocks of rows are small, so the k-th best scores found so far are soon known and one pair of bounds an anchor drops the pairs; the first four planes, after which the first test came before too, are one product; sums are 32-bit floats where those hold them exactly, else 64-bit floats or integers; from 2 % of pairs left these are finished pair by pair at once; positives meet rows of their anchors' labels only; found rows are sorted when a quarter as many are new.
Effect: at 0.6 GB of input CPU 343 -> 250 s, shuffle 0.01 -> 0.01 GB, spill 0.00 -> 0.00 GB, read 0.08 -> 0.08 GB, longest task 11 -> 7 s, most memory of a task 69 -> 69 MB; at 6 GB of input CPU 14388 -> 795 s, shuffle 0.09 -> 0.09 GB, spill 0.00 -> 0.00 GB, read 0.82 -> 0.82 GB, longest task 969 -> 35 s, most memory of a task 86 -> 86 MB; with hot keys, at 0.6 GB of input CPU 339 -> 254 s, shuffle 0.01 -> 0.01 GB, spill 0.00 -> 0.00 GB, read 0.07 -> 0.07 GB, longest task 11 -> 7 s, most memory of a task 71 -> 71 MB.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,7 +14,11 @@ from pyspark.sql import functions as F
 from .common import written
 
 #: Rows and anchors of one step of a task; bytes of anchors that are broadcast at once; share of pairs left below which they are handled singly.
-BLOCK_ROWS, TILE, PASS_BYTES, SPARSE = 4096, 256, 32_000_000, 0.1
+BLOCK_ROWS, TILE, PASS_BYTES, SPARSE = 4096, 256, 32_000_000, 0.02
+#: Rows of a task's first step, which tell the searches what the next rows must reach; anchors of one step for positives, which are of few labels.
+FIRST_ROWS, LABEL_TILE = 64, 64
+#: Planes that are taken at once from the sign on, before intervals are narrow enough to drop a pair; components of pairs handled singly at once.
+TOP_PLANES, PAIR_VALUES = 4, 1 << 20
 #: Components beyond this have no part, so that every score is a 64-bit integer.
 LIMIT = 1 << 26
 #: The vec_id of rows without one, after all others.
@@ -31,98 +35,113 @@ class Spec:
     high: int = 90
 
 
-#: What is still possible for each pair (anchor, row), from the bounds of its score: lo, hi -> one mask for each of the anchor's searches.
-Masks = Callable[[np.ndarray, np.ndarray], list[np.ndarray]]
-
-
 def kth(values: np.ndarray, ok: np.ndarray, k: int) -> np.ndarray:
     """The k-th greatest of the values that are ok in each line, or the least number where there are fewer."""
     x = np.where(ok, values, np.iinfo(np.int64).min)
     return np.partition(x, -k, axis=1)[:, -k] if x.shape[1] >= k else np.full(len(x), np.iinfo(np.int64).min)
 
 
-def sliced(anchors: np.ndarray, rows: np.ndarray, open_: np.ndarray, masks: Masks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of anchors and rows, and the exact scores, of the pairs that no step could drop.
+def sliced(anchors: np.ndarray, rows: np.ndarray, open_: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of anchors and rows, and the exact scores, of the open pairs that no step could drop: all whose score is between the anchor's low and high.
 
     Rows are two's complement numbers, taken plane by plane from the sign on. After each plane the rest of a component is between 0 and 2^k - 1, so the
     score lies between the sum so far plus that times the anchor's negative components, and the same with its positive ones.
+
+    Sums are whole numbers up to `most`; floats hold them exactly, those of 32 bits up to 2^24 and those of 64 bits up to 2^53.
     """
-    most = max(int(np.abs(rows).max(initial=0)), 1)
-    bits = most.bit_length() + 1
+    bits = max(int(np.abs(rows).max(initial=0)), 1).bit_length() + 1
+    most = int(np.abs(anchors).sum(axis=1).max(initial=0)) << (bits - 1)
+    kind = np.float32 if most <= 1 << 24 else np.float64
+    score = np.zeros(open_.shape, kind if most <= 1 << 53 else np.int64)
     below, above = np.minimum(anchors, 0).sum(axis=1), np.maximum(anchors, 0).sum(axis=1)
-    score = np.zeros(open_.shape, np.int64)
-    a = anchors.astype(np.float64)
-    who, what = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    dense = True
-    for k in range(bits - 1, -1, -1):
-        plane = (rows >> k) & 1
-        weight, rest = (-1 if k == bits - 1 else 1) << k, (1 << k) - 1
-        if dense:
-            score += weight * (a @ plane.T.astype(np.float64)).astype(np.int64)
-            if k > bits - 4 and k:  # no interval is narrow enough yet
-                continue
-            open_ &= np.logical_or.reduce(masks(score + rest * below[:, None], score + rest * above[:, None]))
-            if open_.mean() <= SPARSE or not k:
-                dense = False
-                who, what = np.nonzero(open_)
-                score = score[who, what]
+    least, greatest = (-most, most) if score.dtype == kind else (np.iinfo(np.int64).min, np.iinfo(np.int64).max)
+    far = min(most + 1, 1 << 62)  # bounds as far as this are none
+    low, high = np.clip(low, -far, far), np.clip(high, -far, far)
+    a, k = anchors.astype(kind), bits
+    while k and np.count_nonzero(open_) > SPARSE * open_.size:
+        if k == bits:
+            k = max(bits - TOP_PLANES, 0)
+            plane = rows >> k
         else:
-            for at in range(0, len(who), 1 << 16):
-                part = slice(at, at + (1 << 16))
-                score[part] += weight * np.einsum("ij,ij->i", anchors[who[part]], plane[what[part]])
-            # The masks take one line an anchor; pairs that are gone stay closed.
-            lo, hi = np.full(open_.shape, np.iinfo(np.int64).min), np.full(open_.shape, np.iinfo(np.int64).min)
-            lo[who, what], hi[who, what] = score + rest * below[who], score + rest * above[who]
-            open_ &= np.logical_or.reduce(masks(lo, hi))
-            left = open_[who, what]
-            who, what, score = who[left], what[left], score[left]
-    return who, what, score
+            k -= 1
+            plane = (rows >> k) & 1
+        score += ((a * kind(1 << k)) @ plane.astype(kind).T).astype(score.dtype, copy=False)
+        rest = (1 << k) - 1
+        from_ = np.where(low > -far, np.clip(low - rest * above, least, greatest), least)
+        upto = np.where(high < far, np.clip(high - rest * below, least, greatest), greatest)
+        open_ &= score >= from_.astype(score.dtype)[:, None]
+        open_ &= score <= upto.astype(score.dtype)[:, None]
+    who, what = np.nonzero(open_)
+    found = score[who, what].astype(np.int64)
+    if k:
+        a, b = anchors.astype(score.dtype), (rows if k == bits else rows & ((1 << k) - 1)).astype(score.dtype)
+        step = max(1, PAIR_VALUES // max(1, rows.shape[1]))
+        for at in range(0, len(who), step):
+            part = slice(at, at + step)
+            found[part] += np.einsum("ij,ij->i", a[who[part]], b[what[part]]).astype(np.int64)
+    return who, what, found
 
 
 class Best:
-    """The first k rows of each search (score descending, then id, then row) of those seen so far."""
+    """The first k rows of each search (score descending, then id, then row) of those seen so far; least: the k-th score, or the least number."""
 
     def __init__(self, searches: int, k: int) -> None:
         self.k, self.n = k, searches
-        self.search, self.score, self.vec, self.row = (np.zeros(0, np.int64) for _ in range(4))
+        self.kept = tuple(np.zeros(0, np.int64) for _ in range(4))
+        self.new: list[tuple[np.ndarray, ...]] = []
         self.least = np.full(searches, np.iinfo(np.int64).min)
 
     def add(self, search: np.ndarray, score: np.ndarray, vec: np.ndarray, row: np.ndarray) -> None:
-        if not len(search):
-            return
-        search, score, vec, row = (np.concatenate(p) for p in ((self.search, search), (self.score, score), (self.vec, vec), (self.row, row)))
+        if len(search):
+            self.new.append((search, score, vec, row))
+        if 4 * sum(len(x[0]) for x in self.new) > len(self.kept[0]):  # what waits is little beside what is kept, what is sorted again a few times that
+            self.settle()
+
+    def settle(self) -> None:
+        search, score, vec, row = (np.concatenate(p) for p in zip(self.kept, *self.new, strict=True))
+        self.new = []
         order = np.lexsort([row, vec, -score, search])
         search = search[order]
         place = np.arange(len(search)) - np.searchsorted(search, search)
         keep = order[place < self.k]
-        self.search, self.score, self.vec, self.row = search[place < self.k], score[keep], vec[keep], row[keep]
+        self.kept = search[place < self.k], score[keep], vec[keep], row[keep]
         last = place == self.k - 1
         self.least[search[last]] = score[order[last]]
 
     def batch(self, names: list[str], owner: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (owner[self.search], kind[self.search], self.score, self.vec, self.row)], names=names)
+        self.settle()
+        search, *rest = self.kept
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (owner[search], kind[search], *rest)], names=names)
 
 
-def _integers(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.int64) for x in column.to_pylist()]
+def _ahead(who: np.ndarray, what: np.ndarray, score: np.ndarray, shape: tuple[int, int], k: int) -> np.ndarray:
+    """True for pairs that are not below the k-th of their anchor; where pairs are few, for all of them."""
+    if len(who) <= 4 * k * shape[0]:
+        return np.ones(len(who), bool)
+    values, ok = np.zeros(shape, np.int64), np.zeros(shape, bool)
+    values[who, what], ok[who, what] = score, True
+    return score >= kth(values, ok, k)[who]
 
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Blocks of rows of one dimension: the dimension, components, vec_id, label, row."""
+    """Blocks of rows of one dimension, small ones first: the dimension, components, vec_id, label, row."""
+    step = FIRST_ROWS
     for batch in batches:
-        for at in range(0, batch.num_rows, BLOCK_ROWS):
-            part = batch.slice(at, BLOCK_ROWS)
-            x = _integers(part.column("x"))
-            size = np.fromiter(map(len, x), np.int64, len(x))
+        at = 0
+        while at < batch.num_rows:
+            part = batch.slice(at, step)
+            at, step = at + part.num_rows, min(BLOCK_ROWS, 4 * step)
+            x = part.column("x").to_pylist()
+            size = np.fromiter(map(len, x), np.int64, len(x)) // 8
             vec, label, row = (part.column(c).to_numpy() for c in ("vec", "label", "row"))
             for n in np.unique(size):
                 own = np.flatnonzero(size == n)
-                yield int(n), np.stack([x[i] for i in own]), vec[own], label[own], row[own]
+                yield int(n), np.frombuffer(b"".join([x[i] for i in own]), np.int64).reshape(-1, n), vec[own], label[own], row[own]
 
 
 @dataclass(frozen=True)
 class _Anchors:
-    """The anchors of one pass by dimension: components, label, row and, once known, the scores of the positives (null: fewer)."""
+    """The anchors of one pass by dimension, those of a label together: components, label, row and, once known, the scores of the positives (null: fewer)."""
 
     x: dict[int, np.ndarray]
     label: dict[int, np.ndarray]
@@ -132,7 +151,7 @@ class _Anchors:
 
 def _gathered(anchors: DataFrame, spec: Spec) -> _Anchors:
     """The anchors of one pass, whose bytes are bounded by PASS_BYTES or one row."""
-    found = [(np.frombuffer(r.x, np.int64), r.label, r.row, r.scores) for r in anchors.orderBy("row").collect()]
+    found = [(np.frombuffer(r.x, np.int64), r.label, r.row, r.scores) for r in anchors.orderBy("label", "row").collect()]
     out = _Anchors({}, {}, {}, {})
     for n in {len(x) for x, *_ in found}:
         own = [f for f in found if len(f[0]) == n]
@@ -149,15 +168,15 @@ def _positives(rows: DataFrame, anchors: _Anchors, spec: Spec) -> DataFrame:
         a = sent.value
         best = {n: Best(len(x), spec.positives) for n, x in a.x.items()}
         for n, x, vec, label, row in _each(batches):
-            for at in range(0, len(a.x.get(n, ())), TILE):
-                part = slice(at, at + TILE)
-                here = (a.label[n][part, None] == label) & (a.row[n][part, None] != row)
-
-                def masks(lo: np.ndarray, hi: np.ndarray, here: np.ndarray = here, least: np.ndarray = best[n].least[part]) -> list[np.ndarray]:
-                    return [here & (hi >= np.maximum(kth(lo, here, spec.positives), least)[:, None])]
-
-                who, what, score = sliced(a.x[n][part], x, here.copy(), masks)
-                best[n].add(who + at, score, vec[what], row[what])
+            for at in range(0, len(a.x.get(n, ())), LABEL_TILE):
+                part = slice(at, at + LABEL_TILE)
+                own = np.flatnonzero(np.isin(label, a.label[n][part]))
+                here = (a.label[n][part, None] == label[own]) & (a.row[n][part, None] != row[own])
+                least = best[n].least[part]
+                who, what, score = sliced(a.x[n][part], x[own], here, least, np.full(len(least), np.iinfo(np.int64).max))
+                ok = np.flatnonzero(score >= least[who])
+                ok = ok[_ahead(who[ok], what[ok], score[ok], here.shape, spec.positives)]
+                best[n].add(who[ok] + at, score[ok], vec[own[what[ok]]], row[own[what[ok]]])
         for n, b in best.items():
             yield b.batch(["anchor", "kind", "score", "vec", "row"], a.row[n], np.zeros(len(a.x[n]), np.int64))
 
@@ -178,19 +197,13 @@ def _negatives(rows: DataFrame, anchors: _Anchors, spec: Spec) -> DataFrame:
                 known = positive > -(1 << 62)
                 low = np.where(known, -(-spec.low * positive // 100), 1)  # the least whole score that is no less than the bound
                 high = np.where(known, spec.high * positive // 100, 0)
-                least = best[n].least.reshape(-1, p)[part]
-
-                def masks(lo: np.ndarray, hi: np.ndarray, here: np.ndarray = here, low: np.ndarray = low, high: np.ndarray = high, least: np.ndarray = least) -> list[np.ndarray]:
-                    out = []
-                    for j in range(p):
-                        can = here & (hi >= low[:, j, None]) & (lo <= high[:, j, None])
-                        sure = can & (lo >= low[:, j, None]) & (hi <= high[:, j, None])
-                        out.append(can & (hi >= np.maximum(kth(lo, sure, spec.negatives), least[:, j])[:, None]))
-                    return out
-
-                who, what, score = sliced(a.x[n][part], x, here.copy(), masks)
+                low = np.maximum(low, best[n].least.reshape(-1, p)[part])
+                some = low <= high  # searches that a row could still enter
+                ends = np.where(some, low, np.iinfo(np.int64).max).min(axis=1), np.where(some, high, np.iinfo(np.int64).min).max(axis=1)
+                who, what, score = sliced(a.x[n][part], x, here, *ends)
                 for j in range(p):
-                    ok = (score >= low[who, j]) & (score <= high[who, j]) & (score >= least[who, j])
+                    ok = np.flatnonzero((score >= low[who, j]) & (score <= high[who, j]))
+                    ok = ok[_ahead(who[ok], what[ok], score[ok], here.shape, spec.negatives)]
                     best[n].add((who[ok] + at) * p + j, score[ok], vec[what[ok]], row[what[ok]])
         for n, b in best.items():
             yield b.batch(["anchor", "kind", "score", "vec", "row"], np.repeat(a.row[n], p), np.tile(np.arange(p), len(a.x[n])))

@@ -4,8 +4,10 @@ import hashlib
 import random
 import zlib
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,6 +157,46 @@ def test_hard_negatives_against_all_scores(spark, monkeypatch, n, dim, size, anc
     assert sorted(map(tuple, found), key=str) == _mined(rows)
 
 
+@pytest.mark.parametrize(("size", "dim"), [(1, 3), (200, 64), (1 << 20, 16), (1 << 26, 40), (1 << 26, 1500)])
+def test_slices_of_planes_against_products(size, dim):
+    """Every pair between its anchor's bounds, and no score but the exact one: sums of 32-bit and 64-bit floats and of integers, few pairs open and many."""
+    rnd = np.random.default_rng(size)
+    anchors, rows = rnd.integers(-size, size + 1, (9, dim)), rnd.integers(-size, size + 1, (300, dim))
+    rows[:9], rows[9] = anchors, np.sign(anchors[0]) * size  # scores as great as they can be
+    whole = anchors @ rows.T
+    ends = np.sort(whole, axis=1)
+    no = np.iinfo(np.int64)
+    for low, high in ((ends[:, -5], np.full(9, no.max)), (ends[:, 100], ends[:, 220]), (np.full(9, no.min), ends[:, 3]), (np.full(9, no.min), np.full(9, no.max)), (np.full(9, no.max), np.full(9, no.min))):
+        for share in (1.0, 0.3, 0.01):
+            may = rnd.random(whole.shape) < share
+            who, what, score = hardneg.sliced(anchors, rows, may.copy(), low, high)
+            assert (score == whole[who, what]).all() and may[who, what].all()
+            found = np.zeros(whole.shape, bool)
+            found[who, what] = True
+            assert (found >= (may & (whole >= low[:, None]) & (whole <= high[:, None]))).all()
+
+
+def test_rows_are_sorted_only_where_they_may_enter(monkeypatch):
+    """What a task has found drops most pairs of its later blocks before they are sorted or searched for a k-th score."""
+    rnd = np.random.default_rng(3)
+    x, label = rnd.integers(-150, 150, (12_000, 32)), rnd.integers(0, 10, 12_000)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(12_000)), pa.array(np.arange(12_000)), pa.array(label), pa.array([v.tobytes() for v in x], pa.binary())], names=["row", "vec", "label", "x"])
+    scores = np.sort(np.where((label[:60, None] == label) & (np.arange(60)[:, None] != np.arange(12_000)), x[:60] @ x.T, no_score := -(1 << 40)), axis=1)[:, :-6:-1]
+    assert (scores > no_score).all()
+    anchors = hardneg._Anchors({32: x[:60]}, {32: label[:60]}, {32: np.arange(60)}, {32: scores})
+    sorted_, parted, tasks = [], [], []
+    lexsort, partition = np.lexsort, np.partition
+    monkeypatch.setattr(hardneg.np, "lexsort", lambda keys: sorted_.append(len(keys[0])) or lexsort(keys))
+    monkeypatch.setattr(hardneg.np, "partition", lambda v, *a, **b: parted.append(v.size) or partition(v, *a, **b))
+    rows = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda v: SimpleNamespace(value=v))), mapInArrow=lambda run, _: tasks.append(run))
+    hardneg._positives(rows, anchors, hardneg.Spec())
+    hardneg._negatives(rows, anchors, hardneg.Spec())
+    found = [pa.Table.from_batches(run(iter([batch]))).num_rows for run in tasks]
+    assert found[0] == 60 * 5 and found[1] <= 60 * 5 * 10
+    pairs = 60 * 12_000
+    assert sum(sorted_) < pairs / 4 and sum(parted) < 2 * pairs, (sum(sorted_), sum(parted), pairs)
+
+
 def test_hard_negatives_of_awkward_rows(spark):
     rnd = random.Random(1)
     rows = [(i, rnd.randrange(2), [rnd.randint(0, 30) for _ in range(4)], i % 5 == 0) for i in range(60)]
