@@ -8,10 +8,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import blocks, dealt_join, masked, narrow_join, unmasked, utf8, written
+from .common import BROADCAST_ROWS, GROUP_ROWS, blocks, dealt_join, few, masked, narrow_join, unmasked, utf8, written
 from .components import components
 from .regions import NO_ID, identified, repeats
 
@@ -118,16 +119,28 @@ class Texts:
         return written(rows.dropDuplicates(["node"]) if self.repeated else rows, "minhash-texts")
 
 
+def rays(edges: DataFrame) -> DataFrame:
+    """node, centers: the centers that a node has edges to, and itself if it is one, in lists of GROUP_ROWS at most."""
+    ends = edges.select("node", "center").union(edges.select("center", F.col("center").alias("_same")).distinct())
+    place = F.row_number().over(W.partitionBy("node").orderBy("center")) - 1
+    return ends.withColumn("_list", F.floor(place / GROUP_ROWS)).groupBy("node", "_list").agg(F.collect_list("center").alias("centers")).drop("_list")
+
+
 def confirmed(edges: DataFrame, texts: Texts, spec: Spec) -> DataFrame:
     """The edges (center, node) whose full sets of shingles are similar enough, as u < v; words are compared, not hashes.
 
-    A node's text goes with its edges to the center's; a center of many edges is dealt to several tasks, so each edge carries one text through a shuffle.
+    A text meets the list of centers that it goes to, which is broadcast while edges are few, so that each edge carries one text through one shuffle, and
+    each center one more. A center of many edges is dealt to several tasks.
     """
     edges = written(edges, "minhash-edges")
-    own = texts.of(edges.select("node").union(edges.select("center")).distinct())
-    carried = edges.join(own.withColumnRenamed("text", "a"), "node")
     counts = written(edges.groupBy("center").agg(F.count("*").alias("n")), "minhash-rays")
-    two = dealt_join(carried, own.select(F.col("node").alias("center"), F.col("text").alias("b")), "center", ["node"], counts=counts)
+    own = texts.of(edges.select("node").union(edges.select("center")).distinct())
+    # Rows with lists are broadcast up to half as many edges as rows of nodes, so that no more is broadcast at once than for their texts.
+    lists = written(rays(edges), "minhash-lists")
+    listed = narrow_join(own, lists, "node", most=BROADCAST_ROWS if few(edges, BROADCAST_ROWS // 2) else 0)
+    carried = listed.select(F.explode("centers").alias("center"), "node", F.col("text").alias("a")).where("center <> node")
+    middle = listed.where(F.array_contains("centers", F.col("node"))).select(F.col("node").alias("center"), F.col("text").alias("b"))
+    two = dealt_join(carried, middle, "center", ["node"], counts=counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in blocks(batches, "a"):
@@ -250,7 +263,7 @@ def compared(rest: DataFrame, texts: Texts, spec: Spec) -> DataFrame:
 
 def _linked(reps: DataFrame, texts: Texts, spec: Spec) -> tuple[DataFrame, DataFrame]:
     """The confirmed links (u, v) of the nodes, and their components."""
-    held = reps.select("node", F.explode("buckets").alias("bucket")).distinct()
+    held = reps.select("node", F.explode(F.array_distinct("buckets")).alias("bucket"))  # a node is one row
     shared = held.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").withColumn("size", F.col("n"))
     members = written(dealt_join(held, shared, "bucket", ["node"]), "minhash-members")
     total = members.count()

@@ -6,7 +6,7 @@ import re
 import time
 import tracemalloc
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -108,6 +108,34 @@ def test_minhash(docs, rows, none):
     assert minhash.document_groups(none).count() == 0
 
 
+def test_texts_of_edges_go_through_one_shuffle(spark, monkeypatch):
+    """Texts are dealt by the center alone, which has those of its own rows, and buckets of a node are told apart within its row."""
+    plans, write = defaultdict(list), minhash.written
+
+    def kept(df, name):
+        plans[name].append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(minhash, "written", kept)
+    words = "a b c d e f g h i j k l m n o p q r s t u v w x y z".split()
+    data = [(i, " ".join(words[:-1] + [f"w{i % 7}"])) for i in range(30)] + [(None, "a b c"), (40, None), (41, " ")]
+    found = minhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), minhash.Spec(words=1))
+    assert {r.component_id for r in found.where("doc_id < 30").collect()} == {0}
+    assert plans["minhash-links"] and plans["minhash-members"]
+    assert not any(re.search(r"hashpartitioning\(node#", x) for x in plans["minhash-links"] if "center" in x)
+    assert not any(re.search(r"hashpartitioning\(node#\d+L?, bucket#", x) for x in plans["minhash-members"])
+
+
+def test_lists_of_centers(spark):
+    """Every edge once, and each center once for itself; long lists are parted, edges that come twice stay two."""
+    most = minhash.GROUP_ROWS
+    edges = [(c, 5000) for c in range(most + 10)] + [(7, 9), (7, 9), (8, 7)]
+    found = minhash.rays(spark.createDataFrame(edges, "center long, node long").repartition(3)).collect()
+    assert Counter((c, r.node) for r in found for c in r.centers) == Counter(edges) + Counter((c, c) for c in {c for c, _ in edges})
+    assert max(len(r.centers) for r in found) == most and sum(r.node == 5000 for r in found) == 2
+    assert not minhash.rays(spark.createDataFrame([], "center long, node long")).count()
+
+
 def test_one_of_each(spark, docs, rows):
     kept = minhash.one_of_each(docs)
     assert kept.columns == docs.columns
